@@ -1,4 +1,10 @@
 """Registered queries and their SQL counterparts."""
 
-from topiclens.catalog import corpus_queries  # noqa: F401
+from topiclens.catalog import (  # noqa: F401
+    codebook_queries,
+    corpus_queries,
+    label_queries,
+    pixel_queries,
+    topic_queries,
+)
 from topiclens.catalog.registry import ORACLES, QUERIES  # noqa: F401

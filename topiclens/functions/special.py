@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHIFT = 8
 
@@ -39,16 +40,16 @@ def lgamma(x):
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - low
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def digamma_col(x: pd.Series) -> pd.Series:
     return pd.Series(digamma(x.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def trigamma_col(x: pd.Series) -> pd.Series:
     return pd.Series(trigamma(x.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lgamma_col(x: pd.Series) -> pd.Series:
     return pd.Series(lgamma(x.to_numpy()))

@@ -12,24 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topiclens.functions.arrow import matrix, square_distances
-from topiclens.functions.scalars import patch_name
+from topiclens.functions.scalars import draw, patch_name
 from topiclens.session import cut_lineage
-from topiclens.spread import content_salt, lookup_join, number_rows, tile_join
+from topiclens.spread import lookup_join, number_rows, tile_join
 
 CENTER_CELLS = 8_000_000  # doubles a task may receive as the broadcast codebook
 ROWS_PER_LIST = 65_536
 
 
 def sample_rows(df: DataFrame, ratio: float, key: list[str], seed: int = 0) -> DataFrame:
-    """Keep a row when the hash of its key falls below ``ratio``; same rows on every run."""
-    cells = 1 << 30
-    draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(cells))
-    return df.filter(draw < int(ratio * cells))
+    """Keep a row when the draw of its key falls below ``ratio``; same rows on every run."""
+    return df.filter(draw(*key, F.lit(seed)) < ratio * (1 << 32))
 
 
 def shuffle_rows(df: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
     """Random order that depends only on the key and the seed."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key)
+    return df.orderBy(draw(*key, F.lit(seed)), *key)
 
 
 def renumber_clusters(centers: DataFrame, key: str = "seed_id") -> DataFrame:
@@ -39,11 +37,11 @@ def renumber_clusters(centers: DataFrame, key: str = "seed_id") -> DataFrame:
 
 def seed_centers(points: DataFrame, k: int, key: str, vec: str = "desc", seed: int = 0) -> DataFrame:
     """``k`` random rows as first centres, numbered from 1 in draw order."""
-    draw = F.xxhash64(key, F.lit(seed)).alias("draw")
-    chosen = points.select(F.col(key).alias("seed_id"), F.col(vec).alias("center"), draw)
-    chosen = chosen.orderBy("draw", "seed_id").limit(k)
-    return number_rows(chosen, [F.col("draw"), F.col("seed_id")], "code").select(
-        F.col("code").cast("int").alias("code"), "center"
+    toss = draw(key, F.lit(seed)).alias("toss")
+    chosen = points.select(F.col(key).alias("seed_id"), F.col(vec).alias("center"), toss)
+    chosen = chosen.orderBy("toss", "seed_id").limit(k)
+    return number_rows(chosen, [F.col("toss"), F.col("seed_id")], "code").select(
+        F.col("code").cast("int").alias("code"), "seed_id", "center"
     )
 
 

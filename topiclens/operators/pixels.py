@@ -15,8 +15,16 @@ from topiclens.functions.kernels import filter_lines, gaussian_1d
 from topiclens.functions.scalars import draw, luma
 from topiclens.spread import lookup_join
 
-ALONG_X = Window.partitionBy("image_id", "y").orderBy("x")
-ALONG_Y = Window.partitionBy("image_id", "x").orderBy("y")
+
+
+def along_x():
+    """Window over one image row."""
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_y():
+    """Window over one image column."""
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def pixel_gradients(pixels: DataFrame) -> DataFrame:
@@ -24,7 +32,7 @@ def pixel_gradients(pixels: DataFrame) -> DataFrame:
     half = lambda w: (
         F.coalesce(F.lead("v").over(w), F.col("v")) - F.coalesce(F.lag("v").over(w), F.col("v"))
     ) / 2
-    diffs = pixels.withColumn("dx", half(ALONG_X)).withColumn("dy", half(ALONG_Y))
+    diffs = pixels.withColumn("dx", half(along_x())).withColumn("dy", half(along_y()))
     return diffs.select(
         "image_id", "x", "y", "dx", "dy",
         F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("magnitude"),
@@ -35,7 +43,7 @@ def pixel_gradients(pixels: DataFrame) -> DataFrame:
 def laplace(pixels: DataFrame, radius: int = 1) -> DataFrame:
     """Length of the second differences at distance ``radius``; 0 on the border."""
     second = lambda w: F.lag("v", radius).over(w) - 2 * F.col("v") + F.lead("v", radius).over(w)
-    parts = pixels.withColumn("dxx", second(ALONG_X)).withColumn("dyy", second(ALONG_Y))
+    parts = pixels.withColumn("dxx", second(along_x())).withColumn("dyy", second(along_y()))
     size = F.sqrt(F.col("dxx") * F.col("dxx") + F.col("dyy") * F.col("dyy"))
     return parts.select("image_id", "x", "y", F.coalesce(size, F.lit(0.0)).alias("v"))
 
@@ -150,7 +158,7 @@ def gaussian_blur_mirror(pixels: DataFrame, sigma: float) -> DataFrame:
     return separable_convolve(pixels, gaussian_1d(sigma), edge="inner")
 
 
-def gaussian_blur_ramp_x(pixels: DataFrame, sizes: DataFrame, start: float, end: float) -> DataFrame:
+def gaussian_blur_ramp_x(pixels: DataFrame, start: float, end: float) -> DataFrame:
     """Sigma grows linearly with x; weights outside the image are dropped.
 
     Both passes use the kernel of the target column. The image width sets the slope, so
@@ -198,7 +206,7 @@ def jitter_resample(pixels: DataFrame, axis: str = "x", seed: int = 0) -> DataFr
 
     The shift in (-1, 1) depends on seed and column only; samples outside count as 0.
     """
-    place, window = ("x", ALONG_X) if axis == "x" else ("y", ALONG_Y)
+    place, window = ("x", along_x()) if axis == "x" else ("y", along_y())
     r = (draw(F.lit(seed), place) / float(1 << 32) - 0.5) * 2
     back = F.coalesce(F.lag("v").over(window), F.lit(0.0))
     ahead = F.coalesce(F.lead("v").over(window), F.lit(0.0))
