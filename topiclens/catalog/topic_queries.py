@@ -130,7 +130,8 @@ def _documents(spark, d):
 def lookup_beta(spark, d):
     """Model row of every document term; terms outside the model get start values."""
     items = order_bag(spark, d).withColumnRenamed("term", "term_id")
-    model = T.fill_absent(T.normalize_beta(line_stats(spark, d), 2000), 7).filter("term_id > 10")
+    kept = T.truncate_beta(line_stats(spark, d), 500).select("topic", "term_id", "log_stat")
+    model = T.fill_absent(T.normalize_beta(kept, 2000), 7)
     rows = T.lookup_beta(items, model, 7, 2000)
     return rows.select("doc_no", "term_id", rnd(F.array_max("log_beta")).alias("top"), F.size("log_beta").alias("k"))
 

@@ -83,7 +83,7 @@ def normalize_to_byte(pixels: DataFrame, cutoff: bool) -> DataFrame:
 
 def gaussian_kernel_rows(df: DataFrame, sigma: str, normalize: bool = True) -> DataFrame:
     """1-D kernel weights ``(sigma, dx, w)`` for every distinct sigma of a table."""
-    half = F.greatest(F.lit(1), (F.col(sigma) * 3 + 0.5).cast("int"))
+    half = F.greatest(F.lit(1), (F.col("sigma") * 3 + 0.5).cast("int"))
     cells = df.select(F.col(sigma).alias("sigma")).distinct().withColumn(
         "dx", F.explode(F.sequence(-half, half))
     )
