@@ -48,8 +48,12 @@ def image_folder(spark, d) -> str:
 def folder_manifest(spark, path):
     """``(image_id, path)`` of the written bitmaps from their folder names."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    number = F.regexp_extract("path", "image_id=(\\d+)", 1).cast("int")
-    return listed.select(number.alias("image_id"), "path")
+    return listed.select(folder(F.col("path")).cast("int").alias("image_id"), "path")
+
+
+def folder(path):
+    """The image number in a path: the name manifest and files share."""
+    return F.regexp_extract(path, "image_id=(\\d+)", 1)
 
 
 @query("SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents")
@@ -81,7 +85,7 @@ def build_manifest(spark, d):
 def decode_images(spark, d):
     """Bitmaps decoded by the image source: channel sums."""
     path = image_folder(spark, d)
-    rgb = I.decoded_rgb(R.decode_images(spark, path), folder_manifest(spark, path))
+    rgb = I.decoded_rgb(R.decode_images(spark, path), folder_manifest(spark, path), folder)
     px = I.image_pixels(rgb, "rgb")
     part = lambda bits: F.sum(F.shiftright("rgb", bits).bitwiseAND(255)).cast("long")
     return px.groupBy("image_id").agg(F.count("*").alias("n_pixels"), part(16).alias("r"), part(8).alias("g"), part(0).alias("b"))
@@ -90,7 +94,7 @@ def decode_images(spark, d):
 @query(ALL + "SELECT DISTINCT image_id, CAST(40 AS INTEGER) AS width, CAST(32 AS INTEGER) AS height FROM mosaic")
 def image_sizes(spark, d):
     path = image_folder(spark, d)
-    return R.image_sizes(folder_manifest(spark, path), R.decode_images(spark, path)).select("image_id", "width", "height")
+    return R.image_sizes(folder_manifest(spark, path), R.decode_images(spark, path), folder).select("image_id", "width", "height")
 
 
 @query("SELECT count(*) AS n_bad FROM (SELECT DISTINCT page_id FROM pages)")
@@ -112,7 +116,7 @@ def append_files(files, path):
 def images_to_pixels(spark, d):
     """Decoded bitmaps to labelled pixels."""
     path = image_folder(spark, d)
-    rgb = cut_lineage(I.decoded_rgb(R.decode_images(spark, path), folder_manifest(spark, path)))
+    rgb = cut_lineage(I.decoded_rgb(R.decode_images(spark, path), folder_manifest(spark, path), folder))
     colors = L.build_color_map(I.image_pixels(rgb, "rgb"))
     return I.images_to_pixels(rgb, colors, grouped=True)
 

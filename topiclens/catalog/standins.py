@@ -149,7 +149,7 @@ def matches(spark, sf_dir) -> DataFrame:
 def features(spark, sf_dir) -> DataFrame:
     """Features with a scale: descriptors of ``patches``."""
     return patches(spark, sf_dir).select(
-        F.col("image_id").cast("long").alias("image_id"), "vec_id", (1.6 + F.col("label") * 0.4).alias("scale"),
+        F.col("image_id").cast("long").alias("image_id"), "vec_id", (1.5 + F.col("label") * 0.25).alias("scale"),
         F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "desc",
     )
 
@@ -196,7 +196,7 @@ SQL = {
         FROM (SELECT o_custkey % 50 AS pair_id, o_orderkey AS match_id, o_totalprice / 1000 AS x1,
         CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS y1,
         (o_orderkey % 7 - 3) / 100 AS noise, o_orderstatus = 'P' AS off FROM orders))""",
-    "features": """features AS (SELECT CAST(vec_id // 20 AS BIGINT) AS image_id, vec_id, 1.6 + label * 0.4 AS scale,
+    "features": """features AS (SELECT CAST(vec_id // 20 AS BIGINT) AS image_id, vec_id, CAST(1.5 + label * 0.25 AS DOUBLE) AS scale,
         CAST(4 + 8 * ((vec_id % 20) % 5) AS DOUBLE) AS x, CAST(4 + 8 * ((vec_id % 20) // 5) AS DOUBLE) AS y,
         CAST(embedding AS DOUBLE[]) AS "desc" FROM embeddings)""",
     "candidates": """candidates AS (SELECT a.image_id AS pair_id, a.vec_id AS query_id, b.vec_id AS target_id,

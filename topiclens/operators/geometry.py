@@ -8,6 +8,7 @@ a pair of any size is only ever reduced to a handful of sums.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from topiclens.functions.scalars import draw
 from topiclens.operators.matching import nearest_point
 from topiclens.session import cut_lineage
-from topiclens.spread import TILE_ROWS, group_median, lookup_join, tile_join
+from topiclens.spread import TILE_ROWS, group_median, largest_group, lookup_join, number_rows, pack_blocks, tile_join
 
 MODEL = ["cos", "sin", "tx", "ty"]
 MAX_TRUST = 4.0  # fixed value
@@ -132,24 +133,45 @@ def point_distance(matches: DataFrame) -> DataFrame:
     return matches.select("pair_id", "match_id", square.alias("square"), F.sqrt(square).alias("distance"))
 
 
-def draw_hypotheses(matches: DataFrame, iterations: int, kind: str, seed: int = 0) -> DataFrame:
+@dataclass
+class PreparedMatches:
+    """Matches in the forms random sampling reads: counted, in random order, in blocks."""
+
+    totals: DataFrame
+    ranked: DataFrame
+    blocks: DataFrame
+
+
+def prepare_matches(matches: DataFrame, seed: int = 0, rows: int = TILE_ROWS) -> PreparedMatches:
+    """Done once per search. ``place`` (from 0) is the position in a random order of a pair."""
+    plain = cut_lineage(matches.select("pair_id", "match_id", "x1", "y1", "x2", "y2"))
+    tossed = plain.withColumn("toss", F.xxhash64("pair_id", "match_id", F.lit(seed)))
+    numbered = number_rows(tossed, [F.col("pair_id"), F.col("toss"), F.col("match_id")], "no", start=0)
+    firsts = numbered.groupBy("pair_id").agg(F.min("no").alias("first"), F.count("*").alias("total"))
+    firsts = cut_lineage(firsts)
+    ranked = lookup_join(numbered, firsts, ["pair_id"]).withColumn("place", F.col("no") - F.col("first"))
+    ranked = cut_lineage(ranked.select("pair_id", "place", "x1", "y1", "x2", "y2"))
+    blocks = cut_lineage(pack_blocks(plain, ["pair_id"], ["match_id"], rows).drop("match_id"))
+    return PreparedMatches(firsts.select("pair_id", "total"), ranked, blocks)
+
+
+def draw_hypotheses(prepared: PreparedMatches, iterations: int, kind: str, seed: int = 0, only: DataFrame | None = None) -> DataFrame:
     """Models from random minimal sets: ``(pair_id, hyp, cos, sin, tx, ty)``.
 
-    Every match gets a random rank inside its pair; hypothesis ``h`` takes the matches at
-    random ranks, found by equi-join. Two equal ranks or two equal points give no model.
+    A hypothesis takes the matches at random places of the pair, found by equi-join; two
+    equal points give no model.
     """
     size = MIN_MATCHES[kind]
-    ranked = _ranked_by_draw(matches, seed)
-    sizes = matches.groupBy("pair_id").agg(F.count("*").alias("n"))
-    tries = sizes.filter(F.col("n") >= size).withColumn("hyp", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    pairs = prepared.totals if only is None else prepared.totals.join(only, "pair_id", "left_semi")
+    tries = pairs.filter(F.col("total") >= size).withColumn("hyp", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     for j in range(size):
-        # the second rank is drawn from the remaining ones, so the two always differ
-        pick = F.pmod(draw("pair_id", "hyp", F.lit(seed), F.lit(j)), F.col("n") - j).cast("long")
+        # the second place is drawn from the remaining ones, so the two always differ
+        pick = F.pmod(draw("pair_id", "hyp", F.lit(seed), F.lit(j)), F.col("total") - j).cast("long")
         if j == 1:
             pick = F.when(pick >= F.col("r0"), pick + 1).otherwise(pick)
         tries = tries.withColumn(f"r{j}", pick)
     for j in range(size):
-        side = ranked.select(
+        side = prepared.ranked.select(
             "pair_id", F.col("place").alias(f"r{j}"), *(F.col(c).alias(f"{c}_{j}") for c in ("x1", "y1", "x2", "y2"))
         )
         tries = tries.join(side, ["pair_id", f"r{j}"])
@@ -170,43 +192,42 @@ def draw_hypotheses(matches: DataFrame, iterations: int, kind: str, seed: int =
     )
 
 
-def _ranked_by_draw(matches: DataFrame, seed: int) -> DataFrame:
-    """Matches with their place (from 0) in a random order inside the pair."""
-    from topiclens.spread import number_rows
+SUMS = ["n", "sx1", "sy1", "sx2", "sy2", "cc", "ss"]
 
-    tossed = matches.withColumn("toss", F.xxhash64("pair_id", "match_id", F.lit(seed)))
-    numbered = number_rows(tossed, [F.col("pair_id"), F.col("toss"), F.col("match_id")], "no", start=0)
-    firsts = numbered.groupBy("pair_id").agg(F.min("no").alias("first"))
-    return lookup_join(numbered, firsts, ["pair_id"]).withColumn("place", F.col("no") - F.col("first"))
 
+def _moments(x1, y1, x2, y2) -> np.ndarray:
+    """Terms whose (weighted) sums determine a fit, one row per match."""
+    return np.stack([np.ones_like(x1), x1, y1, x2, y2, x1 * x2 + y1 * y2, x1 * y2 - y1 * x2], 1)
 
-def _inlier_sums(matches: DataFrame, models: DataFrame, eps: float, rows: int) -> DataFrame:
-    """Moments of the inliers of every (pair, hypothesis), summed over match blocks."""
-    names = ["n", "sx1", "sy1", "sx2", "sy2", "cc", "ss"]
 
-    def kernel(left, right):
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in ("pair_id", "hyp", *names)})
-        x1, y1, x2, y2 = (left[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
-        c, s, tx, ty = (right[k].to_numpy()[:, None] for k in MODEL)
-        ex, ey = c * x1 - s * y1 + tx - x2, s * x1 + c * y1 + ty - y2
-        inside = (ex * ex + ey * ey < eps * eps).astype(float)
-        terms = np.stack([np.ones_like(x1), x1, y1, x2, y2, x1 * x2 + y1 * y2, x1 * y2 - y1 * x2], 1)
-        sums = inside @ terms
-        return pd.DataFrame(
-            {"pair_id": right["pair_id"].to_numpy(), "hyp": right["hyp"].to_numpy(), **dict(zip(names, sums.T))}
-        )
+def _inlier_sums(blocks: DataFrame, models: DataFrame, eps: float) -> DataFrame:
+    """Moments of the inliers of every (pair, hypothesis), summed over match blocks.
 
-    parts = tile_join(
-        matches.select("pair_id", "match_id", "x1", "y1", "x2", "y2"), models.select("pair_id", "hyp", *MODEL),
-        ["pair_id"], ["match_id"], ["hyp"], kernel,
-        "pair_id LONG, hyp INT, " + ", ".join(f"{n} DOUBLE" for n in names), rows,
-    )
-    return parts.groupBy("pair_id", "hyp").agg(*(F.sum(n).alias(n) for n in names))
+    The models of a pair travel as one row to its blocks; blocks of a large pair are
+    salted over tasks, and only sums leave them.
+    """
+    packed = models.groupBy("pair_id").agg(F.collect_list(F.struct("hyp", *MODEL)).alias("m"))
+    packed = packed.select("pair_id", *(F.col(f"m.{c}").alias(c) for c in ("hyp", *MODEL)))
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                c, s, tx, ty = (np.asarray(getattr(row, k))[:, None] for k in MODEL)
+                ex, ey = c * row.x1 - s * row.y1 + tx - row.x2, s * row.x1 + c * row.y1 + ty - row.y2
+                inside = (ex * ex + ey * ey < eps * eps).astype(float)
+                sums = inside @ _moments(row.x1, row.y1, row.x2, row.y2)
+                out.append(pd.DataFrame({"pair_id": row.pair_id, "hyp": row.hyp, **dict(zip(SUMS, sums.T))}))
+            if out:
+                yield pd.concat(out)
+
+    met = lookup_join(blocks, packed, ["pair_id"], salt_by=["block"]).drop("block")
+    parts = met.mapInPandas(run, "pair_id LONG, hyp INT, " + ", ".join(f"{n} DOUBLE" for n in SUMS))
+    return parts.groupBy("pair_id", "hyp").agg(*(F.sum(n).alias(n) for n in SUMS))
 
 
 def _refit(kind: str) -> list:
-    """Model columns from inlier moments."""
+    """Model columns from moments."""
     m = lambda c: F.col(c) / F.col("n")
     if kind == "translation":
         return [F.lit(1.0).alias("cos"), F.lit(0.0).alias("sin"), (m("sx2") - m("sx1")).alias("tx"), (m("sy2") - m("sy1")).alias("ty")]
@@ -220,35 +241,26 @@ def _refit(kind: str) -> list:
     ]
 
 
-def ransac(
-    matches: DataFrame, iterations: int, eps: float, min_ratio: float, min_n: int | None = None,
-    kind: str = "rigid", seed: int = 0, rows: int = TILE_ROWS,
+def search_models(
+    prepared: PreparedMatches, iterations: int, eps: float, min_ratio: float, min_n: int | None, kind: str, seed: int,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Best model per pair: ``(pair_id, cos, sin, tx, ty, inliers, cost)``.
-
-    All hypotheses of all pairs are scored together, then refitted on their inliers while
-    these grow. Pairs without an acceptable model give no row.
-    """
-    min_n = MIN_MATCHES[kind] if min_n is None else min_n
+    """The core of ``ransac`` on prepared matches, for the pairs in ``only``."""
     least = MIN_MATCHES[kind]
-    matches = cut_lineage(matches.select("pair_id", "match_id", "x1", "y1", "x2", "y2"))
-    totals = matches.groupBy("pair_id").agg(F.count("*").alias("total"))
-    models = cut_lineage(draw_hypotheses(matches, iterations, kind, seed))
-    settled = None
-    need, before = least, models.withColumn("before", F.lit(0.0))
+    min_n = least if min_n is None else min_n
+    settled, need = None, least
+    before = draw_hypotheses(prepared, iterations, kind, seed, only).withColumn("before", F.lit(0.0))
     while True:
-        sums = _inlier_sums(matches, before, eps, rows)
-        scored = cut_lineage(
-            sums.join(before.select("pair_id", "hyp", "before", *MODEL), ["pair_id", "hyp"]).join(totals, "pair_id")
-        )
+        before = cut_lineage(before)
+        if before.isEmpty():
+            break
+        sums = _inlier_sums(prepared.blocks, before, eps)
+        scored = cut_lineage(sums.join(before, ["pair_id", "hyp"]).join(prepared.totals, "pair_id"))
         ratio = F.col("n") / F.col("total")
         good = scored.filter((F.col("n") >= need) & (ratio > min_ratio))
         stopped = good.filter("n <= before").select("pair_id", "hyp", *MODEL, F.col("n").alias("inliers"), (1 - ratio).alias("cost"))
         settled = stopped if settled is None else settled.unionByName(stopped)
-        growing = good.filter("n > before")
-        before = growing.select("pair_id", "hyp", F.col("n").alias("before"), *_refit(kind))
-        if growing.isEmpty():
-            break
+        before = good.filter("n > before").select("pair_id", "hyp", *_refit(kind), F.col("n").alias("before"))
         need = min_n
     best = settled.filter(F.col("inliers") >= min_n).groupBy("pair_id").agg(
         F.min_by(F.struct(*MODEL, "inliers", "cost"), F.struct("cost", "hyp")).alias("b")
@@ -256,6 +268,18 @@ def ransac(
     return best.select("pair_id", *(F.col(f"b.{c}").alias(c) for c in MODEL), F.col("b.inliers").cast("long").alias("inliers"), "b.cost")
 
 
+def ransac(
+    matches: DataFrame, iterations: int, eps: float, min_ratio: float, min_n: int | None = None,
+    kind: str = "rigid", seed: int = 0, rows: int = TILE_ROWS,
+) -> DataFrame:
+    """Best model per pair: ``(pair_id, cos, sin, tx, ty, inliers, cost)``.
+
+    All hypotheses of all pairs are scored together, then refitted on their inliers while
+    these grow. Pairs without an acceptable model give no row.
+    """
+    return search_models(prepare_matches(matches, seed, rows), iterations, eps, min_ratio, min_n, kind, seed)
+
+
 def ransac_grow_epsilon(
     matches: DataFrame, min_eps: float, max_eps: float, min_ratio: float, kind: str = "rigid",
     iterations: int = GROW_ITERATIONS, seed: int = 0,
@@ -264,30 +288,29 @@ def ransac_grow_epsilon(
 
     Pairs that have settled leave the search; the loop ends when none is left.
     """
-    sizes = matches.groupBy("pair_id").agg(F.count("*").alias("total"))
+    prepared = prepare_matches(matches, seed)
     active = cut_lineage(
-        sizes.filter(F.col("total") > MIN_MATCHES[kind]).select(
+        prepared.totals.filter(F.col("total") > MIN_MATCHES[kind]).select(
             "pair_id", F.lit(0).alias("stale"), F.lit(0).cast("long").alias("most")
         )
     )
-    chosen, eps, step = None, 0.0, 0
+    found_any, eps, step = None, 0.0, 0
     while eps < max_eps and not active.isEmpty():
         eps, step = eps + min_eps, step + 1
-        here = lookup_join(matches, active.select("pair_id"), ["pair_id"])
-        found = ransac(here, iterations, eps, min_ratio, None, kind, seed + step)
+        found = search_models(prepared, iterations, eps, min_ratio, None, kind, seed + step, active)
         state = cut_lineage(active.join(found, "pair_id", "left"))
-        better = state.filter(F.col("inliers") > F.col("most")).select(
-            "pair_id", *MODEL, "inliers", "cost", F.lit(eps).alias("eps")
-        )
-        chosen = better if chosen is None else cut_lineage(
-            chosen.join(better.select("pair_id"), "pair_id", "left_anti").unionByName(better)
-        )
         grew = F.col("inliers") > F.col("most")
+        better = state.filter(grew).select("pair_id", *MODEL, "inliers", "cost", F.lit(eps).alias("eps"))
+        found_any = better if found_any is None else found_any.unionByName(better)
         stale = F.when(F.col("inliers").isNull(), F.col("stale")).when(grew, 0).otherwise(F.col("stale") + 1)
-        active = state.select(
-            "pair_id", stale.alias("stale"), F.greatest("most", F.coalesce("inliers", F.lit(0).cast("long"))).alias("most")
-        ).filter(F.col("stale") < GROW_PATIENCE)
-    return chosen
+        active = cut_lineage(
+            state.select(
+                "pair_id", stale.alias("stale"), F.greatest("most", F.coalesce("inliers", F.lit(0).cast("long"))).alias("most")
+            ).filter(F.col("stale") < GROW_PATIENCE)
+        )
+    # inliers only ever rise from one kept model of a pair to the next
+    last = found_any.groupBy("pair_id").agg(F.max_by(F.struct(*MODEL, "inliers", "cost", "eps"), "inliers").alias("b"))
+    return last.select("pair_id", "b.*")
 
 
 def trim_outliers(matches: DataFrame, max_trust: float = MAX_TRUST, kind: str = "rigid", min_n: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -335,10 +358,12 @@ def icp(p: DataFrame, q: DataFrame, kind: str = "rigid", max_rounds: int = 50) -
     (models, matches); every round works on the pairs whose matches still change.
     """
     start = cut_lineage(p.select("pair_id", "query_id", F.col("x").alias("x1"), F.col("y").alias("y1")))
+    q = cut_lineage(q.select("pair_id", "target_id", "x", "y"))
+    largest = largest_group(start, ["pair_id"]), largest_group(q, ["pair_id"])
     moved, previous = p, None
     models = matches = None
     for _ in range(max_rounds):
-        near = nearest_point(moved, q).select("pair_id", "query_id", "target_id", "x2", "y2")
+        near = nearest_point(moved, q, largest=largest).select("pair_id", "query_id", "target_id", "x2", "y2")
         current = cut_lineage(near.join(start, ["pair_id", "query_id"]))
         fitted = cut_lineage(FITS[kind](current))
         if previous is None:
@@ -361,51 +386,47 @@ def icp(p: DataFrame, q: DataFrame, kind: str = "rigid", max_rounds: int = 50) -
     return models, matches
 
 
-def _local_fit(group: list[str], sigma: float, kind: str, rows: int, candidates: DataFrame, around: DataFrame) -> DataFrame:
-    """Weighted moments of the matches around each candidate, summed over blocks."""
-    names = ["w", "sx1", "sy1", "sx2", "sy2", "cc", "ss"]
-    var2 = 2.0 * sigma * sigma
+def _weights(left, right, var2):
+    dx = left["x1"].to_numpy()[:, None] - right["x1"].to_numpy()
+    dy = left["y1"].to_numpy()[:, None] - right["y1"].to_numpy()
+    w = np.exp(-(dx * dx + dy * dy) / var2)
+    w[left["match_id"].to_numpy()[:, None] == right["other_id"].to_numpy()] = 0.0
+    return w
+
+
+def _local_fit(candidates: DataFrame, around: DataFrame, sigma: float, kind: str, rows: int, largest) -> DataFrame:
+    """Model fitted around each candidate from weighted moments, summed over blocks."""
 
     def kernel(left, right):
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in ("pair_id", "match_id", *names)})
-        x1, y1, x2, y2 = (right[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
-        dx, dy = left["x1"].to_numpy()[:, None] - x1, left["y1"].to_numpy()[:, None] - y1
-        w = np.exp(-(dx * dx + dy * dy) / var2)
-        w[left["match_id"].to_numpy()[:, None] == right["other_id"].to_numpy()] = 0.0
-        terms = np.stack([np.ones_like(x1), x1, y1, x2, y2, x1 * x2 + y1 * y2, x1 * y2 - y1 * x2], 1)
-        return pd.DataFrame(
-            {"pair_id": left["pair_id"].to_numpy(), "match_id": left["match_id"].to_numpy(), **dict(zip(names, (w @ terms).T))}
-        )
+            return pd.DataFrame({c: [] for c in ("pair_id", "match_id", *SUMS)})
+        terms = _moments(*(right[c].to_numpy() for c in ("x1", "y1", "x2", "y2")))
+        sums = _weights(left, right, 2.0 * sigma * sigma) @ terms
+        return left[["pair_id", "match_id"]].assign(**dict(zip(SUMS, sums.T)))
 
     parts = tile_join(
-        candidates, around, group, ["match_id"], ["other_id"], kernel,
-        "pair_id LONG, match_id LONG, " + ", ".join(f"{n} DOUBLE" for n in names), rows,
+        candidates, around, ["pair_id"], ["match_id"], ["other_id"], kernel,
+        "pair_id LONG, match_id LONG, " + ", ".join(f"{n} DOUBLE" for n in SUMS), rows, largest,
     )
-    sums = parts.groupBy("pair_id", "match_id").agg(*(F.sum(n).alias(n) for n in names)).filter("w > 0")
-    return sums.withColumnRenamed("w", "n").select("pair_id", "match_id", *_refit(kind))
+    sums = parts.groupBy("pair_id", "match_id").agg(*(F.sum(n).alias(n) for n in SUMS)).filter("n > 0")
+    return sums.select("pair_id", "match_id", *_refit(kind))
 
 
-def _local_error(sigma: float, rows: int, candidates: DataFrame, around: DataFrame) -> DataFrame:
+def _local_error(candidates: DataFrame, around: DataFrame, sigma: float, rows: int, largest) -> DataFrame:
     """Weighted mean error of the surroundings under each candidate's local model."""
-    var2 = 2.0 * sigma * sigma
 
     def kernel(left, right):
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in ("pair_id", "match_id", "w", "we")})
         x1, y1, x2, y2 = (right[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
         c, s, tx, ty = (left[k].to_numpy()[:, None] for k in MODEL)
-        dx, dy = left["x1"].to_numpy()[:, None] - x1, left["y1"].to_numpy()[:, None] - y1
-        w = np.exp(-(dx * dx + dy * dy) / var2)
-        w[left["match_id"].to_numpy()[:, None] == right["other_id"].to_numpy()] = 0.0
+        w = _weights(left, right, 2.0 * sigma * sigma)
         e = np.hypot(c * x1 - s * y1 + tx - x2, s * x1 + c * y1 + ty - y2)
-        return pd.DataFrame(
-            {"pair_id": left["pair_id"].to_numpy(), "match_id": left["match_id"].to_numpy(), "w": w.sum(1), "we": (w * e).sum(1)}
-        )
+        return left[["pair_id", "match_id"]].assign(w=w.sum(1), we=(w * e).sum(1))
 
     parts = tile_join(
         candidates, around, ["pair_id"], ["match_id"], ["other_id"], kernel,
-        "pair_id LONG, match_id LONG, w DOUBLE, we DOUBLE", rows,
+        "pair_id LONG, match_id LONG, w DOUBLE, we DOUBLE", rows, largest,
     )
     return parts.groupBy("pair_id", "match_id").agg((F.sum("we") / F.sum("w")).alias("mean_error"))
 
@@ -421,11 +442,12 @@ def local_smoothness_filter(
     """
     columns = ["pair_id", "match_id", "x1", "y1", "x2", "y2"]
     open_, done = cut_lineage(matches.select(*columns)), None
+    largest = (largest_group(open_, ["pair_id"]),) * 2
     while True:
         around = open_.withColumnRenamed("match_id", "other_id")
-        local = open_.join(_local_fit(["pair_id"], sigma, kind, rows, open_, around), ["pair_id", "match_id"])
+        local = open_.join(_local_fit(open_, around, sigma, kind, rows, largest), ["pair_id", "match_id"])
         local = cut_lineage(local.withColumn("error", transfer_error()))
-        means = _local_error(sigma, rows, local.drop("error"), around)
+        means = _local_error(local.drop("error"), around, sigma, rows, largest)
         judged = local.join(means, ["pair_id", "match_id"])
         keep = (F.col("error") <= max_eps) & (F.col("error") <= max_trust * F.col("mean_error"))
         judged = cut_lineage(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from topiclens.functions.kernels import blur, filter_lines, gaussian_1d, gaussian_offset, gradients, mirror
 from topiclens.operators.labels import colorize, map_colors
+from topiclens.sources.files import base_name
 from topiclens.spread import lookup_join
 
 SIGMA = 1.6  # fixed value: blur of the first level of an octave
@@ -373,17 +374,16 @@ def image_pixels(images: DataFrame, name: str = "v") -> DataFrame:
     )
 
 
-def decoded_rgb(decoded: DataFrame, manifest: DataFrame) -> DataFrame:
+def decoded_rgb(decoded: DataFrame, manifest: DataFrame, name=base_name) -> DataFrame:
     """Decoded files as rows ``(image_id, width, height, data ARRAY<INT>)`` of packed colours.
 
     Grey, colour and colour-with-alpha layouts are told apart by the channel count.
     """
-    from topiclens.sources.files import base_name
-
     keyed = lookup_join(
-        decoded.withColumn("file", base_name(F.col("path"))).drop("path"),
-        manifest.select("image_id", base_name(F.col("path")).alias("file")),
+        decoded.withColumn("file", name(F.col("path"))).drop("path"),
+        manifest.select("image_id", name(F.col("path")).alias("file")),
         ["file"],
+        salt_by=["file"],
     ).select("image_id", "width", "height", "channels", "data")
 
     def run(frames):

@@ -129,7 +129,7 @@ def drop_ambiguous(matches: DataFrame) -> DataFrame:
     return grouped.filter("_n = 1").select("pair_id", "x2", "y2", "_row.*").select(*matches.columns)
 
 
-def nearest_point(p: DataFrame, q: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
+def nearest_point(p: DataFrame, q: DataFrame, rows: int = TILE_ROWS, largest: tuple[int, int] | None = None) -> DataFrame:
     """Closest target point of every source point, the lower id on ties.
 
     ``p`` is ``(pair_id, query_id, x, y)``, ``q`` is ``(pair_id, target_id, x, y)``.
@@ -153,7 +153,7 @@ def nearest_point(p: DataFrame, q: DataFrame, rows: int = TILE_ROWS) -> DataFram
     found = tile_join(
         p.select("pair_id", "query_id", "x", "y"), q.select("pair_id", "target_id", "x", "y"),
         ["pair_id"], ["query_id"], ["target_id"], kernel,
-        "pair_id LONG, query_id LONG, target_id LONG, x2 DOUBLE, y2 DOUBLE, d DOUBLE", rows,
+        "pair_id LONG, query_id LONG, target_id LONG, x2 DOUBLE, y2 DOUBLE, d DOUBLE", rows, largest,
     )
     best = found.groupBy("pair_id", "query_id").agg(F.min(F.struct("d", "target_id", "x2", "y2")).alias("b"))
     return best.select("pair_id", "query_id", "b.target_id", "b.x2", "b.y2", "b.d")

@@ -70,8 +70,11 @@ def bad_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return images.filter("image.width < 0").select(F.col("image.origin").alias("path"))
 
 
-def image_sizes(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """``(image_id, file, width, height)``: manifest joined to decoded sizes on base name."""
-    files = manifest.select("image_id", base_name(F.col("path")).alias("file"))
-    sizes = images.select(base_name(F.col("path")).alias("file"), "width", "height")
+def image_sizes(manifest: DataFrame, images: DataFrame, name=base_name) -> DataFrame:
+    """``(image_id, file, width, height)``: manifest joined to decoded sizes on the file name.
+
+    ``name`` turns a path column into the name both sides share.
+    """
+    files = manifest.select("image_id", name(F.col("path")).alias("file"))
+    sizes = images.select(name(F.col("path")).alias("file"), "width", "height")
     return lookup_join(files, sizes, ["file"]).select("image_id", "file", "width", "height")

@@ -32,6 +32,7 @@ def lookup_join(
     how: str = "inner",
     lookup_rows: int | None = None,
     salts: int = SALTS,
+    salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join many ``facts`` to a ``lookup`` holding few rows per key.
 
@@ -43,7 +44,7 @@ def lookup_join(
     on = list(on)
     if lookup_rows is not None and lookup_rows <= BROADCAST_ROWS:
         return facts.join(F.broadcast(lookup), on, how)
-    salted = facts.withColumn("_salt", content_salt(facts.columns, salts))
+    salted = facts.withColumn("_salt", content_salt(salt_by or facts.columns, salts))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
@@ -161,15 +162,19 @@ def tile_join(
     kernel: Callable,
     schema: str,
     rows: int = TILE_ROWS,
+    largest: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Run ``kernel(left_rows, right_rows)`` on every block pair of every group.
 
     Groups are cut into blocks of about ``rows`` rows on both sides and each pair of
     blocks is one cogroup, so no task holds more than two blocks however large a group
     is. The kernel must return partial results that a later ``groupBy`` can merge.
+    ``largest`` gives upper bounds of the group sizes when the caller knows them.
     """
     group = list(group)
-    l_max, r_max = largest_group(left, group), largest_group(right, group)
+    # new column identities, as both sides may come from one table
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
+    l_max, r_max = largest or (largest_group(left, group), largest_group(right, group))
     if l_max <= rows and r_max <= rows:
         return (
             left.groupBy(*group)
@@ -196,3 +201,19 @@ def tile_join(
         .select(*right.columns, "_lb", "_rb")
     )
     return lhs.groupBy(*tiles).cogroup(rhs.groupBy(*tiles)).applyInPandas(kernel, schema)
+
+
+def pack_blocks(df: DataFrame, group: Sequence[str], ids: Sequence[str], rows: int = TILE_ROWS) -> DataFrame:
+    """Rows gathered as arrays, about ``rows`` to a block: the group columns, ``block``, one
+    array per other column. For data that is read again and again by an iteration."""
+    group = list(group)
+    rest = [c for c in df.columns if c not in group]
+    if largest_group(df, group) <= rows:
+        placed = df.withColumn("block", F.lit(0))
+    else:
+        parts = df.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(rows)).alias("_parts"))
+        placed = lookup_join(df, parts, group).withColumn(
+            "block", F.pmod(F.xxhash64(*ids), F.col("_parts")).cast("int")
+        )
+    packed = placed.groupBy(*group, "block").agg(F.collect_list(F.struct(*rest)).alias("_r"))
+    return packed.select(*group, "block", *(F.col(f"_r.{c}").alias(c) for c in rest))
