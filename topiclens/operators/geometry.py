@@ -313,33 +313,45 @@ def ransac_grow_epsilon(
     return last.select("pair_id", "b.*")
 
 
+def _with_counts(judged: DataFrame) -> DataFrame:
+    """Add per pair how many matches were judged (``n``) and kept (``left``), then materialise."""
+    state = judged.groupBy("pair_id").agg(F.count("*").alias("n"), F.count_if("keep").alias("left"))
+    return cut_lineage(lookup_join(judged, state, ["pair_id"], salt_by=["pair_id", "match_id"]))
+
+
+def _progress(judged: DataFrame) -> tuple[bool, int]:
+    """Is any pair still losing matches, and how large is the largest of these?"""
+    moving = judged.filter("n > left").agg(F.max("left").alias("top")).first()["top"]
+    return moving is not None, moving or 0
+
+
 def trim_outliers(matches: DataFrame, max_trust: float = MAX_TRUST, kind: str = "rigid", min_n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Refit and drop residuals above ``max_trust`` times the median until stable.
 
-    Returns (models, kept matches). Only pairs that still lose matches are worked on again.
+    Returns (models, kept matches). Only pairs that still lose matches are worked on
+    again; finished rows stay in their round's table.
     """
     min_n = MIN_MATCHES[kind] if min_n is None else min_n
-    open_, done, models = cut_lineage(matches), None, None
+    open_ = cut_lineage(matches)
+    largest, done = largest_group(open_, ["pair_id"]), None
     while True:
-        fitted = FITS[kind](open_)
-        errors = cut_lineage(with_error(open_, fitted))
-        limits = group_median(errors.select("pair_id", "error"), ["pair_id"], "error", "mid")
-        judged = lookup_join(errors, limits, ["pair_id"]).withColumn("keep", F.col("error") <= F.col("mid") * max_trust)
-        judged = cut_lineage(judged)
-        state = judged.groupBy("pair_id").agg(
-            F.count("*").alias("n"), F.count_if("keep").alias("left"), F.avg("error").alias("mean_error")
+        fitted = FITS[kind](open_).drop("n")
+        errors = cut_lineage(
+            lookup_join(open_, fitted, ["pair_id"], salt_by=["pair_id", "match_id"]).withColumn("error", transfer_error())
         )
-        state = cut_lineage(state.join(fitted.drop("n"), "pair_id"))
-        kept = judged.filter("keep").select(*matches.columns)
-        stable = state.filter("n = left")
-        done_now = lookup_join(kept, stable.select("pair_id"), ["pair_id"])
-        models_now = stable.filter(F.col("n") >= min_n).select("pair_id", *MODEL, "n", "mean_error")
-        done = done_now if done is None else done.unionByName(done_now)
-        models = models_now if models is None else models.unionByName(models_now)
-        moving = state.filter("n > left")
-        if moving.isEmpty():
-            return models, done.select(*matches.columns)
-        open_ = lookup_join(kept, moving.select("pair_id"), ["pair_id"]).select(*matches.columns)
+        limits = group_median(errors.select("pair_id", "error"), ["pair_id"], "error", "mid", largest=largest)
+        judged = lookup_join(errors, limits, ["pair_id"], salt_by=["pair_id", "match_id"])
+        judged = _with_counts(judged.withColumn("keep", F.col("error") <= F.col("mid") * max_trust))
+        stable = judged.filter("n = left")
+        done = stable if done is None else done.unionByName(stable)
+        moving, largest = _progress(judged)
+        if not moving:
+            break
+        open_ = judged.filter("n > left and keep").select(*matches.columns)
+    models = done.groupBy("pair_id").agg(
+        *(F.first(c).alias(c) for c in MODEL), F.count("*").alias("n"), F.avg("error").alias("mean_error")
+    )
+    return models.filter(F.col("n") >= min_n), done.select(*matches.columns)
 
 
 def ransac_trim(
@@ -441,27 +453,22 @@ def local_smoothness_filter(
     pair left with fewer matches than the model needs keeps none.
     """
     columns = ["pair_id", "match_id", "x1", "y1", "x2", "y2"]
+    key = ["pair_id", "match_id"]
     open_, done = cut_lineage(matches.select(*columns)), None
-    largest = (largest_group(open_, ["pair_id"]),) * 2
+    largest = largest_group(open_, ["pair_id"])
     while True:
         around = open_.withColumnRenamed("match_id", "other_id")
-        local = open_.join(_local_fit(open_, around, sigma, kind, rows, largest), ["pair_id", "match_id"])
+        sizes = (largest, largest)
+        local = open_.join(_local_fit(open_, around, sigma, kind, rows, sizes), key)
         local = cut_lineage(local.withColumn("error", transfer_error()))
-        means = _local_error(local.drop("error"), around, sigma, rows, largest)
-        judged = local.join(means, ["pair_id", "match_id"])
-        keep = (F.col("error") <= max_eps) & (F.col("error") <= max_trust * F.col("mean_error"))
-        judged = cut_lineage(
-            open_.join(judged.select("pair_id", "match_id", keep.alias("keep")), ["pair_id", "match_id"], "left")
-            .withColumn("keep", F.coalesce("keep", F.lit(False)))
-        )
-        state = cut_lineage(
-            judged.groupBy("pair_id").agg(F.count("*").alias("n"), F.count_if("keep").alias("left"))
-        )
-        kept = judged.filter("keep").select(*columns)
-        stable = state.filter((F.col("n") == F.col("left")) & (F.col("left") >= MIN_MATCHES[kind]))
-        done_now = lookup_join(kept, stable.select("pair_id"), ["pair_id"]).select(*columns)
-        done = done_now if done is None else done.unionByName(done_now)
-        moving = state.filter(F.col("left") < F.col("n"))
-        if moving.isEmpty():
+        means = _local_error(local.drop("error"), around, sigma, rows, sizes)
+        agrees = (F.col("error") <= max_eps) & (F.col("error") <= max_trust * F.col("mean_error"))
+        verdicts = local.select(*key, "error").join(means, key).select(*key, agrees.alias("keep"))
+        judged = open_.join(verdicts, key, "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+        judged = _with_counts(judged)
+        stable = judged.filter((F.col("n") == F.col("left")) & (F.col("left") >= MIN_MATCHES[kind])).select(*columns)
+        done = stable if done is None else done.unionByName(stable)
+        moving, largest = _progress(judged)
+        if not moving:
             return done
-        open_ = lookup_join(kept, moving.select("pair_id"), ["pair_id"]).select(*columns)
+        open_ = judged.filter("n > left and keep").select(*columns)

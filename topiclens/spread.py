@@ -126,7 +126,8 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def group_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", small: int = SMALL_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", small: int = SMALL_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact median per group; mean of the middle two for an even count.
 
@@ -135,7 +136,7 @@ def group_median(
     the distinct values and their counts.
     """
     keys = list(keys)
-    if largest_group(df, keys) <= small:
+    if (largest_group(df, keys) if largest is None else largest) <= small:
         return df.groupBy(*keys).agg(F.median(value).alias(name))
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     placed = running_total(counted, [*map(F.col, keys), F.col(value)], F.col("_n"), "_start")
