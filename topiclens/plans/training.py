@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from topiclens.functions.special import digamma, lgamma, trigamma
 from topiclens.functions.draws import start_log_beta, start_rows, unit
 from topiclens.operators.topics import LOG_FLOOR, LOG_OTHER, LOG_SEED
-from topiclens.session import cut_lineage
+from topiclens.session import checkpointed, cut_lineage
 from topiclens.spread import lookup_join, top_per_group
 
 INNER_ITER = 99  # fixed value: passes per document
@@ -457,7 +457,7 @@ def train_lda(
     previous, history = 0.0, []
     done = first
     for i in range(first, max_iter):
-        stepped = cut_lineage(
+        stepped = checkpointed(
             e_step(docs, alpha, beta, n_terms, inner_iter, inner_tol, random_start, want_docs=not random_start, seed=seed)
         )
         stats, loglik, n_docs = alpha_summary(stepped, topics)

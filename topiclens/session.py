@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget how it was made."""
+    """Materialise ``df`` as a table in the shared folder and read it back.
+
+    A table also forgets the constraints the optimiser knew about ``df``; a checkpoint
+    carries them on, and in a loop of filters and joins they grow without bound. The
+    file sizes tell the planner which sides are small.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Checkpoint for large per-round state: Spark removes the files once nothing refers to
+    them when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
