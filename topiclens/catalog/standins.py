@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from topiclens.functions.scalars import pack_rgb
 from topiclens.operators.corpus import bag_of_words
 from topiclens.operators.images import assemble_images
+from topiclens.sources.tables import read_table
 
 PALETTE = [  # fixed values: the 14 class colours of the ground truth, void first
     (0, 0, 0), (128, 0, 0), (0, 128, 0), (128, 128, 0), (0, 0, 128), (128, 0, 128), (0, 128, 128),
@@ -19,7 +20,8 @@ PALETTE = [  # fixed values: the 14 class colours of the ground truth, void firs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread_by = {"documents": "doc_id", "conversations": "conv_id"}.get(name)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread_by)
 
 
 def bag(spark, sf_dir) -> DataFrame:
@@ -74,7 +76,12 @@ def mosaics(spark, sf_dir) -> DataFrame:
         "image_id", (F.col("x") - 4 + F.col("pos") % 8).alias("x"),
         (F.col("y") - 4 + F.expr("cast(pos div 8 as int)")).alias("y"), "v",
     )
-    return assemble_images(cells, mosaic_sizes(spark, sf_dir), "v", 0.0)
+    return spread_images(assemble_images(cells, mosaic_sizes(spark, sf_dir), "v", 0.0))
+
+
+def spread_images(images: DataFrame) -> DataFrame:
+    """Images over all cores: few bytes each, but much work."""
+    return images.repartition(images.sparkSession.sparkContext.defaultParallelism, "image_id")
 
 
 def mosaic_sizes(spark, sf_dir) -> DataFrame:
@@ -94,7 +101,7 @@ def large_mosaics(spark, sf_dir) -> DataFrame:
         (F.expr("cast(k div 10 as int)") * 8 + F.expr("cast(pos div 8 as int)")).alias("y"), "v",
     )
     sizes = tiles.select("image_id").distinct().select("image_id", F.lit(80).alias("width"), F.lit(80).alias("height"))
-    return assemble_images(cells, sizes, "v", 0.0)
+    return spread_images(assemble_images(cells, sizes, "v", 0.0))
 
 
 def phi(spark, sf_dir) -> DataFrame:
