@@ -74,12 +74,27 @@ def test_e_step_matches_brute_force(corpus, cells):
 
 
 def test_wide_documents_agree(corpus):
+    """Documents fitted by grouped sums give the same posterior, sums and statistics."""
     _, bag, _, table = corpus
     alpha = np.array([0.2, 0.5, 1.1])
-    narrow = M.e_step(M.pack_documents(bag), alpha, table, TERMS, inner_iter=6).filter("kind = 'doc'").toPandas().set_index("id")["vec"]
-    wide = M.wide_e_step(bag, alpha, table, TERMS, passes=6, cut_every=3).toPandas().set_index("doc_no")["gamma"]
-    for doc in narrow.index:
-        assert np.allclose(narrow[doc], wide[doc])
+    narrow = M.e_step(M.pack_documents(bag), alpha, table, TERMS, inner_iter=6)
+    wide = M.wide_e_step(bag, alpha, table, TERMS, passes=6, cut_every=3)
+    docs = [df.filter("kind = 'doc'").toPandas().set_index("id").sort_index() for df in (narrow, wide)]
+    assert np.allclose(np.stack(docs[0]["vec"]), np.stack(docs[1]["vec"]))
+    assert np.allclose(docs[0]["loglik"], docs[1]["loglik"])
+    a, b = (M.alpha_summary(df, TOPICS) for df in (narrow, wide))
+    assert np.allclose(a[0], b[0]) and math.isclose(a[1], b[1], rel_tol=1e-9) and a[2] == b[2]
+    betas = [M.m_step_beta(df, TOPICS)[0].toPandas().set_index("term_id").sort_index()["log_beta"] for df in (narrow, wide)]
+    assert np.allclose(np.stack(betas[0]), np.stack(betas[1]))
+
+
+def test_training_with_wide_documents(corpus):
+    _, bag, _, _ = corpus
+    normal, wide = M.split_wide(bag, limit=9)
+    assert wide is not None and M.split_wide(bag, limit=100)[1] is None
+    split = M.train_lda(M.pack_documents(normal), TOPICS, TERMS, max_iter=1, inner_iter=4, wide=wide)
+    whole = M.train_lda(M.pack_documents(bag), TOPICS, TERMS, max_iter=1, inner_iter=4)
+    assert np.allclose(split.alpha, whole.alpha) and math.isclose(split.loglik[0], whole.loglik[0], rel_tol=1e-9)
 
 
 def test_alpha_update_reaches_a_stationary_point():

@@ -239,5 +239,5 @@ def wide_documents(spark, d):
     words = bag_of_words(talk.select("role", "text"), "role")
     index = index_corpus(words.withColumnRenamed("role", "title"), 0.0, None)
     empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
-    gamma = M.wide_e_step(index.documents, M.start_alpha(4), empty, index.n_terms, passes=10)
-    return gamma.select("doc_no", F.posexplode("gamma").alias("k", "g")).select("doc_no", "k", rnd("g", 4).alias("gamma"))
+    stepped = M.wide_e_step(index.documents, M.start_alpha(4), empty, index.n_terms, passes=10).filter("kind = 'doc'")
+    return stepped.select(F.col("id").alias("doc_no"), F.posexplode("vec").alias("k", "g")).select("doc_no", "k", rnd("g", 4).alias("gamma"))

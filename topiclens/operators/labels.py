@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiclens.functions.scalars import color_code, label_from_probability, rgb_channels
+from topiclens.session import cut_lineage
 from topiclens.spread import lookup_join, number_rows
 
 
@@ -97,15 +98,13 @@ def paint_patches(patches: DataFrame, sizes: DataFrame, step: int = 8) -> DataFr
     """
     half = step // 2
     around = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    squares = (
-        patches.withColumn("dx", around)
-        .withColumn("dy", around)
-        .select("image_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "label", "ordinal")
-    )
+    # sizes are joined before the squares are spread out, so only patches are shuffled for it
+    placed = lookup_join(patches, sizes.select("image_id", "width", "height"), ["image_id"], salt_by=["image_id", "x", "y"])
+    squares = placed.withColumn("dx", around).withColumn("dy", around)
+    inside = squares.select(
+        "image_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "label", "ordinal", "width", "height"
+    ).filter("x >= 0 and y >= 0 and x < width and y < height")
     canvas = blank_canvas(sizes).withColumn("label", F.lit(0)).withColumn("ordinal", F.lit(-1).cast("long"))
-    inside = lookup_join(squares, sizes.select("image_id", "width", "height"), ["image_id"]).filter(
-        "x >= 0 and y >= 0 and x < width and y < height"
-    )
     layers = inside.select("image_id", "x", "y", "label", "ordinal").unionByName(canvas)
     return layers.groupBy("image_id", "x", "y").agg(F.max_by("label", "ordinal").alias("label"))
 
@@ -135,7 +134,7 @@ def detection_false_alarm(joined: DataFrame, void: int = 1) -> DataFrame:
     Works on the (class, label) counts, which are computed once; predictions on void
     pixels do not count.
     """
-    counts = joined.groupBy("truth", "label").agg(F.count("*").alias("n"))
+    counts = cut_lineage(joined.groupBy("truth", "label").agg(F.count("*").alias("n")))
     order = Window.partitionBy("truth").orderBy(F.desc("n"), "label")
     chosen = counts.withColumn("place", F.row_number().over(order)).filter("place = 1")
     chosen = chosen.select("truth", "label")

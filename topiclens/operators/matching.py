@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiclens.functions.arrow import square_distances
-from topiclens.spread import TILE_ROWS, tile_join, top_per_group
+from topiclens.spread import TILE_ROWS, lookup_join, tile_join, top_per_group
 
 
 def best_two(distances: DataFrame, keys: list[str], target: str = "target_id", dist: str = "d") -> DataFrame:
@@ -104,7 +104,8 @@ def match_features(
     right = targets.select(
         "pair_id", F.col("target_id").alias("best_id"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("scale").alias("s2")
     )
-    joined = near.join(left, ["pair_id", "query_id"]).join(right, ["pair_id", "best_id"])
+    # many queries may share one target, so that join is salted
+    joined = lookup_join(near.join(left, ["pair_id", "query_id"]), right, ["pair_id", "best_id"], salt_by=["query_id"])
     return joined.select(
         "pair_id", "query_id", F.col("best_id").alias("target_id"), "x1", "y1", "x2", "y2",
         ((F.col("s1") + F.col("s2")) / 2).alias("weight"), "d1", "d2",

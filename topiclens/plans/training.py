@@ -13,9 +13,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topiclens.functions.special import digamma, lgamma, trigamma
 from topiclens.functions.draws import start_log_beta, start_rows, unit
@@ -441,9 +443,13 @@ def train_lda(
     start: TopicModel | None = None,
     on_iteration=None,
     truncate_from: int = 5,
+    wide: DataFrame | None = None,
 ) -> TopicModel:
     """Alternate E-step, beta and alpha until the likelihood settles.
 
+    ``wide`` holds the terms of documents too wide for one task (see ``split_wide``); they
+    start every round from their word count.
+
     The E-step output of a round is checkpointed once and read by all its consumers, so no
     round repeats an earlier one and a lost executor costs at most one round's partitions.
     """
@@ -457,9 +463,10 @@ def train_lda(
     previous, history = 0.0, []
     done = first
     for i in range(first, max_iter):
-        stepped = checkpointed(
-            e_step(docs, alpha, beta, n_terms, inner_iter, inner_tol, random_start, want_docs=not random_start, seed=seed)
-        )
+        step = e_step(docs, alpha, beta, n_terms, inner_iter, inner_tol, random_start, want_docs=not random_start, seed=seed)
+        if wide is not None:
+            step = step.unionByName(wide_e_step(wide, alpha, beta, n_terms, inner_iter, seed).filter("kind <> 'doc'"))
+        stepped = checkpointed(step)
         stats, loglik, n_docs = alpha_summary(stepped, topics)
         beta, n_terms = m_step_beta(stepped, topics, seeds, truncate if i >= truncate_from else None)
         beta = cut_lineage(beta)
@@ -529,31 +536,80 @@ def resume_training(spark: SparkSession, path: str, iteration: int, max_iter: in
 def wide_e_step(
     wide: DataFrame, alpha: np.ndarray, beta: DataFrame, n_terms: int, passes: int = INNER_ITER, seed: int = 0, cut_every: int = 10
 ) -> DataFrame:
-    """E-step for documents too wide for one task: ``(doc_no, gamma)`` by grouped sums.
+    """E-step for documents too wide for one task, from ``(doc_no, term_id, n)``.
 
-    Each pass joins the small gamma table to the terms, adds the contributions up per
-    document with partial aggregation and so never gathers a document in one place.
+    Each pass joins the small gamma table to the terms and adds the contributions up per
+    document with partial aggregation, so a document is never gathered in one place. Rows
+    are those of ``e_step`` (without the term lists).
     """
     topics = len(alpha)
-    shares = F.pandas_udf(lambda g: g.map(lambda v: np.exp(digamma(np.asarray(v)) - digamma(np.asarray(v)).max())), "array<double>")
+    rows = lookup_join(wide.select("doc_no", "term_id", "n"), beta, ["term_id"], "left", salt_by=["doc_no"])
     start = start_log_beta(topics, n_terms, seed)("term_id")
-    rows = lookup_join(wide.select("doc_no", "term_id", "n"), beta, ["term_id"], "left")
     rows = cut_lineage(
         rows.select("doc_no", "term_id", "n", F.transform(F.coalesce("log_beta", start), F.exp).alias("b"))
     )
-    prior = F.array(*(F.lit(float(a)) for a in alpha))
-    words = rows.groupBy("doc_no").agg(F.sum("n").alias("words"))
-    gamma = words.select("doc_no", F.transform(prior, lambda a: a + F.col("words") / topics).alias("gamma"))
+    gamma = rows.groupBy("doc_no").agg(F.sum("n").alias("words")).select(
+        "doc_no", F.array(*(F.lit(float(a)) + F.col("words") / topics for a in alpha)).alias("gamma")
+    )
+    met = None
     for i in range(passes):
-        shared = gamma.select("doc_no", shares("gamma").alias("e"))
-        met = lookup_join(rows, shared, ["doc_no"])
-        part = F.zip_with("b", "e", lambda b, e: b * e)
-        norm = F.aggregate(part, F.lit(0.0), lambda s, v: s + v)
-        gain = met.select("doc_no", F.transform(part, lambda p: p * F.col("n") / norm).alias("g"))
-        sums = gain.groupBy("doc_no").agg(*(F.sum(F.col("g")[k]).alias(f"g{k}") for k in range(topics)))
-        gamma = sums.select(
-            "doc_no", F.array(*(F.col(f"g{k}") + float(alpha[k]) for k in range(topics))).alias("gamma")
-        )
-        if (i + 1) % cut_every == 0:
+        if met is not None:
+            gamma = _add_up(met, ["doc_no"], topics, alpha)
+        if i and i % cut_every == 0:
             gamma = cut_lineage(gamma)
-    return gamma
+        met = _share_out(rows, gamma)
+    final = cut_lineage(met.select("doc_no", "term_id", "gain", "part_ll"))
+    docs = _add_up(final, ["doc_no"], topics, alpha, [F.sum("part_ll").alias("part_ll")])
+    docs = cut_lineage(docs.select("doc_no", "gamma", "part_ll", _likelihood(alpha)("gamma", "part_ll").alias("loglik")))
+    shape = lambda df, kind, ident, vec, ll: df.select(
+        F.lit(kind).alias("kind"), F.col(ident).cast("long").alias("id") if isinstance(ident, str) else ident.alias("id"),
+        vec.alias("vec"), ll.cast("double").alias("loglik"), F.lit(None).cast("array<int>").alias("terms"),
+        F.lit(None).cast("array<double>").alias("counts"), F.lit(None).cast("array<array<double>>").alias("log_phi"),
+    )
+    sums = _add_up(final, ["term_id"], topics, np.zeros(topics))
+    return (
+        shape(docs, "doc", "doc_no", F.col("gamma"), F.col("loglik"))
+        .unionByName(shape(docs, "alpha", F.lit(1).cast("long"), _alpha_stat("gamma"), F.col("loglik")))
+        .unionByName(shape(sums, "beta", "term_id", F.col("gamma"), F.lit(None)))
+    )
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _digamma_rows(gamma: pd.Series) -> pd.Series:
+    return gamma.map(digamma)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _alpha_stat(gamma: pd.Series) -> pd.Series:
+    return gamma.map(lambda g: digamma(g) - digamma(np.sum(g)))
+
+
+def _likelihood(alpha: np.ndarray):
+    prior = float(lgamma(alpha.sum()) - lgamma(alpha).sum())
+
+    @F.pandas_udf(T.DoubleType())
+    def whole(gamma: pd.Series, part: pd.Series) -> pd.Series:
+        return part + gamma.map(lambda g: prior + float(lgamma(g).sum() - lgamma(np.sum(g))))
+
+    return whole
+
+
+def _share_out(rows: DataFrame, gamma: DataFrame) -> DataFrame:
+    """Weight of every topic in every (document, term), times the count: ``gain``."""
+    met = lookup_join(rows, gamma.select("doc_no", _digamma_rows("gamma").alias("t")), ["doc_no"], salt_by=["doc_no", "term_id"])
+    top = F.array_max("t")
+    part = F.zip_with("b", "t", lambda b, t: b * F.exp(t - top))
+    met = met.withColumn("part", part).withColumn("norm", F.aggregate("part", F.lit(0.0), lambda s, v: s + v))
+    met = met.withColumn("phi", F.transform("part", lambda p: p / F.col("norm")))
+    spent = F.aggregate(F.zip_with("phi", "t", lambda p, t: p * t), F.lit(0.0), lambda s, v: s + v)
+    return met.select(
+        "doc_no", "term_id", F.transform("phi", lambda p: p * F.col("n")).alias("gain"),
+        (F.col("n") * (F.log("norm") + top - spent)).alias("part_ll"),
+    )
+
+
+def _add_up(gains: DataFrame, keys: list[str], topics: int, base, extra: list | None = None) -> DataFrame:
+    """``base`` plus the summed gains per key, as ``gamma``."""
+    sums = gains.groupBy(*keys).agg(*(F.sum(F.col("gain")[k]).alias(f"g{k}") for k in range(topics)), *(extra or []))
+    rest = [c for c in sums.columns if c not in keys and not c.startswith("g")]
+    return sums.select(*keys, F.array(*(F.col(f"g{k}") + float(base[k]) for k in range(topics))).alias("gamma"), *rest)

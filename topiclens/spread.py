@@ -190,13 +190,13 @@ def tile_join(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tiles = [*group, "_lb", "_rb"]
     lhs = (
-        lookup_join(left, sizes, group)
+        lookup_join(left, sizes, group, salt_by=left_id)
         .withColumn("_lb", pick(left_id, "_lblocks"))
         .withColumn("_rb", every("_rblocks"))
         .select(*left.columns, "_lb", "_rb")
     )
     rhs = (
-        lookup_join(right, sizes, group)
+        lookup_join(right, sizes, group, salt_by=right_id)
         .withColumn("_rb", pick(right_id, "_rblocks"))
         .withColumn("_lb", every("_lblocks"))
         .select(*right.columns, "_lb", "_rb")
@@ -213,7 +213,7 @@ def pack_blocks(df: DataFrame, group: Sequence[str], ids: Sequence[str], rows: i
         placed = df.withColumn("block", F.lit(0))
     else:
         parts = df.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(rows)).alias("_parts"))
-        placed = lookup_join(df, parts, group).withColumn(
+        placed = lookup_join(df, parts, group, salt_by=ids).withColumn(
             "block", F.pmod(F.xxhash64(*ids), F.col("_parts")).cast("int")
         )
     packed = placed.groupBy(*group, "block").agg(F.collect_list(F.struct(*rest)).alias("_r"))
