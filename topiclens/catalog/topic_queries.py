@@ -167,8 +167,11 @@ def m_step_beta(spark, d):
 
 
 def _trained(spark, d, **options):
-    index, docs = _documents(spark, d)
-    return index, docs, M.train_lda(docs, 10, index.n_terms, max_iter=options.pop("max_iter", 3), **options)
+    """Training on all documents; any too wide for a task are kept in long form."""
+    index = index_corpus(bag(spark, d), 0.002, 0.5)
+    normal, wide = M.split_wide(index.documents)
+    docs = M.pack_documents(normal)
+    return index, docs, M.train_lda(docs, 10, index.n_terms, max_iter=options.pop("max_iter", 3), wide=wide, **options)
 
 
 @query()

@@ -485,11 +485,20 @@ def train_lda(
     return TopicModel(alpha, beta, n_terms, docs, history, done)
 
 
-def infer_lda(docs: DataFrame, model: TopicModel, inner_iter: int = INNER_ITER, inner_tol: float | None = None, random_start: bool = True) -> DataFrame:
-    """Held-out documents: one E-step, no learning; gamma, phi and likelihood per document."""
-    return e_step(
+def infer_lda(
+    docs: DataFrame, model: TopicModel, inner_iter: int = INNER_ITER, inner_tol: float | None = None, random_start: bool = True,
+    wide: DataFrame | None = None,
+) -> DataFrame:
+    """Held-out documents: one E-step, no learning; gamma, phi and likelihood per document.
+
+    Documents in ``wide`` get gamma and likelihood.
+    """
+    found = e_step(
         docs, model.alpha, model.beta, model.n_terms, inner_iter, inner_tol, random_start, want_phi=True, want_sums=False
     )
+    if wide is None:
+        return found
+    return found.unionByName(wide_e_step(wide, model.alpha, model.beta, model.n_terms, inner_iter).filter("kind <> 'beta'"))
 
 
 def beta_long(beta: DataFrame) -> DataFrame:
