@@ -11,6 +11,7 @@ from topiclens.llm.common import read
 from topiclens.llm.exact_dedup import exact_dedup
 from topiclens.llm.line_dedup import drop_lines
 from topiclens.llm.mixing import mix
+from topiclens.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,12 @@ _BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+@query()
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return simhash_groups(read(spark, sf_dir, "documents"), k=4, radius=4)
+
+
 @query(
     f"""
     WITH sizes AS (
