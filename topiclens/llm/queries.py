@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from topiclens.llm.exact_dedup import exact_dedup
 from topiclens.llm.line_dedup import drop_lines
 from topiclens.llm.mixing import mix
 from topiclens.llm.simhash import simhash_groups
+from topiclens.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +116,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten or more documents share."""
     kept = drop_lines(read(spark, sf_dir, "documents"), min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return read_token_files(write_token_files(read(spark, sf_dir, "documents"), tokenizer, end_id=1))
