@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topiclens.llm.common import read
 from topiclens.llm.exact_dedup import exact_dedup
+from topiclens.llm.licenses import LICENSE_WORD, TEMPLATES, license_scan
 from topiclens.llm.line_dedup import drop_lines
 from topiclens.llm.mixing import mix
 from topiclens.llm.simhash import simhash_groups
@@ -123,3 +124,41 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files, read back."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return read_token_files(write_token_files(read(spark, sf_dir, "documents"), tokenizer, end_id=1))
+
+
+def _license_sql() -> str:
+    """Every place where all key phrases of a template stand, by plain search."""
+    text = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    rows = []
+    for number, t in enumerate(TEMPLATES):
+        spans = t.key_spans()
+        stand = " AND ".join(f"list_slice(w, i + {at - spans[0][0]}, i + {at - spans[0][0] + len(own) - 1}) = {text(own)}" for at, own in spans)
+        rows.append(
+            f"SELECT doc_id, '{t.label}' AS label, {str(t.base).lower()} AS base, i - 1 - {spans[0][0]} AS start, {text(t.words)} AS t, w "
+            f"FROM places JOIN docs USING (doc_id) WHERE word = '{spans[0][1][0]}' AND {stand}"
+        )
+    return rf"""
+    WITH docs AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), places AS (
+      SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+    ), found AS (
+      {" UNION ALL ".join(rows)}
+    ), shared AS (
+      SELECT *, len(list_filter(range(len(t)), lambda j: start + j >= 0 AND w[start + j + 1] IS NOT DISTINCT FROM t[j + 1])) / len(t) AS share FROM found
+    ), summed AS (
+      SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+             array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
+             array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score
+      FROM shared GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+    FROM docs d LEFT JOIN summed USING (doc_id)
+    """
+
+
+@query(_license_sql())
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    return license_scan(read(spark, sf_dir, "documents"))
