@@ -33,3 +33,33 @@ def components(ids, prints, radius):
         if d is not None:
             least[find(p)] = min(d, least.get(find(p), d))
     return [least.get(find(p)) for p in prints]
+
+
+def words(text):
+    return [w.decode() for w in (text or "").encode().lower().split()]
+
+
+def leaks(docs, items, k=5, threshold=0.8):
+    """(doc, item) -> best similarity over every window of the item's length."""
+    from collections import Counter
+
+    found = {}
+    for doc, text in docs:
+        own = words(text)
+        seen = {" ".join(own[i : i + j]) for j in range(1, k + 1) for i in range(len(own) - j + 1)}
+        for item, item_text in items:
+            wanted = words(item_text)
+            size = min(k, len(wanted))
+            if not wanted or len(own) < size:
+                continue
+            cut = lambda w: [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)]  # noqa: B023, E731
+            goal = Counter(cut(wanted))
+            if not seen & set(goal):
+                continue
+            n = min(len(wanted), len(own))
+            for a in range(len(own) - n + 1):
+                window = Counter(cut(own[a : a + n]))
+                sim = sum((goal & window).values()) / sum((goal | window).values())
+                if sim >= threshold and sim > found.get((doc, item), (0,))[0]:
+                    found[doc, item] = (sim, a)
+    return found

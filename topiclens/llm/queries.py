@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topiclens.llm.common import read
+from topiclens.llm.decontamination import find_leaks
 from topiclens.llm.exact_dedup import exact_dedup
 from topiclens.llm.licenses import LICENSE_WORD, TEMPLATES, license_scan
 from topiclens.llm.line_dedup import drop_lines
@@ -126,6 +127,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(read(spark, sf_dir, "documents"), tokenizer, end_id=1))
 
 
+@query()
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, at its most similar window."""
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_print")
+
+
 def _license_sql() -> str:
     """Every place where all key phrases of a template stand, by plain search."""
     text = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
