@@ -16,6 +16,7 @@ from topiclens.llm.line_dedup import drop_lines
 from topiclens.llm.mixing import mix
 from topiclens.llm.simhash import simhash_groups
 from topiclens.llm.token_files import read_token_files, write_token_files
+from topiclens.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,6 +134,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_print")
 
 
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def _license_sql() -> str:
     """Every place where all key phrases of a template stand, by plain search."""
     text = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
