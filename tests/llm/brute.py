@@ -63,3 +63,19 @@ def leaks(docs, items, k=5, threshold=0.8):
                 if sim >= threshold and sim > found.get((doc, item), (0,))[0]:
                     found[doc, item] = (sim, a)
     return found
+
+
+def without_repeats(docs, window):
+    """(words, removed, kept text) of each text, by a table of all windows."""
+    from collections import Counter
+
+    split = [(t or "").encode().split() for t in docs]
+    seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    out = []
+    for w in split:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone.update(range(i, i + window))
+        out.append((len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    return out

@@ -15,6 +15,7 @@ from topiclens.llm.licenses import LICENSE_WORD, TEMPLATES, license_scan
 from topiclens.llm.line_dedup import drop_lines
 from topiclens.llm.mixing import mix
 from topiclens.llm.simhash import simhash_groups
+from topiclens.llm.substring_dedup import substring_dedup
 from topiclens.llm.token_files import read_token_files, write_token_files
 from topiclens.llm.toxicity import toxicity
 
@@ -128,6 +129,33 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(read(spark, sf_dir, "documents"), tokenizer, end_id=1))
 
 
+@query(
+    f"""
+    WITH docs AS (
+      SELECT doc_id, {_WORDS} AS w FROM documents
+    ), windows AS (
+      SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS x FROM docs, range(1, len(w) - 33) r(i)
+    ), repeated AS (
+      SELECT md5(x) AS x FROM windows GROUP BY ALL HAVING count(*) > 1
+    ), starts AS (
+      SELECT doc_id, i FROM windows SEMI JOIN repeated ON md5(windows.x) = repeated.x
+    ), gone AS (
+      SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM starts
+    ), word_rows AS (
+      SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+    ), kept AS (
+      SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM word_rows ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id)
+    """
+)
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 35 words and more that stand elsewhere."""
+    kept = substring_dedup(read(spark, sf_dir, "documents"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query()
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document, at its most similar window."""
