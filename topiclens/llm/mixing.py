@@ -86,6 +86,34 @@ def hash_thresholds(sizes: DataFrame, quotas: DataFrame) -> DataFrame:
     return edges.select("_key", F.when(taken, F.col("_high")).otherwise(F.col("_low") - 1).alias("_upto"))
 
 
+def _marked(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # null has a key of its own
+    return docs.withColumns({"_key": key, "_hash": document_hash(F.col(id_col))})
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("source"))
+    size = F.coalesce(F.regexp_count(F.col("_text"), F.lit(WORD)), F.lit(0)).cast("long")
+    return cut_lineage(_marked(only.select("doc_id", "source", size.alias("size")), "doc_id", "source"))
+
+
+def _plan(sizes: DataFrame, weights: Sequence[int], ratio: float, most: float) -> DataFrame:
+    """``_key, source_size, target, _times, _upto``: how often each source's documents are
+    taken, and up to which hash once more."""
+    targets = source_targets(sizes, weights, ratio, most)
+    times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = cut_lineage(
+        targets.withColumn("_times", times).withColumn("_rest", F.col("target") - F.col("_times") * F.col("source_size"))
+    )
+    return cut_lineage(
+        plan.join(hash_thresholds(sizes, plan.select("_key", "_rest")), "_key", "left")
+        .select("_key", "source_size", "target", "_times", F.coalesce("_upto", F.lit(-1)).alias("_upto"))
+    )
+
+
+_COPIES = "_times + if(_hash <= _upto, 1, 0)"
+
+
 def mix(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), ratio: float = 1.5, most: int = 2,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -97,26 +125,19 @@ def mix(
     and the rest is shared again. ``copies`` says how often the mix holds the document. Rows
     with the same id share a hash and are taken together. Empty tables give an empty result.
     """
-    sizes = cut_lineage(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            document_hash(F.col(id_col)).alias("_hash"),
-        ).withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # null has a key of its own
-    )
-    targets = source_targets(sizes, weights, ratio, most)
-    times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = cut_lineage(
-        targets.withColumn("_times", times).withColumn("_rest", F.col("target") - F.col("_times") * F.col("source_size"))
-    )
-    plan = cut_lineage(
-        plan.join(hash_thresholds(sizes, plan.select("_key", "_rest")), "_key", "left")
-        .select("_key", "source_size", "target", "_times", F.coalesce("_upto", F.lit(-1)).alias("_upto"))
-    )
-    copies = F.col("_times") + (F.col("_hash") <= F.col("_upto")).cast("long")
+    sizes = _sizes(docs, id_col, text_col, source_col)
     return (
-        sizes.join(plan, "_key")
-        .withColumn("copies", copies)
+        sizes.join(_plan(sizes, weights, ratio, most), "_key")
+        .withColumn("copies", F.expr(_COPIES))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
     )
+
+
+def mixed(
+    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), ratio: float = 1.5, most: int = 2,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: every row of ``docs``, all columns, as often as ``mix`` takes it."""
+    plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, ratio, most).select("_key", "_times", "_upto")
+    taken = _marked(docs, id_col, source_col).join(plan, "_key").withColumn("_copies", F.expr(_COPIES).cast("int"))
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)

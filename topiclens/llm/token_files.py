@@ -14,6 +14,7 @@ file that nobody reads.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -34,9 +35,11 @@ from topiclens.llm.common import whole
 from topiclens.session import cut_lineage, ensure_checkpoint_dir
 
 FRAME_IDS = 1 << 18
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_000_000
 SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 BREAK = "<|startoftext|>"
+#: The tokenizer's own pieces, as they are for lower-case ASCII.
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
 class WordEncoder:
@@ -67,38 +70,68 @@ class WordEncoder:
         at = self.words[word]
         return self.ids[self.starts[at] : self.starts[at] + self.lengths[at]]
 
-    def learn(self, missing: Iterable[str]) -> None:
-        letters, others, tailed = set(), [], []
-        for word in missing:
-            stem = word.rstrip(".,").lower() if word.isascii() else ""
-            if not stem.isalpha():
-                others.append(word)
-            elif stem == word:
-                letters.add(word)
+    def learn_pieces(self, missing: Iterable[str]) -> None:
+        """Of printable ASCII in lower case: each is one piece whose bytes stand as they are."""
+        words, starts, lengths, tokenize = self.words, self.starts, self.lengths, self.model.tokenize
+        n, end, gathered = len(starts), len(self.ids), []
+        for piece in missing:
+            if piece.isprintable():
+                ids = [token.id for token in tokenize(piece)]
             else:
-                tail = word[len(stem) :]
-                tailed.append((word, stem, tail))
-                letters.update(p for p in (stem, tail) if p not in self.words)
-        for piece in letters:  # lower-case ASCII letters, or dots and commas: one piece each, bytes as they are
-            self.add(piece, [token.id for token in self.model.tokenize(piece)])
-        for word, stem, tail in tailed:
-            self.add(word, self.known(stem) + self.known(tail))
-        plain = [w for w in others if "<|" not in w]
-        for at in range(0, len(plain), 256):
-            some = plain[at : at + 256]
-            ids = np.array(self.tokenizer.encode(BREAK.join(some), add_special_tokens=False).ids)
-            for word, own in zip(some, np.split(ids, np.flatnonzero(ids == self.separator)), strict=True):
-                self.add(word, own[own != self.separator].tolist())
-        for word in others:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            words[piece] = n
+            starts.append(end)
+            lengths.append(len(ids))
+            gathered += ids
+            n, end = n + 1, end + len(ids)
+        self.ids.extend(gathered)
+
+    def learn_words(self, missing: Iterable[str]) -> None:
+        whole_words, tailed, stems, joined, pieces = set(), [], set(), [], set()
+        for word in missing:
+            if word.isascii() and "<|" not in word:
+                joined.append((word, ASCII_PIECE.findall(word.lower())))
+                pieces.update(joined[-1][1])
+                continue
+            stem = word.rstrip(".,")
+            if stem == word or not stem or not (stem[-1].isalpha() and stem[-1] < "\u0250"):
+                whole_words.add(word)
+            else:  # a letter, then a run of marks: two pieces
+                tailed.append((word, stem, word[len(stem) :]))
+                stems.add(stem)
+                pieces.add(tailed[-1][2])
+        self.learn_pieces(pieces.difference(self.words))
+        for word, own in joined:
+            if word not in self.words:
+                self.add(word, [i for piece in own for i in self.known(piece)])
+        whole_words |= stems.difference(self.words)
+        plain = [w for w in whole_words if "<|" not in w]
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
+            ids = np.array(self.tokenizer.encode(BREAK.join(some), add_special_tokens=False).ids, np.uint32)
+            breaks = np.flatnonzero(ids == self.separator)
+            ids = np.delete(ids, breaks)
+            ends = np.append(breaks - np.arange(len(breaks)), len(ids))
+            first = np.append(0, ends[:-1])
+            self.words.update(zip(some, range(len(self.starts), len(self.starts) + len(some))))
+            self.starts.frombytes((first + len(self.ids)).astype(np.int64).tobytes())
+            self.lengths.frombytes((ends - first).astype(np.int64).tobytes())
+            self.ids.frombytes(ids.tobytes())
+        for word in whole_words:
             if "<|" in word:  # may hold the separator itself
                 self.add(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
+        for word, stem, tail in tailed:
+            self.add(word, self.known(stem) + self.known(tail))
 
     def encode(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").replace("\t", " ").split(" ")
+        plain = text.isascii() and "<|" not in text
+        parts = ASCII_PIECE.findall(text.lower()) if plain else text.replace("\n", " ").replace("\t", " ").split(" ")
         if len(self.words) > CACHED_WORDS:
             self.clear()
         if missing := set(parts).difference(self.words):
-            self.learn(missing)
+            self.learn_pieces(missing) if plain else self.learn_words(missing)
+        if not parts:
+            return np.zeros(0, np.uint32)
         at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
         starts, lengths, ids = (np.frombuffer(a, a.typecode) if len(a) else np.zeros(0, a.typecode) for a in (self.starts, self.lengths, self.ids))
         own = lengths[at]
