@@ -111,7 +111,7 @@ def test_alpha_update_reaches_a_stationary_point():
 def test_training_raises_likelihood_and_resumes(spark, corpus, tmp_path):
     _, bag, _, _ = corpus
     docs = M.pack_documents(bag)
-    seeds = spark.createDataFrame([(1, [1, 2]), (2, [3])], "topic INT, term_ids ARRAY<LONG>")
+    seeds = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "topic INT, term_id LONG")
     model = M.train_lda(docs, TOPICS, TERMS, max_iter=4, seeds=seeds, update_prior=False)
     assert all(b >= a - 1.0 for a, b in zip(model.loglik[1:], model.loglik[2:]))
     M.save_model(model, str(tmp_path))
@@ -119,3 +119,20 @@ def test_training_raises_likelihood_and_resumes(spark, corpus, tmp_path):
     assert np.allclose(again.alpha, model.alpha) and again.n_terms == model.n_terms
     more = M.resume_training(spark, str(tmp_path), model.iteration, model.iteration + 1)
     assert more.iteration == model.iteration + 1
+
+
+def test_resuming_with_wide_documents(spark, corpus, tmp_path):
+    """Wide documents are saved, go on from their gamma, and get phi."""
+    _, bag, *_ = corpus
+    normal, wide = M.split_wide(bag, limit=9)
+    docs = M.pack_documents(normal)
+    whole = M.train_lda(docs, TOPICS, TERMS, max_iter=2, inner_iter=3, wide=wide)
+    first = M.train_lda(docs, TOPICS, TERMS, max_iter=1, inner_iter=3, wide=wide)
+    M.save_model(first, str(tmp_path))
+    resumed = M.resume_training(spark, str(tmp_path), 1, 2, inner_iter=3)
+    assert np.allclose(resumed.alpha, whole.alpha, rtol=1e-9) and np.allclose(resumed.loglik, whole.loglik, rtol=1e-9)
+    narrow = M.train_lda(M.pack_documents(bag), TOPICS, TERMS, max_iter=2, inner_iter=3)
+    assert np.allclose(narrow.alpha, whole.alpha, rtol=1e-6) and np.allclose(narrow.loglik, whole.loglik, rtol=1e-9)
+    phi = M.phi_rows(M.infer_lda(docs, whole, inner_iter=3, wide=wide, random_start=False))
+    pairs = {(r["doc_no"], r["term_id"]) for r in phi.collect()}
+    assert pairs == {(r["doc_no"], r["term_id"]) for r in bag.collect()}

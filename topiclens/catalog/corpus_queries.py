@@ -141,7 +141,7 @@ def seeds(spark, d):
        + " SELECT topic, CAST(term_id AS BIGINT) AS term_id FROM seeds JOIN vocab USING (term)")
 def seed_words(spark, d):
     terms = index_corpus(bag(spark, d), 0.002, 0.5).terms
-    return C.seed_words_to_ids(seeds(spark, d), terms).select("topic", F.explode("term_ids").alias("term_id"))
+    return C.seed_words_to_ids(seeds(spark, d), terms).select("topic", "term_id")
 
 
 @query(with_sql("bag") + ", " + STATS + ", " + VOCAB + ", " + SEEDS + " SELECT topic, term FROM seeds ANTI JOIN vocab USING (term)")

@@ -233,7 +233,7 @@ def ransac_trim(spark, d):
 @query()
 def icp(spark, d):
     """Point clouds aligned by nearest points."""
-    models, found = G.icp(*_clouds(spark, d), max_rounds=4)
+    models, found = G.icp(*_clouds(spark, d))
     counts = found.groupBy("pair_id").agg(F.count("*").alias("n_matches"))
     return _models(models).join(counts, "pair_id")
 

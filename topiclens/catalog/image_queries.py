@@ -56,12 +56,14 @@ def folder(path):
     return F.regexp_extract(path, "image_id=(\\d+)", 1)
 
 
-@query("SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents")
+@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, md5(text) AS md5, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
 def whole_files(spark, d):
-    """Bytes of files written from the documents, each read whole."""
+    """Files written from the documents, each read whole."""
     path = scratch(spark, "files")
-    table(spark, d, "documents").select("text").write.text(path)
-    return R.read_whole_files(spark, path, "part-*").agg(F.sum(F.length("content")).cast("long").alias("n_bytes"))
+    write_files(table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), path, "doc_id")
+    read = R.read_whole_files(spark, path, "part-*")
+    number = F.regexp_extract("path", "doc_id=(\\d+)", 1).cast("long")
+    return read.select(number.alias("doc_id"), F.md5("content").alias("md5"), F.length("content").cast("long").alias("n_bytes"))
 
 
 @query("SELECT CAST(doc_id AS INTEGER) AS image_id, source || '/' || doc_id AS path FROM documents")
@@ -97,18 +99,14 @@ def image_sizes(spark, d):
     return R.image_sizes(folder_manifest(spark, path), R.decode_images(spark, path), folder).select("image_id", "width", "height")
 
 
-@query("SELECT count(*) AS n_bad FROM (SELECT DISTINCT page_id FROM pages)")
+@query("SELECT 'page-' || page_id AS name FROM pages")
 def skip_bad_images(spark, d):
     """Bitmaps and web pages in one folder tree: the pages are listed as unreadable."""
     path = scratch(spark, "mixed")
     write_files(encode_bitmaps(mosaic_rgb_images(spark, d)).select(F.concat(F.lit("image-"), F.col("image_id").cast("string")).alias("name"), "content"), path, "name")
     pages = table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("name"), F.encode("html", "UTF-8").alias("content"))
-    append_files(pages, path)
-    return R.bad_images(spark, path, "part-*").agg(F.count("*").alias("n_bad"))
-
-
-def append_files(files, path):
-    files.select("name", F.col("content").cast("string").alias("value")).write.mode("append").partitionBy("name").text(path)
+    write_files(pages, path, "name")
+    return R.bad_images(spark, path, "part-*").select(F.regexp_extract("path", "name=(.*)$", 1).alias("name"))
 
 
 @query(ALL + ", firsts AS (SELECT rgb, min((image_id, x, y)) AS seen FROM whole GROUP BY rgb), colors AS (SELECT rgb, "
@@ -192,7 +190,7 @@ def keypoint_features(spark, d):
     return found.select("image_id", *(rnd(c).alias(c) for c in ("scale", "orientation", "x", "y")), rnd(norm).alias("norm"))
 
 
-@query("SELECT CAST(sum(strlen(html) + 1) AS BIGINT) AS n_bytes, count(*) AS n_files FROM pages")
+@query("SELECT CAST(sum(strlen(html)) AS BIGINT) AS n_bytes, count(*) AS n_files FROM pages")
 def pack_files(spark, d):
     """One file per page packed into two compressed files."""
     src, dst = scratch(spark, "pages"), scratch(spark, "packed")

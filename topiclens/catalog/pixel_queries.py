@@ -165,8 +165,8 @@ def downsample2(spark, d):
 
 
 @query(PX + f"""SELECT a.image_id, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, {sql_rnd('(a.v + b.v) / 2')} AS v
-    FROM range(15) s(tx), range(15) t(ty), pixels a, pixels b WHERE a.image_id = b.image_id AND a.x = tx // 2 AND a.y = ty // 2
-    AND b.x = (tx + 1) // 2 AND b.y = (ty + 1) // 2""")
+    FROM (SELECT tx, ty, tx // 2 AS ax, ty // 2 AS ay, (tx + 1) // 2 AS bx, (ty + 1) // 2 AS b_y FROM range(15) s(tx), range(15) t(ty)) g
+    JOIN pixels a ON a.x = g.ax AND a.y = g.ay JOIN pixels b ON b.image_id = a.image_id AND b.x = g.bx AND b.y = g.b_y""")
 def upsample2(spark, d):
     return _r(P.upsample2(pixels(spark, d)), "v")
 

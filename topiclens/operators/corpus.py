@@ -105,9 +105,9 @@ def drop_collapsed(bag: DataFrame, terms: DataFrame, key: str, term: str = "term
 
 
 def seed_words_to_ids(seeds: DataFrame, terms: DataFrame, term: str = "term") -> DataFrame:
-    """``(topic, term_ids)`` for the seed words found in the vocabulary."""
+    """``(topic, term_id)`` for the seed words found in the vocabulary."""
     found = lookup_join(seeds, terms.select(term, "term_id"), [term])
-    return found.groupBy("topic").agg(F.array_sort(F.collect_set("term_id")).alias("term_ids"))
+    return found.select("topic", "term_id").distinct()
 
 
 def unknown_seed_words(seeds: DataFrame, terms: DataFrame, term: str = "term") -> DataFrame:

@@ -262,6 +262,9 @@ def search_models(
         settled = stopped if settled is None else settled.unionByName(stopped)
         before = good.filter("n > before").select("pair_id", "hyp", *_refit(kind), F.col("n").alias("before"))
         need = min_n
+    if settled is None:  # no pair has enough matches for a hypothesis
+        none = [F.lit(0.0).alias(c) for c in (*MODEL, "inliers", "cost")]
+        settled = before.select("pair_id", "hyp", *none)
     best = settled.filter(F.col("inliers") >= min_n).groupBy("pair_id").agg(
         F.min_by(F.struct(*MODEL, "inliers", "cost"), F.struct("cost", "hyp")).alias("b")
     )
@@ -308,6 +311,9 @@ def ransac_grow_epsilon(
                 "pair_id", stale.alias("stale"), F.greatest("most", F.coalesce("inliers", F.lit(0).cast("long"))).alias("most")
             ).filter(F.col("stale") < GROW_PATIENCE)
         )
+    if found_any is None:  # no pair has enough matches
+        none = [F.lit(0.0).alias(c) for c in (*MODEL, "cost", "eps")]
+        found_any = active.filter("false").select("pair_id", *none, F.lit(0).cast("long").alias("inliers"))
     # inliers only ever rise from one kept model of a pair to the next
     last = found_any.groupBy("pair_id").agg(F.max_by(F.struct(*MODEL, "inliers", "cost", "eps"), "inliers").alias("b"))
     return last.select("pair_id", "b.*")
@@ -367,13 +373,14 @@ def icp(p: DataFrame, q: DataFrame, kind: str = "rigid", max_rounds: int = 50) -
     """Match nearest points and refit until the matches stay the same.
 
     ``p`` is ``(pair_id, query_id, x, y)``, ``q`` is ``(pair_id, target_id, x, y)``. Returns
-    (models, matches); every round works on the pairs whose matches still change.
+    (models, matches); every round works on the pairs whose matches still change. A model's
+    ``settled`` is false if its pair's matches still changed in the last of ``max_rounds``.
     """
     start = cut_lineage(p.select("pair_id", "query_id", F.col("x").alias("x1"), F.col("y").alias("y1")))
     q = cut_lineage(q.select("pair_id", "target_id", "x", "y"))
     largest = largest_group(start, ["pair_id"]), largest_group(q, ["pair_id"])
     moved, previous = p, None
-    models = matches = None
+    models = matches = active = None
     for _ in range(max_rounds):
         near = nearest_point(moved, q, largest=largest).select("pair_id", "query_id", "target_id", "x2", "y2")
         current = cut_lineage(near.join(start, ["pair_id", "query_id"]))
@@ -395,6 +402,8 @@ def icp(p: DataFrame, q: DataFrame, kind: str = "rigid", max_rounds: int = 50) -
             "pair_id", "query_id", F.col("x1").alias("x"), F.col("y1").alias("y")
         )
         moved = apply_transform(still, fitted)
+    open_ = active.withColumn("_open", F.lit(True))
+    models = models.join(open_, "pair_id", "left").withColumn("settled", F.col("_open").isNull()).drop("_open")
     return models, matches
 
 

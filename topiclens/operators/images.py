@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from topiclens.functions.kernels import blur, filter_lines, gaussian_1d, gaussian_offset, gradients, mirror
 from topiclens.operators.labels import colorize, map_colors
-from topiclens.sources.files import base_name
+from topiclens.sources.files import full_path
 from topiclens.spread import lookup_join
 
 SIGMA = 1.6  # fixed value: blur of the first level of an octave
@@ -31,10 +31,26 @@ PEAK_RATIO = 0.8  # fixed value: further orientations must exceed this part of t
 FEATURES = "image_id {id}, scale DOUBLE, orientation DOUBLE, x DOUBLE, y DOUBLE, desc ARRAY<DOUBLE>"
 
 
+FAILURES = (ValueError, TypeError, IndexError, ArithmeticError)
+
+
+def _one_image(fn: Callable[[np.ndarray], Iterator[tuple]], w, h, data) -> tuple[list[tuple], str | None]:
+    """All rows of an image, or none and the reason."""
+    if data is None or w is None or h is None:
+        return [], "no pixels"
+    if len(data) != w * h:
+        return [], f"{len(data)} pixels for {w} x {h}"
+    try:
+        return list(fn(np.asarray(data, dtype=np.float64).reshape(int(h), int(w)))), None
+    except FAILURES as e:
+        return [], f"{type(e).__name__}: {e}"
+
+
 def extract_features(images: DataFrame, fn: Callable[[np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
     """Apply ``fn(image) -> rows`` to every image; rows get the image id in front.
 
-    An image on which ``fn`` fails gives no rows, as does a row without pixels.
+    An image gives all its rows or, if ``fn`` fails or its pixels do not fit its size, none;
+    ``failed_images`` with the same ``fn`` lists those and why.
     """
     columns = [c.strip().split()[0] for c in schema.split(",")]
 
@@ -42,21 +58,22 @@ def extract_features(images: DataFrame, fn: Callable[[np.ndarray], Iterator[tupl
         for pdf in frames:
             rows = []
             for image_id, w, h, data in zip(pdf["image_id"], pdf["width"], pdf["height"], pdf["data"]):
-                try:
-                    image = np.asarray(data, dtype=np.float64).reshape(h, w)
-                    rows.extend((image_id, *row) for row in fn(image))
-                except (ValueError, TypeError, IndexError, FloatingPointError):
-                    continue
+                rows.extend((image_id, *row) for row in _one_image(fn, w, h, data)[0])
             yield pd.DataFrame(rows, columns=columns)
 
     return images.select("image_id", "width", "height", "data").mapInPandas(run, schema)
 
 
-def failed_images(images: DataFrame) -> DataFrame:
-    """Ids of images whose pixel count does not match their size: the skipped ones."""
-    return images.filter(
-        F.col("data").isNull() | (F.size("data") != F.col("width") * F.col("height"))
-    ).select("image_id")
+def failed_images(images: DataFrame, fn: Callable[[np.ndarray], Iterator[tuple]] = lambda image: ()) -> DataFrame:
+    """``image_id, reason`` of the images that ``extract_features`` leaves out for ``fn``."""
+
+    def run(frames):
+        for pdf in frames:
+            reasons = [_one_image(fn, *image)[1] for image in zip(pdf["width"], pdf["height"], pdf["data"])]
+            out = pd.DataFrame({"image_id": pdf["image_id"], "reason": reasons})
+            yield out[out["reason"].notna()]
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(run, f"image_id {_id_type(images)}, reason STRING")
 
 
 def _id_type(images: DataFrame) -> str:
@@ -374,7 +391,7 @@ def image_pixels(images: DataFrame, name: str = "v") -> DataFrame:
     )
 
 
-def decoded_rgb(decoded: DataFrame, manifest: DataFrame, name=base_name) -> DataFrame:
+def decoded_rgb(decoded: DataFrame, manifest: DataFrame, name=full_path) -> DataFrame:
     """Decoded files as rows ``(image_id, width, height, data ARRAY<INT>)`` of packed colours.
 
     Grey, colour and colour-with-alpha layouts are told apart by the channel count.

@@ -16,7 +16,7 @@ def error_statistics(errors: DataFrame, keys: list[str], value: str) -> DataFram
         F.stddev_pop(v).alias("deviation"), F.avg(v * v).alias("variance0"),
         F.min(v).alias("lowest"), F.max(v).alias("highest"),
     )
-    return moments.join(group_median(errors.select(*keys, value), keys, value), keys)
+    return moments.join(group_median(errors.select(*keys, value), keys, value), keys, "left")
 
 
 def match_distance(matches: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def corpus_log_likelihood(docs: DataFrame, value: str = "loglik") -> DataFrame:
 
 
 def informed_prior(stats: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Log-add the prior weight to every statistic; ``seeds`` is ``(topic, term_ids)``."""
-    marked = seeds.select("topic", F.explode("term_ids").alias("term_id")).withColumn("seeded", F.lit(True))
+    """Log-add the prior weight to every statistic; ``seeds`` is ``(topic, term_id)``."""
+    marked = seeds.select("topic", "term_id").withColumn("seeded", F.lit(True))
     eta = F.when(F.col("seeded"), F.lit(LOG_SEED)).otherwise(F.lit(LOG_OTHER))
     joined = lookup_join(stats, marked.distinct(), ["topic", "term_id"], "left")
     return joined.select("topic", "term_id", log_add(F.col("log_stat"), eta).alias("log_stat"))

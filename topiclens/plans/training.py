@@ -47,7 +47,8 @@ RESULT_ARROW = pa.schema(
 
 @dataclass
 class TopicModel:
-    """alpha (K values), beta rows ``(term_id, log_beta ARRAY)``, documents with gamma."""
+    """alpha (K values), beta rows ``(term_id, log_beta ARRAY)``, documents with gamma; of
+    documents too wide for a task the terms ``(doc_no, term_id, n)`` and ``(doc_no, gamma)``."""
 
     alpha: np.ndarray
     beta: DataFrame
@@ -55,6 +56,8 @@ class TopicModel:
     docs: DataFrame
     loglik: list[float]
     iteration: int
+    wide: DataFrame | None = None
+    wide_gamma: DataFrame | None = None
 
 
 def pack_documents(indexed: DataFrame) -> DataFrame:
@@ -334,7 +337,7 @@ def m_step_beta(
         sums = sums.select("id", F.col("e.v").alias("s"))
     sums = sums.select(F.col("id").cast("int").alias("term_id"), "s")
     if seeds is not None:
-        marked = seeds.select("topic", F.explode("term_ids").alias("term_id")).groupBy("term_id").agg(
+        marked = seeds.groupBy("term_id").agg(
             F.collect_set("topic").alias("seed_topics")
         )
         weight = lambda v, i: v + F.when(
@@ -414,15 +417,20 @@ def alpha_summary(stepped: DataFrame, topics: int) -> tuple[np.ndarray, float, i
 
 def doc_rows(stepped: DataFrame) -> DataFrame:
     """Documents with their gamma, ready for the next round."""
-    return stepped.filter("kind = 'doc'").select(
+    return stepped.filter("kind = 'doc' and terms is not null").select(
         F.col("id").alias("doc_no"), "terms", "counts", F.col("vec").alias("gamma")
     )
 
 
+def wide_rows(stepped: DataFrame) -> DataFrame:
+    """``(doc_no, gamma)`` of the wide documents."""
+    return stepped.filter("kind = 'doc' and terms is null").select(F.col("id").alias("doc_no"), F.col("vec").alias("gamma"))
+
+
 def phi_rows(stepped: DataFrame) -> DataFrame:
     """``(doc_no, term_id, n, log_phi)`` from an E-step run with ``want_phi``."""
     zipped = F.explode(F.arrays_zip("terms", "counts", "log_phi")).alias("e")
-    return stepped.filter("kind = 'doc'").select(F.col("id").alias("doc_no"), zipped).select(
+    return stepped.filter("kind in ('doc', 'phi') and terms is not null").select(F.col("id").alias("doc_no"), zipped).select(
         "doc_no", F.col("e.terms").alias("term_id"), F.col("e.counts").alias("n"), F.col("e.log_phi").alias("log_phi")
     )
 
@@ -447,25 +455,26 @@ def train_lda(
 ) -> TopicModel:
     """Alternate E-step, beta and alpha until the likelihood settles.
 
-    ``wide`` holds the terms of documents too wide for one task (see ``split_wide``); they
-    start every round from their word count.
+    ``wide`` holds the terms of documents too wide for one task (see ``split_wide``); like the
+    others they go on from their gamma of the round before.
 
     The E-step output of a round is checkpointed once and read by all its consumers, so no
     round repeats an earlier one and a lost executor costs at most one round's partitions.
     """
     spark = docs.sparkSession
     if start is None:
-        alpha = start_alpha(topics, seed)
+        alpha, wide_gamma = start_alpha(topics, seed), None
         beta = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
-        first = 0
+        first, history = 0, []
     else:
         alpha, beta, n_terms, first = start.alpha, start.beta, start.n_terms, start.iteration
-    previous, history = 0.0, []
+        wide, wide_gamma, history = start.wide if wide is None else wide, start.wide_gamma, list(start.loglik)
+    previous = history[-1] if history else 0.0
     done = first
     for i in range(first, max_iter):
         step = e_step(docs, alpha, beta, n_terms, inner_iter, inner_tol, random_start, want_docs=not random_start, seed=seed)
         if wide is not None:
-            step = step.unionByName(wide_e_step(wide, alpha, beta, n_terms, inner_iter, seed).filter("kind <> 'doc'"))
+            step = step.unionByName(wide_e_step(wide, alpha, beta, n_terms, inner_iter, seed, gamma=wide_gamma, tol=inner_tol))
         stepped = checkpointed(step)
         stats, loglik, n_docs = alpha_summary(stepped, topics)
         beta, n_terms = m_step_beta(stepped, topics, seeds, truncate if i >= truncate_from else None)
@@ -474,15 +483,16 @@ def train_lda(
             alpha = update_alpha(alpha, stats, n_docs)
         if not random_start:
             docs = doc_rows(stepped)
+            wide_gamma = None if wide is None else wide_rows(stepped)
         history.append(loglik)
         done = i + 1
-        model = TopicModel(alpha, beta, n_terms, docs, history, done)
+        model = TopicModel(alpha, beta, n_terms, docs, list(history), done, wide, wide_gamma)
         if on_iteration is not None:
             on_iteration(model)
         if previous != 0.0 and abs((previous - loglik) / previous) <= tol:
             break
         previous = loglik
-    return TopicModel(alpha, beta, n_terms, docs, history, done)
+    return TopicModel(alpha, beta, n_terms, docs, history, done, wide, wide_gamma)
 
 
 def infer_lda(
@@ -491,14 +501,15 @@ def infer_lda(
 ) -> DataFrame:
     """Held-out documents: one E-step, no learning; gamma, phi and likelihood per document.
 
-    Documents in ``wide`` get gamma and likelihood.
+    Documents in ``wide`` get the same, their phi as rows of one term each (``phi_rows`` reads both).
     """
     found = e_step(
         docs, model.alpha, model.beta, model.n_terms, inner_iter, inner_tol, random_start, want_phi=True, want_sums=False
     )
     if wide is None:
         return found
-    return found.unionByName(wide_e_step(wide, model.alpha, model.beta, model.n_terms, inner_iter).filter("kind <> 'beta'"))
+    others = wide_e_step(wide, model.alpha, model.beta, model.n_terms, inner_iter, tol=inner_tol, want_phi=True)
+    return found.unionByName(others.filter("kind <> 'beta'"))
 
 
 def beta_long(beta: DataFrame) -> DataFrame:
@@ -516,6 +527,11 @@ def save_model(model: TopicModel, path: str, phi: DataFrame | None = None) -> st
     spark.createDataFrame(rows, "topic INT, alpha DOUBLE, n_terms LONG").write.mode("overwrite").parquet(f"{root}/alpha")
     beta_long(model.beta).write.mode("overwrite").parquet(f"{root}/beta")
     model.docs.write.mode("overwrite").parquet(f"{root}/gamma")
+    spark.createDataFrame(list(enumerate(model.loglik)), "round INT, loglik DOUBLE").write.mode("overwrite").parquet(f"{root}/loglik")
+    wide = model.wide if model.wide is not None else spark.createDataFrame([], "doc_no LONG, term_id LONG, n LONG")
+    wide.select("doc_no", "term_id", "n").write.mode("overwrite").parquet(f"{root}/wide")
+    gamma = model.wide_gamma if model.wide_gamma is not None else spark.createDataFrame([], "doc_no LONG, gamma ARRAY<DOUBLE>")
+    gamma.write.mode("overwrite").parquet(f"{root}/wide_gamma")
     if phi is not None:
         phi.write.mode("overwrite").parquet(f"{root}/phi")
     return root
@@ -533,7 +549,10 @@ def load_model(spark: SparkSession, path: str, iteration: int) -> TopicModel:
     beta = long.groupBy("term_id").agg(F.array(*(F.coalesce(c, F.lit(LOG_FLOOR)) for c in cells)).alias("log_beta"))
     docs = spark.read.parquet(f"{root}/gamma")
     alpha = np.array([r["alpha"] for r in rows])
-    return TopicModel(alpha, beta, rows[0]["n_terms"], docs, [], iteration)
+    history = [r["loglik"] for r in spark.read.parquet(f"{root}/loglik").orderBy("round").collect()]
+    wide, gamma = (spark.read.parquet(f"{root}/{name}") for name in ("wide", "wide_gamma"))
+    wide, gamma = (None if part.isEmpty() else part for part in (wide, gamma))
+    return TopicModel(alpha, beta, rows[0]["n_terms"], docs, history, iteration, wide, gamma)
 
 
 def resume_training(spark: SparkSession, path: str, iteration: int, max_iter: int, **options) -> TopicModel:
@@ -543,13 +562,16 @@ def resume_training(spark: SparkSession, path: str, iteration: int, max_iter: in
 
 
 def wide_e_step(
-    wide: DataFrame, alpha: np.ndarray, beta: DataFrame, n_terms: int, passes: int = INNER_ITER, seed: int = 0, cut_every: int = 10
+    wide: DataFrame, alpha: np.ndarray, beta: DataFrame, n_terms: int, passes: int = INNER_ITER, seed: int = 0, cut_every: int = 10,
+    gamma: DataFrame | None = None, tol: float | None = None, want_phi: bool = False,
 ) -> DataFrame:
     """E-step for documents too wide for one task, from ``(doc_no, term_id, n)``.
 
     Each pass joins the small gamma table to the terms and adds the contributions up per
     document with partial aggregation, so a document is never gathered in one place. Rows
-    are those of ``e_step`` (without the term lists).
+    are those of ``e_step`` without the term lists; phi comes as one ``phi`` row per term.
+    Starts from ``gamma`` where given, else from the word count; with ``tol`` the passes end
+    when no gamma moves by more.
     """
     topics = len(alpha)
     rows = lookup_join(wide.select("doc_no", "term_id", "n"), beta, ["term_id"], "left", salt_by=["doc_no"])
@@ -557,17 +579,25 @@ def wide_e_step(
     rows = cut_lineage(
         rows.select("doc_no", "term_id", "n", F.transform(F.coalesce("log_beta", start), F.exp).alias("b"))
     )
+    stored = gamma
     gamma = rows.groupBy("doc_no").agg(F.sum("n").alias("words")).select(
         "doc_no", F.array(*(F.lit(float(a)) + F.col("words") / topics for a in alpha)).alias("gamma")
     )
+    if stored is not None:
+        kept = stored.select("doc_no", F.col("gamma").alias("_stored"))
+        gamma = gamma.join(kept, "doc_no", "left").select("doc_no", F.coalesce("_stored", "gamma").alias("gamma"))
     met = None
     for i in range(passes):
         if met is not None:
-            gamma = _add_up(met, ["doc_no"], topics, alpha)
-        if i and i % cut_every == 0:
+            before, gamma = gamma, _add_up(met, ["doc_no"], topics, alpha)
+        if i and (tol is not None or i % cut_every == 0):
             gamma = cut_lineage(gamma)
+        if i and tol is not None:
+            moved = F.array_max(F.zip_with("gamma", "_before", lambda a, b: F.abs(a - b)))
+            if not gamma.join(before.select("doc_no", F.col("gamma").alias("_before")), "doc_no").filter(moved >= tol).limit(1).count():
+                break
         met = _share_out(rows, gamma)
-    final = cut_lineage(met.select("doc_no", "term_id", "gain", "part_ll"))
+    final = cut_lineage(met.select("doc_no", "term_id", "n", "gain", "part_ll"))
     docs = _add_up(final, ["doc_no"], topics, alpha, [F.sum("part_ll").alias("part_ll")])
     docs = cut_lineage(docs.select("doc_no", "gamma", "part_ll", _likelihood(alpha)("gamma", "part_ll").alias("loglik")))
     shape = lambda df, kind, ident, vec, ll: df.select(
@@ -576,7 +606,12 @@ def wide_e_step(
         F.lit(None).cast("array<double>").alias("counts"), F.lit(None).cast("array<array<double>>").alias("log_phi"),
     )
     sums = _add_up(final, ["term_id"], topics, np.zeros(topics))
-    return (
+    phi = final.filter(F.lit(want_phi)).select(
+        F.lit("phi").alias("kind"), F.col("doc_no").cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vec"),
+        F.lit(None).cast("double").alias("loglik"), F.array(F.col("term_id").cast("int")).alias("terms"),
+        F.array(F.col("n").cast("double")).alias("counts"), F.array(F.transform("gain", lambda g: F.log(g / F.col("n")))).alias("log_phi"),
+    )
+    return phi.unionByName(
         shape(docs, "doc", "doc_no", F.col("gamma"), F.col("loglik"))
         .unionByName(shape(docs, "alpha", F.lit(1).cast("long"), _alpha_stat("gamma"), F.col("loglik")))
         .unionByName(shape(sums, "beta", "term_id", F.col("gamma"), F.lit(None)))
@@ -585,12 +620,13 @@ def wide_e_step(
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _digamma_rows(gamma: pd.Series) -> pd.Series:
-    return gamma.map(digamma)
+    return pd.Series(list(digamma(np.stack(gamma)))) if len(gamma) else gamma
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _alpha_stat(gamma: pd.Series) -> pd.Series:
-    return gamma.map(lambda g: digamma(g) - digamma(np.sum(g)))
+    g = np.stack(gamma) if len(gamma) else np.ones((0, 1))
+    return pd.Series(list(digamma(g) - digamma(g.sum(1))[:, None]))
 
 
 def _likelihood(alpha: np.ndarray):
@@ -598,7 +634,8 @@ def _likelihood(alpha: np.ndarray):
 
     @F.pandas_udf(T.DoubleType())
     def whole(gamma: pd.Series, part: pd.Series) -> pd.Series:
-        return part + gamma.map(lambda g: prior + float(lgamma(g).sum() - lgamma(np.sum(g))))
+        g = np.stack(gamma) if len(gamma) else np.ones((0, 1))
+        return part + prior + lgamma(g).sum(1) - lgamma(g.sum(1))
 
     return whole
 
@@ -612,7 +649,7 @@ def _share_out(rows: DataFrame, gamma: DataFrame) -> DataFrame:
     met = met.withColumn("phi", F.transform("part", lambda p: p / F.col("norm")))
     spent = F.aggregate(F.zip_with("phi", "t", lambda p, t: p * t), F.lit(0.0), lambda s, v: s + v)
     return met.select(
-        "doc_no", "term_id", F.transform("phi", lambda p: p * F.col("n")).alias("gain"),
+        "doc_no", "term_id", "n", F.transform("phi", lambda p: p * F.col("n")).alias("gain"),
         (F.col("n") * (F.log("norm") + top - spent)).alias("part_ll"),
     )
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +39,30 @@ def encode_bitmaps(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "data").mapInPandas(run, f"image_id {id_type}, content BINARY")
 
 
-def write_files(files: DataFrame, path: str, key: str = "image_id") -> None:
-    """One file per row, in a folder named after its key.
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return pyarrow.fs.FileSystem.from_uri(path)
 
-    The text writer stores the bytes as they are and adds a line end, which image
-    decoders ignore.
+
+def write_files(files: DataFrame, path: str, key: str = "image_id") -> int:
+    """One file per row, ``part-<key>=<value>`` in one folder, with exactly the bytes of
+    ``content`` (a null: none); returns how many.
+
+    The tasks write, each file under a name of the attempt first, so a task that is lost
+    or run twice leaves no half file behind its name. Keys are text without a slash and unique.
     """
-    files.select(key, F.col("content").cast("string").alias("value")).write.partitionBy(key).text(path)
+
+    def run(batches):
+        store, base = _store(path)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                draft = f"{base}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(draft, compression=None) as out:
+                    out.write(content.as_buffer() if content.is_valid else b"")
+                store.move(draft, f"{base}/part-{key}={name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    named = files.select(F.col(key).cast("string").alias("name"), F.col("content").cast("binary").alias("content"))
+    return named.mapInArrow(run, "n BIGINT").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -11,7 +11,13 @@ MANIFEST = "image_id INT, path STRING"
 SIZED_MANIFEST = "image_id INT, file STRING, width INT, height INT"
 
 
+def full_path(path) -> F.Column:
+    """The whole path in one spelling: listings differ in the slashes after ``file:``."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def base_name(path) -> F.Column:
+    """The last part of a path; a key only where no two folders hold equal names."""
     return F.element_at(F.split(path, "/"), -1)
 
 
@@ -70,8 +76,8 @@ def bad_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return images.filter("image.width < 0").select(F.col("image.origin").alias("path"))
 
 
-def image_sizes(manifest: DataFrame, images: DataFrame, name=base_name) -> DataFrame:
-    """``(image_id, file, width, height)``: manifest joined to decoded sizes on the file name.
+def image_sizes(manifest: DataFrame, images: DataFrame, name=full_path) -> DataFrame:
+    """``(image_id, file, width, height)``: manifest joined to decoded sizes on the path.
 
     ``name`` turns a path column into the name both sides share.
     """

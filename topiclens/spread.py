@@ -129,13 +129,15 @@ def group_median(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "median", small: int = SMALL_GROUP_ROWS,
     largest: int | None = None,
 ) -> DataFrame:
-    """Exact median per group; mean of the middle two for an even count.
+    """Exact median of each group's values that are not null; mean of the middle two for an
+    even count. A group without a value gives no row.
 
     Groups up to ``small`` rows use the built-in aggregate, which holds a group's values
     in memory. With a larger group present, the middle is located on a global sort of
     the distinct values and their counts.
     """
     keys = list(keys)
+    df = df.filter(F.col(value).isNotNull())
     if (largest_group(df, keys) if largest is None else largest) <= small:
         return df.groupBy(*keys).agg(F.median(value).alias(name))
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
