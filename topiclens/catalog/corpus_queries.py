@@ -137,16 +137,19 @@ def seeds(spark, d):
     return words.distinct()
 
 
-@query(with_sql("bag") + ", " + STATS + ", " + VOCAB + ", " + SEEDS
+ALL_TERMS = "vocab AS (SELECT row_number() OVER (ORDER BY df DESC, tf DESC, term) AS term_id, term FROM stats)"
+
+
+@query(with_sql("bag") + ", " + STATS + ", " + ALL_TERMS + ", " + SEEDS
        + " SELECT topic, CAST(term_id AS BIGINT) AS term_id FROM seeds JOIN vocab USING (term)")
 def seed_words(spark, d):
-    terms = index_corpus(bag(spark, d), 0.002, 0.5).terms
+    terms = index_corpus(bag(spark, d), 0.0, None).terms
     return C.seed_words_to_ids(seeds(spark, d), terms).select("topic", "term_id")
 
 
-@query(with_sql("bag") + ", " + STATS + ", " + VOCAB + ", " + SEEDS + " SELECT topic, term FROM seeds ANTI JOIN vocab USING (term)")
+@query(with_sql("bag") + ", " + STATS + ", " + ALL_TERMS + ", " + SEEDS + " SELECT topic, term FROM seeds ANTI JOIN vocab USING (term)")
 def unknown_seed_words(spark, d):
-    return C.unknown_seed_words(seeds(spark, d), index_corpus(bag(spark, d), 0.002, 0.5).terms)
+    return C.unknown_seed_words(seeds(spark, d), index_corpus(bag(spark, d), 0.0, None).terms)
 
 
 @query(with_sql("bag") + ", " + STATS + " SELECT term, df, tf, row_number() OVER (ORDER BY df DESC, tf DESC, term) AS place FROM stats")

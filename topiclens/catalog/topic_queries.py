@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from topiclens.catalog.registry import query, rnd, scratch, sql_rnd
 from topiclens.catalog.standins import bag, line_stats, order_bag, part_terms, phi, table, with_sql
 from topiclens.functions import scalars as S
+from topiclens.functions.draws import mix
 from topiclens.functions.special import digamma_col, lgamma_col, trigamma_col
 from topiclens.operators import topics as T
 from topiclens.plans import training as M
 from topiclens.plans.indexing import index_corpus
+from topiclens.session import cut_lineage
 
 ITEM = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice"
 
@@ -122,8 +124,10 @@ def alpha_statistics(spark, d):
 
 
 def _documents(spark, d):
-    index = index_corpus(bag(spark, d), 0.002, 0.5)
-    return index, M.pack_documents(index.documents)
+    """All words of all documents; any document too wide for a task apart."""
+    index = index_corpus(bag(spark, d), 0.0, None)
+    normal, wide = M.split_wide(index.documents)
+    return index, M.pack_documents(normal), wide
 
 
 @query()
@@ -139,7 +143,7 @@ def lookup_beta(spark, d):
 @query()
 def e_step(spark, d):
     """Posterior and likelihood of every document under a start model."""
-    index, docs = _documents(spark, d)
+    index, docs, wide = _documents(spark, d)
     empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
     stepped = M.e_step(docs, M.start_alpha(10), empty, index.n_terms, want_sums=False)
     rows = stepped.filter("kind = 'doc'")
@@ -148,9 +152,90 @@ def e_step(spark, d):
     )
 
 
+def _sql_passes(topics: int, passes: int) -> str:
+    """The update rules from the start values on, over all documents, as one CTE per pass.
+
+    ``gamma{p}`` is the posterior after ``p`` passes, ``part{p}`` holds the topic shares of each
+    (document, term) in pass ``p`` and ``norm{p}`` their sums.
+    """
+    word = "18446744073709551616::UHUGEINT"  # 64-bit arithmetic
+    times = lambda x, c: f"(xor({x}, {x} >> {c[0]})::UHUGEINT * {c[1]}::UHUGEINT % {word})::UBIGINT"
+    golden = 0x9E3779B97F4A7C15
+    states = ", ".join(f"({k}, {w}, {int(mix(0, w, k))}::UBIGINT)" for k in range(1, topics + 1) for w in (0, 1))
+    alphas = ", ".join(f"({k + 1}, {float(a)!r}::DOUBLE)" for k, a in enumerate(M.start_alpha(topics)))
+    ctes = [
+        "stats AS (SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS tf FROM bag GROUP BY term)",
+        "vocab AS (SELECT row_number() OVER (ORDER BY df DESC, tf DESC, term) AS term_id, term FROM stats)",
+        "titles AS (SELECT row_number() OVER (ORDER BY title) AS doc_no, title FROM (SELECT DISTINCT title FROM bag))",
+        "x AS (SELECT doc_no, term_id, n FROM bag JOIN vocab USING (term) JOIN titles USING (title))",
+        f"alpha AS (SELECT * FROM (VALUES {alphas}) a(k, a))",
+        f"states AS (SELECT * FROM (VALUES {states}) s(k, w, s))",
+        f"""draws AS (SELECT term_id, k, w, ((term_id::UHUGEINT + {golden}::UHUGEINT + s::UHUGEINT) % {word})::UBIGINT AS z0,
+            {times('z0', (30, 0xBF58476D1CE4E5B9))} AS z1, {times('z1', (27, 0x94D049BB133111EB))} AS z2, xor(z2, z2 >> 31) AS z3,
+            ((z3 >> 11)::DOUBLE + 0.5) / 9007199254740992.0::DOUBLE AS u FROM vocab, states)""",
+        "b AS (SELECT term_id, k, sum(CASE w WHEN 0 THEN 2 * u / (SELECT count(*) FROM vocab) ELSE u END) AS b FROM draws GROUP BY ALL)",
+        f"gamma0 AS (SELECT doc_no, k, a + words / {topics} AS g FROM (SELECT doc_no, sum(n)::DOUBLE AS words FROM x GROUP BY 1), alpha)",
+    ]
+    for p in range(1, passes + 1):
+        ctes += [
+            f"t{p} AS (SELECT doc_no, k, {PSI.replace('q', 'g')} AS t FROM gamma{p - 1})",
+            f"part{p} AS (SELECT doc_no, term_id, k, n, t, b * exp(t) AS e FROM x JOIN b USING (term_id) JOIN t{p} USING (doc_no, k))",
+            f"norm{p} AS (SELECT doc_no, term_id, sum(e) AS z FROM part{p} GROUP BY ALL)",
+            f"gamma{p} AS (SELECT doc_no, k, a + sum(n * e / z) AS g FROM part{p} JOIN norm{p} USING (doc_no, term_id) JOIN alpha USING (k) GROUP BY doc_no, k, a)",
+        ]
+    last = passes
+    prior = "(SELECT lgamma(sum(a)) - sum(lgamma(a)) FROM alpha)"
+    ctes += [
+        f"spent AS (SELECT doc_no, term_id, n, z, sum(e / z * t) AS s FROM part{last} JOIN norm{last} USING (doc_no, term_id) GROUP BY ALL)",
+        "whole AS (SELECT doc_no, sum(n * (ln(z) - s)) AS l FROM spent GROUP BY 1)",
+        f"lik AS (SELECT doc_no, {prior} + sum(lgamma(g)) - lgamma(sum(g)) + any_value(l) AS loglik FROM gamma{last} JOIN whole USING (doc_no) GROUP BY 1)",
+    ]
+    return with_sql("bag") + ", " + ", ".join(ctes)
+
+
+def _few_passes(spark, d, **options):
+    index, docs, _ = _documents(spark, d)
+    empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
+    return M.e_step(docs, M.start_alpha(10), empty, index.n_terms, inner_iter=3, **options)
+
+
+@query(_sql_passes(10, 3) + " SELECT doc_no, " + sql_rnd("loglik", 2) + " AS loglik, CAST(k - 1 AS INTEGER) AS k, " + sql_rnd("g", 3)
+       + " AS gamma FROM gamma3 JOIN lik USING (doc_no)")
+def e_step_passes(spark, d):
+    """Posterior and likelihood of every document after three passes under the start model."""
+    rows = _few_passes(spark, d, want_sums=False).filter("kind = 'doc'")
+    return rows.select(F.col("id").alias("doc_no"), rnd("loglik", 2).alias("loglik"), F.posexplode("vec").alias("k", "g")).select(
+        "doc_no", "loglik", "k", rnd("g", 3).alias("gamma")
+    )
+
+
+@query(_sql_passes(10, 3) + """, sums AS (SELECT term_id, k, sum(n * e / z) AS s FROM part3 JOIN norm3 USING (doc_no, term_id) GROUP BY ALL),
+    totals AS (SELECT k, sum(s) AS total FROM sums GROUP BY 1), size AS (SELECT round(count(*) / 10) AS v FROM sums WHERE s > 0)
+    SELECT CAST(k AS INTEGER) AS topic, CAST(term_id AS INTEGER) AS term_id, """ + sql_rnd("ln(s / (total + 1e-8 * v) + 1e-8)", 4) + """ AS log_beta
+    FROM sums JOIN totals USING (k), size""")
+def m_step_passes(spark, d):
+    """Beta after one round of three passes over all documents."""
+    beta, _ = M.m_step_beta(cut_lineage(_few_passes(spark, d, want_docs=False)), 10)
+    return M.beta_long(beta).select("topic", "term_id", rnd("log_beta", 4).alias("log_beta"))
+
+
+@query(_sql_passes(10, 3) + " SELECT " + sql_rnd("sum(loglik)", 0) + " AS loglik, count(*) AS n_docs FROM lik")
+def log_likelihood_passes(spark, d):
+    found = _few_passes(spark, d, want_sums=False).filter("kind = 'doc'")
+    return T.corpus_log_likelihood(found).select(rnd("loglik", 0).alias("loglik"), "n_docs")
+
+
+@query()
+def train_lda_symmetric(spark, d):
+    """Rounds with one alpha for all topics."""
+    _, _, model = _trained(spark, d, symmetric=True, max_iter=2)
+    rows = [(k + 1, float(a)) for k, a in enumerate(model.alpha)]
+    return spark.createDataFrame(rows, "topic INT, alpha DOUBLE").select("topic", rnd("alpha").alias("alpha"))
+
+
 @query()
 def corpus_log_likelihood(spark, d):
-    index, docs = _documents(spark, d)
+    index, docs, wide = _documents(spark, d)
     empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
     stepped = M.e_step(docs, M.start_alpha(10), empty, index.n_terms, want_sums=False)
     return T.corpus_log_likelihood(stepped.filter("kind = 'doc'")).select(rnd("loglik", 2).alias("loglik"), "n_docs")
@@ -159,7 +244,7 @@ def corpus_log_likelihood(spark, d):
 @query()
 def m_step_beta(spark, d):
     """Beta after one round over the documents."""
-    index, docs = _documents(spark, d)
+    index, docs, wide = _documents(spark, d)
     empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
     stepped = M.cut_lineage(M.e_step(docs, M.start_alpha(10), empty, index.n_terms, want_docs=False))
     beta, _ = M.m_step_beta(stepped, 10)
@@ -168,9 +253,7 @@ def m_step_beta(spark, d):
 
 def _trained(spark, d, **options):
     """Training on all documents; any too wide for a task are kept in long form."""
-    index = index_corpus(bag(spark, d), 0.002, 0.5)
-    normal, wide = M.split_wide(index.documents)
-    docs = M.pack_documents(normal)
+    index, docs, wide = _documents(spark, d)
     return index, docs, M.train_lda(docs, 10, index.n_terms, max_iter=options.pop("max_iter", 3), wide=wide, **options)
 
 
@@ -188,9 +271,9 @@ def train_lda_with_seeds(spark, d):
     from topiclens.catalog.corpus_queries import seeds
     from topiclens.operators.corpus import seed_words_to_ids
 
-    index, docs = _documents(spark, d)
+    index, docs, wide = _documents(spark, d)
     prior = seed_words_to_ids(seeds(spark, d), index.terms)
-    model = M.train_lda(docs, 10, index.n_terms, max_iter=3, seeds=prior, truncate=1000, truncate_from=1, random_start=True)
+    model = M.train_lda(docs, 10, index.n_terms, max_iter=3, seeds=prior, truncate=1000, truncate_from=1, random_start=True, wide=wide)
     rows = [(k + 1, float(a)) for k, a in enumerate(model.alpha)]
     alpha = spark.createDataFrame(rows, "topic INT, alpha DOUBLE")
     sizes = M.beta_long(model.beta).groupBy("topic").agg(F.count("*").alias("n_terms"), rnd(F.sum(F.exp("log_beta"))).alias("mass"))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from topiclens.functions.special import digamma, lgamma, trigamma
 from topiclens.functions.draws import start_log_beta, start_rows, unit
 from topiclens.operators.topics import LOG_FLOOR, LOG_OTHER, LOG_SEED
-from topiclens.session import checkpointed, cut_lineage
+from topiclens.session import cut_lineage, remove_round, write_round
 from topiclens.spread import lookup_join, top_per_group
 
 INNER_ITER = 99  # fixed value: passes per document
@@ -452,34 +452,46 @@ def train_lda(
     on_iteration=None,
     truncate_from: int = 5,
     wide: DataFrame | None = None,
+    symmetric: bool = False,
 ) -> TopicModel:
     """Alternate E-step, beta and alpha until the likelihood settles.
 
     ``wide`` holds the terms of documents too wide for one task (see ``split_wide``); like the
-    others they go on from their gamma of the round before.
+    others they go on from their gamma of the round before. ``symmetric`` keeps one alpha for
+    all topics.
 
-    The E-step output of a round is checkpointed once and read by all its consumers, so no
-    round repeats an earlier one and a lost executor costs at most one round's partitions.
+    A round's output is written once, a folder for each kind of row, so that the few alpha
+    rows and the term sums are read without the documents. The tables of the round before
+    last are deleted: a model handed to ``on_iteration`` can be read during the next round.
     """
     spark = docs.sparkSession
     if start is None:
         alpha, wide_gamma = start_alpha(topics, seed), None
+        if symmetric:
+            alpha = np.full(topics, alpha.mean())
         beta = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
         first, history = 0, []
     else:
         alpha, beta, n_terms, first = start.alpha, start.beta, start.n_terms, start.iteration
         wide, wide_gamma, history = start.wide if wide is None else wide, start.wide_gamma, list(start.loglik)
     previous = history[-1] if history else 0.0
-    done = first
+    done, written = first, []
     for i in range(first, max_iter):
         step = e_step(docs, alpha, beta, n_terms, inner_iter, inner_tol, random_start, want_docs=not random_start, seed=seed)
         if wide is not None:
             step = step.unionByName(wide_e_step(wide, alpha, beta, n_terms, inner_iter, seed, gamma=wide_gamma, tol=inner_tol))
-        stepped = checkpointed(step)
+        stepped, step_path = write_round(step, "kind")
         stats, loglik, n_docs = alpha_summary(stepped, topics)
         beta, n_terms = m_step_beta(stepped, topics, seeds, truncate if i >= truncate_from else None)
-        beta = cut_lineage(beta)
-        if update_prior:
+        beta, beta_path = write_round(beta)
+        written.append((step_path, beta_path))
+        for old in written[:-2]:
+            for path in old:
+                remove_round(spark, path)
+        written = written[-2:]
+        if update_prior and symmetric:
+            alpha = np.full(topics, update_alpha_symmetric(float(alpha.mean()), topics, float(stats.sum()), n_docs))
+        elif update_prior:
             alpha = update_alpha(alpha, stats, n_docs)
         if not random_start:
             docs = doc_rows(stepped)

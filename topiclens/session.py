@@ -55,6 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_round(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """``cut_lineage`` for a loop: the table, laid out in one folder for each value of ``by``
+    so that a reader of one kind opens nothing else, and its path for ``remove_round``."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/round-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove_round(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``write_round`` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Checkpoint for large per-round state: Spark removes the files once nothing refers to
     them when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
