@@ -122,7 +122,7 @@ def test_license_scan(spark, odd_docs, no_docs):
     mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files"
     rows = [
         (1, "x under the MIT license; Under-the-mit LICENSE", (2, 1, 5, "mit", "mit", 1.0)),
-        (2, mit, (0, None, None, "", "mit", 18 / 29)),
+        (2, mit, (0, None, None, "", "mit", 20 / 29)),
         (3, "Apache License, Version 2.0 or CC BY-NC 4.0", (2, 0, 6, "apache-2,cc-by-nc", "apache-2,cc-by-nc", 1.0)),
         (4, "This work is licensed under the GNU General Public License, version 3.", (0, None, None, "", "gpl-3", 1.0)),
         (5, "under the mit\x00licence free of charge", (0, None, None, "", "", 0.0)),
