@@ -25,6 +25,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: Ids of the marks, after the 50,257 of the vocabulary; no text encodes to them.
 START_ID, END_ID = 50257, 50258
 LEARNT = "assistant"
+#: Hex digits of a prefix's name.
+NAME = 32
 
 
 def escape(text: str) -> str:
@@ -96,7 +98,7 @@ def _paths(turns: DataFrame) -> DataFrame:
                 for t in turns:
                     role = t["role"].encode()
                     name = hashlib.sha256(name + len(role).to_bytes(8, "big") + role + t["text"].encode()).digest()
-                    names.append(name.hex()[:32])
+                    names.append(name.hex()[:NAME])
                 named.append(names)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(named, pa.list_(pa.string())), part.column(1)], ["conv_id", "names", "turns"])
 
@@ -104,16 +106,25 @@ def _paths(turns: DataFrame) -> DataFrame:
     return listed.mapInArrow(batches, f"conv_id {kind}, names array<string>, turns {turn_kind}")
 
 
-def _encode(nodes: DataFrame, tokenizer: str) -> DataFrame:
+def _encode(owners: DataFrame, tokenizer: str) -> DataFrame:
+    """The turns of each leaf that it does not share with the leaf before, as token rows."""
+    kind = pa.schema(
+        [("rank", pa.int64()), ("depth", pa.int32()), ("node", pa.string()), ("tree", pa.string()), ("tokens", pa.list_(pa.int32())), ("loss_from", pa.int32()), ("loss_to", pa.int32()), ("n_tokens", pa.int32())]
+    )
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            made = [encode_turn(r, t, tokenizer) for r, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-            ids, first, last = zip(*made) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["node", "tokens", "loss_from", "loss_to"]
-            )
+            for rank, before, names, turns in zip(*(part.column(c).to_pylist() for c in range(4))):
+                shared = 0
+                while before[NAME * shared : NAME * (shared + 1)] == names[shared]:
+                    shared += 1
+                made = [encode_turn(t["role"], t["text"], tokenizer) for t in turns[shared:]]
+                ids, first, last = zip(*made)
+                depths = range(shared, len(turns))
+                columns = [[rank] * len(made), depths, names[shared:], [names[0]] * len(made), ids, first, last, list(map(len, ids))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
-    return nodes.select("node", "role", "text").mapInArrow(batches, "node string, tokens array<int>, loss_from int, loss_to int")
+    return owners.mapInArrow(batches, "rank bigint, depth int, node string, tree string, tokens array<int>, loss_from int, loss_to int, n_tokens int")
 
 
 def _layout(spans: DataFrame) -> DataFrame:
@@ -153,23 +164,23 @@ def pack_conversations(turns: DataFrame, tokenizer: str) -> tuple[DataFrame, Dat
     """
     clean = turns.select("conv_id", "turn", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
     paths = cut_lineage(_paths(clean).withColumn("leaf", F.element_at("names", -1)))
-    leaves = number_rows(paths.select("leaf", F.array_join("names", "").alias("_order")).distinct(), [F.col("_order")], "rank").select("leaf", "rank")
-    leaves = cut_lineage(leaves)
-
-    zipped = F.posexplode(F.arrays_zip("names", "turns")).alias("depth", "t")
-    each = paths.select("leaf", F.element_at("names", 1).alias("tree"), zipped).select("leaf", "tree", "depth", F.col("t.names").alias("node"), "t.turns.role", "t.turns.text")
-    steps = cut_lineage(each.dropDuplicates(["leaf", "depth"]).join(leaves, "leaf"))  # equal conversations once
-    nodes = steps.groupBy("node").agg(F.min("rank").alias("rank"), *(F.first(c).alias(c) for c in ("tree", "depth", "role", "text")))
-    nodes = cut_lineage(nodes)
-    encoded = cut_lineage(_encode(nodes, tokenizer))
-    sized = nodes.select("node", "tree", "rank", "depth").join(encoded.select("node", F.size("tokens").alias("n_tokens")), "node")
+    distinct = paths.groupBy("leaf", F.array_join("names", "").alias("_order")).agg(F.min("conv_id").alias("_first"))
+    leaves = cut_lineage(number_rows(distinct, [F.col("_order")], "rank"))
+    # sorted by path, a leaf shares with all earlier leaves what it shares with the one before
+    before = leaves.select((F.col("rank") + 1).alias("rank"), F.col("_order").alias("_before"))
+    owners = leaves.join(before, "rank", "left").select("rank", F.coalesce("_before", F.lit("")).alias("_before"), F.col("leaf").alias("_leaf"), "_first")
+    owners = paths.join(owners, (F.col("leaf") == F.col("_leaf")) & F.col("conv_id").eqNullSafe(F.col("_first")))
+    encoded = cut_lineage(_encode(owners.select("rank", "_before", "names", "turns"), tokenizer))
+
+    sized = encoded.select("node", "rank", "depth", "n_tokens")
     placed = cut_lineage(running_total(sized, [F.col("rank"), F.col("depth")], F.col("n_tokens"), "start"))
-
-    spans = steps.select(F.col("rank").alias("_leaf_rank"), "leaf", "node").join(placed, "node")
-    spans = spans.groupBy("leaf", F.col("_leaf_rank").alias("rank")).agg(F.collect_list(F.struct("depth", "node", "rank", "start", "n_tokens")).alias("spans"))
+    names = F.transform(F.sequence(F.lit(0), (F.length("_order") / NAME).cast("int") - 1), lambda i: F.substr("_order", i * NAME + 1, F.lit(NAME)))
+    steps = leaves.select("leaf", F.col("rank").alias("_leaf_rank"), F.explode(names).alias("node")).join(placed, "node")
+    spans = steps.groupBy("leaf", F.col("_leaf_rank").alias("rank")).agg(F.collect_list(F.struct("depth", "node", "rank", "start", "n_tokens")).alias("spans"))
     spans = cut_lineage(spans)
-    laid = placed.select("node", "tree", "start").join(_layout(spans), "node").join(encoded, "node")
-    sequence = cut_lineage(laid.drop("node").repartitionByRange("start").sortWithinPartitions("start"))
+    laid = placed.select("node", "start").join(_layout(spans), "node")
+    sequence = encoded.drop("rank", "depth", "n_tokens").join(laid, "node").drop("node")
+    sequence = cut_lineage(sequence.repartitionByRange("start").sortWithinPartitions("start"))
     starts = spans.select("leaf", F.transform(F.sort_array("spans"), lambda s: s["start"]).alias("starts"))
     return sequence, cut_lineage(paths.select("conv_id", "leaf").join(starts, "leaf"))
 

@@ -70,7 +70,7 @@ def exact_dedup(
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
     )
-    joined = recipes.join(groups, "recipe", "left")
+    joined = recipes.join(cut_lineage(groups), "recipe", "left")  # apart from the sums, so that a hot recipe can be split
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id",

@@ -28,7 +28,7 @@ GRAM = 8
 BLOCK_WORDS = 1 << 18
 SHARD_WORDS = 50_000
 #: Anchors with more different segments are replaced by the whole windows as anchors.
-CROWDED = 4096
+CROWDED = 512
 KNOWN_WORDS = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -332,7 +332,8 @@ def substring_dedup(
     texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).select("doc_id", F.hash("text").alias("_print"), "text")
     anchors = cut_lineage(_anchors(texts, window, gram))
     repeated = cut_lineage(anchors.groupBy("anchor").count().filter("count > 1").select("anchor"))
-    found = cut_lineage(anchors.join(repeated, "anchor", "left_semi"))
+    # the same plan at every size, so that small inputs tell the cost of large ones
+    found = cut_lineage(anchors.join(repeated.hint("shuffle_hash"), "anchor", "left_semi"))
 
     def different(rows: DataFrame) -> DataFrame:
         one = F.min(F.struct("doc_id", "_print", "first", "many")).alias("_one")
@@ -344,9 +345,9 @@ def substring_dedup(
         inside = found.join(hot, "anchor", "left_semi")
         alone = cut_lineage(_crowded_windows(_with_lists(texts, inside, ["first", "many"]), window))
         found = found.join(hot, "anchor", "left_anti").unionByName(alone)
-        reference = reference.join(hot, "anchor", "left_anti").unionByName(different(alone))
+        reference = reference.join(hot, "anchor", "left_anti").unionByName(different(alone).filter("places > 1"))
 
     contents = _contents(_with_lists(texts, reference, ["anchor", "content", "places", "first", "many"]), window)
     bits = repeated_bits(contents, window).filter("bits <> 0").groupBy("anchor", "content").agg(F.bit_or("bits").alias("bits"))
-    places = found.join(cut_lineage(bits), ["anchor", "content"])
+    places = found.join(cut_lineage(bits).hint("shuffle_hash"), ["anchor", "content"])
     return _kept(_with_lists(texts, places, ["first", "bits"], "left"), window)
