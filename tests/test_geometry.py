@@ -62,14 +62,16 @@ def test_nearest_features_brute_force(spark, rows):
     assert np.allclose(got[["d1", "d2"]], np.sort(d, 1)[:, :2])
 
 
-def test_large_codebooks_are_tiled(spark, monkeypatch):
+def test_large_codebooks_travel_in_blocks(spark):
     rng = np.random.default_rng(7)
     pts, centers = rng.random((80, 4)), rng.random((9, 4))
     p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pts)], "vec_id LONG, desc ARRAY<DOUBLE>")
     c = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(centers)], "code INT, center ARRAY<DOUBLE>")
     want = codebook.assign_clusters(p, c, ["vec_id"]).select("vec_id", "code").orderBy("vec_id").collect()
-    monkeypatch.setattr(codebook, "CENTER_CELLS", 1)
-    got = codebook.assign_clusters(p, c, ["vec_id"]).select("vec_id", "code").orderBy("vec_id").collect()
+    blocked = codebook.assign_clusters(p, c, ["vec_id"], cells=8)
+    plan = blocked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 5 and "Exchange" not in plan
+    got = blocked.select("vec_id", "code").orderBy("vec_id").collect()
     assert got == want
     d = ((pts[:, None] - centers) ** 2).sum(2)
     assert [r["code"] for r in got] == (d.argmin(1) + 1).tolist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from topiclens.functions.arrow import matrix, square_distances
 from topiclens.functions.scalars import draw, patch_name
 from topiclens.session import cut_lineage
-from topiclens.spread import lookup_join, number_rows, tile_join
+from topiclens.spread import lookup_join, number_rows
 
 CENTER_CELLS = 8_000_000  # doubles a task may receive as the broadcast codebook
 ROWS_PER_LIST = 65_536
@@ -45,53 +47,54 @@ def seed_centers(points: DataFrame, k: int, key: str, vec: str = "desc", seed: i
     )
 
 
-def assign_clusters(points: DataFrame, centers: DataFrame, key: list[str], vec: str = "desc") -> DataFrame:
+def _center_blocks(centers: DataFrame, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes and vectors of ``centers`` in code order, about ``cells`` numbers at a time."""
+    codes, vectors, held = [], [], 0
+    for row in centers.select("code", "center").orderBy("code").toLocalIterator():
+        codes.append(row["code"])
+        vectors.append(row["center"])
+        held += len(vectors[-1])
+        if held >= cells:
+            yield np.array(codes, np.int32), np.array(vectors, float)
+            codes, vectors, held = [], [], 0
+    if codes:
+        yield np.array(codes, np.int32), np.array(vectors, float)
+
+
+def assign_clusters(
+    points: DataFrame, centers: DataFrame, key: list[str], vec: str = "desc", cells: int = CENTER_CELLS
+) -> DataFrame:
     """Nearest centre of every point: adds ``code`` and ``dist``; equal distances take the lower code.
 
-    A codebook of at most ``CENTER_CELLS`` numbers travels to the tasks once and the
-    points are never shuffled. A larger one is matched in tiles.
+    The points stay where they are: the codebook travels to the tasks in blocks of about
+    ``cells`` numbers, and each block only replaces a point's code by a nearer one.
     """
-    first = centers.agg(F.count("*").alias("k"), F.max(F.size("center")).alias("dim")).first()
-    if first["k"] * first["dim"] > CENTER_CELLS:
-        return _assign_in_tiles(points, centers, key, vec)
-    rows = centers.orderBy("code").collect()
-    shared = points.sparkSession.sparkContext.broadcast(
-        (np.array([r["code"] for r in rows], np.int32), np.array([r["center"] for r in rows], float))
-    )
-
-    def nearest(batches):
-        codes, table = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            d = square_distances(matrix(batch, vec), table)
-            at = d.argmin(1)
-            yield batch.append_column("code", pa.array(codes[at])).append_column(
-                "dist", pa.array(np.sqrt(d[np.arange(len(at)), at]))
-            )
-
-    schema = T.StructType([*points.schema.fields, T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())])
-    return points.mapInArrow(nearest, schema)
-
-
-def _assign_in_tiles(points, centers, key, vec):
-    one = F.lit(1).alias("all")
-    lhs = points.select(one, *key, F.col(vec).alias("v"))
-    rhs = centers.select(one, "code", F.col("center").alias("c"))
-
-    def nearest(left, right):
-        if left.empty or right.empty:
-            return left[key].head(0).assign(code=np.int32(0), d=0.0)
-        right = right.sort_values("code")
-        d = square_distances(np.stack(left["v"]), np.stack(right["c"]))
-        at = d.argmin(1)
-        return left[key].assign(code=right["code"].to_numpy()[at], d=d[np.arange(len(at)), at])
-
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema if f.name in key)
-    found = tile_join(lhs, rhs, ["all"], key, ["code"], nearest, f"{types}, code INT, d DOUBLE")
-    best = found.groupBy(*key).agg(F.min(F.struct("d", "code")).alias("best"))
-    picked = best.select(*key, F.col("best.code").alias("code"), F.sqrt("best.d").alias("dist"))
-    return points.join(picked, key)
+    sc = points.sparkSession.sparkContext
+    fields = [T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())]
+    schema = T.StructType([*points.schema.fields, *fields])
+
+    def against(shared, first: bool):
+        def nearest(batches):
+            codes, table = shared.value
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                d = square_distances(matrix(batch, vec), table)
+                at = d.argmin(1)
+                code, dist = codes[at], d[np.arange(len(at)), at]
+                if not first:
+                    n = batch.num_columns
+                    held_code, held = batch.column(n - 2).to_numpy(), batch.column(n - 1).to_numpy()
+                    code, dist = np.where(dist < held, code, held_code), np.minimum(dist, held)
+                    batch = batch.select(range(n - 2))
+                yield batch.append_column("code", pa.array(code, pa.int32())).append_column("dist", pa.array(dist))
+
+        return nearest
+
+    found = points
+    for number, block in enumerate(_center_blocks(centers, cells)):
+        found = found.mapInArrow(against(sc.broadcast(block), number == 0), schema)
+    return found.withColumn("dist", F.sqrt("dist"))
 
 
 def update_centers(assigned: DataFrame, vec: str = "desc") -> DataFrame:
@@ -147,18 +150,21 @@ def apply_codebook(points: DataFrame, centers: DataFrame, key: list[str], vec: s
     return assign_clusters(points, centers, key, vec)
 
 
+def _parts_in_order(df: DataFrame, key: str, order: list[str], rows: int) -> DataFrame:
+    """Add ``part`` and the size ``n`` of each ``key``: its rows in ``order``, ``rows`` to a part."""
+    placed = number_rows(df, [F.col(key), *map(F.col, order)], "_place", 0)
+    sizes = placed.groupBy(key).agg(F.min("_place").alias("_from"), F.count("*").alias("n"))
+    return lookup_join(placed, sizes, [key]).withColumn("part", F.expr(f"cast((_place - _from) div {rows} as int)")).drop("_place", "_from")
+
+
 def cluster_members(assigned: DataFrame, name, rows_per_list: int = ROWS_PER_LIST) -> DataFrame:
     """``(code, part, members, n)``: sorted member names of every cluster and its size.
 
-    A cluster above ``rows_per_list`` is listed in several parts, so that no task has to
-    hold a whole large cluster.
+    Lists are cut at every ``rows_per_list`` names in sort order, so that the parts in turn
+    are the sorted list and no task holds a whole large cluster.
     """
     named = assigned.select("code", name.alias("member"))
-    sizes = named.groupBy("code").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(rows_per_list))
-    listed = lookup_join(named, sizes, ["code"]).withColumn(
-        "part", F.pmod(F.xxhash64("member"), parts).cast("int")
-    )
+    listed = _parts_in_order(named, "code", ["member"], rows_per_list)
     return listed.groupBy("code", "part").agg(
         F.array_sort(F.collect_list("member")).alias("members"), F.first("n").alias("n")
     )
@@ -178,13 +184,10 @@ def last_code(codes: DataFrame, order: str) -> DataFrame:
 def collect_code_map(codes: DataFrame, rows_per_map: int = ROWS_PER_LIST) -> DataFrame:
     """``(image_id, part, patches)``: the code map of each image as a sorted list of entries.
 
-    Images with more than ``rows_per_map`` patches come in several parts. Positions must
+    Maps are cut at every ``rows_per_map`` patches in order of position. Positions must
     be unique (see ``last_code``); ``map_from_entries`` over the list gives the map form.
     """
-    sizes = codes.groupBy("image_id").agg(F.ceil(F.count("*") / F.lit(rows_per_map)).alias("_parts"))
-    placed = lookup_join(codes, sizes, ["image_id"]).withColumn(
-        "part", F.pmod(F.xxhash64("x", "y"), F.col("_parts")).cast("int")
-    )
+    placed = _parts_in_order(codes, "image_id", ["x", "y"], rows_per_map)
     return placed.groupBy("image_id", "part").agg(
         F.array_sort(F.collect_list(F.struct("x", "y", "code"))).alias("patches")
     )

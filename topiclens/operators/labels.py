@@ -32,10 +32,11 @@ def cast_label_maps(df: DataFrame) -> DataFrame:
     )
 
 
-def join_code_topic(codes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Replace each patch's code by its topic; patches without a label keep a null topic."""
+def join_code_topic(codes: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Replace each patch's code by its topic; patches without a label keep a null topic.
+    Columns of ``codes`` named in ``keep`` stay."""
     topics = labels.select("image_id", "code", F.col("label").alias("topic"))
-    return lookup_join(codes, topics, ["image_id", "code"], "left").select("image_id", "x", "y", "topic")
+    return lookup_join(codes, topics, ["image_id", "code"], "left").select("image_id", "x", "y", "topic", *keep)
 
 
 def map_colors(pixels: DataFrame, color_map: DataFrame, n_colors: int | None = None) -> DataFrame:

@@ -27,9 +27,8 @@ def label_pixels(
     directly, so no per-image map is built on the way.
     """
     labels = cast_labels(decode_labels(label_terms(phi, cutoff), terms, titles)).filter("label > 0")
-    topics = join_code_topic(codes.drop("ordinal"), labels)
-    order = codes.select("image_id", "x", "y", "ordinal")
-    patches = topics.join(order, ["image_id", "x", "y"]).select(
+    topics = join_code_topic(codes, labels, keep=("ordinal",))
+    patches = topics.select(
         "image_id", "x", "y", F.coalesce("topic", F.lit(0)).alias("label"), "ordinal"
     )
     return paint_patches(patches, sizes, step)

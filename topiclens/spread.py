@@ -175,6 +175,8 @@ def tile_join(
     ``largest`` gives upper bounds of the group sizes when the caller knows them.
     """
     group = list(group)
+    if largest is None:  # both sides are counted, then joined: compute them once
+        left, right = cut_lineage(left), cut_lineage(right)
     # new column identities, as both sides may come from one table
     right = right.select(*(F.col(c).alias(c) for c in right.columns))
     l_max, r_max = largest or (largest_group(left, group), largest_group(right, group))
