@@ -195,11 +195,24 @@ def _models(m):
 TRUE_MODEL = MATCHES + f"SELECT DISTINCT pair_id, {sql_rnd('cos(pair_id * 0.01)', 2)} AS cos, {sql_rnd('sin(pair_id * 0.01)', 2)} AS sin FROM matches"
 
 
-@query(TRUE_MODEL)
+_A = "(pair_id * 0.01)"
+FOUND_MODEL = MATCHES + f""", judged AS (SELECT *, sqrt(pow(cos{_A} * x1 - sin{_A} * y1 + pair_id - x2, 2)
+    + pow(sin{_A} * x1 + cos{_A} * y1 - pair_id / 2 - y2, 2)) < 0.2 AS close FROM matches)
+    SELECT pair_id, {sql_rnd(f'cos{_A}', 2)} AS cos, {sql_rnd(f'sin{_A}', 2)} AS sin, CAST(pair_id AS DOUBLE) AS tx, CAST(-pair_id AS DOUBLE) + 0.0 AS ty_twice,
+    count(*) FILTER (close) AS inliers, {sql_rnd('1 - count(*) FILTER (close) / count(*)')} AS cost FROM judged GROUP BY pair_id"""
+
+
+def _found(best):
+    return best.select(
+        "pair_id", rnd("cos", 2).alias("cos"), rnd("sin", 2).alias("sin"), rnd("tx", 0).alias("tx"), rnd(F.col("ty") * 2, 0).alias("ty_twice"),
+        "inliers", rnd("cost").alias("cost"),
+    )
+
+
+@query(FOUND_MODEL)
 def ransac(spark, d):
-    """The rotation of every pair in spite of a third outliers."""
-    best = G.ransac(matches(spark, d), 60, 0.5, 0.1)
-    return best.select("pair_id", rnd("cos", 2).alias("cos"), rnd("sin", 2).alias("sin"))
+    """Rotation, shift and inliers of every pair in spite of a third outliers."""
+    return _found(G.ransac(matches(spark, d), 60, 0.5, 0.1))
 
 
 @query()
@@ -208,11 +221,10 @@ def ransac_translation(spark, d):
     return _models(G.ransac(matches(spark, d), 60, 40.0, 0.01, kind="translation"))
 
 
-@query(TRUE_MODEL)
+@query(FOUND_MODEL)
 def ransac_grow_epsilon(spark, d):
     """Tolerance raised until no more inliers appear."""
-    best = G.ransac_grow_epsilon(matches(spark, d), 0.1, 1.0, 0.1, iterations=40)
-    return best.select("pair_id", rnd("cos", 2).alias("cos"), rnd("sin", 2).alias("sin"))
+    return _found(G.ransac_grow_epsilon(matches(spark, d), 0.1, 1.0, 0.1, iterations=40))
 
 
 @query()
