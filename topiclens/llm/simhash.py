@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            made = np.array([text_fingerprint(t, k) for t in part.column(1).to_pylist()], dtype=np.uint64)
+            made = np.array([text_fingerprint(t.as_py(), k) for t in part.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made.view(np.int64))], ["doc_id", "print"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -35,7 +35,7 @@ from topiclens.llm.common import whole
 from topiclens.session import cut_lineage, ensure_checkpoint_dir
 
 FRAME_IDS = 1 << 18
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 BREAK = "<|startoftext|>"
 #: The tokenizer's own pieces, as they are for lower-case ASCII.

@@ -20,7 +20,8 @@ from topiclens.session import cut_lineage
 
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 18
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
+SLICE_ROWS = 128
 #: Labelled documents used for fitting, chosen by a hash of their id.
 SAMPLE_ROWS = 12_000
 LEAST_DOCS, LEAST_RATIO, SMOOTHING = 3, 0.7, 1.0
@@ -78,6 +79,16 @@ def present(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[
     return found >> BUCKET_BITS, found & ((1 << BUCKET_BITS) - 1)
 
 
+def _totals(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The summed weights of each text; a few texts are opened at a time."""
+    wanted, found = weights != 0, [np.zeros(0)]
+    for at in range(0, len(texts), SLICE_ROWS):
+        some = texts[at : at + SLICE_ROWS].to_pylist()
+        owner, bucket = present(some, wanted)
+        found.append(bias + np.bincount(owner, weights[bucket], len(some)))
+    return np.concatenate(found)
+
+
 def _chance(total: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):  # e to a large number is infinite, and the chance zero
         return 1 / (1 + np.exp(-total))
@@ -98,8 +109,8 @@ def log_count_ratios(sample: DataFrame) -> tuple[np.ndarray, float]:
         rows = np.zeros(2, np.int64)
         for part in parts:
             label = part.column(0).to_numpy()
-            for at in range(0, len(label), 256):
-                owner, bucket = present(part.column(1)[at : at + 256].to_pylist())
+            for at in range(0, len(label), SLICE_ROWS):
+                owner, bucket = present(part.column(1)[at : at + SLICE_ROWS].to_pylist())
                 for kind in (0, 1):
                     sums[kind] += np.bincount(bucket[label[at + owner] == kind], minlength=1 << BUCKET_BITS)
             rows += np.bincount(label, minlength=2)[:2]
@@ -127,8 +138,8 @@ def fit(sample: DataFrame, ratio: np.ndarray, prior: float) -> tuple[np.ndarray,
 
     def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 256):
-                some = part.slice(at, 256)
+            for at in range(0, part.num_rows, SLICE_ROWS):
+                some = part.slice(at, SLICE_ROWS)
                 owner, bucket = present(some.column(2).to_pylist(), wanted)
                 ends = np.searchsorted(owner, np.arange(some.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket, pa.int32()))
@@ -142,9 +153,12 @@ def fit(sample: DataFrame, ratio: np.ndarray, prior: float) -> tuple[np.ndarray,
         lists = rows["buckets"].combine_chunks()
         label = rows["label"].to_numpy().astype(float)
         bucket = lists.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
-        used, bucket = np.unique(bucket, return_inverse=True)
-        value = ratio[used[bucket]] * SCALE
+        owner = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+        used = np.flatnonzero(np.bincount(bucket, minlength=1 << BUCKET_BITS))
+        place = np.zeros(1 << BUCKET_BITS, np.int32)
+        place[used] = np.arange(len(used))
+        bucket = place[bucket]
+        value = (ratio[used] * SCALE)[bucket]
         weight, bias = np.zeros(len(used)), prior
         slow, slow_bias = np.full(len(used), 1e-6), 1e-6
         for _ in range(STEPS):
@@ -171,12 +185,9 @@ def fit(sample: DataFrame, ratio: np.ndarray, prior: float) -> tuple[np.ndarray,
 
 def score_texts(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """``doc_id, score`` for every row."""
-    wanted = weights != 0
-
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            owner, bucket = present(part.column(1).to_pylist(), wanted)
-            total = bias + np.bincount(owner, weights[bucket], part.num_rows)
+            total = _totals(part.column(1), weights, bias)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_chance(total))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -214,14 +225,11 @@ def train(
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``threshold``."""
     weights, bias = train(docs, labels, text_col=text_col, **options)
-    wanted = weights != 0
     at = docs.columns.index(text_col)
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.log(threshold / (1 - threshold))
         for part in parts:
-            owner, bucket = present(part.column(at).to_pylist(), wanted)
-            total = bias + np.bincount(owner, weights[bucket], part.num_rows)
-            yield part.filter(pa.array(total < edge))
+            yield part.filter(pa.array(_totals(part.column(at), weights, bias) < edge))
 
     return docs.mapInArrow(keep, docs.schema)
