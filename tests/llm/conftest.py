@@ -30,7 +30,7 @@ def odd_docs(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(TEXTS, SCHEMA)
-    clashing = ["keep_id", "kept", "size", "target", "component_id", "word", "print", "score", "label", "n_tokens", "_text", "place", "cleared"]
+    clashing = ["keep_id", "kept", "size", "target", "component_id", "word", "print", "score", "label", "n_tokens", "_text", "place", "cleared", "_key", "_hash", "_row", "_print", "_id", "_of", "_gone", "copies"]
     return docs.withColumns({c: F.lit("clash") for c in clashing})
 
 

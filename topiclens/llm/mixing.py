@@ -86,15 +86,16 @@ def hash_thresholds(sizes: DataFrame, quotas: DataFrame) -> DataFrame:
     return edges.select("_key", F.when(taken, F.col("_high")).otherwise(F.col("_low") - 1).alias("_upto"))
 
 
-def _marked(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # null has a key of its own
-    return docs.withColumns({"_key": key, "_hash": document_hash(F.col(id_col))})
+def _source_key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # null has a key of its own
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("source"))
     size = F.coalesce(F.regexp_count(F.col("_text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return cut_lineage(_marked(only.select("doc_id", "source", size.alias("size")), "doc_id", "source"))
+    return cut_lineage(
+        only.select("doc_id", "source", size.alias("size"), _source_key("source").alias("_key"), document_hash(F.col("doc_id")).alias("_hash"))
+    )
 
 
 def _plan(sizes: DataFrame, weights: Sequence[int], ratio: float, most: float) -> DataFrame:
@@ -139,5 +140,6 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: every row of ``docs``, all columns, as often as ``mix`` takes it."""
     plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, ratio, most).select("_key", "_times", "_upto")
-    taken = _marked(docs, id_col, source_col).join(plan, "_key").withColumn("_copies", F.expr(_COPIES).cast("int"))
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")  # whole, so that no name can clash
+    marked = docs.select(row, _source_key(source_col).alias("_key"), document_hash(F.col(id_col)).alias("_hash"))
+    return marked.join(plan, "_key").select(F.explode(F.array_repeat("_row", F.expr(_COPIES).cast("int"))).alias("_row")).select("_row.*")
