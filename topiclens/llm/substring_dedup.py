@@ -27,8 +27,8 @@ from topiclens.session import cut_lineage
 GRAM = 8
 BLOCK_WORDS = 1 << 18
 SHARD_WORDS = 50_000
-#: Anchors with more different segments are replaced by the whole windows as anchors.
-CROWDED = 512
+#: Of anchors with more different segments, every window is judged by itself.
+CROWDED = 4096
 KNOWN_WORDS = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -151,28 +151,16 @@ def _with_lists(docs: DataFrame, rows: DataFrame, columns: list[str], how: str =
     return joined.select("doc_id", "_print", "text", "_rows")
 
 
-def _crowded_windows(held: DataFrame, window: int) -> DataFrame:
-    """Every window of the listed segments as a segment of its own."""
-    kind = held.schema["doc_id"].dataType.simpleString()
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for row in range(part.num_rows):
-                hashes = word_hashes(split_words(part.column(2)[row].as_py()))
-                places = [r["first"] + i for r in part.column(3)[row].as_py() for i in range(r["many"])]
-                first = np.unique(np.array(places, np.int64))
-                own = run_hashes(hashes, window)[first].view(np.int64)
-                n = len(first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0)[row].as_py()] * n, part.schema.field(0).type), pa.array([part.column(1)[row].as_py()] * n, pa.int32()), pa.array(own), pa.array(own), pa.array(first.astype(np.int32)), pa.array(np.ones(n, np.int32))],
-                    ["doc_id", "_print", "anchor", "content", "first", "many"],
-                )
-
-    return held.mapInArrow(batches, f"doc_id {kind}, _print int, anchor bigint, content bigint, first int, many int")
+def _single_windows(contents: DataFrame, window: int) -> DataFrame:
+    """``anchor, content, bit, places, words``: the windows of segments, each by itself."""
+    parts = F.split("words", " ")
+    cut = F.transform(F.sequence(F.lit(0), F.size("_w") - window), lambda i: F.struct(i.alias("bit"), F.array_join(F.slice("_w", i + 1, window), " ").alias("words")))
+    opened = contents.select("anchor", "content", "places", parts.alias("_w")).select("anchor", "content", "places", F.size("_w").alias("_n"), F.explode(cut).alias("_one"))
+    return opened.select("anchor", "content", "_one.bit", "places", "_one.words")
 
 
 def _contents(held: DataFrame, window: int) -> DataFrame:
-    """``anchor, content, places, words``: the words of the segments listed with a document."""
+    """``anchor, content, places, crowded, words``: the words of the segments listed with a document."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -184,11 +172,12 @@ def _contents(held: DataFrame, window: int) -> DataFrame:
                         "anchor": pa.array([r["anchor"] for r in listed], pa.int64()),
                         "content": pa.array([r["content"] for r in listed], pa.int64()),
                         "places": pa.array([r["places"] for r in listed], pa.int64()),
+                        "crowded": pa.array([r["crowded"] for r in listed], pa.bool_()),
                         "words": pa.array([b" ".join(own[r["first"] : r["first"] + r["many"] + window - 1]).decode() for r in listed]),
                     }
                 )
 
-    return held.mapInArrow(batches, "anchor bigint, content bigint, places bigint, words string")
+    return held.mapInArrow(batches, "anchor bigint, content bigint, places bigint, crowded boolean, words string")
 
 
 class SuffixAutomaton:
@@ -292,7 +281,7 @@ def repeated_bits(contents: DataFrame, window: int, shard_words: int = SHARD_WOR
         if held:
             yield _shard_bits(held, window)
 
-    placed = contents.repartition("anchor").sortWithinPartitions("anchor")
+    placed = contents.select("anchor", "content", "places", "words").repartition("anchor").sortWithinPartitions("anchor")
     return placed.mapInArrow(batches, "anchor bigint, content bigint, bits bigint")
 
 
@@ -341,13 +330,19 @@ def substring_dedup(
 
     reference = cut_lineage(different(found))
     hot = cut_lineage(reference.groupBy("anchor").count().filter(F.col("count") > crowded).select("anchor"))
-    if hot.limit(1).count():
-        inside = found.join(hot, "anchor", "left_semi")
-        alone = cut_lineage(_crowded_windows(_with_lists(texts, inside, ["first", "many"]), window))
-        found = found.join(hot, "anchor", "left_anti").unionByName(alone)
-        reference = reference.join(hot, "anchor", "left_anti").unionByName(different(alone).filter("places > 1"))
-
-    contents = _contents(_with_lists(texts, reference, ["anchor", "content", "places", "first", "many"]), window)
-    bits = repeated_bits(contents, window).filter("bits <> 0").groupBy("anchor", "content").agg(F.bit_or("bits").alias("bits"))
-    places = found.join(cut_lineage(bits).hint("shuffle_hash"), ["anchor", "content"])
+    crowds = bool(hot.limit(1).count())
+    marked = reference.join(hot.withColumn("_hot", F.lit(True)), "anchor", "left").withColumn("crowded", F.coalesce("_hot", F.lit(False)))
+    contents = _contents(_with_lists(texts, marked, ["anchor", "content", "places", "crowded", "first", "many"]), window)
+    if crowds:  # equal windows of crowded anchors are summed where they lie, then judged one by one
+        contents = cut_lineage(contents)
+        alone = cut_lineage(_single_windows(contents.filter("crowded"), window))
+        summed = alone.groupBy("words").agg(F.sum("places").alias("places")).filter("places > 1")
+        summed = summed.select(F.xxhash64("words").alias("anchor"), F.xxhash64("words").alias("content"), "places", "words")
+        contents = contents.filter("not crowded").drop("crowded").unionByName(summed)
+    bits = cut_lineage(repeated_bits(contents, window).filter("bits <> 0").groupBy("anchor", "content").agg(F.bit_or("bits").alias("bits")))
+    if crowds:
+        judged = bits.select(F.col("anchor").alias("_window")).distinct()
+        back = alone.withColumn("_window", F.xxhash64("words")).join(judged, "_window").groupBy("anchor", "content")
+        bits = bits.unionByName(back.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    places = found.join(bits.hint("shuffle_hash"), ["anchor", "content"])
     return _kept(_with_lists(texts, places, ["first", "bits"], "left"), window)
