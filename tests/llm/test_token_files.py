@@ -43,10 +43,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_word_encoder_on_hard_texts():
     plain, own = Tokenizer.from_file(PATH), WordEncoder(PATH)
     draw = random.Random(5)
-    bits = ["it's", "'re", "I'LL", "3.14", "...", "a,b", "Ünï", "é", " ́", " ", "　", "\x85", "\x1c", " ", "語学", "<|startoftext|>", "<|endoftext|>", "<|", "İ", "ΣΑΣ", "\r\n", "\t", "  ", "", "x.", "Word,", "WORD.,", "😀", "'", ".'s", "\x00"]
-    for _ in range(300):
-        text = "".join(draw.choice(bits) + draw.choice(["", " ", "\n"]) for _ in range(draw.randint(0, 12)))
-        assert own.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    bits = ["it's", "'re", "I'LL", "3.14", "...", "a,b", "Ünï", "é", " ́", " ", "　", "\x85", "\x1c", "\xa0", "\xad", "語学", "<|startoftext|>", "<|endoftext|>", "<|", "İ", "ΣΑΣ", "\r\n", "\t", "  ", "", "x.", "Word,", "WORD.,", "😀", "'", ".'s", "\x00", "²³", "½", "ŒUVRE", "ſ", "ŉ", "Ÿ", "ªº", "Straße", "ǅ", "Ⱥ"]
+    texts = ["".join(draw.choice(bits) + draw.choice(["", " ", "\n"]) for _ in range(draw.randint(0, 12))) for _ in range(600)]
+    texts += [f"a{c}b {c} {c}{c}z" for c in map(chr, range(0x180))]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert own.encode([]) == []
 
 
 def test_random_access_and_checksums():

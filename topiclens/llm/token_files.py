@@ -16,14 +16,17 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -35,11 +38,19 @@ from topiclens.llm.common import whole
 from topiclens.session import cut_lineage, ensure_checkpoint_dir
 
 FRAME_IDS = 1 << 18
+SLICE_BYTES = 1 << 18
 CACHED_WORDS = 500_000
 SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
-BREAK = "<|startoftext|>"
-#: The tokenizer's own pieces, as they are for lower-case ASCII.
-ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+# Of Latin texts (below U+0180, without blanks beyond ASCII and the letter whose lower case is
+# two characters) the tokenizer's own pieces are cut here: normalising only changes their case.
+_LATIN = [c for c in map(chr, range(0x180)) if c.isprintable() and c not in " \u00a0\u00ad\u0130"]
+_LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
+_NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
+NOT_LATIN = re.compile(rf"[^ \t\n\r{re.escape(''.join(_LATIN))}]|<\|")
+# Bytes as the byte-level vocabulary writes them: printable ones as they are, others from U+0100 on.
+_SHOWN = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class WordEncoder:
@@ -52,7 +63,6 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.separator = self.tokenizer.token_to_id(BREAK)
         self.clear()
 
     def clear(self) -> None:
@@ -66,19 +76,13 @@ class WordEncoder:
         self.ids.extend(ids)
         self.lengths.append(len(self.ids) - self.starts[-1])
 
-    def known(self, word: str) -> array:
-        at = self.words[word]
-        return self.ids[self.starts[at] : self.starts[at] + self.lengths[at]]
-
     def learn_pieces(self, missing: Iterable[str]) -> None:
-        """Of printable ASCII in lower case: each is one piece whose bytes stand as they are."""
+        """Of lower-case Latin texts: each is one piece of the tokenizer."""
         words, starts, lengths, tokenize = self.words, self.starts, self.lengths, self.model.tokenize
         n, end, gathered = len(starts), len(self.ids), []
         for piece in missing:
-            if piece.isprintable():
-                ids = [token.id for token in tokenize(piece)]
-            else:
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES)
+            ids = [token.id for token in tokenize(shown)]
             words[piece] = n
             starts.append(end)
             lengths.append(len(ids))
@@ -87,56 +91,32 @@ class WordEncoder:
         self.ids.extend(gathered)
 
     def learn_words(self, missing: Iterable[str]) -> None:
-        whole_words, tailed, stems, joined, pieces = set(), [], set(), [], set()
         for word in missing:
-            if word.isascii() and "<|" not in word:
-                joined.append((word, ASCII_PIECE.findall(word.lower())))
-                pieces.update(joined[-1][1])
-                continue
-            stem = word.rstrip(".,")
-            if stem == word or not stem or not (stem[-1].isalpha() and stem[-1] < "\u0250"):
-                whole_words.add(word)
-            else:  # a letter, then a run of marks: two pieces
-                tailed.append((word, stem, word[len(stem) :]))
-                stems.add(stem)
-                pieces.add(tailed[-1][2])
-        self.learn_pieces(pieces.difference(self.words))
-        for word, own in joined:
-            if word not in self.words:
-                self.add(word, [i for piece in own for i in self.known(piece)])
-        whole_words |= stems.difference(self.words)
-        plain = [w for w in whole_words if "<|" not in w]
-        for at in range(0, len(plain), 512):
-            some = plain[at : at + 512]
-            ids = np.array(self.tokenizer.encode(BREAK.join(some), add_special_tokens=False).ids, np.uint32)
-            breaks = np.flatnonzero(ids == self.separator)
-            ids = np.delete(ids, breaks)
-            ends = np.append(breaks - np.arange(len(breaks)), len(ids))
-            first = np.append(0, ends[:-1])
-            self.words.update(zip(some, range(len(self.starts), len(self.starts) + len(some))))
-            self.starts.frombytes((first + len(self.ids)).astype(np.int64).tobytes())
-            self.lengths.frombytes((ends - first).astype(np.int64).tobytes())
-            self.ids.frombytes(ids.tobytes())
-        for word in whole_words:
-            if "<|" in word:  # may hold the separator itself
-                self.add(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
-        for word, stem, tail in tailed:
-            self.add(word, self.known(stem) + self.known(tail))
-
-    def encode(self, text: str) -> np.ndarray:
-        plain = text.isascii() and "<|" not in text
-        parts = ASCII_PIECE.findall(text.lower()) if plain else text.replace("\n", " ").replace("\t", " ").split(" ")
+            self.add(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.words) > CACHED_WORDS:
             self.clear()
-        if missing := set(parts).difference(self.words):
-            self.learn_pieces(missing) if plain else self.learn_words(missing)
-        if not parts:
-            return np.zeros(0, np.uint32)
-        at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+        latin, parts, sizes = set(), [], []
+        others = set()
+        for text in texts:
+            if NOT_LATIN.search(text):
+                own = text.replace("\n", " ").replace("\t", " ").split(" ")
+                others.update(own)
+            else:
+                own = PIECE.findall(text.lower())
+                latin.update(own)
+            parts.append(own)
+            sizes.append(len(own))
+        self.learn_pieces(latin.difference(self.words))
+        self.learn_words(others.difference(self.words))
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
         starts, lengths, ids = (np.frombuffer(a, a.typecode) if len(a) else np.zeros(0, a.typecode) for a in (self.starts, self.lengths, self.ids))
         own = lengths[at]
         ends = np.cumsum(own)
-        return ids[np.arange(ends[-1]) + np.repeat(starts[at] - (ends - own), own)]
+        found = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - own), own)]
+        return np.split(found, np.concatenate([[0], ends])[np.cumsum(sizes)][:-1]) if texts else []
 
 
 @cache
@@ -239,6 +219,18 @@ class TokenFileReader:
         return self.ids(int(self.starts[at]), int(self.lengths[at]))
 
 
+def _encoded(batch: pa.RecordBatch, tokenizer: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Ids and encoded texts of a batch, some texts at a time."""
+    row, sizes = 0, pc.binary_length(batch.column(1)).to_pylist()
+    while row < batch.num_rows:
+        begin, held = row, 0
+        while row < batch.num_rows and held < SLICE_BYTES:
+            held += sizes[row]
+            row += 1
+        some = batch.slice(begin, row - begin)
+        yield from zip(some.column(0).to_pylist(), encoder(tokenizer).encode(some.column(1).to_pylist()))
+
+
 def write_token_files(
     docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
     folder: str | None = None, frame_ids: int = FRAME_IDS,
@@ -254,7 +246,7 @@ def write_token_files(
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = writer = sink = None
         for part in parts:
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
+            for doc_id, ids in _encoded(part, tokenizer):
                 if writer is None:
                     store, base = file_system(folder)
                     store.create_dir(base, recursive=True)
@@ -262,7 +254,7 @@ def write_token_files(
                     name = f"{number:06d}-{uuid.uuid4().hex}.ids.zst"
                     sink = store.open_output_stream(f"{base}/{name}", compression=None)
                     writer, n_ids = TokenFileWriter(sink, frame_ids), 0
-                ids = np.append(encoder(tokenizer).encode(text.as_py()), end_id)
+                ids = np.append(ids, end_id)
                 writer.add(doc_id, ids)
                 n_ids += len(ids)
         if writer is not None:
