@@ -1,12 +1,13 @@
 import random
 
 import brute
+import numpy as np
 import pandas as pd
 import pytest
 
 from topiclens.llm.components import connected_components
 from topiclens.llm.queries import QUERIES
-from topiclens.llm.simhash import near_links, simhash_groups
+from topiclens.llm.simhash import _roots, near_links, simhash_groups
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -51,3 +52,21 @@ def test_components_of_a_path_and_a_star(spark):
     star = [(500, i) for i in range(100, 200)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(path + star, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 200)}, 500: 100}
+
+
+def test_roots_keep_every_link():
+    """A path hooks several rows of one tree in one round; none may leave the tree of its earlier links."""
+    path = np.array([(1, 6), (2, 6), (2, 7), (3, 7), (3, 8), (4, 8), (4, 9), (5, 9), (5, 10), (0, 10)])
+    assert _roots(11, path[:, 0], path[:, 1]).tolist() == [0] * 11
+    draw = np.random.default_rng(1)
+    for _ in range(200):
+        i, j = draw.integers(0, 40, (2, 36))
+        want = brute_roots(40, i, j)
+        assert _roots(40, i, j).tolist() == want
+
+
+def brute_roots(n, i, j):
+    root = list(range(n))
+    for a, b in zip(i, j):
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    return root

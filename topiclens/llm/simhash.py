@@ -126,14 +126,12 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest index linked to each of ``n`` rows."""
     root = np.arange(n)
     while len(i):
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, root[i], low)
-        np.minimum.at(root, root[j], low)
-        root = root[root]
+        one, two = root[i], root[j]  # roots, as every tree is flat here: no row loses its parent
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root != root[root]).any():
+            root = root[root]
         apart = root[i] != root[j]
         i, j = i[apart], j[apart]
-    while (root != root[root]).any():
-        root = root[root]
     return root
 
 
