@@ -181,11 +181,3 @@ def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "
     return prints.join(named, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_copies(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of the smallest id of each group; ids name documents,
-    so rows that repeat an id stay or go together."""
-    groups = simhash_groups(docs, k, radius, id_col, text_col)
-    gone = cut_lineage(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
