@@ -130,6 +130,16 @@ def _documents(spark, d):
     return index, M.pack_documents(normal), wide
 
 
+def _stepped(spark, d, passes=M.INNER_ITER, **options):
+    """One E-step under a start model over all documents, those too wide for a task included."""
+    index, docs, wide = _documents(spark, d)
+    empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
+    step = M.e_step(docs, M.start_alpha(10), empty, index.n_terms, inner_iter=passes, **options)
+    if wide is None:
+        return step
+    return step.unionByName(M.wide_e_step(wide, M.start_alpha(10), empty, index.n_terms, passes))
+
+
 @query()
 def lookup_beta(spark, d):
     """Model row of every document term; terms outside the model get start values."""
@@ -143,9 +153,7 @@ def lookup_beta(spark, d):
 @query()
 def e_step(spark, d):
     """Posterior and likelihood of every document under a start model."""
-    index, docs, wide = _documents(spark, d)
-    empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
-    stepped = M.e_step(docs, M.start_alpha(10), empty, index.n_terms, want_sums=False)
+    stepped = _stepped(spark, d, want_sums=False)
     rows = stepped.filter("kind = 'doc'")
     return rows.select(F.col("id").alias("doc_no"), rnd("loglik", 4).alias("loglik"), F.posexplode("vec").alias("k", "g")).select(
         "doc_no", "loglik", "k", rnd("g").alias("gamma")
@@ -194,9 +202,7 @@ def _sql_passes(topics: int, passes: int) -> str:
 
 
 def _few_passes(spark, d, **options):
-    index, docs, _ = _documents(spark, d)
-    empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
-    return M.e_step(docs, M.start_alpha(10), empty, index.n_terms, inner_iter=3, **options)
+    return _stepped(spark, d, 3, **options)
 
 
 @query(_sql_passes(10, 3) + " SELECT doc_no, " + sql_rnd("loglik", 2) + " AS loglik, CAST(k - 1 AS INTEGER) AS k, " + sql_rnd("g", 3)
@@ -235,18 +241,14 @@ def train_lda_symmetric(spark, d):
 
 @query()
 def corpus_log_likelihood(spark, d):
-    index, docs, wide = _documents(spark, d)
-    empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
-    stepped = M.e_step(docs, M.start_alpha(10), empty, index.n_terms, want_sums=False)
+    stepped = _stepped(spark, d, want_sums=False)
     return T.corpus_log_likelihood(stepped.filter("kind = 'doc'")).select(rnd("loglik", 2).alias("loglik"), "n_docs")
 
 
 @query()
 def m_step_beta(spark, d):
     """Beta after one round over the documents."""
-    index, docs, wide = _documents(spark, d)
-    empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
-    stepped = M.cut_lineage(M.e_step(docs, M.start_alpha(10), empty, index.n_terms, want_docs=False))
+    stepped = M.cut_lineage(_stepped(spark, d, want_docs=False))
     beta, _ = M.m_step_beta(stepped, 10)
     return M.beta_long(beta).select("topic", "term_id", rnd("log_beta").alias("log_beta"))
 
