@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topiclens.llm.chat import pack_conversations, read_conversations
-from topiclens.llm.common import read
+from topiclens.llm.common import ascii_lower, read
 from topiclens.llm.decontamination import find_leaks
 from topiclens.llm.exact_dedup import exact_dedup
 from topiclens.llm.licenses import LICENSE_WORD, TEMPLATES, license_scan
 from topiclens.llm.line_dedup import drop_lines
+from topiclens.llm.merkle import folded, leaf_digest, merkle_manifest
 from topiclens.llm.mixing import mix
 from topiclens.llm.simhash import simhash_groups
 from topiclens.llm.substring_dedup import substring_dedup
 from topiclens.llm.token_files import read_token_files, write_token_files
 from topiclens.llm.toxicity import toxicity
+from topiclens.llm.vantage import cluster_vectors
+from topiclens.llm.warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -236,3 +239,143 @@ def _license_sql() -> str:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""
     return license_scan(read(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+    WITH payloads AS (
+      SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+    ), kept AS (
+      SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS largest FROM payloads
+    )
+    SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+           CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN largest <> page_id THEN largest END AS refers_to
+    FROM kept
+    """
+)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, in segments where long, and read back."""
+    back = read_warc(write_warc(read(spark, sf_dir, "pages"), revisit_bytes=1000), with_payload=False)
+    checked = F.when(F.col("status") == "ok", F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("record "), "record_id", F.lit(": "), "status")).cast("bigint"))
+    return back.select(
+        F.col("page_id").cast("long").alias("page_id"), checked.alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+def _merkle_sql(levels: int = 8, over: int = 3) -> str:
+    """The trees level by level: up to 8 ** ``levels`` documents of a language, 8 ** ``over`` languages."""
+
+    def tree(name: str, group: str, height: int) -> str:
+        steps = []
+        for at in range(height):
+            steps.append(
+                f"{name}_run{at} AS (SELECT {group}, i // 8 AS i, list(d ORDER BY i) AS run, any_value(n) AS n FROM {name}{at} GROUP BY {group}, i // 8)"
+            )
+            steps.append(
+                f"{name}{at + 1} AS (SELECT {group}, i, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS d, (n + 7) // 8 AS n FROM {name}_run{at})"
+            )
+        return ", ".join(steps)
+
+    def path(name: str, group: str, height: int, source: str) -> tuple[str, str]:
+        joins = " ".join(f"JOIN {name}_run{at} r{at} ON r{at}.{group} = s.{group} AND r{at}.i = s.i // {8 ** (at + 1)}" for at in range(height))
+        pairs = ", ".join(
+            f"{{'a': CASE WHEN r{at}.n > 1 THEN array_to_string(r{at}.run[1:(s.i // {8**at} % 8)], '') ELSE '' END, "
+            f"'b': CASE WHEN r{at}.n > 1 THEN array_to_string(r{at}.run[(s.i // {8**at} % 8 + 2):], '') ELSE '' END, 'up': r{at}.n > 1}}"
+            for at in range(height)
+        )
+        return f"[{pairs}]", f"{source} s {joins}"
+
+    low, low_from = path("t", "lang", levels, "named")
+    high, high_from = path("u", "g", over, "u0")
+    shown = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(shown, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    # crc32 of the decimal id by its table of 256 remainders
+    crc_table = "[" + ", ".join(str(_crc_entry(b)) for b in range(256)) + "]"
+    crc = (
+        "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), "
+        f"lambda crc, c: xor({crc_table}[((xor(crc, c)) & 255) + 1], crc >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+    )
+    fold = lambda parts, start: f"list_reduce({parts}, lambda below, x: CASE WHEN x.up THEN {{'a': '', 'b': '', 'up': true, 'd': sha256(x.a || below.d || x.b)}} ELSE below END, {start})"
+    return f"""
+    WITH docs AS (
+      SELECT doc_id, '=' || lang AS named, {leaf('text')} AS leaf,
+             CASE WHEN {crc} % 3 = 0 THEN {leaf("translate(text, " + _LOWER + ")")} ELSE {leaf('text')} END AS changed
+      FROM documents
+    ), named AS (
+      SELECT doc_id, coalesce(named, '') AS lang, leaf, changed, leaf AS d,
+             row_number() OVER (PARTITION BY coalesce(named, '') ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY coalesce(named, '')) AS n
+      FROM docs
+    ), t0 AS (
+      SELECT lang, i, d, n FROM named
+    ), {tree("t", "lang", levels)}, u0 AS (
+      SELECT 0 AS g, lang, row_number() OVER (ORDER BY lang) - 1 AS i, d, count(*) OVER () AS n FROM t{levels}
+    ), {tree("u", "g", over)}, above AS (
+      SELECT s.lang, s.d AS subroot, {high} AS parts FROM {high_from}
+    ), below AS (
+      SELECT s.doc_id, s.lang, s.leaf, s.changed, {low} AS parts FROM {low_from}
+    ), proofs AS (
+      SELECT doc_id, leaf, changed, subroot, u{over}.d AS root, list_transform(below.parts || above.parts, lambda x: {{'a': x.a, 'b': x.b, 'up': x.up, 'd': ''}}) AS parts
+      FROM below JOIN above USING (lang) CROSS JOIN u{over}
+    ), ended AS (
+      SELECT *, {fold("parts", "{'a': '', 'b': '', 'up': true, 'd': changed}")}.d AS folded_root FROM proofs
+    )
+    SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(parts, lambda x: x.a || x.b), '')) AS proof_sha256,
+           folded_root, folded_root = root AS verified FROM ended
+    """
+
+
+def _crc_entry(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+@query(_merkle_sql())
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest, checked against a third of texts tampered with."""
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(tampered, leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), ascii_lower(F.col("text"))))
+    made = merkle_manifest(docs.withColumn("changed", changed), carry=["changed"])
+    made = made.withColumn("folded_root", folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    siblings = F.array_join(F.transform("proof", lambda p: F.concat(p["left"], p["right"])), "")
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of assignment and floored means, one after the other."""
+    away = "list_sum(list_transform(range(1, 65), lambda j: (v.q[j] - c.q[j]) * (v.q[j] - c.q[j])))::BIGINT"
+    nearest = lambda at: (
+        f"SELECT v.rid, arg_min({{'c': c.c, 'd': {away}}}, {{'d': {away}, 'c': c.c}}) AS best FROM kept v CROSS JOIN c{at} c GROUP BY v.rid"
+    )
+    steps = []
+    for at in range(rounds):
+        steps.append(f"a{at} AS MATERIALIZED ({nearest(at)})")
+        steps.append(
+            f"m{at} AS MATERIALIZED (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS q FROM (SELECT best.c AS c, j, sum(q[j])::HUGEINT AS s, count(*)::HUGEINT AS n "
+            f"FROM kept JOIN a{at} USING (rid), range(1, 65) r(j) GROUP BY best.c, j) GROUP BY c)"
+        )
+        steps.append(f"c{at + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.q, o.q) AS q FROM c{at} o LEFT JOIN m{at} m USING (c))")
+    return f"""
+    WITH kept AS MATERIALIZED (
+      SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    ), c0 AS MATERIALIZED (
+      SELECT (row_number() OVER (ORDER BY vec_id IS NULL, sha256('3:' || vec_id::VARCHAR), q) - 1)::INT AS c, q FROM kept
+      ORDER BY vec_id IS NULL, sha256('3:' || vec_id::VARCHAR), q LIMIT {k}
+    ), {", ".join(steps)}, last AS MATERIALIZED ({nearest(rounds)})
+    SELECT vec_id, best.c AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+           (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+    FROM last JOIN kept USING (rid) JOIN c{rounds} c ON c.c = best.c
+    """
+
+
+@query(_kmeans_sql())
+def op13_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds over eight centroids."""
+    found = cluster_vectors(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.withColumn("centroid_sha256", digest).drop("centroid")
