@@ -276,8 +276,8 @@ def merkle_manifest(
     leaves = cut_lineage(_numbered(placed.withColumnRenamed("digest", "leaf").withColumn("digest", F.col("leaf")).select("tree", "digest", "leaf", "_place", *travelling), fanout))
     groups = _Forest(leaves, fanout, height)
 
-    subroots = cut_lineage(groups.tops.select(F.col("tree").alias("group"), F.col("n").alias("size"), F.col("high").alias("levels"), "digest"))
-    over = number_rows(subroots, [F.col("group")], "_place", start=0).withColumn("tree", F.lit(""))
+    subroots = groups.tops.select(F.lit("").alias("tree"), F.col("tree").alias("group"), F.col("n").alias("size"), F.col("high").alias("levels"), "digest")
+    over = number_rows(cut_lineage(subroots), [F.col("group")], "_place", start=0)
     over = _Forest(cut_lineage(_numbered(over, fanout)), fanout, height)
     top = over.tops.first()  # one row
     if top is None:
