@@ -1,17 +1,18 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from topiclens.operators import codebook, geometry, matching
 
 
-def make_matches(spark, n=300, outliers=0.3, seed=4):
+def make_matches(spark, n=300, outliers=0.3, seed=4, noise=0.0):
     rng = np.random.default_rng(seed)
     frames = []
     for pair, angle in ((1, 0.3), (2, -1.1)):
         p = rng.random((n, 2)) * 100
         c, s = np.cos(angle), np.sin(angle)
-        q = p @ np.array([[c, s], [-s, c]]) + [5.0, -3.0]
+        q = p @ np.array([[c, s], [-s, c]]) + [5.0, -3.0] + rng.normal(0, noise, (n, 2))
         q[: int(n * outliers)] = rng.random((int(n * outliers), 2)) * 100
         frames.append(pd.DataFrame({"pair_id": pair, "match_id": range(n), "x1": p[:, 0], "y1": p[:, 1], "x2": q[:, 0], "y2": q[:, 1]}))
     return spark.createDataFrame(pd.concat(frames))
@@ -31,13 +32,158 @@ def test_trim_keeps_inliers(spark):
     assert models.count() == 2 and kept.groupBy("pair_id").count().toPandas()["count"].between(280, 290).all()
 
 
-def test_smoothness_drops_outliers_in_tiles(spark):
-    matches = make_matches(spark, n=120, outliers=0.05)
-    whole = geometry.local_smoothness_filter(matches, 30.0, 20.0, 3.0).toPandas()
-    tiled = geometry.local_smoothness_filter(matches, 30.0, 20.0, 3.0, rows=25).toPandas()
-    key = ["pair_id", "match_id"]
-    assert whole[key].sort_values(key).values.tolist() == tiled[key].sort_values(key).values.tolist()
-    assert (whole["match_id"] >= 6).mean() > 0.97 and len(whole) > 150
+def plain_smoothness(rows, sigma, max_eps, max_trust):
+    """The filter for one pair, candidate by candidate and list by list."""
+
+    def fit(w, m):
+        total = w.sum()
+        a, b = (w[:, None] * m[:, :2]).sum(0) / total, (w[:, None] * m[:, 2:]).sum(0) / total
+        u, v = m[:, :2] - a, m[:, 2:] - b
+        angle = np.arctan2((w * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])).sum(), (w * (u * v).sum(1)).sum())
+        c, s = np.cos(angle), np.sin(angle)
+        return c, s, b[0] - c * a[0] + s * a[1], b[1] - s * a[0] - c * a[1]
+
+    def errors(model, m):
+        c, s, tx, ty = model
+        return np.hypot(c * m[:, 0] - s * m[:, 1] + tx - m[:, 2], s * m[:, 0] + c * m[:, 1] + ty - m[:, 3])
+
+    rows, passes = np.asarray(rows, float), 0
+    while True:
+        keep, passes = [], passes + 1
+        m = rows[:, 1:]
+        for i in range(len(m)):
+            w = np.exp(-((m[:, :2] - m[i, :2]) ** 2).sum(1) / (2 * sigma * sigma))
+            w[i] = 0
+            held = np.arange(len(m))
+            while True:
+                model = fit(w[held], m[held])
+                own = errors(model, m[held])
+                left = held[own <= np.median(own) * max_trust]
+                if len(left) == len(held):
+                    break
+                held = left
+            own = errors(model, m)
+            keep.append(own[i] <= max_eps and own[i] <= max_trust * (w * own).sum() / w.sum())
+        if all(keep):
+            return set(rows[:, 0].astype(int)), passes
+        rows = rows[keep]
+
+
+@pytest.mark.parametrize("rows", [4096, 25])
+def test_smoothness_equals_a_plain_version(spark, rows):
+    """Whole pairs in a task, and pairs over blocks, where medians come from histograms."""
+    matches = make_matches(spark, n=300, outliers=0.1, noise=0.3)
+    if rows == 25:
+        matches = matches.filter("pair_id = 1")
+    got = geometry.local_smoothness_filter(matches, 20.0, 15.0, 2.5, rows=rows).toPandas()
+    frame, most = matches.toPandas(), 0
+    for pair, own in frame.groupby("pair_id"):
+        want, passes = plain_smoothness(own[["match_id", "x1", "y1", "x2", "y2"]].to_numpy(), 20.0, 15.0, 2.5)
+        assert set(got[got.pair_id == pair].match_id) == want and 200 < len(want) < 290
+        most = max(most, passes)
+    assert most > 1
+
+
+def test_medians_from_histograms(spark):
+    """Even and odd numbers, ties, zeros and values far apart, over blocks of seven."""
+    rng = np.random.default_rng(2)
+    model = geometry.model_of("translation")
+    for x2 in (rng.normal(0, 1, 40), np.repeat([0.0, 1e-300, 5.0], 7), 10.0 ** rng.integers(-200, 200, 31), np.array([3.0, 1.0])):
+        rows = [(1, i, 0.0, 0.0, float(v), 0.0) for i, v in enumerate(x2)]
+        matches = spark.createDataFrame(rows, "pair_id long, match_id long, x1 double, y1 double, x2 double, y2 double")
+        around = geometry._Surroundings(matches, geometry.pack_blocks(matches, ["pair_id"], ["match_id"], 7), 7, len(x2))
+        own = matches.selectExpr("*", "cast(array() as array<double>) past", f"{len(x2)}L was", "1.0D cos", "0.0D sin", "match_id * 0.5D tx", "0.0D ty")
+        got = {r.match_id: r["median"] for r in geometry._medians(around, own, model).collect()}
+        for i in range(len(x2)):
+            error = np.sqrt((i * 0.5 - x2) ** 2)
+            assert got[i] == np.median(error), (x2, i)
+
+
+def test_a_match_without_surroundings_empties_its_pair(spark):
+    rows = [(p, i, float(i % 4), float(i // 4), float(i % 4) + 1, float(i // 4) + 0.01 * (i % 3)) for p in (1, 2) for i in range(12)] + [(2, 99, 1e6, 1e6, 0.0, 0.0)]
+    matches = spark.createDataFrame(rows, "pair_id long, match_id long, x1 double, y1 double, x2 double, y2 double")
+    for size in (4096, 5):
+        kept = geometry.local_smoothness_filter(matches, 2.0, 1.0, 5.0, rows=size)
+        assert [r.pair_id for r in kept.select("pair_id").distinct().collect()] == [1]
+    assert geometry.local_smoothness_filter(matches.limit(0), 2.0, 1.0, 5.0).collect() == []
+
+
+def similarity_model():
+    """A model of the user's own: rotation, one scale and shift."""
+    from topiclens.operators.models import Model
+
+    class Similarity(Model):
+        params = ("a", "b", "tx", "ty")
+        min_matches = 2
+
+        def moments(self, x1, y1, x2, y2):
+            return {"x": x1, "y": y1, "u": x2, "v": y2, "dot": x1 * x2 + y1 * y2, "cross": x1 * y2 - y1 * x2, "own": x1 * x1 + y1 * y1}
+
+        def _spread(self, m):
+            return m["own"] - (m["x"] * m["x"] + m["y"] * m["y"]) / m["n"]
+
+        def defined(self, m, f):
+            return (m["n"] > 0) & (self._spread(m) > 1e-9)
+
+        def fit(self, m, f):
+            a = (m["dot"] - (m["x"] * m["u"] + m["y"] * m["v"]) / m["n"]) / self._spread(m)
+            b = (m["cross"] - (m["x"] * m["v"] - m["y"] * m["u"]) / m["n"]) / self._spread(m)
+            return {"a": a, "b": b, "tx": (m["u"] - a * m["x"] + b * m["y"]) / m["n"], "ty": (m["v"] - b * m["x"] - a * m["y"]) / m["n"]}
+
+        def apply(self, p, x, y):
+            return p["a"] * x - p["b"] * y + p["tx"], p["b"] * x + p["a"] * y + p["ty"]
+
+        def inverse(self, p, x, y):
+            size, dx, dy = p["a"] * p["a"] + p["b"] * p["b"], x - p["tx"], y - p["ty"]
+            return (p["a"] * dx + p["b"] * dy) / size, (p["a"] * dy - p["b"] * dx) / size
+
+    return Similarity()
+
+
+def scaled_matches(spark, scale=1.7):
+    rigid = make_matches(spark, outliers=0.0, noise=0.05)
+    return rigid.withColumns({"x2": F.expr(f"case when match_id < 60 then y1 else x2 * {scale} end"), "y2": F.expr(f"case when match_id < 60 then x1 else y2 * {scale} end")})
+
+
+def test_own_model_in_every_registration_operator(spark):
+    kind, matches = similarity_model(), scaled_matches(spark).cache()
+    size = lambda row: np.hypot(row.a, row.b)
+    best = geometry.ransac(matches, 60, 1.0, 0.2, kind=kind)
+    found = best.collect()
+    assert len(found) == 2 and all(abs(size(r) - 1.7) < 0.01 and r.inliers == 240 for r in found)
+    assert geometry.threshold_inliers(matches, best, 1.0, kind).count() == 480
+    grown = geometry.ransac_grow_epsilon(matches, 0.5, 1.0, 0.2, kind=kind, iterations=40).collect()
+    assert all(abs(size(r) - 1.7) < 0.01 for r in grown)
+    models, kept = geometry.trim_outliers(matches.filter("match_id >= 50"), 4.0, kind)
+    assert all(abs(size(r) - 1.7) < 0.05 for r in models.collect()) and 440 < kept.count() < 500
+    models, _ = geometry.ransac_trim(matches, 60, 1.0, 0.2, kind=kind)
+    assert all(abs(size(r) - 1.7) < 0.01 for r in models.collect())
+    smooth = geometry.local_smoothness_filter(matches.filter("match_id >= 45"), 25.0, 20.0, 3.0, kind)
+    assert smooth.filter("match_id >= 60").count() > 400 and smooth.filter("match_id < 60").count() < 10
+    points = geometry.source_points(matches)
+    there = geometry.apply_transform(points, best, kind=kind)
+    back = geometry.apply_inverse(there, best, kind=kind).withColumnsRenamed({"x": "bx", "y": "by"})
+    joined = back.join(points, ["pair_id", "match_id"])
+    assert joined.filter("abs(x - bx) + abs(y - by) > 1e-9").count() == 0 and joined.count() == 600
+
+
+def test_own_model_aligns_clouds(spark):
+    rng = np.random.default_rng(8)
+    p = rng.random((60, 2)) * 100
+    q = p * 1.01 + [0.3, -0.2]
+    frame = lambda key, pts: spark.createDataFrame(pd.DataFrame({"pair_id": 1, key: range(60), "x": pts[:, 0], "y": pts[:, 1]}))
+    models, found = geometry.icp(frame("query_id", p), frame("target_id", q), similarity_model())
+    row = models.first()
+    assert np.allclose([row.a, row.b, row.tx, row.ty], [1.01, 0.0, 0.3, -0.2], atol=1e-6)
+
+
+def test_sets_without_a_model_end_quietly(spark):
+    rows = [(1, i, 2.0, 2.0, float(i), 1.0) for i in range(8)] + [(2, 0, 0.0, 0.0, 1.0, 1.0)]
+    matches = spark.createDataFrame(rows, "pair_id long, match_id long, x1 double, y1 double, x2 double, y2 double")
+    kind = similarity_model()
+    assert geometry.ransac(matches, 20, 0.5, 0.1, kind=kind).collect() == []
+    models, kept = geometry.trim_outliers(matches, 4.0, kind)
+    assert models.collect() == [] and kept.collect() == []
 
 
 def test_icp_aligns_shifted_points(spark):
@@ -50,6 +196,57 @@ def test_icp_aligns_shifted_points(spark):
     assert found.filter("query_id = target_id").count() == 60
 
 
+def clouds(spark, a, b):
+    left = spark.createDataFrame([(p, i, float(x), float(y)) for p, pts in a.items() for i, (x, y) in enumerate(pts)], "pair_id long, query_id long, x double, y double")
+    right = spark.createDataFrame([(p, len(pts) - i, float(x), float(y)) for p, pts in b.items() for i, (x, y) in enumerate(pts)], "pair_id long, target_id long, x double, y double")
+    return left, right
+
+
+@pytest.mark.parametrize("points", [4, 64])
+def test_nearest_point_by_cells_equals_all_distances(spark, points):
+    rng = np.random.default_rng(12)
+    a, b = {}, {}
+    a[1], b[1] = rng.random((300, 2)), rng.random((500, 2))
+    crowd = np.concatenate([rng.random((200, 2)) * 1e6, 5.0 + rng.random((150, 2)) * 1e-6, np.full((150, 2), 7.5)])  # a third in a speck, a third at one place
+    a[2], b[2] = rng.permutation(crowd)[:300], crowd
+    a[3], b[3] = rng.integers(0, 6, (200, 2)), rng.integers(0, 6, (300, 2))  # ties everywhere
+    a[4], b[4] = rng.random((20, 2)) * [1, 0], rng.random((90, 2)) * [1, 0]  # on a line
+    a[5], b[5] = rng.random((5, 2)), rng.random((1, 2))
+    a[6], b[7] = rng.random((3, 2)), rng.random((3, 2))  # nothing to meet
+    left, right = clouds(spark, a, b)
+    got = {(r.pair_id, r.query_id): (r.target_id, r.d, r.x2, r.y2) for r in matching._nearest_by_cells(left, right, points).collect()}
+    assert {k[0] for k in got} == {1, 2, 3, 4, 5}
+    for pair in range(1, 6):
+        d = np.sqrt(((np.asarray(a[pair], float)[:, None] - np.asarray(b[pair], float)) ** 2).sum(2))
+        for i, row in enumerate(d):
+            last = len(row) - 1 - row[::-1].argmin()  # ids fall, so the lowest is last
+            assert got[pair, i] == (len(row) - last, row[last], *map(float, b[pair][last]))
+    small = matching.nearest_point(left, right)
+    large = matching.nearest_point(left, right, rows=10)
+    assert sorted(small.select("pair_id", "query_id", "target_id").collect()) == sorted(large.select("pair_id", "query_id", "target_id").collect())
+
+
+def test_index_looks_at_few_cells(spark):
+    """Cells per query do not grow with the points, also where a third lies in a speck."""
+    rng = np.random.default_rng(3)
+    for n in (1000, 8000):
+        even = rng.random((n, 2))
+        uneven = np.where(np.arange(n)[:, None] % 3 == 0, 0.3 + even * 1e-5, even)
+        for pts in (even, uneven):
+            left, right = clouds(spark, {1: rng.permutation(pts)[:500] + 1e-7}, {1: pts})
+            cells = matching._cells(right, 16)
+            assert cells.selectExpr("max(size(points))").first()[0] <= 16
+            assert matching._near_cells(left, cells).count() < 500 * 8
+
+
+def test_points_without_coordinates_take_no_part(spark):
+    left = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, None, 0.0), (1, 3, float("nan"), 0.0)], "pair_id long, query_id long, x double, y double")
+    right = spark.createDataFrame([(1, 1, None, 0.0), (1, 2, 3.0, 4.0), (1, 3, 0.0, float("nan"))], "pair_id long, target_id long, x double, y double")
+    for rows in (4096, 1):
+        assert [(r.query_id, r.target_id, r.d) for r in matching.nearest_point(left, right, rows=rows).collect()] == [(1, 2, 5.0)]
+        assert matching.nearest_point(left, right.limit(0), rows=rows).collect() == []
+
+
 @pytest.mark.parametrize("rows", [4096, 13])
 def test_nearest_features_brute_force(spark, rows):
     rng = np.random.default_rng(6)

@@ -1,8 +1,10 @@
 """2-D registration of many pairs at once: fits, scoring, RANSAC, trimming, ICP, smoothness.
 
 Matches are rows ``(pair_id, match_id, x1, y1, x2, y2)`` with an optional ``weight``; models
-are ``(pair_id, cos, sin, tx, ty)``. Fits are single grouped aggregates of co-moments, so
-a pair of any size is only ever reduced to a handful of sums.
+are ``(pair_id, cos, sin, tx, ty)``, or ``pair_id`` and the parameters of a model of one's own:
+wherever ``kind`` is asked for, ``"translation"``, ``"rigid"`` or an ``operators.models.Model``
+will do. Fits are single grouped aggregates of co-moments, so a pair of any size is only ever
+reduced to a handful of sums.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ from pyspark.sql import functions as F
 
 from topiclens.functions.scalars import draw
 from topiclens.operators.matching import nearest_point
+from topiclens.operators.models import ARRAYS, COLUMNS, POINTS, Model, model_of
 from topiclens.session import cut_lineage
-from topiclens.spread import TILE_ROWS, group_median, largest_group, lookup_join, number_rows, pack_blocks, tile_join
+from topiclens.spread import TILE_ROWS, group_median, largest_group, lookup_join, number_rows, pack_blocks
 
-MODEL = ["cos", "sin", "tx", "ty"]
 MAX_TRUST = 4.0  # fixed value
 GROW_ITERATIONS = 1000  # fixed value: hypotheses per round of the growing search
 GROW_PATIENCE = 4  # fixed value: rounds without more inliers
-MIN_MATCHES = {"translation": 1, "rigid": 2}
+BUCKETS = 32  # of a residual histogram
+CELLS = 1 << 20  # (candidate, match) pairs looked at together
 
 
 def fit_translation(matches: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -62,46 +65,49 @@ def fit_rigid(matches: DataFrame, keys: list[str] | None = None) -> DataFrame:
 FITS: dict[str, Callable] = {"translation": fit_translation, "rigid": fit_rigid}
 
 
-def apply_transform(points: DataFrame, models: DataFrame, amount: float = 1.0) -> DataFrame:
-    """Map ``x, y``; ``amount`` moves a point that fraction of the way."""
-    j = lookup_join(points, models.select("pair_id", *MODEL), ["pair_id"])
-    fx = F.col("cos") * F.col("x") - F.col("sin") * F.col("y") + F.col("tx")
-    fy = F.col("sin") * F.col("x") + F.col("cos") * F.col("y") + F.col("ty")
-    return _moved(j, points, fx, fy, amount)
+def fit_model(matches: DataFrame, kind: str | Model = "rigid", keys: list[str] | None = None) -> DataFrame:
+    """Least-squares model of every group; of a model of one's own only where it is defined."""
+    keys = keys or ["pair_id"]
+    return FITS[kind](matches, keys) if isinstance(kind, str) else kind.fit_matches(matches, keys)
 
 
-def apply_inverse(points: DataFrame, models: DataFrame, amount: float = 1.0) -> DataFrame:
-    j = lookup_join(points, models.select("pair_id", *MODEL), ["pair_id"])
-    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    return _moved(j, points, F.col("cos") * dx + F.col("sin") * dy, F.col("cos") * dy - F.col("sin") * dx, amount)
+def apply_transform(points: DataFrame, models: DataFrame, amount: float = 1.0, kind: str | Model = "rigid") -> DataFrame:
+    """Map ``x, y``; ``amount`` moves a point that fraction of the way."""
+    model = model_of(kind)
+    return _moved(points, models, model, model.apply, amount)
 
 
-def _moved(joined, points, fx, fy, amount):
-    part = lambda old, new: new if amount == 1.0 else old + (new - old) * amount
-    fields = [c for c in points.columns if c not in ("x", "y")]
-    return joined.select(*fields, part(F.col("x"), fx).alias("x"), part(F.col("y"), fy).alias("y"))
+def apply_inverse(points: DataFrame, models: DataFrame, amount: float = 1.0, kind: str | Model = "rigid") -> DataFrame:
+    model = model_of(kind)
+    return _moved(points, models, model, model.inverse, amount)
 
 
-def transfer_error():
-    """Column: distance between the mapped first point and the second."""
-    ex = F.col("cos") * F.col("x1") - F.col("sin") * F.col("y1") + F.col("tx") - F.col("x2")
-    ey = F.col("sin") * F.col("x1") + F.col("cos") * F.col("y1") + F.col("ty") - F.col("y2")
-    return F.sqrt(ex * ex + ey * ey)
+def _moved(points, models, model, function, amount):
+    fields = [c for c in points.columns if c not in ("x", "y")]
+    held = models.select("pair_id", *(F.col(c).alias(f"_{c}") for c in model.params))
+    joined = lookup_join(points, held, ["pair_id"])
+    x, y = function({c: F.col(f"_{c}") for c in model.params}, F.col("x"), F.col("y"))
+    part = lambda old, new: new if amount == 1.0 else old + (new - old) * amount
+    return joined.select(*fields, part(F.col("x"), x).alias("x"), part(F.col("y"), y).alias("y"))
 
 
-def with_error(matches: DataFrame, models: DataFrame) -> DataFrame:
-    joined = lookup_join(matches, models.select("pair_id", *MODEL), ["pair_id"])
-    return joined.withColumn("error", transfer_error()).select(*matches.columns, "error")
+def with_error(matches: DataFrame, models: DataFrame, kind: str | Model = "rigid") -> DataFrame:
+    """``error``: distance between the mapped first point and the second."""
+    model = model_of(kind)
+    joined = lookup_join(matches, models.select("pair_id", *model.params), ["pair_id"])
+    return joined.withColumn("error", model.error_column()).select(*matches.columns, "error")
 
 
-def threshold_inliers(matches: DataFrame, models: DataFrame, eps: float) -> DataFrame:
+def threshold_inliers(matches: DataFrame, models: DataFrame, eps: float, kind: str | Model = "rigid") -> DataFrame:
     """Matches with a transfer error below ``eps``."""
-    return with_error(matches, models).filter(F.col("error") < eps)
+    return with_error(matches, models, kind).filter(F.col("error") < eps)
 
 
-def score_model(matches: DataFrame, models: DataFrame, eps: float, min_ratio: float, min_n: int) -> DataFrame:
+def score_model(
+    matches: DataFrame, models: DataFrame, eps: float, min_ratio: float, min_n: int, kind: str | Model = "rigid"
+) -> DataFrame:
     """Inliers, their share, cost and whether the model passes, per pair."""
-    counted = with_error(matches, models).groupBy("pair_id").agg(
+    counted = with_error(matches, models, kind).groupBy("pair_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("error") < eps).alias("inliers")
     )
     ratio = F.col("inliers") / F.col("n")
@@ -155,127 +161,100 @@ def prepare_matches(matches: DataFrame, seed: int = 0, rows: int = TILE_ROWS) ->
     return PreparedMatches(firsts.select("pair_id", "total"), ranked, blocks)
 
 
-def draw_hypotheses(prepared: PreparedMatches, iterations: int, kind: str, seed: int = 0, only: DataFrame | None = None) -> DataFrame:
-    """Models from random minimal sets: ``(pair_id, hyp, cos, sin, tx, ty)``.
+def draw_hypotheses(
+    prepared: PreparedMatches, iterations: int, kind: str | Model, seed: int = 0, only: DataFrame | None = None
+) -> DataFrame:
+    """Models from random minimal sets: ``pair_id, hyp`` and the parameters.
 
-    A hypothesis takes the matches at random places of the pair, found by equi-join; two
-    equal points give no model.
+    A hypothesis takes the matches at random places of the pair, found by equi-join; a set
+    that determines no model (two equal points) gives none.
     """
-    size = MIN_MATCHES[kind]
+    model = model_of(kind)
+    size = model.min_matches
     pairs = prepared.totals if only is None else prepared.totals.join(only, "pair_id", "left_semi")
     tries = pairs.filter(F.col("total") >= size).withColumn("hyp", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     for j in range(size):
-        # the second place is drawn from the remaining ones, so the two always differ
+        # a place is drawn from the remaining ones, so no two are equal
         pick = F.pmod(draw("pair_id", "hyp", F.lit(seed), F.lit(j)), F.col("total") - j).cast("long")
-        if j == 1:
-            pick = F.when(pick >= F.col("r0"), pick + 1).otherwise(pick)
+        if j:
+            before = F.array_sort(F.array(*(F.col(f"r{i}") for i in range(j))))
+            pick = F.aggregate(before, pick, lambda at, other: F.when(at >= other, at + 1).otherwise(at))
         tries = tries.withColumn(f"r{j}", pick)
     for j in range(size):
-        side = prepared.ranked.select(
-            "pair_id", F.col("place").alias(f"r{j}"), *(F.col(c).alias(f"{c}_{j}") for c in ("x1", "y1", "x2", "y2"))
-        )
+        side = prepared.ranked.select("pair_id", F.col("place").alias(f"r{j}"), *(F.col(c).alias(f"{c}_{j}") for c in POINTS))
         tries = tries.join(side, ["pair_id", f"r{j}"])
-    if kind == "translation":
-        return tries.select(
-            "pair_id", "hyp", F.lit(1.0).alias("cos"), F.lit(0.0).alias("sin"),
-            (F.col("x2_0") - F.col("x1_0")).alias("tx"), (F.col("y2_0") - F.col("y1_0")).alias("ty"),
-        )
-    d = lambda c: F.col(f"{c}_1") - F.col(f"{c}_0")
-    length = F.sqrt((d("x1") * d("x1") + d("y1") * d("y1")) * (d("x2") * d("x2") + d("y2") * d("y2")))
-    turned = tries.withColumn("l", length).filter("l > 0")
-    turned = turned.withColumn("cos", (d("x1") * d("x2") + d("y1") * d("y2")) / F.col("l"))
-    turned = turned.withColumn("sin", (d("x1") * d("y2") - d("y1") * d("x2")) / F.col("l"))
-    return turned.select(
-        "pair_id", "hyp", "cos", "sin",
-        (F.col("x2_0") - F.col("cos") * F.col("x1_0") + F.col("sin") * F.col("y1_0")).alias("tx"),
-        (F.col("y2_0") - F.col("sin") * F.col("x1_0") - F.col("cos") * F.col("y1_0")).alias("ty"),
-    )
-
-
-SUMS = ["n", "sx1", "sy1", "sx2", "sy2", "cc", "ss"]
+    fitted, whole = model.minimal([{c: F.col(f"{c}_{j}") for c in POINTS} for j in range(size)], COLUMNS)
+    return tries.filter(whole).select("pair_id", "hyp", *(fitted[c].alias(c) for c in model.params))
 
 
-def _moments(x1, y1, x2, y2) -> np.ndarray:
-    """Terms whose (weighted) sums determine a fit, one row per match."""
-    return np.stack([np.ones_like(x1), x1, y1, x2, y2, x1 * x2 + y1 * y2, x1 * y2 - y1 * x2], 1)
-
-
-def _inlier_sums(blocks: DataFrame, models: DataFrame, eps: float) -> DataFrame:
+def _inlier_sums(blocks: DataFrame, models: DataFrame, eps: float, model: Model) -> DataFrame:
     """Moments of the inliers of every (pair, hypothesis), summed over match blocks.
 
     The models of a pair travel as one row to its blocks; blocks of a large pair are
     salted over tasks, and only sums leave them.
     """
-    packed = models.groupBy("pair_id").agg(F.collect_list(F.struct("hyp", *MODEL)).alias("m"))
-    packed = packed.select("pair_id", *(F.col(f"m.{c}").alias(c) for c in ("hyp", *MODEL)))
+    names = model.sums()
+    packed = models.groupBy("pair_id").agg(F.collect_list(F.struct("hyp", *model.params)).alias("m"))
+    packed = packed.select("pair_id", *(F.col(f"m.{c}").alias(c) for c in ("hyp", *model.params)))
 
     def run(frames):
         for pdf in frames:
             out = []
             for row in pdf.itertuples(index=False):
-                c, s, tx, ty = (np.asarray(getattr(row, k))[:, None] for k in MODEL)
-                ex, ey = c * row.x1 - s * row.y1 + tx - row.x2, s * row.x1 + c * row.y1 + ty - row.y2
+                x, y = model.apply({k: np.asarray(getattr(row, k))[:, None] for k in model.params}, row.x1, row.y1)
+                ex, ey = x - row.x2, y - row.y2
                 inside = (ex * ex + ey * ey < eps * eps).astype(float)
-                sums = inside @ _moments(row.x1, row.y1, row.x2, row.y2)
-                out.append(pd.DataFrame({"pair_id": row.pair_id, "hyp": row.hyp, **dict(zip(SUMS, sums.T))}))
+                sums = inside @ model.row_terms(row.x1, row.y1, row.x2, row.y2)
+                out.append(pd.DataFrame({"pair_id": row.pair_id, "hyp": row.hyp, **dict(zip(names, sums.T))}))
             if out:
                 yield pd.concat(out)
 
     met = lookup_join(blocks, packed, ["pair_id"], salt_by=["block"]).drop("block")
-    parts = met.mapInPandas(run, "pair_id LONG, hyp INT, " + ", ".join(f"{n} DOUBLE" for n in SUMS))
-    return parts.groupBy("pair_id", "hyp").agg(*(F.sum(n).alias(n) for n in SUMS))
-
-
-def _refit(kind: str) -> list:
-    """Model columns from moments."""
-    m = lambda c: F.col(c) / F.col("n")
-    if kind == "translation":
-        return [F.lit(1.0).alias("cos"), F.lit(0.0).alias("sin"), (m("sx2") - m("sx1")).alias("tx"), (m("sy2") - m("sy1")).alias("ty")]
-    dot = F.col("cc") - (F.col("sx1") * F.col("sx2") + F.col("sy1") * F.col("sy2")) / F.col("n")
-    cross = F.col("ss") - (F.col("sx1") * F.col("sy2") - F.col("sy1") * F.col("sx2")) / F.col("n")
-    angle = F.atan2(cross, dot)
-    c, s = F.cos(angle), F.sin(angle)
-    return [
-        c.alias("cos"), s.alias("sin"),
-        (m("sx2") - c * m("sx1") + s * m("sy1")).alias("tx"), (m("sy2") - s * m("sx1") - c * m("sy1")).alias("ty"),
-    ]
+    parts = met.mapInPandas(run, "pair_id LONG, hyp INT, " + ", ".join(f"{n} DOUBLE" for n in names))
+    return parts.groupBy("pair_id", "hyp").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def search_models(
-    prepared: PreparedMatches, iterations: int, eps: float, min_ratio: float, min_n: int | None, kind: str, seed: int,
+    prepared: PreparedMatches, iterations: int, eps: float, min_ratio: float, min_n: int | None, kind: str | Model, seed: int,
     only: DataFrame | None = None,
 ) -> DataFrame:
     """The core of ``ransac`` on prepared matches, for the pairs in ``only``."""
-    least = MIN_MATCHES[kind]
+    model = model_of(kind)
+    params, least = model.params, model.min_matches
     min_n = least if min_n is None else min_n
     settled, need = None, least
-    before = draw_hypotheses(prepared, iterations, kind, seed, only).withColumn("before", F.lit(0.0))
+    before = draw_hypotheses(prepared, iterations, model, seed, only).withColumn("before", F.lit(0.0))
     while True:
         before = cut_lineage(before)
         if before.isEmpty():
             break
-        sums = _inlier_sums(prepared.blocks, before, eps)
+        sums = _inlier_sums(prepared.blocks, before, eps, model)
         scored = cut_lineage(sums.join(before, ["pair_id", "hyp"]).join(prepared.totals, "pair_id"))
         ratio = F.col("n") / F.col("total")
         good = scored.filter((F.col("n") >= need) & (ratio > min_ratio))
-        stopped = good.filter("n <= before").select("pair_id", "hyp", *MODEL, F.col("n").alias("inliers"), (1 - ratio).alias("cost"))
+        stopped = good.filter("n <= before").select("pair_id", "hyp", *params, F.col("n").alias("inliers"), (1 - ratio).alias("cost"))
         settled = stopped if settled is None else settled.unionByName(stopped)
-        before = good.filter("n > before").select("pair_id", "hyp", *_refit(kind), F.col("n").alias("before"))
+        # inliers that determine no model end a search: it settles on the model that found them
+        grown = good.filter("n > before")
+        settled = settled.unionByName(
+            grown.filter(~model.defined_column()).select("pair_id", "hyp", *params, F.col("n").alias("inliers"), (1 - ratio).alias("cost"))
+        )
+        before = grown.filter(model.defined_column()).select("pair_id", "hyp", *model.fit_columns(), F.col("n").alias("before"))
         need = min_n
     if settled is None:  # no pair has enough matches for a hypothesis
-        none = [F.lit(0.0).alias(c) for c in (*MODEL, "inliers", "cost")]
+        none = [F.lit(0.0).alias(c) for c in (*params, "inliers", "cost")]
         settled = before.select("pair_id", "hyp", *none)
     best = settled.filter(F.col("inliers") >= min_n).groupBy("pair_id").agg(
-        F.min_by(F.struct(*MODEL, "inliers", "cost"), F.struct("cost", "hyp")).alias("b")
+        F.min_by(F.struct(*params, "inliers", "cost"), F.struct("cost", "hyp")).alias("b")
     )
-    return best.select("pair_id", *(F.col(f"b.{c}").alias(c) for c in MODEL), F.col("b.inliers").cast("long").alias("inliers"), "b.cost")
+    return best.select("pair_id", *(F.col(f"b.{c}").alias(c) for c in params), F.col("b.inliers").cast("long").alias("inliers"), "b.cost")
 
 
 def ransac(
     matches: DataFrame, iterations: int, eps: float, min_ratio: float, min_n: int | None = None,
-    kind: str = "rigid", seed: int = 0, rows: int = TILE_ROWS,
+    kind: str | Model = "rigid", seed: int = 0, rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Best model per pair: ``(pair_id, cos, sin, tx, ty, inliers, cost)``.
+    """Best model per pair: ``pair_id``, the parameters, ``inliers, cost``.
 
     All hypotheses of all pairs are scored together, then refitted on their inliers while
     these grow. Pairs without an acceptable model give no row.
@@ -284,26 +263,28 @@ def ransac(
 
 
 def ransac_grow_epsilon(
-    matches: DataFrame, min_eps: float, max_eps: float, min_ratio: float, kind: str = "rigid",
+    matches: DataFrame, min_eps: float, max_eps: float, min_ratio: float, kind: str | Model = "rigid",
     iterations: int = GROW_ITERATIONS, seed: int = 0,
 ) -> DataFrame:
     """RANSAC with a rising tolerance until several rounds bring no more inliers.
 
     Pairs that have settled leave the search; the loop ends when none is left.
     """
+    model = model_of(kind)
+    params = model.params
     prepared = prepare_matches(matches, seed)
     active = cut_lineage(
-        prepared.totals.filter(F.col("total") > MIN_MATCHES[kind]).select(
+        prepared.totals.filter(F.col("total") > model.min_matches).select(
             "pair_id", F.lit(0).alias("stale"), F.lit(0).cast("long").alias("most")
         )
     )
     found_any, eps, step = None, 0.0, 0
     while eps < max_eps and not active.isEmpty():
         eps, step = eps + min_eps, step + 1
-        found = search_models(prepared, iterations, eps, min_ratio, None, kind, seed + step, active)
+        found = search_models(prepared, iterations, eps, min_ratio, None, model, seed + step, active)
         state = cut_lineage(active.join(found, "pair_id", "left"))
         grew = F.col("inliers") > F.col("most")
-        better = state.filter(grew).select("pair_id", *MODEL, "inliers", "cost", F.lit(eps).alias("eps"))
+        better = state.filter(grew).select("pair_id", *params, "inliers", "cost", F.lit(eps).alias("eps"))
         found_any = better if found_any is None else found_any.unionByName(better)
         stale = F.when(F.col("inliers").isNull(), F.col("stale")).when(grew, 0).otherwise(F.col("stale") + 1)
         active = cut_lineage(
@@ -312,10 +293,10 @@ def ransac_grow_epsilon(
             ).filter(F.col("stale") < GROW_PATIENCE)
         )
     if found_any is None:  # no pair has enough matches
-        none = [F.lit(0.0).alias(c) for c in (*MODEL, "cost", "eps")]
+        none = [F.lit(0.0).alias(c) for c in (*params, "cost", "eps")]
         found_any = active.filter("false").select("pair_id", *none, F.lit(0).cast("long").alias("inliers"))
     # inliers only ever rise from one kept model of a pair to the next
-    last = found_any.groupBy("pair_id").agg(F.max_by(F.struct(*MODEL, "inliers", "cost", "eps"), "inliers").alias("b"))
+    last = found_any.groupBy("pair_id").agg(F.max_by(F.struct(*params, "inliers", "cost", "eps"), "inliers").alias("b"))
     return last.select("pair_id", "b.*")
 
 
@@ -331,19 +312,22 @@ def _progress(judged: DataFrame) -> tuple[bool, int]:
     return moving is not None, moving or 0
 
 
-def trim_outliers(matches: DataFrame, max_trust: float = MAX_TRUST, kind: str = "rigid", min_n: int | None = None) -> tuple[DataFrame, DataFrame]:
+def trim_outliers(
+    matches: DataFrame, max_trust: float = MAX_TRUST, kind: str | Model = "rigid", min_n: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Refit and drop residuals above ``max_trust`` times the median until stable.
 
     Returns (models, kept matches). Only pairs that still lose matches are worked on
-    again; finished rows stay in their round's table.
+    again; finished rows stay in their round's table. A pair without a model keeps nothing.
     """
-    min_n = MIN_MATCHES[kind] if min_n is None else min_n
+    model = model_of(kind)
+    min_n = model.min_matches if min_n is None else min_n
     open_ = cut_lineage(matches)
     largest, done = largest_group(open_, ["pair_id"]), None
     while True:
-        fitted = FITS[kind](open_).drop("n")
+        fitted = fit_model(open_, kind).drop("n")
         errors = cut_lineage(
-            lookup_join(open_, fitted, ["pair_id"], salt_by=["pair_id", "match_id"]).withColumn("error", transfer_error())
+            lookup_join(open_, fitted, ["pair_id"], salt_by=["pair_id", "match_id"]).withColumn("error", model.error_column())
         )
         limits = group_median(errors.select("pair_id", "error"), ["pair_id"], "error", "mid", largest=largest)
         judged = lookup_join(errors, limits, ["pair_id"], salt_by=["pair_id", "match_id"])
@@ -355,21 +339,21 @@ def trim_outliers(matches: DataFrame, max_trust: float = MAX_TRUST, kind: str =
             break
         open_ = judged.filter("n > left and keep").select(*matches.columns)
     models = done.groupBy("pair_id").agg(
-        *(F.first(c).alias(c) for c in MODEL), F.count("*").alias("n"), F.avg("error").alias("mean_error")
+        *(F.first(c).alias(c) for c in model.params), F.count("*").alias("n"), F.avg("error").alias("mean_error")
     )
     return models.filter(F.col("n") >= min_n), done.select(*matches.columns)
 
 
 def ransac_trim(
     matches: DataFrame, iterations: int, eps: float, min_ratio: float, min_n: int | None = None,
-    max_trust: float = MAX_TRUST, kind: str = "rigid", seed: int = 0,
+    max_trust: float = MAX_TRUST, kind: str | Model = "rigid", seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """RANSAC, then trimming of its inliers."""
     best = cut_lineage(ransac(matches, iterations, eps, min_ratio, min_n, kind, seed))
-    return trim_outliers(threshold_inliers(matches, best, eps).drop("error"), max_trust, kind, min_n)
+    return trim_outliers(threshold_inliers(matches, best, eps, kind).drop("error"), max_trust, kind, min_n)
 
 
-def icp(p: DataFrame, q: DataFrame, kind: str = "rigid", max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def icp(p: DataFrame, q: DataFrame, kind: str | Model = "rigid", max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
     """Match nearest points and refit until the matches stay the same.
 
     ``p`` is ``(pair_id, query_id, x, y)``, ``q`` is ``(pair_id, target_id, x, y)``. Returns
@@ -384,7 +368,7 @@ def icp(p: DataFrame, q: DataFrame, kind: str = "rigid", max_rounds: int = 50) -
     for _ in range(max_rounds):
         near = nearest_point(moved, q, largest=largest).select("pair_id", "query_id", "target_id", "x2", "y2")
         current = cut_lineage(near.join(start, ["pair_id", "query_id"]))
-        fitted = cut_lineage(FITS[kind](current))
+        fitted = cut_lineage(fit_model(current, kind))
         if previous is None:
             active = current.select("pair_id").distinct()
             matches, models = current, fitted
@@ -401,81 +385,246 @@ def icp(p: DataFrame, q: DataFrame, kind: str = "rigid", max_rounds: int = 50) -
         still = lookup_join(start, active, ["pair_id"]).select(
             "pair_id", "query_id", F.col("x1").alias("x"), F.col("y1").alias("y")
         )
-        moved = apply_transform(still, fitted)
+        moved = apply_transform(still, fitted, kind=kind)
     open_ = active.withColumn("_open", F.lit(True))
     models = models.join(open_, "pair_id", "left").withColumn("settled", F.col("_open").isNull()).drop("_open")
     return models, matches
 
 
-def _weights(left, right, var2):
-    dx = left["x1"].to_numpy()[:, None] - right["x1"].to_numpy()
-    dy = left["y1"].to_numpy()[:, None] - right["y1"].to_numpy()
+def _nearness(one: dict, other: dict, var2: float) -> np.ndarray:
+    """Weight of every match around every candidate, none for itself."""
+    dx, dy = one["x1"][:, None] - other["x1"], one["y1"][:, None] - other["y1"]
     w = np.exp(-(dx * dx + dy * dy) / var2)
-    w[left["match_id"].to_numpy()[:, None] == right["other_id"].to_numpy()] = 0.0
+    w[one["match_id"][:, None] == other["match_id"]] = 0.0
     return w
 
 
-def _local_fit(candidates: DataFrame, around: DataFrame, sigma: float, kind: str, rows: int, largest) -> DataFrame:
-    """Model fitted around each candidate from weighted moments, summed over blocks."""
+def _slices(left: dict, others: int):
+    """The candidates of a block in runs of at most ``CELLS`` pairs."""
+    n = len(left["match_id"])
+    step = max(1, CELLS // max(1, others))
+    for at in range(0, n, step):
+        yield {k: v[at : at + step] for k, v in left.items()}
+
+
+def _residuals(model: Model, params: np.ndarray, right: dict) -> np.ndarray:
+    """Errors of all matches under the model of each candidate (a row of ``params``)."""
+    p = {name: params[:, i, None] for i, name in enumerate(model.params)}
+    return model.errors(p, *(right[c] for c in POINTS))
+
+
+def _members(model: Model, past: np.ndarray, right: dict) -> np.ndarray:
+    """Which matches a candidate has kept so far: those within every limit of its past models."""
+    width = len(model.params) + 1
+    kept = np.ones((len(past), len(right["x1"])), bool)
+    for at in range(0, past.shape[1], width):
+        kept &= _residuals(model, past[:, at : at + width - 1], right) <= past[:, at + width - 1, None]
+    return kept
+
+
+def _trimmed_fits(left: dict, right: dict, model: Model, var2: float, max_trust: float) -> tuple[np.ndarray, np.ndarray]:
+    """For candidates whose surroundings are all at hand: parameters, and whether there are any."""
+    n, names = len(left["match_id"]), model.sums()
+    terms = model.row_terms(*(right[c] for c in POINTS))
+    weights, kept = _nearness(left, right, var2), np.ones((n, len(terms)), bool)
+    params, found, open_ = np.zeros((n, len(model.params))), np.zeros(n, bool), np.arange(n)
+    while len(open_):
+        held = kept[open_].sum(1)
+        sums = dict(zip(names, ((weights[open_] * kept[open_]) @ terms).T))
+        with np.errstate(all="ignore"):
+            whole = (held >= model.min_matches) & model.defined(sums, ARRAYS)
+            fitted = model.fit(sums, ARRAYS)
+        fitted = np.stack([np.broadcast_to(fitted[p], held.shape) for p in model.params], 1)[whole]
+        open_, held = open_[whole], held[whole]
+        errors = np.where(kept[open_], _residuals(model, fitted, right), np.inf)
+        ordered, rows = np.sort(errors, 1), np.arange(len(open_))
+        middle = (ordered[rows, (held - 1) // 2] + ordered[rows, held // 2]) / 2
+        kept[open_] &= errors <= (middle * max_trust)[:, None]
+        same = kept[open_].sum(1) == held
+        params[open_[same]], found[open_[same]] = fitted[same], True
+        open_ = open_[~same]
+    return params, found
 
-    def kernel(left, right):
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in ("pair_id", "match_id", *SUMS)})
-        terms = _moments(*(right[c].to_numpy() for c in ("x1", "y1", "x2", "y2")))
-        sums = _weights(left, right, 2.0 * sigma * sigma) @ terms
-        return left[["pair_id", "match_id"]].assign(**dict(zip(SUMS, sums.T)))
-
-    parts = tile_join(
-        candidates, around, ["pair_id"], ["match_id"], ["other_id"], kernel,
-        "pair_id LONG, match_id LONG, " + ", ".join(f"{n} DOUBLE" for n in SUMS), rows, largest,
-    )
-    sums = parts.groupBy("pair_id", "match_id").agg(*(F.sum(n).alias(n) for n in SUMS)).filter("n > 0")
-    return sums.select("pair_id", "match_id", *_refit(kind))
 
+@dataclass
+class _Surroundings:
+    """The matches around the candidates of a pass: rows, blocks of them, and their largest pair."""
+
+    matches: DataFrame
+    blocks: DataFrame
+    rows: int
+    largest: int
+
+    def tiles(self, candidates: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+        """``kernel(left, right)`` for every block of candidates and block of matches of a pair,
+        each a dict of arrays; it returns columns that are merged afterwards."""
+        packed = pack_blocks(candidates, ["pair_id"], ["match_id"], self.rows)
+        own = [c for c in packed.columns if c not in ("pair_id", "block")]
+        other = self.blocks.select("pair_id", F.col("block").alias("_other"), *(F.col(c).alias(f"_r_{c}") for c in ("match_id", *POINTS)))
+        met = lookup_join(packed, other.select("pair_id", "_other"), ["pair_id"], salt_by=["pair_id", "block"])
+        met = met.join(other, ["pair_id", "_other"]).drop("block", "_other")
+
+        def run(frames):
+            for pdf in frames:
+                for row in pdf.to_dict("records"):
+                    right = {c: row[f"_r_{c}"] for c in ("match_id", *POINTS)}
+                    left = {c: np.stack(row[c]) if c == "past" else row[c] for c in own}
+                    for part in _slices(left, len(right["x1"])):
+                        yield pd.DataFrame({"pair_id": row["pair_id"], **kernel(part, right)})
+
+        return met.mapInPandas(run, "pair_id LONG, match_id LONG, " + schema)
+
+
+def _local_models(around: _Surroundings, sigma: float, max_trust: float, model: Model) -> DataFrame:
+    """Model around each match, trimmed: ``pair_id, match_id`` and the parameters, for those that have one.
+
+    The others are weighted by their distance and fitted; those whose error exceeds
+    ``max_trust`` times the median error of the matches still held go, and so on until none
+    goes. Pairs of one block are done in their task. In larger ones no task sees all matches of
+    a pair: sums come back for the fit, and the median is found by histograms (``_medians``).
+    What a candidate holds is never stored: its past models and limits say it.
+    """
+    var2, key, names = 2.0 * sigma * sigma, ["pair_id", "match_id"], model.sums()
+    if around.largest <= around.rows:
+        fields = ", ".join(f"{p} DOUBLE" for p in model.params)
+
+        def whole(pdf):
+            right = {c: pdf[c].to_numpy() for c in ("match_id", *POINTS)}
+            out = []
+            for left in _slices(right, len(pdf)):
+                params, found = _trimmed_fits(left, right, model, var2, max_trust)
+                out.append(pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "match_id": left["match_id"], **dict(zip(model.params, params.T))})[found])
+            return pd.concat(out)
 
-def _local_error(candidates: DataFrame, around: DataFrame, sigma: float, rows: int, largest) -> DataFrame:
+        return around.matches.groupBy("pair_id").applyInPandas(whole, f"pair_id LONG, match_id LONG, {fields}")
+
+    def sums_kernel(left, right):
+        held = _members(model, left["past"], right)
+        sums = (_nearness(left, right, var2) * held) @ model.row_terms(*(right[c] for c in POINTS))
+        return {"match_id": left["match_id"], "held": held.sum(1), **dict(zip(names, sums.T))}
+
+    fields = "held LONG, " + ", ".join(f"{n} DOUBLE" for n in names)
+    open_ = around.matches.withColumn("past", F.array().cast("array<double>")).withColumn("was", F.lit(0).cast("long"))
+    done = None
+    while True:
+        parts = around.tiles(open_.drop("was"), sums_kernel, fields)
+        sums = parts.groupBy(*key).agg(F.sum("held").alias("held"), *(F.sum(n).alias(n) for n in names))
+        judged = cut_lineage(open_.join(sums, key))
+        # nothing went: the last model was fitted to just these
+        size = len(model.params) + 1
+        last = [F.expr(f"past[size(past) - {size} + {i}]").alias(p) for i, p in enumerate(model.params)]
+        stable = judged.filter("held = was").select(*key, *last)
+        done = stable if done is None else done.unionByName(stable)
+        moving = judged.filter("held <> was").filter((F.col("held") >= model.min_matches) & model.defined_column())
+        open_ = cut_lineage(moving.select(*key, *POINTS, "past", F.col("held").alias("was"), *model.fit_columns()))
+        if open_.isEmpty():
+            return cut_lineage(done)
+        limits = _medians(around, open_, model).select(*key, (F.col("median") * max_trust).alias("_limit"))
+        open_ = open_.join(limits, key).select(*key, *POINTS, F.concat("past", F.array(*model.params, "_limit")).alias("past"), "was")
+        open_ = cut_lineage(open_)
+
+
+def _medians(around: _Surroundings, candidates: DataFrame, model: Model) -> DataFrame:
+    """Exact median error, under each candidate's model, of the ``was`` matches it holds.
+
+    Errors are not negative, so they sort as the whole numbers their bits are. A histogram of
+    32 buckets between two of them, with the least and greatest error of each bucket, is summed
+    over the blocks; the bucket with the middle is divided next, until it holds one value. The
+    upper middle of an even number is that value again or the least above it.
+    """
+    key = ["pair_id", "match_id"]
+
+    def histogram(left, right):
+        params = np.stack([left[p] for p in model.params], 1)
+        errors = _residuals(model, params, right)
+        bits, low, high = (np.ascontiguousarray(a).view(np.int64) for a in (errors, left["low"], left["high"]))
+        at, other = np.nonzero(_members(model, left["past"], right) & (bits >= low[:, None]) & (bits <= high[:, None]))
+        own = errors[at, other]
+        place = at * BUCKETS + (bits[at, other] - low[at]) // ((high - low) // BUCKETS + 1)[at]
+        order = np.lexsort((own, place))
+        place, own = place[order], own[order]
+        met, first, count = np.unique(place, return_index=True, return_counts=True)
+        return {
+            "match_id": left["match_id"][met // BUCKETS], "bucket": met % BUCKETS, "n": count, "least": own[first], "most": own[first + count - 1]
+        }
+
+    columns = [*key, *POINTS, "past", *model.params, "rank", "even", "low", "high", "above"]
+    open_ = candidates.select(
+        *key, *POINTS, "past", *model.params, F.expr("(was - 1) div 2").alias("rank"), (F.col("was") % 2 == 0).alias("even"),
+        F.lit(0.0).alias("low"), F.lit(float(np.finfo(float).max)).alias("high"), F.lit(None).cast("double").alias("above"),
+    )
+    done = None
+    while True:
+        parts = around.tiles(open_.drop("rank", "even", "above"), histogram, "bucket LONG, n LONG, least DOUBLE, most DOUBLE")
+        buckets = parts.groupBy(*key, "bucket").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        lists = buckets.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "least", "most"))).alias("h"))  # at most 32
+        found = open_.join(lists, key)
+        # the bucket of the rank, what lies before it, and the least value after it
+        start = F.struct(
+            F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("least"),
+            F.lit(None).cast("double").alias("most"), F.lit(None).cast("double").alias("next"),
+        )
+
+        def step(s, b):
+            hit = s["n"].isNull() & (F.col("rank") < s["before"] + b["n"])
+            return F.struct(
+                F.when(s["n"].isNull() & ~hit, s["before"] + b["n"]).otherwise(s["before"]).alias("before"),
+                F.when(hit, b["n"]).otherwise(s["n"]).alias("n"),
+                F.when(hit, b["least"]).otherwise(s["least"]).alias("least"),
+                F.when(hit, b["most"]).otherwise(s["most"]).alias("most"),
+                F.when(s["n"].isNotNull() & s["next"].isNull(), b["least"]).otherwise(s["next"]).alias("next"),
+            )
+
+        found = found.withColumn("b", F.aggregate("h", start, step)).withColumn("rank", F.col("rank") - F.col("b.before"))
+        found = found.withColumn("above", F.coalesce("b.next", "above")).withColumns({"low": F.col("b.least"), "high": F.col("b.most")})
+        found = cut_lineage(found.withColumn("inside", F.col("b.n")).select(*columns, "inside"))
+        upper = F.when(F.col("even") & (F.col("rank") + 1 >= F.col("inside")), F.col("above")).otherwise(F.col("low"))
+        settled = found.filter("low = high").select(*key, ((F.col("low") + upper) / 2).alias("median"))
+        done = settled if done is None else done.unionByName(settled)
+        open_ = found.filter("low < high").select(*columns)
+        if open_.isEmpty():
+            return cut_lineage(done)
+
+
+def _local_error(around: _Surroundings, candidates: DataFrame, sigma: float, model: Model) -> DataFrame:
     """Weighted mean error of the surroundings under each candidate's local model."""
 
     def kernel(left, right):
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in ("pair_id", "match_id", "w", "we")})
-        x1, y1, x2, y2 = (right[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
-        c, s, tx, ty = (left[k].to_numpy()[:, None] for k in MODEL)
-        w = _weights(left, right, 2.0 * sigma * sigma)
-        e = np.hypot(c * x1 - s * y1 + tx - x2, s * x1 + c * y1 + ty - y2)
-        return left[["pair_id", "match_id"]].assign(w=w.sum(1), we=(w * e).sum(1))
-
-    parts = tile_join(
-        candidates, around, ["pair_id"], ["match_id"], ["other_id"], kernel,
-        "pair_id LONG, match_id LONG, w DOUBLE, we DOUBLE", rows, largest,
-    )
+        w = _nearness(left, right, 2.0 * sigma * sigma)
+        errors = _residuals(model, np.stack([left[p] for p in model.params], 1), right)
+        return {"match_id": left["match_id"], "w": w.sum(1), "we": (w * errors).sum(1)}
+
+    parts = around.tiles(candidates, kernel, "w DOUBLE, we DOUBLE")
     return parts.groupBy("pair_id", "match_id").agg((F.sum("we") / F.sum("w")).alias("mean_error"))
 
 
 def local_smoothness_filter(
-    matches: DataFrame, sigma: float, max_eps: float, max_trust: float, kind: str = "rigid", rows: int = TILE_ROWS
+    matches: DataFrame, sigma: float, max_eps: float, max_trust: float, kind: str | Model = "rigid", rows: int = TILE_ROWS
 ) -> DataFrame:
-    """Keep matches that agree with a weighted local fit around them.
-
-    A match goes when its error under the local model exceeds ``max_eps`` or
-    ``max_trust`` times the weighted mean error around it; repeated while matches go. A
-    pair left with fewer matches than the model needs keeps none.
+    """Keep matches that agree with a trimmed local fit around them.
+
+    Around each match the others of its pair are weighted by a Gaussian of ``sigma`` and
+    fitted, with those above ``max_trust`` times the median error trimmed (``_local_models``). The
+    match goes when its error under this model exceeds ``max_eps`` or ``max_trust`` times the
+    weighted mean error of all others; repeated while matches go. A pair in which any match's
+    surroundings give no model keeps none, and so does one left with fewer matches than the
+    model needs. Two matches of a pair with equal ids count as one match seen twice.
     """
-    columns = ["pair_id", "match_id", "x1", "y1", "x2", "y2"]
-    key = ["pair_id", "match_id"]
+    model = model_of(kind)
+    columns, key = ["pair_id", "match_id", *POINTS], ["pair_id", "match_id"]
     open_, done = cut_lineage(matches.select(*columns)), None
     largest = largest_group(open_, ["pair_id"])
     while True:
-        around = open_.withColumnRenamed("match_id", "other_id")
-        sizes = (largest, largest)
-        local = open_.join(_local_fit(open_, around, sigma, kind, rows, sizes), key)
-        local = cut_lineage(local.withColumn("error", transfer_error()))
-        means = _local_error(local.drop("error"), around, sigma, rows, sizes)
+        around = _Surroundings(open_, cut_lineage(pack_blocks(open_, ["pair_id"], ["match_id"], rows)), rows, largest)
+        local = open_.join(_local_models(around, sigma, max_trust, model), key)
+        local = cut_lineage(local.withColumn("error", model.error_column()))
+        means = _local_error(around, local.drop("error"), sigma, model)
         agrees = (F.col("error") <= max_eps) & (F.col("error") <= max_trust * F.col("mean_error"))
-        verdicts = local.select(*key, "error").join(means, key).select(*key, agrees.alias("keep"))
-        judged = open_.join(verdicts, key, "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
-        judged = _with_counts(judged)
-        stable = judged.filter((F.col("n") == F.col("left")) & (F.col("left") >= MIN_MATCHES[kind])).select(*columns)
+        verdicts = local.select(*key, "error").join(means, key).select(*key, F.coalesce(agrees, F.lit(False)).alias("keep"))
+        judged = cut_lineage(open_.join(verdicts, key, "left"))
+        lost = judged.filter("keep is null").select("pair_id").distinct()
+        judged = _with_counts(judged.join(lost, "pair_id", "left_anti"))
+        stable = judged.filter((F.col("n") == F.col("left")) & (F.col("left") >= model.min_matches)).select(*columns)
         done = stable if done is None else done.unionByName(stable)
         moving, largest = _progress(judged)
         if not moving:

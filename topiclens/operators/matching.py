@@ -1,18 +1,20 @@
 """Nearest-neighbour matching of features and points inside many pairs at once.
 
-All distances of a pair are computed block by block in the tasks; only the two best
-candidates per block leave a task, so nothing quadratic is shuffled.
+Descriptor distances of a pair are computed block by block in the tasks; only the two best
+candidates per block leave a task, so nothing quadratic is shuffled. Nearest points of large
+pairs are found through an adaptive grid.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiclens.functions.arrow import square_distances
-from topiclens.spread import TILE_ROWS, lookup_join, tile_join, top_per_group
+from topiclens.session import cut_lineage
+from topiclens.spread import TILE_ROWS, largest_group, lookup_join, number_rows, tile_join, top_per_group
 
 
 def best_two(distances: DataFrame, keys: list[str], target: str = "target_id", dist: str = "d") -> DataFrame:
@@ -133,8 +135,18 @@ def drop_ambiguous(matches: DataFrame) -> DataFrame:
 def nearest_point(p: DataFrame, q: DataFrame, rows: int = TILE_ROWS, largest: tuple[int, int] | None = None) -> DataFrame:
     """Closest target point of every source point, the lower id on ties.
 
-    ``p`` is ``(pair_id, query_id, x, y)``, ``q`` is ``(pair_id, target_id, x, y)``.
+    ``p`` is ``(pair_id, query_id, x, y)``, ``q`` is ``(pair_id, target_id, x, y)``. Points without
+    coordinates take no part. Pairs of up to ``rows`` points on both sides are compared in a
+    task; larger ones by an index over the targets (``_cells``), whose work is in proportion to
+    the points. ``largest`` gives the sizes of the largest pair on both sides when known.
     """
+    there = ~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull()
+    p, q = p.filter(there).select("pair_id", "query_id", "x", "y"), q.filter(there).select("pair_id", "target_id", "x", "y")
+    if largest is None:
+        p, q = cut_lineage(p), cut_lineage(q)
+        largest = largest_group(p, ["pair_id"]), largest_group(q, ["pair_id"])
+    if max(largest) > rows:
+        return _nearest_by_cells(p, q)
 
     def kernel(left, right):
         names = ["pair_id", "query_id", "target_id", "x2", "y2", "d"]
@@ -142,19 +154,77 @@ def nearest_point(p: DataFrame, q: DataFrame, rows: int = TILE_ROWS, largest: tu
             return pd.DataFrame({c: [] for c in names})
         right = right.sort_values("target_id", ignore_index=True)
         a, b = left[["x", "y"]].to_numpy(), right[["x", "y"]].to_numpy()
-        d = (a[:, :1] - b[:, 0]) ** 2 + (a[:, 1:] - b[:, 1]) ** 2
+        d = np.sqrt((a[:, :1] - b[:, 0]) ** 2 + (a[:, 1:] - b[:, 1]) ** 2)
         at = d.argmin(1)
         return pd.DataFrame(
             {
                 "pair_id": left["pair_id"], "query_id": left["query_id"], "target_id": right["target_id"].to_numpy()[at],
-                "x2": b[at, 0], "y2": b[at, 1], "d": np.sqrt(d[np.arange(len(at)), at]),
+                "x2": b[at, 0], "y2": b[at, 1], "d": d[np.arange(len(at)), at],
             }
         )
 
-    found = tile_join(
-        p.select("pair_id", "query_id", "x", "y"), q.select("pair_id", "target_id", "x", "y"),
-        ["pair_id"], ["query_id"], ["target_id"], kernel,
-        "pair_id LONG, query_id LONG, target_id LONG, x2 DOUBLE, y2 DOUBLE, d DOUBLE", rows, largest,
-    )
-    best = found.groupBy("pair_id", "query_id").agg(F.min(F.struct("d", "target_id", "x2", "y2")).alias("b"))
+    return tile_join(p, q, ["pair_id"], ["query_id"], ["target_id"], kernel, "pair_id LONG, query_id LONG, target_id LONG, x2 DOUBLE, y2 DOUBLE, d DOUBLE", rows, largest)
+
+
+CELL_POINTS = 64  # targets in a cell of the index
+CELL_STEP = 4  # cells joined along each side from one level to the next
+
+
+def _cells(q: DataFrame, points: int = CELL_POINTS) -> DataFrame:
+    """An adaptive grid: ``(pair_id, s, b, x_lo, x_hi, y_lo, y_hi, points)``.
+
+    The targets of a pair are cut by rank along x into slices, every slice by rank along y into
+    cells of ``points`` targets. Cells are small where points are dense, so none is crowded; of
+    targets at one place only the lowest id is kept, which wins any tie.
+    """
+    places = q.groupBy("pair_id", "x", "y").agg(F.min("target_id").alias("target_id"))
+    by_x = number_rows(places, [F.col(c) for c in ("pair_id", "x", "y")], "no", start=0)
+    sizes = by_x.groupBy("pair_id").agg(F.min("no").alias("first"), F.count("*").alias("n"))
+    per_slice = F.ceil(F.col("n") / F.ceil(F.sqrt(F.col("n") / points))).cast("long")
+    sizes = sizes.select("pair_id", "first", per_slice.alias("per_slice"))
+    sliced = lookup_join(by_x, sizes, ["pair_id"], salt_by=["x", "y"]).select("pair_id", F.expr("(no - first) div per_slice").alias("s"), "x", "y", "target_id")
+    by_y = number_rows(sliced, [F.col(c) for c in ("pair_id", "s", "y", "x")], "no", start=0)
+    firsts = by_y.groupBy("pair_id", "s").agg(F.min("no").alias("first"))
+    celled = lookup_join(by_y, firsts, ["pair_id", "s"], salt_by=["x", "y"]).withColumn("b", F.expr(f"(no - first) div {points}"))
+    return cut_lineage(celled.groupBy("pair_id", "s", "b").agg(*_box("x", "x", "y", "y"), F.collect_list(F.struct("target_id", "x", "y")).alias("points")))
+
+
+def _box(x_lo, x_hi, y_lo, y_hi):
+    return F.min(x_lo).alias("x_lo"), F.max(x_hi).alias("x_hi"), F.min(y_lo).alias("y_lo"), F.max(y_hi).alias("y_hi")
+
+
+def _near_cells(p: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(pair_id, query_id, x, y, s, b)``: the cells that may hold a query's nearest target.
+
+    From one box around all targets of a pair down to its cells, ``CELL_STEP`` squared boxes of
+    the next level stand for each one. A box is left out when its nearest edge is farther than
+    the farthest edge of another, as every box holds a target.
+    """
+    most = cells.agg(F.greatest(F.max("s"), F.max("b")).alias("most")).first()["most"]
+    level, top = 0, most or 0
+    while top:
+        level, top = level + 1, top // CELL_STEP
+    wide = CELL_STEP**level
+    boxes = cells.groupBy("pair_id").agg(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("b"))
+    open_ = lookup_join(p, boxes, ["pair_id"], salt_by=["query_id"])
+    own = Window.partitionBy("pair_id", "query_id")
+    gap = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.lit(0.0), F.col(v) - F.col(hi))
+    span = lambda v, lo, hi: F.greatest(F.abs(F.col(lo) - F.col(v)), F.abs(F.col(hi) - F.col(v)))
+    length = lambda of: F.sqrt(of("x", "x_lo", "x_hi") * of("x", "x_lo", "x_hi") + of("y", "y_lo", "y_hi") * of("y", "y_lo", "y_hi"))
+    while level:
+        level, wide = level - 1, wide // CELL_STEP
+        below = cells.groupBy("pair_id", F.expr(f"s div {wide}").alias("cs"), F.expr(f"b div {wide}").alias("cb")).agg(*_box("x_lo", "x_hi", "y_lo", "y_hi"))
+        below = below.withColumns({"s": F.expr(f"cs div {CELL_STEP}"), "b": F.expr(f"cb div {CELL_STEP}")})
+        met = open_.join(below, ["pair_id", "s", "b"]).withColumns({"near": length(gap), "far": length(span)})
+        kept = met.withColumn("bound", F.min("far").over(own)).filter("near <= bound")
+        open_ = kept.select("pair_id", "query_id", "x", "y", F.col("cs").alias("s"), F.col("cb").alias("b"))
+    return open_
+
+
+def _nearest_by_cells(p: DataFrame, q: DataFrame, points: int = CELL_POINTS) -> DataFrame:
+    cells = _cells(q, points)
+    met = _near_cells(p, cells).join(cells.select("pair_id", "s", "b", "points"), ["pair_id", "s", "b"])
+    away = lambda t: F.sqrt((F.col("x") - t["x"]) * (F.col("x") - t["x"]) + (F.col("y") - t["y"]) * (F.col("y") - t["y"]))
+    nearest = F.array_min(F.transform("points", lambda t: F.struct(away(t).alias("d"), t["target_id"].alias("target_id"), t["x"].alias("x2"), t["y"].alias("y2"))))
+    best = met.select("pair_id", "query_id", nearest.alias("b")).groupBy("pair_id", "query_id").agg(F.min("b").alias("b"))
     return best.select("pair_id", "query_id", "b.target_id", "b.x2", "b.y2", "b.d")
