@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from topiclens.catalog.registry import query, rnd, scratch, sql_rnd
-from topiclens.catalog.standins import bag, line_stats, order_bag, part_terms, phi, table, with_sql
+from topiclens.catalog.standins import bag, code_table, line_stats, mosaic_sizes, order_bag, part_terms, phi, table, with_sql
 from topiclens.functions import scalars as S
 from topiclens.functions.draws import mix
 from topiclens.functions.special import digamma_col, lgamma_col, trigamma_col
+from topiclens.operators import spatial as P
 from topiclens.operators import topics as T
 from topiclens.plans import training as M
 from topiclens.plans.indexing import index_corpus
@@ -140,13 +141,14 @@ def _stepped(spark, d, passes=M.INNER_ITER, **options):
     return step.unionByName(M.wide_e_step(wide, M.start_alpha(10), empty, index.n_terms, passes))
 
 
-@query()
+@query(with_sql("order_bag", "line_stats") + """, model AS (SELECT term_id, max(ln(exp(log_stat) / total + 1e-8)) AS b FROM (SELECT *,
+    sum(exp(log_stat)) OVER (PARTITION BY topic) + 1e-8 * (SELECT count(*) FROM part) AS total FROM line_stats) GROUP BY 1)
+    SELECT doc_no, term AS term_id, """ + sql_rnd("b") + " AS top, CAST(7 AS INTEGER) AS k FROM order_bag JOIN model ON term_id = term")
 def lookup_beta(spark, d):
     """Model row of every document term; terms outside the model get start values."""
     items = order_bag(spark, d).withColumnRenamed("term", "term_id")
-    kept = T.truncate_beta(line_stats(spark, d), 500).select("topic", "term_id", "log_stat")
-    model = T.fill_absent(T.normalize_beta(kept, 2000), 7)
-    rows = T.lookup_beta(items, model, 7, 2000)
+    n_terms = table(spark, d, "part").count()
+    rows = T.lookup_beta(items, T.fill_absent(T.normalize_beta(line_stats(spark, d), n_terms), 7), 7, n_terms)
     return rows.select("doc_no", "term_id", rnd(F.array_max("log_beta")).alias("top"), F.size("log_beta").alias("k"))
 
 
@@ -282,15 +284,19 @@ def train_lda_with_seeds(spark, d):
     return sizes.join(alpha.select("topic", rnd("alpha").alias("alpha")), "topic")
 
 
+def _inferred(spark, d):
+    """Order documents under a model of order lines; any too wide for a task in vocabulary blocks."""
+    normal, wide = M.split_wide(order_bag(spark, d).select("doc_no", F.col("term").alias("term_id"), "n"))
+    docs, stats = M.pack_documents(normal), line_stats(spark, d)
+    n_terms = stats.select("term_id").distinct().count()
+    rows = T.fill_absent(T.normalize_beta(stats, n_terms), 7).select(F.col("term_id").cast("int").alias("term_id"), "log_beta")
+    return M.infer_lda(docs, M.TopicModel(np.full(7, 0.5), rows, n_terms, docs, [], 0), wide=wide)
+
+
 @query()
 def infer_lda(spark, d):
     """Held-out mode: order documents under a model of order lines."""
-    docs = M.pack_documents(order_bag(spark, d).select("doc_no", F.col("term").alias("term_id"), "n"))
-    stats = line_stats(spark, d)
-    n_terms = stats.select("term_id").distinct().count()
-    rows = T.fill_absent(T.normalize_beta(stats, n_terms), 7).select(F.col("term_id").cast("int").alias("term_id"), "log_beta")
-    model = M.TopicModel(np.full(7, 0.5), rows, n_terms, docs, [], 0)
-    found = M.infer_lda(docs, model)
+    found = _inferred(spark, d)
     return found.filter("kind = 'doc'").select(
         F.col("id").alias("doc_no"), rnd("loglik", 4).alias("loglik"), F.array_position("vec", F.array_max("vec")).alias("topic")
     )
@@ -299,12 +305,7 @@ def infer_lda(spark, d):
 @query()
 def infer_phi(spark, d):
     """Topic probabilities of every term of every held-out order."""
-    docs = M.pack_documents(order_bag(spark, d).select("doc_no", F.col("term").alias("term_id"), "n"))
-    stats = line_stats(spark, d)
-    n_terms = stats.select("term_id").distinct().count()
-    rows = T.fill_absent(T.normalize_beta(stats, n_terms), 7).select(F.col("term_id").cast("int").alias("term_id"), "log_beta")
-    found = M.infer_lda(docs, M.TopicModel(np.full(7, 0.5), rows, n_terms, docs, [], 0))
-    return M.phi_rows(found).select("doc_no", "term_id", "n", S.label_from_probability("log_phi", 0.7).alias("label"))
+    return M.phi_rows(_inferred(spark, d)).select("doc_no", "term_id", "n", S.label_from_probability("log_phi", 0.7).alias("label"))
 
 
 @query()
@@ -327,5 +328,71 @@ def wide_documents(spark, d):
     words = bag_of_words(talk.select("role", "text"), "role")
     index = index_corpus(words.withColumnRenamed("role", "title"), 0.0, None)
     empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
-    stepped = M.wide_e_step(index.documents, M.start_alpha(4), empty, index.n_terms, passes=10).filter("kind = 'doc'")
+    stepped = M.wide_e_step(index.documents, M.start_alpha(4), empty, index.n_terms, tol=1e-3).filter("kind = 'doc'")
     return stepped.select(F.col("id").alias("doc_no"), F.posexplode("vec").alias("k", "g")).select("doc_no", "k", rnd("g", 4).alias("gamma"))
+
+
+SPATIAL_K = 4
+_PSI_OF = lambda name: PSI.replace("q", name)
+
+
+def _spatial_sql(reach: float | None) -> str:
+    near = "true" if reach is None else f"d2 <= {reach * reach}"
+    return with_sql("patches", "centers", "assigned") + f""", topics AS (SELECT CAST(k AS INTEGER) AS k FROM range(1, {SPATIAL_K + 1}) t(k)),
+    xi AS (SELECT image_id, vec_id AS patch_id, x, y, code AS term_id, k, ("desc"[k] + 2) / list_sum(list_transform("desc"[1:{SPATIAL_K}], lambda v: v + 2)) AS xi
+        FROM assigned, topics),
+    places AS (SELECT DISTINCT image_id, CAST(gy * 4 + gx AS INTEGER) AS region_id, 5.0 + 10 * gx AS x, 5.0 + 10 * gy AS y FROM patches, range(4) a(gx), range(3) b(gy)),
+    start AS (SELECT *, 1 + ((region_id + k) % 3) * 0.5 AS g FROM places, topics),
+    gammas AS (SELECT *, sum(g) OVER (PARTITION BY image_id, region_id) AS total FROM start),
+    elog AS (SELECT image_id, region_id, x, y, k, {_PSI_OF('g')} - ({_PSI_OF('total')}) AS e FROM gammas),
+    weights AS (SELECT term_id, k, 1 + ((term_id * k) % 5) * 0.2 AS w FROM (SELECT DISTINCT code AS term_id FROM assigned), topics),
+    sums AS (SELECT *, sum(w) OVER (PARTITION BY k) AS total FROM weights),
+    word AS (SELECT term_id, k, {_PSI_OF('w')} - ({_PSI_OF('total')}) AS e FROM sums),
+    logits AS (SELECT xi.image_id, patch_id, region_id, sum(xi * e) - any_value(d2) / 100 AS l FROM (SELECT xi.*, e.region_id, e.e,
+        pow(xi.x - e.x, 2) + pow(xi.y - e.y, 2) AS d2 FROM xi JOIN elog e ON xi.image_id = e.image_id AND xi.k = e.k) xi WHERE {near} GROUP BY ALL),
+    rho AS (SELECT image_id, patch_id, region_id, exp(l) / sum(exp(l)) OVER (PARTITION BY image_id, patch_id) AS rho FROM logits),
+    pull AS (SELECT r.image_id, patch_id, k, sum(rho * e) AS pull FROM rho r JOIN elog e ON r.image_id = e.image_id AND r.region_id = e.region_id GROUP BY ALL),
+    raw AS (SELECT xi.*, exp(pull + w.e) AS v FROM xi JOIN pull USING (image_id, patch_id, k) JOIN word w ON w.term_id = xi.term_id AND w.k = xi.k),
+    moved AS (SELECT *, v / sum(v) OVER (PARTITION BY image_id, patch_id) AS new_xi FROM raw)
+    """
+
+
+def _spatial_step(spark, d, reach):
+    """One step from topics read off the descriptors, over a grid of regions every 10 pixels."""
+    codes, _ = code_table(spark, d)
+    topics = range(1, SPATIAL_K + 1)
+    head = F.transform(F.slice("desc", 1, SPATIAL_K), lambda v: v + 2)
+    patches = codes.select(
+        "image_id", F.col("vec_id").alias("patch_id"), F.col("x").cast("double"), F.col("y").cast("double"), F.col("code").alias("term_id"),
+        F.transform(head, lambda v: v / F.aggregate(head, F.lit(0.0), lambda s, e: s + e)).alias("xi"),
+    )
+    grid = P.region_grid(mosaic_sizes(spark, d), 10)
+    regions = grid.withColumn("gamma", F.array(*(F.lit(1.0) + (F.col("region_id") + k) % 3 * 0.5 for k in topics)))
+    terms = codes.select(F.col("code").alias("term_id")).distinct().withColumn("weight", F.array(*(F.lit(1.0) + F.col("term_id") * k % 5 * 0.2 for k in topics)))
+    return P.spatial_lda_step(P.SpatialState(patches, regions, terms), [0.5] * SPATIAL_K, 0.1, 10.0, reach)
+
+
+def _by_topic(df, keys, vector, name):
+    long = df.select(*keys, F.posexplode(vector).alias("k", name))
+    return long.select(*keys, (F.col("k") + 1).alias("topic"), rnd(name).alias(name))
+
+
+@query(_spatial_sql(None) + "SELECT p.image_id, p.region_id, p.k AS topic, " + sql_rnd("0.5 + coalesce(sum(rho * new_xi), 0)") + """ AS gamma FROM start p
+    LEFT JOIN rho r ON p.image_id = r.image_id AND p.region_id = r.region_id LEFT JOIN moved m ON m.image_id = r.image_id AND m.patch_id = r.patch_id AND m.k = p.k GROUP BY 1, 2, 3""")
+def spatial_lda_step(spark, d):
+    """Topics of every region after a step in which patches choose among all regions of their image."""
+    return _by_topic(_spatial_step(spark, d, None).regions, ["image_id", "region_id"], "gamma", "gamma")
+
+
+@query(_spatial_sql(None) + "SELECT term_id, k AS topic, " + sql_rnd("0.1 + sum(new_xi)") + " AS weight FROM moved GROUP BY 1, 2")
+def spatial_lda_words(spark, d):
+    """Topics of every word after the same step."""
+    return _by_topic(_spatial_step(spark, d, None).terms, ["term_id"], "weight", "weight")
+
+
+@query(_spatial_sql(12.0) + """, best AS (SELECT image_id, patch_id, arg_max(region_id, (round(rho, 9), -region_id)) AS region_id, max(rho) AS rho FROM rho GROUP BY 1, 2)
+    SELECT m.image_id, m.patch_id, k AS topic, """ + sql_rnd("new_xi") + " AS xi, b.region_id, " + sql_rnd("b.rho") + " AS rho FROM moved m JOIN best b USING (image_id, patch_id)")
+def spatial_lda_near(spark, d):
+    """Topics and region of every patch when only regions within 12 pixels count."""
+    patches = _spatial_step(spark, d, 12.0).patches
+    return _by_topic(patches, ["image_id", "patch_id", "region_id", rnd("rho").alias("rho")], "xi", "xi")
