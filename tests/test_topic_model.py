@@ -44,9 +44,9 @@ def test_special_functions():
     assert math.isclose(float(trigamma(1.0)), math.pi**2 / 6, abs_tol=1e-12)
 
 
-@pytest.mark.parametrize("cells", [10**6, 1])
+@pytest.mark.parametrize("cells", [10**6, 1, 60])
 def test_e_step_matches_brute_force(corpus, cells):
-    """Both with the model sent to the tasks and with the model joined to the documents."""
+    """Both with the model sent to the tasks and with batches of documents that meet their terms' rows."""
     pdf, bag, log_beta, table = corpus
     alpha = np.array([0.2, 0.5, 1.1])
     out = M.e_step(M.pack_documents(bag), alpha, table, TERMS, want_phi=True, model_cells=cells)
@@ -88,6 +88,36 @@ def test_wide_documents_agree(corpus):
     assert np.allclose(np.stack(betas[0]), np.stack(betas[1]))
 
 
+def test_vocabulary_blocks_agree(spark, corpus):
+    """Several blocks of terms and groups of documents, unseen terms, stored posteriors, phi, and documents that settle."""
+    _, bag, _, table = corpus
+    alpha, part = np.array([0.2, 0.5, 1.1]), table.filter("term_id <= 30")
+    stored = spark.createDataFrame([(d, [1.0 + d, 2.0, 3.0]) for d in range(0, 25, 2)], "doc_no LONG, gamma ARRAY<DOUBLE>")
+    packed = M.pack_documents(bag).drop("gamma").join(stored, "doc_no", "left").select("doc_no", "terms", "counts", "gamma")
+    narrow = M.e_step(packed, alpha, part, TERMS, inner_iter=5, want_phi=True, seed=4)
+    wide = M.wide_e_step(bag, alpha, part, TERMS, passes=5, seed=4, cut_every=2, gamma=stored, want_phi=True, block_cells=30)
+    docs = [{r.id: (r.vec, r.loglik) for r in df.filter("kind = 'doc'").collect()} for df in (narrow, wide)]
+    assert docs[0].keys() == docs[1].keys() and all(np.allclose(docs[0][d][0], docs[1][d][0]) and math.isclose(docs[0][d][1], docs[1][d][1], rel_tol=1e-9) for d in docs[0])
+    phis = [{(r.doc_no, r.term_id): (r.n, r.log_phi) for r in M.phi_rows(df).collect()} for df in (narrow, wide)]
+    assert phis[0].keys() == phis[1].keys() and all(phis[0][k][0] == phis[1][k][0] and np.allclose(phis[0][k][1], phis[1][k][1]) for k in phis[0])
+    ends = [M.wide_e_step(bag, alpha, part, TERMS, passes=60, seed=4, cut_every=20, tol=tol, block_cells=90).filter("kind = 'doc'") for tol in (None, 1e-4)]
+    ends = [{r.id: r.vec for r in df.collect()} for df in ends]
+    assert all(np.allclose(ends[0][d], ends[1][d], atol=0.02) for d in ends[0])
+
+
+def test_documents_stop_on_their_own(corpus):
+    """With a tolerance a document's posterior does not depend on the others in its block."""
+    pdf, bag, _, table = corpus
+    alpha = np.array([0.2, 0.5, 1.1])
+    got = {}
+    for cells in (10**6, 60):  # all documents in one block, and a few in each batch
+        rows = M.e_step(M.pack_documents(bag), alpha, table, TERMS, tol=1e-3, model_cells=cells).filter("kind = 'doc'").collect()
+        got[cells] = {r.id: r.vec for r in rows}
+    assert all(np.allclose(got[60][d], got[10**6][d], rtol=1e-12) for d in range(25))
+    full = {r.id: r.vec for r in M.e_step(M.pack_documents(bag), alpha, table, TERMS).filter("kind = 'doc'").collect()}
+    assert 0 < max(np.abs(np.subtract(full[d], got[60][d])).max() for d in range(25)) < 0.1
+
+
 def test_training_with_wide_documents(corpus):
     _, bag, _, _ = corpus
     normal, wide = M.split_wide(bag, limit=9)

@@ -3,8 +3,10 @@
 Documents are rows ``(doc_no, terms ARRAY<INT>, counts ARRAY<DOUBLE>, gamma ARRAY<DOUBLE>)``.
 One E-step is one pass over the documents: tasks iterate every document to its posterior
 and add up topic-term sums before anything is shuffled. The model (terms x topics) is sent
-to the tasks while it has at most ``MODEL_CELLS`` numbers; a larger model is joined to the
-documents instead.
+to the tasks while it has at most ``MODEL_CELLS`` numbers. A larger model comes to batches of
+documents: each batch gets the rows of its distinct terms once, and all passes run there.
+Documents too wide for a task are cut by vocabulary instead: a block holds the model rows of its
+terms and what the documents have of them; only posteriors travel (``wide_e_step``).
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ MODEL_CELLS = 32_000_000
 MATRIX_ROWS = 16_384
 WIDE_TERMS = 1_000_000
 FLUSH_CELLS = 8_000_000
+BLOCK_CELLS = 8_000_000  # model numbers in a vocabulary block
+GAMMA_BYTES = 256 << 20  # posteriors of wide documents sent to all tasks; more are joined
 
 RESULT = "kind STRING, id LONG, vec ARRAY<DOUBLE>, loglik DOUBLE, terms ARRAY<INT>, counts ARRAY<DOUBLE>, log_phi ARRAY<ARRAY<DOUBLE>>"
 RESULT_ARROW = pa.schema(
@@ -94,21 +98,36 @@ def start_alpha(topics: int, seed: int = 0) -> np.ndarray:
 
 
 def _iterate(rows, doc_of, starts, counts, alpha, gamma, passes, tol):
-    """Posterior of a block of documents; ``rows`` is beta (not log) per (document, term)."""
+    """Posterior of a block of documents; ``rows`` is beta (not log) per (document, term).
+
+    With ``tol`` each document stops when none of its values moves by as much, whatever the
+    others in the block do; settled documents leave the block in groups.
+    """
+    last, before = gamma.copy(), gamma.copy()
+    open_, frozen = np.arange(len(gamma)), np.zeros(len(gamma), bool)
+    r, at, first, c, sizes = rows, doc_of, starts, counts, np.diff(np.append(starts, len(counts)))
     for _ in range(passes):
         t = digamma(gamma)
         shift = t.max(1, keepdims=True)
         e = np.exp(t - shift)
-        norm = np.einsum("nk,nk->n", rows, e[doc_of])
-        moved = alpha + e * np.add.reduceat(rows * (counts / norm)[:, None], starts, axis=0)
-        done = tol is not None and np.abs(moved - gamma).max() < tol
-        before, gamma = gamma, moved
-        if done:
-            break
+        norm = np.einsum("nk,nk->n", r, e[at])
+        moved = alpha + e * np.add.reduceat(r * (c / norm)[:, None], first, axis=0)
+        before[open_[~frozen]], last[open_[~frozen]] = gamma[~frozen], moved[~frozen]
+        if tol is not None:
+            frozen |= np.abs(moved - gamma).max(1) < tol
+            if frozen.all():
+                break
+            if frozen.mean() > 0.2:
+                stay = ~frozen
+                mine = np.repeat(stay, sizes)
+                open_, moved, sizes = open_[stay], moved[stay], sizes[stay]
+                r, c = r[mine], c[mine]
+                at, first, frozen = np.repeat(np.arange(len(open_)), sizes), np.cumsum(sizes) - sizes, np.zeros(len(open_), bool)
+        gamma = moved
     t = digamma(before)
     shift = t.max(1, keepdims=True)
     norm = np.einsum("nk,nk->n", rows, np.exp(t - shift)[doc_of])
-    return gamma, t, np.log(norm) + shift[doc_of, 0]
+    return last, t, np.log(norm) + shift[doc_of, 0]
 
 
 def _blocks(sizes: np.ndarray):
@@ -296,28 +315,48 @@ def e_step(
         task = _e_step_task(alpha, from_broadcast, *flags)
         return docs.select("doc_no", "terms", "counts", "gamma").mapInArrow(task, RESULT)
 
-    flat = docs.select("doc_no", "gamma", F.explode(F.arrays_zip("terms", "counts")).alias("e")).select(
-        "doc_no", "gamma", F.col("e.terms").alias("term_id"), F.col("e.counts").alias("n")
-    )
-    start = start_log_beta(topics, n_terms, seed)("term_id")
-    met = lookup_join(flat, beta, ["term_id"], "left").withColumn("log_beta", F.coalesce("log_beta", start))
-    regrouped = met.groupBy("doc_no").agg(
-        F.first("gamma").alias("gamma"),
-        F.array_sort(F.collect_list(F.struct("term_id", "n", "log_beta"))).alias("e"),
-    )
-    packed = regrouped.select(
-        "doc_no",
-        F.col("e.term_id").alias("terms"),
-        F.col("e.n").alias("counts"),
-        "gamma",
-        F.flatten("e.log_beta").alias("model"),
+    return _batched_e_step(docs, alpha, beta, n_terms, flags, seed, max(1, model_cells // topics))
+
+
+def _batched_e_step(docs: DataFrame, alpha: np.ndarray, beta: DataFrame, n_terms: int, flags: tuple, seed: int, entries: int) -> DataFrame:
+    """The E-step of a model too large to send: batches of about ``entries`` (document, term) pairs.
+
+    A batch meets the model rows of its distinct terms, shuffled once for the whole E-step and
+    not for each document that has the term; its passes need no exchange.
+    """
+    topics = len(alpha)
+    total = docs.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
+    batches = max(1, math.ceil(total / entries))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_no"), F.lit(batches)).alias("batch"), "doc_no", "terms", "counts", "gamma")
+    needed = dealt.select("batch", F.explode("terms").alias("term_id")).distinct()
+    met = needed.join(beta.select(F.col("term_id").cast("int").alias("term_id"), "log_beta"), "term_id").select(
+        *(F.col(c).alias(c) for c in ("batch", "term_id", "log_beta"))  # new column identities: both sides come from ``docs``
     )
 
-    def from_batch(batch, terms):
-        table = np.exp(batch.column("model").flatten().to_numpy().reshape(-1, topics))
-        return lambda lo, hi: table[lo:hi]
+    def run(documents: pa.Table, model: pa.Table) -> pa.Table:
+        if documents.num_rows == 0:
+            return RESULT_ARROW.empty_table()
+        known = model.column("term_id").combine_chunks().to_numpy()
+        order = np.argsort(known)
+        known, values = known[order], model.column("log_beta").combine_chunks().flatten().to_numpy().reshape(-1, topics)[order]
+
+        def rows_of(batch, terms):
+            at = np.minimum(np.searchsorted(known, terms), max(len(known) - 1, 0))
+            hit = known[at] == terms if len(known) else np.zeros(len(terms), bool)
+
+            def rows(lo, hi):
+                block = np.empty((hi - lo, topics))
+                own = hit[lo:hi]
+                block[own] = np.exp(values[at[lo:hi][own]])
+                block[~own] = start_rows(terms[lo:hi][~own], topics, n_terms, seed)
+                return block
+
+            return rows
 
-    return packed.mapInArrow(_e_step_task(alpha, from_batch, *flags), RESULT)
+        task = _e_step_task(alpha, rows_of, *flags)
+        return pa.Table.from_batches(task(documents.select(["doc_no", "terms", "counts", "gamma"]).combine_chunks().to_batches()), RESULT_ARROW)
+
+    return dealt.groupBy("batch").cogroup(met.groupBy("batch")).applyInArrow(run, RESULT)
 
 
 def m_step_beta(
@@ -575,64 +614,148 @@ def resume_training(spark: SparkSession, path: str, iteration: int, max_iter: in
 
 def wide_e_step(
     wide: DataFrame, alpha: np.ndarray, beta: DataFrame, n_terms: int, passes: int = INNER_ITER, seed: int = 0, cut_every: int = 10,
-    gamma: DataFrame | None = None, tol: float | None = None, want_phi: bool = False,
+    gamma: DataFrame | None = None, tol: float | None = None, want_phi: bool = False, block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
     """E-step for documents too wide for one task, from ``(doc_no, term_id, n)``.
 
-    Each pass joins the small gamma table to the terms and adds the contributions up per
-    document with partial aggregation, so a document is never gathered in one place. Rows
-    are those of ``e_step`` without the term lists; phi comes as one ``phi`` row per term.
-    Starts from ``gamma`` where given, else from the word count; with ``tol`` the passes end
-    when no gamma moves by more.
+    The vocabulary is cut into blocks; a block holds the model rows of its terms once and what
+    the documents have of them, and is written once. A pass sends the posteriors to the blocks
+    and adds up what comes back, K numbers for each document and block: terms and model rows do
+    not move again. Rows are those of ``e_step`` without the term lists; phi comes as one
+    ``phi`` row for each document and block. Starts from ``gamma`` where given, else from the word
+    count. Lineage is cut, and with ``tol`` the documents none of whose values moved by as much
+    are left out from then on, every ``cut_every`` passes.
     """
-    topics = len(alpha)
-    rows = lookup_join(wide.select("doc_no", "term_id", "n"), beta, ["term_id"], "left", salt_by=["doc_no"])
-    start = start_log_beta(topics, n_terms, seed)("term_id")
-    rows = cut_lineage(
-        rows.select("doc_no", "term_id", "n", F.transform(F.coalesce("log_beta", start), F.exp).alias("b"))
-    )
+    alpha = np.asarray(alpha, float)
+    blocks, n_docs, groups = _vocabulary_blocks(wide, len(alpha), beta, n_terms, seed, max(1, block_cells // len(alpha)))
     stored = gamma
-    gamma = rows.groupBy("doc_no").agg(F.sum("n").alias("words")).select(
-        "doc_no", F.array(*(F.lit(float(a)) + F.col("words") / topics for a in alpha)).alias("gamma")
+    words = blocks.select(F.explode(F.arrays_zip("docs", "words")).alias("e")).groupBy(F.col("e.docs").alias("doc_no"))
+    gamma = words.agg(F.sum("e.words").alias("words")).select(
+        "doc_no", F.array(*(F.lit(float(a)) + F.col("words") / len(alpha) for a in alpha)).alias("gamma")
     )
     if stored is not None:
         kept = stored.select("doc_no", F.col("gamma").alias("_stored"))
         gamma = gamma.join(kept, "doc_no", "left").select("doc_no", F.coalesce("_stored", "gamma").alias("gamma"))
-    met = None
-    for i in range(passes):
-        if met is not None:
-            before, gamma = gamma, _add_up(met, ["doc_no"], topics, alpha)
-        if i and (tol is not None or i % cut_every == 0):
+    gamma, settled = cut_lineage(gamma), None
+    for i in range(1, passes):
+        before, gamma = gamma, _add_up(_pass_blocks(blocks, gamma, n_docs, groups, len(alpha)).filter("kind = 'part'"), alpha)
+        if i % cut_every == 0:
             gamma = cut_lineage(gamma)
-        if i and tol is not None:
-            moved = F.array_max(F.zip_with("gamma", "_before", lambda a, b: F.abs(a - b)))
-            if not gamma.join(before.select("doc_no", F.col("gamma").alias("_before")), "doc_no").filter(moved >= tol).limit(1).count():
-                break
-        met = _share_out(rows, gamma)
-    final = cut_lineage(met.select("doc_no", "term_id", "n", "gain", "part_ll"))
-    docs = _add_up(final, ["doc_no"], topics, alpha, [F.sum("part_ll").alias("part_ll")])
-    docs = cut_lineage(docs.select("doc_no", "gamma", "part_ll", _likelihood(alpha)("gamma", "part_ll").alias("loglik")))
-    shape = lambda df, kind, ident, vec, ll: df.select(
-        F.lit(kind).alias("kind"), F.col(ident).cast("long").alias("id") if isinstance(ident, str) else ident.alias("id"),
-        vec.alias("vec"), ll.cast("double").alias("loglik"), F.lit(None).cast("array<int>").alias("terms"),
+            if tol is not None:
+                moved = F.array_max(F.zip_with("gamma", "_before", lambda a, b: F.abs(a - b)))
+                gamma = gamma.join(before.select("doc_no", F.col("gamma").alias("_before")), "doc_no").withColumn("_still", moved < tol)
+                gamma = cut_lineage(gamma.select("doc_no", "gamma", "_still"))
+                resting, gamma = gamma.filter("_still").drop("_still"), gamma.filter("not _still").drop("_still")
+                settled = resting if settled is None else settled.unionByName(resting)
+                if gamma.isEmpty():
+                    break
+    gamma = gamma if settled is None else gamma.unionByName(settled)
+    final = cut_lineage(_pass_blocks(blocks, gamma, n_docs, groups, len(alpha), last=True, want_phi=want_phi))
+    docs = _add_up(final.filter("kind = 'part'"), alpha, F.sum("loglik").alias("part_ll"))
+    docs = cut_lineage(docs.select("doc_no", "gamma", _likelihood(alpha)("gamma", "part_ll").alias("loglik")))
+    shape = lambda kind, ident, vec: docs.select(
+        F.lit(kind).alias("kind"), ident.cast("long").alias("id"), vec.alias("vec"), F.col("loglik").cast("double"), F.lit(None).cast("array<int>").alias("terms"),
         F.lit(None).cast("array<double>").alias("counts"), F.lit(None).cast("array<array<double>>").alias("log_phi"),
     )
-    sums = _add_up(final, ["term_id"], topics, np.zeros(topics))
-    phi = final.filter(F.lit(want_phi)).select(
-        F.lit("phi").alias("kind"), F.col("doc_no").cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vec"),
-        F.lit(None).cast("double").alias("loglik"), F.array(F.col("term_id").cast("int")).alias("terms"),
-        F.array(F.col("n").cast("double")).alias("counts"), F.array(F.transform("gain", lambda g: F.log(g / F.col("n")))).alias("log_phi"),
-    )
-    return phi.unionByName(
-        shape(docs, "doc", "doc_no", F.col("gamma"), F.col("loglik"))
-        .unionByName(shape(docs, "alpha", F.lit(1).cast("long"), _alpha_stat("gamma"), F.col("loglik")))
-        .unionByName(shape(sums, "beta", "term_id", F.col("gamma"), F.lit(None)))
-    )
+    return final.filter("kind <> 'part'").unionByName(shape("doc", F.col("doc_no"), F.col("gamma"))).unionByName(shape("alpha", F.lit(1), _alpha_stat("gamma")))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _digamma_rows(gamma: pd.Series) -> pd.Series:
-    return pd.Series(list(digamma(np.stack(gamma)))) if len(gamma) else gamma
+def _vocabulary_blocks(wide: DataFrame, topics: int, beta: DataFrame, n_terms: int, seed: int, entries: int) -> tuple[DataFrame, int, int]:
+    """Blocks of about ``entries`` (document, term) pairs, the number of documents, and of their groups.
+
+    A block is one row: its terms and their model weights, its documents and how many words each
+    has in it, and the pairs as places in these two lists. Documents are dealt too, in groups of
+    at most ``entries`` or so, should a term stand in more than a block can hold.
+    """
+    pairs = wide.select(F.col("doc_no").cast("long"), F.col("term_id").cast("int"), F.col("n").cast("double"))
+    size = pairs.agg(F.count("*").alias("n"), F.countDistinct("doc_no").alias("docs")).first()
+    parts, groups = max(1, math.ceil(size["n"] / entries)), max(1, math.ceil(size["docs"] / entries))
+    cut = F.pmod(F.xxhash64("term_id"), F.lit(parts)).alias("part")
+    dealt = pairs.select(cut, F.pmod(F.xxhash64("doc_no"), F.lit(groups)).alias("group"), "doc_no", "term_id", "n")
+    needed = dealt.select("part", "group", "term_id").distinct()
+    model = needed.join(beta.select(F.col("term_id").cast("int").alias("term_id"), "log_beta"), "term_id").select(
+        *(F.col(c).alias(c) for c in ("part", "group", "term_id", "log_beta"))  # new column identities: both sides come from ``wide``
+    )
+    shape = "part LONG, group LONG, terms ARRAY<INT>, model ARRAY<DOUBLE>, docs ARRAY<LONG>, words ARRAY<DOUBLE>, term_at ARRAY<INT>, doc_at ARRAY<INT>, n ARRAY<DOUBLE>"
+
+    def build(key, own: pa.Table, rows: pa.Table) -> pa.Table:
+        plain = lambda table, name: table.column(name).combine_chunks().to_numpy()
+        terms, term_at = np.unique(plain(own, "term_id"), return_inverse=True)
+        docs, doc_at = np.unique(plain(own, "doc_no"), return_inverse=True)
+        n = plain(own, "n")
+        weights, known = start_rows(terms, topics, n_terms, seed), plain(rows, "term_id")
+        if len(known):
+            weights[np.searchsorted(terms, known)] = np.exp(rows.column("log_beta").combine_chunks().flatten().to_numpy().reshape(-1, topics))
+        words = np.bincount(doc_at, n, len(docs))
+        lists = [terms, weights.ravel(), docs, words, term_at.astype(np.int32), doc_at.astype(np.int32), n]
+        names = ["terms", "model", "docs", "words", "term_at", "doc_at", "n"]
+        head = {"part": pa.array([key[0].as_py()], pa.int64()), "group": pa.array([key[1].as_py()], pa.int64())}
+        return pa.table({**head, **{k: _lists([0, len(v)], v) for k, v in zip(names, lists)}})
+
+    keys = ["part", "group"]
+    return cut_lineage(dealt.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(build, shape)), size["docs"], groups
+
+
+def _pass_blocks(blocks: DataFrame, gamma: DataFrame, n_docs: int, groups: int, topics: int, last: bool = False, want_phi: bool = False) -> DataFrame:
+    """One pass over all blocks: ``part`` rows, a document's share of its posterior from a block.
+
+    The ``last`` pass also gives the likelihood's share, the topic sums of every term and, on
+    request, phi. Documents without a posterior are passed over.
+    """
+    packed = gamma.groupBy(F.pmod(F.xxhash64("doc_no"), F.lit(groups)).alias("group")).agg(F.sort_array(F.collect_list(F.struct("doc_no", "gamma"))).alias("g"))
+    packed = packed.select("group", F.col("g.doc_no").alias("known"), F.flatten("g.gamma").alias("gamma"))
+    if n_docs * (topics + 1) * 8 <= GAMMA_BYTES:  # counted
+        packed = F.broadcast(packed)
+    columns = ["terms", "model", "docs", "term_at", "doc_at", "n", "known", "gamma"]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, model, docs, term_at, doc_at, n, known, own = (batch.column(c)[i].values.to_numpy() for c in columns)
+                model, t = model.reshape(-1, topics), digamma(own.reshape(-1, topics))
+                place = np.minimum(np.searchsorted(known, docs), len(known) - 1)
+                there = known[place] == docs
+                if not there.all():
+                    mine = there[doc_at]
+                    term_at, doc_at, n = term_at[mine], doc_at[mine], n[mine]
+                if not len(n):
+                    continue
+                t = t[place]
+                shift = t.max(1)
+                e = np.exp(t - shift[:, None])
+                gain, likelihood, sums = np.zeros(t.shape), np.zeros(len(docs)), np.zeros(model.shape)
+                order = np.argsort(doc_at, kind="stable")
+                for at in range(0, len(order), MATRIX_ROWS):
+                    some = order[at : at + MATRIX_ROWS]
+                    term, doc, count = term_at[some], doc_at[some], n[some]
+                    phi = model[term] * e[doc]
+                    norm = phi.sum(1)
+                    phi /= norm[:, None]
+                    met, first = np.unique(doc, return_index=True)
+                    gain[met] += np.add.reduceat(phi * count[:, None], first, axis=0)
+                    if last:
+                        likelihood += np.bincount(doc, count * (np.log(norm) + shift[doc] - (phi * t[doc]).sum(1)), len(docs))
+                        np.add.at(sums, term, phi * count[:, None])
+                        if want_phi:
+                            ends = np.append(first, len(doc)).astype(np.int32)
+                            flat = np.arange(0, phi.size + 1, topics, dtype=np.int32)
+                            with np.errstate(divide="ignore"):
+                                logs = pa.ListArray.from_arrays(pa.array(ends), _lists(flat, np.log(phi).ravel()))
+                            yield _frame(
+                                len(met), kind=pa.array(["phi"] * len(met)), id=pa.array(docs[met]), terms=_lists(ends, terms[term]),
+                                counts=_lists(ends, count), log_phi=logs,
+                            )
+                rows = np.flatnonzero(there)
+                wide = np.arange(0, len(rows) * topics + 1, topics, dtype=np.int32)
+                yield _frame(
+                    len(rows), kind=pa.array(["part"] * len(rows)), id=pa.array(docs[rows]), vec=_lists(wide, gain[rows].ravel()),
+                    loglik=pa.array(likelihood[rows]),
+                )
+                if last:
+                    flat = np.arange(0, sums.size + 1, topics, dtype=np.int32)
+                    yield _frame(len(terms), kind=pa.array(["beta"] * len(terms)), id=pa.array(terms.astype(np.int64)), vec=_lists(flat, sums.ravel()))
+
+    return blocks.join(packed, "group").select(*columns).mapInArrow(run, RESULT)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -652,22 +775,8 @@ def _likelihood(alpha: np.ndarray):
     return whole
 
 
-def _share_out(rows: DataFrame, gamma: DataFrame) -> DataFrame:
-    """Weight of every topic in every (document, term), times the count: ``gain``."""
-    met = lookup_join(rows, gamma.select("doc_no", _digamma_rows("gamma").alias("t")), ["doc_no"], salt_by=["doc_no", "term_id"])
-    top = F.array_max("t")
-    part = F.zip_with("b", "t", lambda b, t: b * F.exp(t - top))
-    met = met.withColumn("part", part).withColumn("norm", F.aggregate("part", F.lit(0.0), lambda s, v: s + v))
-    met = met.withColumn("phi", F.transform("part", lambda p: p / F.col("norm")))
-    spent = F.aggregate(F.zip_with("phi", "t", lambda p, t: p * t), F.lit(0.0), lambda s, v: s + v)
-    return met.select(
-        "doc_no", "term_id", "n", F.transform("phi", lambda p: p * F.col("n")).alias("gain"),
-        (F.col("n") * (F.log("norm") + top - spent)).alias("part_ll"),
-    )
-
-
-def _add_up(gains: DataFrame, keys: list[str], topics: int, base, extra: list | None = None) -> DataFrame:
-    """``base`` plus the summed gains per key, as ``gamma``."""
-    sums = gains.groupBy(*keys).agg(*(F.sum(F.col("gain")[k]).alias(f"g{k}") for k in range(topics)), *(extra or []))
-    rest = [c for c in sums.columns if c not in keys and not c.startswith("g")]
-    return sums.select(*keys, F.array(*(F.col(f"g{k}") + float(base[k]) for k in range(topics))).alias("gamma"), *rest)
+def _add_up(parts: DataFrame, alpha: np.ndarray, *extra) -> DataFrame:
+    """Posterior of every document from the shares of its blocks: ``(doc_no, gamma)`` and ``extra`` sums."""
+    sums = parts.groupBy(F.col("id").alias("doc_no")).agg(*(F.sum(F.col("vec")[k]).alias(f"g{k}") for k in range(len(alpha))), *extra)
+    rest = [c for c in sums.columns if c != "doc_no" and not c.startswith("g")]
+    return sums.select("doc_no", F.array(*(F.col(f"g{k}") + float(a) for k, a in enumerate(alpha))).alias("gamma"), *rest)
