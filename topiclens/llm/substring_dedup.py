@@ -4,11 +4,12 @@ A window of words is repeated if its words also start anywhere else. Windows are
 shards by content: each belongs to the smallest hash of the ``GRAM``-word runs inside it, its
 anchor, so equal windows meet, and neighbouring windows with one anchor form a segment. Only
 segments whose anchor stands more than once go on, each different one once with its number of
-places. They are the reference: a task builds suffix automata over shards of them that count
-the places of every window, streams segments through for their matching statistics, and returns
-a bit for each window. A reference shard is sent where its anchor's rows are, not to every task,
-as the reference grows with the corpus; its size is bounded. The bits go back to all places,
-and documents lose the words under repeated windows.
+places. A segment that stands more than once is repeated as a whole. The others are judged where
+their anchor has another segment: these are the reference, a task builds suffix automata over
+shards of them that count the places of every window, streams the segments standing once through
+for their matching statistics, and returns a bit for each window. A reference shard is sent where
+its anchor's rows are, not to every task, as the reference grows with the corpus; its size is
+bounded. The bits go back to all places, and documents lose the words under repeated windows.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     ["doc_id", "_print", "anchor", "content", "first", "many"],
                 )
 
-    return docs.mapInArrow(batches, f"doc_id {kind}, _print int, anchor bigint, content bigint, first int, many int")
+    return docs.mapInArrow(batches, f"doc_id {kind}, _print bigint, anchor bigint, content bigint, first int, many int")
 
 
 def _with_lists(docs: DataFrame, rows: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
@@ -255,24 +256,27 @@ class SuffixAutomaton:
 
 
 def _shard_bits(rows: list[tuple], window: int) -> pa.RecordBatch:
-    reference = SuffixAutomaton()
-    split = [(anchor, content, n, words.split(" ")) for anchor, content, n, words in rows]
-    for _, _, n, words in split:
-        reference.add(words, n, window - 1)
+    """Bits of the segments to judge; the others only count as reference."""
+    reference, numbers = SuffixAutomaton(), {}
+    split = [[numbers.setdefault(word, len(numbers)) for word in row[3].split(" ")] for row in rows]
+    for row, words in zip(rows, split):
+        reference.add(words, row[2], window - 1)
     reference.total()
-    bits = [sum(1 << (place - window + 1) for place, n in reference.statistics(words, window) if n > 1) for *_, words in split]
+    judged = [i for i, row in enumerate(rows) if row[4]]
+    bits = [sum(1 << (place - window + 1) for place, n in reference.statistics(split[i], window) if n > 1) for i in judged]
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(bits, pa.int64())], ["anchor", "content", "bits"]
+        [pa.array([rows[i][0] for i in judged], pa.int64()), pa.array([rows[i][1] for i in judged], pa.int64()), pa.array(bits, pa.int64())],
+        ["anchor", "content", "bits"],
     )
 
 
 def repeated_bits(contents: DataFrame, window: int, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``anchor, content, bits``: a bit for each window of a segment, set if it is repeated."""
+    """``anchor, content, bits`` of the segments to ``judge``: a bit for each window, set if it is repeated."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part in parts:
-            for row in zip(*(part.column(c).to_pylist() for c in range(4))):
+            for row in zip(*(part.column(c).to_pylist() for c in range(5))):
                 if size >= shard_words and row[0] != held[-1][0]:  # an anchor's segments stay together
                     yield _shard_bits(held, window)
                     held, size = [], 0
@@ -281,7 +285,7 @@ def repeated_bits(contents: DataFrame, window: int, shard_words: int = SHARD_WOR
         if held:
             yield _shard_bits(held, window)
 
-    placed = contents.select("anchor", "content", "places", "words").repartition("anchor").sortWithinPartitions("anchor")
+    placed = contents.select("anchor", "content", "places", "words", "judge").repartition("anchor").sortWithinPartitions("anchor")
     return placed.mapInArrow(batches, "anchor bigint, content bigint, bits bigint")
 
 
@@ -290,19 +294,31 @@ def _kept(held: DataFrame, window: int) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            lists = part.column(3)
+            listed = np.asarray(lists.value_lengths().fill_null(0))
+            ends, rows = np.cumsum(listed), lists.flatten()
+            firsts, bits = rows.field("first").to_numpy().astype(np.int64), rows.field("bits").to_numpy()
+            texts, row = part.column(2), 0
             total, removed, kept = [], [], []
-            for text, listed in zip(part.column(2), part.column(3)):
-                own = split_words(text.as_py())
-                edges = np.zeros(len(own) + 1, np.int64)
-                for r in listed.as_py() or ():
-                    for i in range(r["bits"].bit_length()):
-                        if r["bits"] >> i & 1:
-                            edges[r["first"] + i] += 1
-                            edges[r["first"] + i + window] -= 1
-                gone = np.cumsum(edges)[:-1] > 0
-                total.append(len(own))
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join([w for w, g in zip(own, gone.tolist()) if not g] if removed[-1] else own).decode())
+            while row < part.num_rows:
+                begin, split, sizes = row, [], []
+                while row < part.num_rows and sum(sizes) < BLOCK_WORDS:
+                    split.append(split_words(texts[row].as_py()))
+                    sizes.append(len(split[-1]))
+                    row += 1
+                some = slice(int(ends[begin] - listed[begin]), int(ends[row - 1]))
+                base = np.cumsum(sizes) - sizes
+                flags = np.unpackbits(np.ascontiguousarray(bits[some], "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                at, bit = np.nonzero(flags)
+                starts = (np.repeat(base, listed[begin:row]) + firsts[some])[at] + bit
+                n = int(sum(sizes))
+                gone = np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1))[:n] > 0
+                for own, first in zip(split, base.tolist()):
+                    mine = gone[first : first + len(own)]
+                    lost = int(mine.sum())
+                    total.append(len(own))
+                    removed.append(lost)
+                    kept.append(b" ".join([own[i] for i in np.flatnonzero(~mine).tolist()] if lost else own).decode())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return held.mapInArrow(batches, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string")
@@ -318,7 +334,7 @@ def substring_dedup(
     as empty, shorter texts stay. Rows that repeat id and text count as different places. Other
     columns are ignored; an empty table gives an empty result. ``window`` is 63 + ``gram`` at most.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).select("doc_id", F.hash("text").alias("_print"), "text")
+    texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("_print"), "text")
     anchors = cut_lineage(_anchors(texts, window, gram))
     repeated = cut_lineage(anchors.groupBy("anchor").count().filter("count > 1").select("anchor"))
     # the same plan at every size, so that small inputs tell the cost of large ones
@@ -329,20 +345,27 @@ def substring_dedup(
         return rows.groupBy("anchor", "content").agg(F.count("*").alias("places"), one).select("anchor", "content", "places", "_one.*")
 
     reference = cut_lineage(different(found))
-    hot = cut_lineage(reference.groupBy("anchor").count().filter(F.col("count") > crowded).select("anchor"))
-    crowds = bool(hot.limit(1).count())
-    marked = reference.join(hot.withColumn("_hot", F.lit(True)), "anchor", "left").withColumn("crowded", F.coalesce("_hot", F.lit(False)))
+    whole_bits = reference.filter("places > 1").select("anchor", "content", F.expr("shiftleft(1L, many) - 1").alias("bits"))
+    # the others are compared where their anchor has another segment
+    several = cut_lineage(reference.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1"))
+    crowds = bool(several.filter(F.col("_n") > crowded).limit(1).count())
+    marked = reference.join(several.hint("shuffle_hash"), "anchor").withColumn("crowded", F.col("_n") > crowded)
     contents = _contents(_with_lists(texts, marked, ["anchor", "content", "places", "crowded", "first", "many"]), window)
+    judge = (F.col("places") == 1).alias("judge")
     if crowds:  # equal windows of crowded anchors are summed where they lie, then judged one by one
         contents = cut_lineage(contents)
         alone = cut_lineage(_single_windows(contents.filter("crowded"), window))
         summed = alone.groupBy("words").agg(F.sum("places").alias("places")).filter("places > 1")
-        summed = summed.select(F.xxhash64("words").alias("anchor"), F.xxhash64("words").alias("content"), "places", "words")
-        contents = contents.filter("not crowded").drop("crowded").unionByName(summed)
-    bits = cut_lineage(repeated_bits(contents, window).filter("bits <> 0").groupBy("anchor", "content").agg(F.bit_or("bits").alias("bits")))
+        summed = summed.select(F.xxhash64("words").alias("anchor"), F.xxhash64("words").alias("content"), "places", "words", F.lit(True).alias("judge"))
+        contents = contents.filter("not crowded").select("anchor", "content", "places", "words", judge).unionByName(summed)
+    else:
+        contents = contents.select("anchor", "content", "places", "words", judge)
+    judged = repeated_bits(contents, window).filter("bits <> 0")
     if crowds:
-        judged = bits.select(F.col("anchor").alias("_window")).distinct()
-        back = alone.withColumn("_window", F.xxhash64("words")).join(judged, "_window").groupBy("anchor", "content")
-        bits = bits.unionByName(back.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+        judged = cut_lineage(judged)
+        windows = judged.select(F.col("anchor").alias("_window")).distinct()
+        back = alone.withColumn("_window", F.xxhash64("words")).join(windows, "_window").groupBy("anchor", "content")
+        judged = judged.unionByName(back.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    bits = cut_lineage(whole_bits.unionByName(judged).groupBy("anchor", "content").agg(F.bit_or("bits").alias("bits")))
     places = found.join(bits.hint("shuffle_hash"), ["anchor", "content"])
     return _kept(_with_lists(texts, places, ["first", "bits"], "left"), window)
