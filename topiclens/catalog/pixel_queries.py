@@ -164,9 +164,9 @@ def downsample2(spark, d):
     return _r(P.downsample2(pixels(spark, d)), "v")
 
 
-@query(PX + f"""SELECT a.image_id, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, {sql_rnd('(a.v + b.v) / 2')} AS v
-    FROM (SELECT tx, ty, tx // 2 AS ax, ty // 2 AS ay, (tx + 1) // 2 AS bx, (ty + 1) // 2 AS b_y FROM range(15) s(tx), range(15) t(ty)) g
-    JOIN pixels a ON a.x = g.ax AND a.y = g.ay JOIN pixels b ON b.image_id = a.image_id AND b.x = g.bx AND b.y = g.b_y""")
+@query(PX + f"""SELECT a.image_id, CAST(2 * a.x + dx AS INTEGER) AS x, CAST(2 * a.y + dy AS INTEGER) AS y, {sql_rnd('(a.v + b.v) / 2')} AS v
+    FROM (SELECT image_id, x, y, v, dx, dy, x + dx AS bx, y + dy AS b_y FROM pixels, range(2) s(dx), range(2) t(dy)) a
+    JOIN pixels b ON b.image_id = a.image_id AND b.x = a.bx AND b.y = a.b_y""")
 def upsample2(spark, d):
     return _r(P.upsample2(pixels(spark, d)), "v")
 

@@ -1,51 +1,105 @@
 """Operators on pixel tables ``(image_id, x, y, v)``.
 
-Neighbourhoods are windows or groups over one image line, so a group is never larger than
-an image side; per-image statistics are partial aggregates joined back.
+Neighbourhoods are computed on strips of image lines with some lines of the strips beside them,
+so that neighbours along both axes lie in one task: one exchange, and no task holds more
+than a strip. Images are complete from (0, 0) on; per-image statistics are partial aggregates
+joined back.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiclens.functions.kernels import filter_lines, gaussian_1d
-from topiclens.functions.scalars import draw, luma
+from topiclens.functions.scalars import luma
 from topiclens.spread import lookup_join
 
+STRIP_LINES = 64
 
 
-def along_x():
-    """Window over one image row."""
-    return Window.partitionBy("image_id", "y").orderBy("x")
+def on_strips(pixels: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], reach: int, columns: str = "v", lines: int | None = None) -> DataFrame:
+    """``kernel`` on every strip of lines: ``image_id, x, y`` and ``columns``.
 
+    A strip has ``lines`` image lines of its own (at least twice ``reach``) and up to ``reach`` more on
+    both sides. The kernel gets them as one array and returns arrays of its shape; it may take the
+    array's edges for the image's, as results beside a cut are left out.
+    """
+    names = columns.split()
+
+    def own(block, first, last, top):
+        found = kernel(block)
+        height, width = block[first:last].shape
+        y, x = np.divmod(np.arange(height * width), max(1, width))
+        return {"x": x, "y": y + first, **{c: found[c][first:last].ravel() for c in names}}
+
+    return _strips(pixels, own, reach, names, lines)
+
+
+def _strips(pixels, own, reach, names, lines=None):
+    """``own(block, first, last, top)`` gives the cells of lines ``first`` to ``last`` of a block whose
+    line 0 is line ``top`` of the image; their y counts from the block's own line 0."""
+    lines = max(lines or STRIP_LINES, 2 * reach, 1)
+    strip = lambda y: F.floor(y / lines).cast("int")
+    meets = F.sequence(F.greatest(strip(F.col("y") - reach), F.lit(0)), strip(F.col("y") + reach))
+    copied = pixels.select("image_id", F.explode(meets).alias("strip"), "y", "x", F.col("v").cast("double").alias("v"))
+    packed = copied.groupBy("image_id", "strip").agg(F.collect_list(F.struct("y", "x", "v")).alias("c"))  # a strip's pixels
+    packed = packed.select("image_id", "strip", "c.y", "c.x", "c.v")
+    id_type = pixels.schema["image_id"].dataType.simpleString()
 
-def along_y():
-    """Window over one image column."""
-    return Window.partitionBy("image_id", "x").orderBy("y")
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for image_id, number, y, x, v in zip(*(pdf[c] for c in ("image_id", "strip", "y", "x", "v"))):
+                top = int(y.min())
+                first, last = number * lines - top, min((number + 1) * lines, int(y.max()) + 1) - top
+                if first >= last:  # only lines of its neighbour
+                    continue
+                block = np.zeros((int(y.max()) - top + 1, int(x.max()) + 1))
+                block[y - top, x] = v
+                cells = own(block, first, last, top)
+                cells["y"] = cells["y"] + top * cells.pop("times", 1)
+                out.append(pd.DataFrame({"image_id": image_id, **cells}))
+            if out:
+                yield pd.concat(out)
+
+    return packed.mapInPandas(run, f"image_id {id_type}, x INT, y INT, " + ", ".join(f"{c} DOUBLE" for c in names))
+
+
+def _beside(block: np.ndarray, step: int, axis: int, outside: float | None) -> np.ndarray:
+    """The values ``step`` places on along an axis; beyond the edge ``outside``, or the nearest value."""
+    n = block.shape[axis]
+    at = np.arange(n) + step
+    found = np.take(block, np.clip(at, 0, n - 1), axis)
+    if outside is not None:
+        beyond = np.expand_dims((at < 0) | (at >= n), 1 - axis)
+        found = np.where(beyond, outside, found)
+    return found
+
+
+def pixel_gradients(pixels: DataFrame, lines: int | None = None) -> DataFrame:
+    """Half central differences, clamped at edges; magnitude and direction."""
 
+    def kernel(block):
+        dx, dy = ((_beside(block, 1, axis, None) - _beside(block, -1, axis, None)) / 2 for axis in (1, 0))
+        return {"dx": dx, "dy": dy, "magnitude": np.sqrt(dx * dx + dy * dy), "direction": np.arctan2(dy, dx)}
 
-def pixel_gradients(pixels: DataFrame) -> DataFrame:
-    """Half central differences, clamped at edges; magnitude and direction."""
-    half = lambda w: (
-        F.coalesce(F.lead("v").over(w), F.col("v")) - F.coalesce(F.lag("v").over(w), F.col("v"))
-    ) / 2
-    diffs = pixels.withColumn("dx", half(along_x())).withColumn("dy", half(along_y()))
-    return diffs.select(
-        "image_id", "x", "y", "dx", "dy",
-        F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("magnitude"),
-        F.atan2("dy", "dx").alias("direction"),
-    )
+    return on_strips(pixels, kernel, 1, "dx dy magnitude direction", lines)
 
 
-def laplace(pixels: DataFrame, radius: int = 1) -> DataFrame:
+def laplace(pixels: DataFrame, radius: int = 1, lines: int | None = None) -> DataFrame:
     """Length of the second differences at distance ``radius``; 0 on the border."""
-    second = lambda w: F.lag("v", radius).over(w) - 2 * F.col("v") + F.lead("v", radius).over(w)
-    parts = pixels.withColumn("dxx", second(along_x())).withColumn("dyy", second(along_y()))
-    size = F.sqrt(F.col("dxx") * F.col("dxx") + F.col("dyy") * F.col("dyy"))
-    return parts.select("image_id", "x", "y", F.coalesce(size, F.lit(0.0)).alias("v"))
+
+    def kernel(block):
+        second = [_beside(block, -radius, axis, np.nan) - 2 * block + _beside(block, radius, axis, np.nan) for axis in (1, 0)]
+        return {"v": np.nan_to_num(np.sqrt(second[0] * second[0] + second[1] * second[1]), nan=0.0)}
+
+    return on_strips(pixels, kernel, radius, "v", lines)
 
 
 def pixel_extent(pixels: DataFrame) -> DataFrame:
@@ -112,108 +166,84 @@ def gaussian_kernel_2d_rows(df: DataFrame, sigma: str, ox: str | None = None, oy
     return weighted.select("sigma", "ox", "oy", "dx", "dy", "w")
 
 
-def convolve_axis(pixels: DataFrame, kernel, axis: str, edge: str = "mirror") -> DataFrame:
-    """One 1-D pass along ``axis``; lines must be complete and start at 0.
-
-    Lines of equal length are filtered together as one matrix.
-    """
+def convolve_axis(pixels: DataFrame, kernel, axis: str, edge: str = "mirror", lines: int | None = None) -> DataFrame:
+    """One 1-D pass along ``axis``."""
     weights = np.asarray(kernel, float)
-    line, at = ("y", "x") if axis == "x" else ("x", "y")
-    lines = pixels.groupBy("image_id", line).agg(
-        F.array_sort(F.collect_list(F.struct(at, "v"))).alias("cells")
-    ).select("image_id", line, F.col("cells.v").alias("row"))
+    if axis == "x":
+        return on_strips(pixels, lambda block: {"v": filter_lines(block, weights, edge)}, 0, "v", lines)
+    return on_strips(pixels, lambda block: {"v": filter_lines(block.T, weights, edge).T}, len(weights) // 2, "v", lines)
 
-    def run(frames):
-        for pdf in frames:
-            fresh = pdf["row"].copy()
-            for _, same in pdf["row"].groupby(pdf["row"].str.len()):
-                done = filter_lines(np.stack(same), weights, edge)
-                fresh.loc[same.index] = pd.Series(list(done), index=same.index)
-            yield pdf.assign(row=fresh)
 
-    id_type = pixels.schema["image_id"].dataType.simpleString()
-    filtered = lines.mapInPandas(run, f"image_id {id_type}, {line} INT, row ARRAY<DOUBLE>")
-    return filtered.select("image_id", line, F.posexplode("row").alias(at, "v")).select(
-        "image_id", "x", "y", "v"
-    )
+def separable_convolve(pixels: DataFrame, kernel_x, kernel_y=None, edge: str = "mirror", lines: int | None = None) -> DataFrame:
+    """Horizontal then vertical pass."""
+    across, down = np.asarray(kernel_x, float), np.asarray(kernel_x if kernel_y is None else kernel_y, float)
 
+    def kernel(block):
+        return {"v": filter_lines(filter_lines(block, across, edge).T, down, edge).T}
 
-def separable_convolve(pixels: DataFrame, kernel_x, kernel_y=None, edge: str = "mirror") -> DataFrame:
-    """Horizontal then vertical pass."""
-    first = convolve_axis(pixels, kernel_x, "x", edge)
-    return convolve_axis(first, kernel_x if kernel_y is None else kernel_y, "y", edge)
+    return on_strips(pixels, kernel, len(down) // 2, "v", lines)
 
 
-def gaussian_blur(pixels: DataFrame, sigma: float) -> DataFrame:
+def gaussian_blur(pixels: DataFrame, sigma: float, lines: int | None = None) -> DataFrame:
     """Weights outside the image are dropped and the result divided by the weight used.
 
     The valid neighbourhood is a rectangle, so both the sum and the weight factor into two
     1-D passes.
     """
-    return separable_convolve(pixels, gaussian_1d(sigma), edge="renorm")
+    return separable_convolve(pixels, gaussian_1d(sigma), edge="renorm", lines=lines)
 
 
-def gaussian_blur_mirror(pixels: DataFrame, sigma: float) -> DataFrame:
+def gaussian_blur_mirror(pixels: DataFrame, sigma: float, lines: int | None = None) -> DataFrame:
     """Two passes reflecting about the edge samples."""
-    return separable_convolve(pixels, gaussian_1d(sigma), edge="inner")
+    return separable_convolve(pixels, gaussian_1d(sigma), edge="inner", lines=lines)
 
 
-def gaussian_blur_ramp_x(pixels: DataFrame, start: float, end: float) -> DataFrame:
+def gaussian_blur_ramp_x(pixels: DataFrame, start: float, end: float, lines: int | None = None) -> DataFrame:
     """Sigma grows linearly with x; weights outside the image are dropped.
 
-    Both passes use the kernel of the target column. The image width sets the slope, so
-    the sigma of a column travels with the rows.
+    Both passes use the kernel of the target column; the image width sets the slope. The kernels
+    of a width are one band: a row of weights for each offset.
     """
-    id_type = pixels.schema["image_id"].dataType.simpleString()
-    rows = pixels.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("c"))
-    rows = rows.select("image_id", "y", F.col("c.v").alias("row"))
+    reach = len(gaussian_1d(max(start, end))) // 2
+    bands: dict[int, np.ndarray] = {}
 
-    def across(frames):
-        for pdf in frames:
-            out = []
-            for row in pdf["row"]:
-                n = len(row)
-                line = np.asarray(row)[None, :]
-                fresh = np.empty(n)
-                for x in range(n):
-                    k = gaussian_1d(start + (end - start) / n * x)
-                    lo, half = x - len(k) // 2, len(k) // 2
-                    a, b = max(lo, 0), min(x + half + 1, n)
-                    fresh[x] = line[0, a:b] @ k[a - lo : b - lo]
-                out.append(fresh)
-            yield pd.DataFrame({"image_id": pdf["image_id"], "y": pdf["y"], "row": out})
-
-    swept = rows.mapInPandas(across, f"image_id {id_type}, y INT, row ARRAY<DOUBLE>")
-    cells = swept.select("image_id", "y", F.size("row").alias("w"), F.posexplode("row").alias("x", "v"))
-    columns = cells.groupBy("image_id", "x").agg(
-        F.max("w").alias("w"), F.array_sort(F.collect_list(F.struct("y", "v"))).alias("c")
-    ).select("image_id", "x", "w", F.col("c.v").alias("row"))
-
-    def down(frames):
-        for pdf in frames:
-            out = [
-                filter_lines(np.asarray(row)[None, :], gaussian_1d(start + (end - start) / w * x), "zero")[0]
-                for row, x, w in zip(pdf["row"], pdf["x"], pdf["w"])
-            ]
-            yield pd.DataFrame({"image_id": pdf["image_id"], "x": pdf["x"], "row": out})
+    def band(width):
+        if width not in bands:
+            weights = np.zeros((2 * reach + 1, width))
+            for x in range(width):
+                k = gaussian_1d(start + (end - start) / width * x)
+                weights[reach - len(k) // 2 : reach + len(k) // 2 + 1, x] = k
+            bands[width] = weights
+        return bands[width]
+
+    def kernel(block):
+        for axis in (1, 0):
+            block = sum(w * _beside(block, i - reach, axis, 0.0) for i, w in enumerate(band(block.shape[1])))
+        return {"v": block}
 
-    done = columns.mapInPandas(down, f"image_id {id_type}, x INT, row ARRAY<DOUBLE>")
-    return done.select("image_id", "x", F.posexplode("row").alias("y", "v")).select("image_id", "x", "y", "v")
+    return on_strips(pixels, kernel, reach, "v", lines)
 
 
-def jitter_resample(pixels: DataFrame, axis: str = "x", seed: int = 0) -> DataFrame:
+def jitter_resample(pixels: DataFrame, axis: str = "x", seed: int = 0, lines: int | None = None) -> DataFrame:
     """Shift every column (or row) by a random part of a pixel, by 3-tap interpolation.
 
-    The shift in (-1, 1) depends on seed and column only; samples outside count as 0.
+    The shift in (-1, 1) depends on seed and column only (the draw of ``functions.scalars.draw``);
+    samples outside count as 0.
     """
-    place, window = ("x", along_x()) if axis == "x" else ("y", along_y())
-    r = (draw(F.lit(seed), place) / float(1 << 32) - 0.5) * 2
-    back = F.coalesce(F.lag("v").over(window), F.lit(0.0))
-    ahead = F.coalesce(F.lead("v").over(window), F.lit(0.0))
-    mixed = F.when(
-        F.col("r") < 0, -F.col("r") * back + (1 + F.col("r")) * F.col("v")
-    ).otherwise((1 - F.col("r")) * F.col("v") + F.col("r") * ahead)
-    return pixels.withColumn("r", r).select("image_id", "x", "y", mixed.alias("v"))
+    along = 1 if axis == "x" else 0
+
+    def shift(place):
+        return (int(hashlib.md5(f"{seed}:{place}".encode()).hexdigest()[:8], 16) / float(1 << 32) - 0.5) * 2
+
+    def own(block, first, last, top):
+        places = np.arange(block.shape[1]) if along else np.arange(top, top + len(block))
+        r = np.expand_dims(np.array([shift(i) for i in places.tolist()]), 1 - along)
+        back, ahead = _beside(block, -1, along, 0.0), _beside(block, 1, along, 0.0)
+        mixed = np.where(r < 0, -r * back + (1 + r) * block, (1 - r) * block + r * ahead)[first:last]
+        y, x = np.divmod(np.arange(mixed.size), max(1, mixed.shape[1]))
+        return {"x": x, "y": y + first, "v": mixed.ravel()}
+
+    return _strips(pixels, own, 1 - along, ["v"], lines)
 
 
 def downsample2(pixels: DataFrame) -> DataFrame:
@@ -222,24 +252,27 @@ def downsample2(pixels: DataFrame) -> DataFrame:
     return even.select("image_id", F.expr("x div 2").cast("int").alias("x"), F.expr("y div 2").cast("int").alias("y"), "v")
 
 
-def upsample2(pixels: DataFrame) -> DataFrame:
+def upsample2(pixels: DataFrame, lines: int | None = None) -> DataFrame:
     """Linear interpolation to (2w-1) x (2h-1).
 
-    Every pixel hands its value to its own target and half of it to the targets between
-    it and its right, lower and lower-right neighbours; only targets with full weight
-    are inside.
+    A target between two pixels is their mean, one between four the mean of the upper left and
+    the lower right.
     """
-    spots = [(0, 0, 1.0), (1, 0, 0.5), (-1, 0, 0.5), (0, 1, 0.5), (0, -1, 0.5), (1, 1, 0.5), (-1, -1, 0.5)]
-    offers = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in spots))
-    parts = pixels.select("image_id", "x", "y", "v", F.explode(offers).alias("o")).select(
-        "image_id",
-        (F.col("x") * 2 + F.col("o.a")).alias("x"),
-        (F.col("y") * 2 + F.col("o.b")).alias("y"),
-        (F.col("v") * F.col("o.w")).alias("v"),
-        "o.w",
-    )
-    summed = parts.groupBy("image_id", "x", "y").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
-    return summed.filter("w = 1").select("image_id", "x", "y", "v")
+
+    def own(block, first, last, top):
+        height, width = block.shape
+        below = min(last, height - 1)  # lines that have a next one
+        fresh = np.empty((2 * (last - first), 2 * width - 1))
+        fresh[::2, ::2] = block[first:last]
+        fresh[::2, 1::2] = (block[first:last, :-1] + block[first:last, 1:]) / 2
+        n = below - first
+        fresh[1 : 2 * n : 2, ::2] = (block[first:below] + block[first + 1 : below + 1]) / 2
+        fresh[1 : 2 * n : 2, 1::2] = (block[first:below, :-1] + block[first + 1 : below + 1, 1:]) / 2
+        fresh = fresh[: (last - first) + n]
+        y, x = np.divmod(np.arange(fresh.size), fresh.shape[1])
+        return {"x": x, "y": y + 2 * first, "v": fresh.ravel(), "times": 2}
+
+    return _strips(pixels, own, 1, ["v"], lines)
 
 
 def grid_points(sizes: DataFrame, step: int = 8, policy: str = "half_step", fd_size: int = 4) -> DataFrame:

@@ -23,18 +23,30 @@ LOG_SEED = math.log(10.0)  # fixed value: prior weight of a seed word
 LOG_OTHER = math.log(0.01)  # fixed value: prior weight of any other word
 
 
+SPAN = 512.0  # exponents summed together: exp(512) times any number of rows is finite
+
+
 def log_sum_exp(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """log of the summed exponentials per group.
+    """log of the summed exponentials per group, in one pass over the rows.
 
-    Two partially aggregated passes: the group maximum, then sums scaled by it. A group's
-    maximum comes back through a salted join, so a hot group stays spread.
+    Rows are summed by group and by span of the exponent, scaled to it: partial sums that can
+    be merged, whatever the values. What is shuffled again is a row for each span of a group.
+    Nulls are ignored; a group of nulls gives null, of minus infinity minus infinity, and NaN or
+    infinity what they are.
     """
-    tops = df.groupBy(*keys).agg(F.max(value).alias("_top"))
-    scaled = lookup_join(df.select(*keys, value), tops, keys)
-    sums = scaled.groupBy(*keys).agg(
-        F.max("_top").alias("_top"), F.sum(F.exp(F.col(value) - F.col("_top"))).alias("_s")
+    v = F.col(value).cast("double")
+    span = F.when(F.abs(v) < float("inf"), F.floor(v / SPAN))
+    parts = df.groupBy(*keys, span.alias("_e")).agg(
+        F.sum(F.when(F.abs(v) < float("inf"), F.exp(v - F.floor(v / SPAN) * SPAN))).alias("_s"), F.max(v).alias("_top")
+    )
+    merged = parts.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("_e").isNotNull(), F.struct("_e", "_s"))).alias("_p"),  # one entry for each span
+        F.max("_e").alias("_e"), F.max(F.when(F.col("_e").isNull(), F.col("_top"))).alias("_odd"),
     )
-    return sums.select(*keys, (F.col("_top") + F.log("_s")).alias(name))
+    total = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["_s"] * F.exp((p["_e"] - F.col("_e")) * SPAN))
+    whole = F.col("_e") * SPAN + F.log(total)
+    odd = F.isnan("_odd") | (F.col("_odd") == float("inf")) | F.col("_e").isNull()
+    return merged.select(*keys, F.when(odd, F.col("_odd")).otherwise(whole).alias(name))
 
 
 def beta_statistics(phi: DataFrame) -> DataFrame:
@@ -52,8 +64,8 @@ def topic_norms(stats: DataFrame, value: str = "log_stat") -> DataFrame:
 
 
 def with_norms(stats: DataFrame) -> DataFrame:
-    """Statistics joined with their topic's normaliser."""
-    return lookup_join(stats, topic_norms(stats), ["topic"])
+    """Statistics joined with their topic's normaliser; one row for each topic is sent to all tasks."""
+    return stats.join(F.broadcast(topic_norms(stats)), "topic")
 
 
 def normalize_beta(stats: DataFrame, n_terms: int) -> DataFrame:
