@@ -259,19 +259,39 @@ def test_nearest_features_brute_force(spark, rows):
     assert np.allclose(got[["d1", "d2"]], np.sort(d, 1)[:, :2])
 
 
-def test_large_codebooks_travel_in_blocks(spark):
-    rng = np.random.default_rng(7)
-    pts, centers = rng.random((80, 4)), rng.random((9, 4))
+def codebook_tables(spark, n, k, size=4, seed=7):
+    rng = np.random.default_rng(seed)
+    pts, centers = rng.random((n, size)), rng.random((k, size))
     p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pts)], "vec_id LONG, desc ARRAY<DOUBLE>")
     c = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(centers)], "code INT, center ARRAY<DOUBLE>")
-    want = codebook.assign_clusters(p, c, ["vec_id"]).select("vec_id", "code").orderBy("vec_id").collect()
-    blocked = codebook.assign_clusters(p, c, ["vec_id"], cells=8)
-    plan = blocked._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 5 and "Exchange" not in plan
-    got = blocked.select("vec_id", "code").orderBy("vec_id").collect()
-    assert got == want
+    return pts, centers, p, c
+
+
+def test_large_codebooks_are_read_by_the_tasks(spark):
+    """Kept whole, and in several files read again for each batch; the plan moves nothing."""
+    pts, centers, p, c = codebook_tables(spark, 80, 9)
     d = ((pts[:, None] - centers) ** 2).sum(2)
-    assert [r["code"] for r in got] == (d.argmin(1) + 1).tolist()
+    for table, cells in ((c, 10**6), (c.repartition(4), 8), (c.union(c.selectExpr("code + 9", "center")), 8)):
+        found = codebook.assign_clusters(p, table, ["vec_id"], cells=cells)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+        rows = found.orderBy("vec_id").collect()
+        assert [r["code"] for r in rows] == (d.argmin(1) + 1).tolist()  # of equal centres the lower code
+        assert np.allclose([r["dist"] for r in rows], np.sqrt(d.min(1)))
+
+
+def test_bounds_spare_distances_and_change_no_code(spark):
+    pts, centers, p, c = codebook_tables(spark, 600, 12, 2)
+    c = c.union(spark.createDataFrame([(13, [50.0, 50.0])], c.schema))  # never has a point
+    measured = spark.sparkContext.accumulator(0)
+    made = codebook.lloyd_codebook(p, c, ["vec_id"], max_iter=12, tol=0.0, measured=measured).orderBy("code").collect()
+    plain = np.vstack([centers, [50.0, 50.0]])
+    for _ in range(12):
+        at = ((pts[:, None] - plain) ** 2).sum(2).argmin(1)
+        plain = np.array([pts[at == j].mean(0) if (at == j).any() else plain[j] for j in range(13)])
+    assert np.allclose([r["center"] for r in made], plain)
+    assert 600 < measured.value < 600 * 12 * 0.7
+    assert codebook.lloyd_codebook(p.limit(0), c, ["vec_id"], max_iter=3).count() == 13
 
 
 def test_clusters_and_maps_above_the_list_size_come_in_parts(spark):

@@ -108,14 +108,14 @@ def shuffle_rows(spark, d):
 def build_codebook(spark, d):
     """K-means centres and the clusters' sizes."""
     p = patches(spark, d)
-    centers = B.build_codebook(p, k=16, max_iter=20, seed=1)
+    centers = B.build_codebook(p, k=16, seed=1)
     return B.assign_clusters(p, centers, ["vec_id"]).groupBy("code").agg(F.count("*").alias("n"), rnd(F.avg("dist")).alias("mean_dist"))
 
 
 @query()
 def build_codebook_sampled(spark, d):
     """K-means on a sample, all rows assigned."""
-    _, assigned = B.build_codebook_sampled(patches(spark, d), 0.5, ["vec_id"], k=16, max_iter=20, seed=1)
+    _, assigned = B.build_codebook_sampled(patches(spark, d), 0.5, ["vec_id"], k=16, seed=1)
     return assigned.select("image_id", "x", "y", "code", rnd("dist").alias("dist"))
 
 
@@ -131,6 +131,30 @@ def lloyd_rounds(spark, d):
     return B.assign_clusters(p, moved, ["vec_id"]).select("vec_id", "code")
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of assignment and means from the given centres; a centre without points stays."""
+    away = 'list_sum(list_transform(list_zip(p."desc", c.center), lambda z: (z[1] - z[2]) * (z[1] - z[2])))'
+    ctes = ["c0 AS (SELECT code, center FROM centers)"]
+    for at in range(rounds):
+        ctes += [
+            f"a{at} AS MATERIALIZED (SELECT p.vec_id, arg_min(c.code, ({away}, c.code)) AS code FROM patches p, c{at} c GROUP BY 1)",
+            f"""m{at} AS (SELECT code, list(v ORDER BY i) AS center FROM (SELECT code, i, avg("desc"[i]) AS v FROM patches JOIN a{at} USING (vec_id), range(1, 65) t(i)
+                GROUP BY code, i) GROUP BY code)""",
+            f"c{at + 1} AS MATERIALIZED (SELECT c.code, coalesce(m.center, c.center) AS center FROM c{at} c LEFT JOIN m{at} m USING (code))",
+        ]
+    return with_sql("patches", "centers") + ", " + ",\n".join(ctes) + f""" SELECT vec_id, code, {sql_rnd('sqrt(d)', 4)} AS dist FROM (SELECT p.vec_id, arg_min(c.code, ({away}, c.code)) AS code,
+        min({away}) AS d FROM patches p, c{rounds} c GROUP BY 1)"""
+
+
+@query(_lloyd_sql(40))
+def lloyd_codebook(spark, d):
+    """Codes under the codebook that forty Lloyd rounds, or fewer if it settles, make of the given centres."""
+    p = patches(spark, d)
+    _, centers = code_table(spark, d)
+    made = B.lloyd_codebook(p, centers, ["vec_id"], max_iter=40, tol=0.0)
+    return B.assign_clusters(p, made, ["vec_id"]).select("vec_id", "code", rnd("dist", 4).alias("dist"))
+
+
 @query(with_sql("patches", "centers", "assigned") + """SELECT code, CAST(0 AS INTEGER) AS part, string_agg(image_id || ' ' || x || ' ' || y, ','
     ORDER BY image_id || ' ' || x || ' ' || y) AS members, count(*) AS n FROM assigned GROUP BY code""")
 def cluster_members(spark, d):
@@ -142,7 +166,7 @@ def cluster_members(spark, d):
 @query()
 def cluster_report(spark, d):
     """Vectors to members per cluster."""
-    report = B.cluster_report(patches(spark, d), 8, ["vec_id"], B.member_name(), max_iter=20, seed=2)
+    report = B.cluster_report(patches(spark, d), 8, ["vec_id"], B.member_name(), seed=2)
     return report.select("code", "part", F.array_join("members", ",").alias("members"), "n")
 
 

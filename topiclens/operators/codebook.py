@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 
 from topiclens.functions.arrow import matrix, square_distances
 from topiclens.functions.scalars import draw, patch_name
-from topiclens.session import cut_lineage
+from topiclens.session import cut_lineage, remove_round, write_round
+from topiclens.sources.side import read_side, write_side
 from topiclens.spread import lookup_join, number_rows
 
-CENTER_CELLS = 8_000_000  # doubles a task may receive as the broadcast codebook
+CENTER_CELLS = 8_000_000  # numbers of the codebook a task may keep
+BLOCK_CENTERS, BLOCK_POINTS = 4096, 1024  # compared at once
 ROWS_PER_LIST = 65_536
 
 
@@ -47,18 +49,46 @@ def seed_centers(points: DataFrame, k: int, key: str, vec: str = "desc", seed: i
     )
 
 
-def _center_blocks(centers: DataFrame, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes and vectors of ``centers`` in code order, about ``cells`` numbers at a time."""
-    codes, vectors, held = [], [], 0
-    for row in centers.select("code", "center").orderBy("code").toLocalIterator():
-        codes.append(row["code"])
-        vectors.append(row["center"])
-        held += len(vectors[-1])
-        if held >= cells:
-            yield np.array(codes, np.int32), np.array(vectors, float)
-            codes, vectors, held = [], [], 0
-    if codes:
-        yield np.array(codes, np.int32), np.array(vectors, float)
+class _Codebook:
+    """Inside a task: the centres of a side table, kept while they have at most ``cells`` numbers."""
+
+    def __init__(self, path: str, cells: int):
+        self.path, self.cells, self.kept = path, cells, None
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Codes, vectors and shifts, ``BLOCK_CENTERS`` centres at a time."""
+        if self.kept is not None:
+            yield from self.kept
+            return
+        kept, held = [], 0
+        for batch in read_side(self.path, BLOCK_CENTERS):
+            if batch.num_rows:
+                shift = batch.column("shift").to_numpy() if "shift" in batch.schema.names else np.zeros(batch.num_rows)
+                block = batch.column("code").to_numpy(), matrix(batch, "center"), shift
+                held += block[1].size
+                kept = None if kept is None or held > self.cells else [*kept, block]
+                yield block
+        self.kept = kept  # None: too large, read again for the next points
+
+    def two_nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code and square distance of the nearest centre, and the square distance of the next one."""
+        n = len(points)
+        code, best, second = np.zeros(n, np.int32), np.full(n, np.inf), np.full(n, np.inf)
+        for codes, vectors, _ in self.blocks():
+            for at in range(0, n, BLOCK_POINTS):
+                some = slice(at, at + BLOCK_POINTS)
+                d = square_distances(points[some], vectors)
+                order = np.lexsort((codes,))  # equal distances: the lower code
+                d, own = d[:, order], codes[order]
+                rows = np.arange(len(d))
+                near = d.argmin(1)
+                first = d[rows, near]
+                d[rows, near] = np.inf
+                other = d.min(1)
+                wins = (first < best[some]) | ((first == best[some]) & (own[near] < code[some]))
+                second[some] = np.minimum(np.where(wins, best[some], first), np.minimum(second[some], other))
+                code[some], best[some] = np.where(wins, own[near], code[some]), np.where(wins, first, best[some])
+        return code, best, second
 
 
 def assign_clusters(
@@ -66,35 +96,20 @@ def assign_clusters(
 ) -> DataFrame:
     """Nearest centre of every point: adds ``code`` and ``dist``; equal distances take the lower code.
 
-    The points stay where they are: the codebook travels to the tasks in blocks of about
-    ``cells`` numbers, and each block only replaces a point's code by a nearer one.
+    The points stay where they are. The codebook is a side table: tasks read it in blocks and
+    keep it while it has at most ``cells`` numbers; a larger one is read again for each batch.
     """
-    sc = points.sparkSession.sparkContext
+    path = write_side(centers.select("code", "center"))
     fields = [T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())]
-    schema = T.StructType([*points.schema.fields, *fields])
-
-    def against(shared, first: bool):
-        def nearest(batches):
-            codes, table = shared.value
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                d = square_distances(matrix(batch, vec), table)
-                at = d.argmin(1)
-                code, dist = codes[at], d[np.arange(len(at)), at]
-                if not first:
-                    n = batch.num_columns
-                    held_code, held = batch.column(n - 2).to_numpy(), batch.column(n - 1).to_numpy()
-                    code, dist = np.where(dist < held, code, held_code), np.minimum(dist, held)
-                    batch = batch.select(range(n - 2))
-                yield batch.append_column("code", pa.array(code, pa.int32())).append_column("dist", pa.array(dist))
-
-        return nearest
-
-    found = points
-    for number, block in enumerate(_center_blocks(centers, cells)):
-        found = found.mapInArrow(against(sc.broadcast(block), number == 0), schema)
-    return found.withColumn("dist", F.sqrt("dist"))
+
+    def nearest(batches):
+        book = _Codebook(path, cells)
+        for batch in batches:
+            if batch.num_rows:
+                code, best, _ = book.two_nearest(matrix(batch, vec))
+                yield batch.append_column("code", pa.array(code)).append_column("dist", pa.array(np.sqrt(best)))
+
+    return points.mapInArrow(nearest, T.StructType([*points.schema.fields, *fields]))
 
 
 def update_centers(assigned: DataFrame, vec: str = "desc") -> DataFrame:
@@ -116,24 +131,74 @@ def build_codebook(
     return spark.createDataFrame(rows, "code INT, center ARRAY<DOUBLE>")
 
 
+def _bounded_round(state: DataFrame, path: str, vec: str, cells: int, measured=None) -> DataFrame:
+    """Codes of all points under moved centres: ``code, upper, lower`` are replaced.
+
+    ``upper`` is at least the distance to a point's centre and ``lower`` at most that to any
+    other. They widen by the centres' shifts; where they still part, the code stands and no
+    distance is measured. The slack is above the rounding of the distances, so codes are those
+    of a full search. ``measured`` adds up the points that were searched.
+    """
+
+    def step(batches):
+        book, shifts = _Codebook(path, cells), None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if shifts is None:
+                codes, moves, sizes = zip(*((c, s, np.sqrt((v * v).sum(1)).max()) for c, v, s in book.blocks()))
+                codes, moves, reach = np.concatenate(codes), np.concatenate(moves), max(sizes)
+                order = np.argsort(codes)
+                shifts, codes, most = moves[order], codes[order], moves.max()
+            rest = batch.select([c for c in batch.schema.names if c not in ("code", "upper", "lower")])
+            points = matrix(batch, vec)
+            code, upper, lower = (batch.column(c).to_numpy().copy() for c in ("code", "upper", "lower"))
+            upper += shifts[np.minimum(np.searchsorted(codes, code), len(codes) - 1)]
+            lower -= most
+            slack = 1e-6 * (np.sqrt((points * points).sum(1)) + reach)
+            open_ = np.flatnonzero(~(upper + slack < lower))
+            if len(open_):
+                code[open_], best, second = book.two_nearest(points[open_])
+                upper[open_], lower[open_] = np.sqrt(best), np.sqrt(second)
+                if measured is not None:
+                    measured.add(len(open_))
+            yield rest.append_column("code", pa.array(code)).append_column("upper", pa.array(upper)).append_column("lower", pa.array(lower))
+
+    return state.mapInArrow(step, state.schema)
+
+
 def lloyd_codebook(
-    points: DataFrame, centers: DataFrame, key: list[str], max_iter: int = 100, tol: float = 1e-5, vec: str = "desc"
+    points: DataFrame, centers: DataFrame, key: list[str], max_iter: int = 100, tol: float = 1e-5, vec: str = "desc",
+    cells: int = CENTER_CELLS, measured=None,
 ) -> DataFrame:
-    """Lloyd rounds from given centres; a centre that loses all points keeps its place."""
+    """Lloyd rounds from given centres; a centre that loses all points keeps its place.
+
+    Points carry bounds of their distances from round to round, so that only those near a
+    border are searched again (``_bounded_round``); tables of past rounds are deleted. Nothing but
+    the largest shift reaches the driver.
+    """
+    spark = points.sparkSession
+    unknown = {"code": F.lit(0), "upper": F.lit(float("inf")), "lower": F.lit(0.0)}
+    state, old = points.select(*key, vec).withColumns(unknown), None
+    centers = cut_lineage(centers.select("code", "center").withColumn("shift", F.lit(0.0)))
     for _ in range(max_iter):
-        means = update_centers(assign_clusters(points, centers, key, vec), vec)
-        moved = cut_lineage(
-            centers.withColumnRenamed("center", "old")
-            .join(means, "code", "left")
-            .select("code", F.coalesce("center", "old").alias("center"), "old")
-        )
-        shift = F.aggregate(
-            F.zip_with("center", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
+        side = write_side(centers)
+        state, path = write_round(_bounded_round(state, side, vec, cells, measured))
+        means = update_centers(state, vec).select("code", F.col("center").alias("mean"))
+        gap = F.aggregate(F.zip_with("center", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        moved = centers.drop("shift").join(means, "code", "left").select(
+            "code", F.coalesce("mean", "center").alias("center"), F.coalesce(F.sqrt(gap), F.lit(0.0)).alias("shift")
         )
-        centers = moved.select("code", "center")
-        if moved.agg(F.max(F.sqrt(shift)).alias("s")).first()["s"] <= tol:
+        centers = cut_lineage(moved)
+        for past in (side, old):
+            if past is not None:
+                remove_round(spark, past)
+        old = path
+        if (centers.agg(F.max("shift").alias("s")).first()["s"] or 0.0) <= tol:
             break
-    return centers
+    if old is not None:
+        remove_round(spark, old)
+    return centers.select("code", "center")
 
 
 def build_codebook_sampled(
