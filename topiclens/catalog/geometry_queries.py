@@ -224,7 +224,7 @@ def ransac_translation(spark, d):
 @query(FOUND_MODEL)
 def ransac_grow_epsilon(spark, d):
     """Tolerance raised until no more inliers appear."""
-    return _found(G.ransac_grow_epsilon(matches(spark, d), 0.1, 1.0, 0.1, iterations=40))
+    return _found(G.ransac_grow_epsilon(matches(spark, d), 0.1, 1.0, 0.1))
 
 
 @query()

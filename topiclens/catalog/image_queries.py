@@ -99,13 +99,38 @@ def image_sizes(spark, d):
     return R.image_sizes(folder_manifest(spark, path), R.decode_images(spark, path), folder).select("image_id", "width", "height")
 
 
-@query("SELECT 'page-' || page_id AS name FROM pages")
-def skip_bad_images(spark, d):
-    """Bitmaps and web pages in one folder tree: the pages are listed as unreadable."""
+def mixed_folder(spark, d) -> str:
+    """Bitmaps and web pages in one folder tree."""
     path = scratch(spark, "mixed")
     write_files(encode_bitmaps(mosaic_rgb_images(spark, d)).select(F.concat(F.lit("image-"), F.col("image_id").cast("string")).alias("name"), "content"), path, "name")
     pages = table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("name"), F.encode("html", "UTF-8").alias("content"))
     write_files(pages, path, "name")
+    return path
+
+
+GREY = "0.3 * ((rgb >> 16) & 255) + 0.6 * ((rgb >> 8) & 255) + 0.1 * (rgb & 255)"
+
+
+@query(ALL + f""", ends AS (SELECT image_id, max({GREY}) FILTER (x = 0 AND y = 0) AS a, max({GREY}) FILTER (x = 39 AND y = 31) AS b FROM whole GROUP BY 1)
+    SELECT 'image-' || image_id AS name, CASE WHEN a < b THEN 'ValueError: brighter at its end' END AS reason FROM ends
+    UNION ALL SELECT 'page-' || page_id, 'not an image' FROM pages""")
+def account_files(spark, d):
+    """Every file of a mixed folder: an image that a kernel takes, or why it is left out."""
+
+    def kernel(image):
+        if image[0, 0] < image[-1, -1]:
+            raise ValueError("brighter at its end")
+        yield ()
+
+    files = R.decode_images(spark, mixed_folder(spark, d), drop_invalid=False, glob="part-*")
+    found = I.account_files(files, kernel)
+    return found.select(F.regexp_extract("path", "name=(.*)$", 1).alias("name"), "reason")
+
+
+@query("SELECT 'page-' || page_id AS name FROM pages")
+def skip_bad_images(spark, d):
+    """Bitmaps and web pages in one folder tree: the pages are listed as unreadable."""
+    path = mixed_folder(spark, d)
     return R.bad_images(spark, path, "part-*").select(F.regexp_extract("path", "name=(.*)$", 1).alias("name"))
 
 

@@ -236,7 +236,7 @@ def log_likelihood_passes(spark, d):
 @query()
 def train_lda_symmetric(spark, d):
     """Rounds with one alpha for all topics."""
-    _, _, model = _trained(spark, d, symmetric=True, max_iter=2)
+    _, _, model = _trained(spark, d, symmetric=True)
     rows = [(k + 1, float(a)) for k, a in enumerate(model.alpha)]
     return spark.createDataFrame(rows, "topic INT, alpha DOUBLE").select("topic", rnd("alpha").alias("alpha"))
 
@@ -255,10 +255,14 @@ def m_step_beta(spark, d):
     return M.beta_long(beta).select("topic", "term_id", rnd("log_beta").alias("log_beta"))
 
 
+#: Training stops when the likelihood moves by less than this part; a document's passes when no value of its posterior does.
+SETTLED = {"tol": 1e-4, "inner_tol": 1e-3}
+
+
 def _trained(spark, d, **options):
-    """Training on all documents; any too wide for a task are kept in long form."""
+    """Training on all documents, up to the default rounds; any too wide for a task are kept in long form."""
     index, docs, wide = _documents(spark, d)
-    return index, docs, M.train_lda(docs, 10, index.n_terms, max_iter=options.pop("max_iter", 3), wide=wide, **options)
+    return index, docs, M.train_lda(docs, 10, index.n_terms, wide=wide, **SETTLED, **options)
 
 
 @query()
@@ -277,7 +281,7 @@ def train_lda_with_seeds(spark, d):
 
     index, docs, wide = _documents(spark, d)
     prior = seed_words_to_ids(seeds(spark, d), index.terms)
-    model = M.train_lda(docs, 10, index.n_terms, max_iter=3, seeds=prior, truncate=1000, truncate_from=1, random_start=True, wide=wide)
+    model = M.train_lda(docs, 10, index.n_terms, tol=1e-3, inner_tol=1e-3, seeds=prior, truncate=1000, truncate_from=1, random_start=True, wide=wide)
     rows = [(k + 1, float(a)) for k, a in enumerate(model.alpha)]
     alpha = spark.createDataFrame(rows, "topic INT, alpha DOUBLE")
     sizes = M.beta_long(model.beta).groupBy("topic").agg(F.count("*").alias("n_terms"), rnd(F.sum(F.exp("log_beta"))).alias("mass"))
@@ -310,11 +314,11 @@ def infer_phi(spark, d):
 
 @query()
 def resume_training(spark, d):
-    """Two rounds, a snapshot, and one more round from it."""
+    """Two rounds, a snapshot, and the other rounds from it."""
     path = scratch(spark, "model")
     _, _, model = _trained(spark, d, max_iter=2)
     M.save_model(model, path)
-    resumed = M.resume_training(spark, path, 2, 3)
+    resumed = M.resume_training(spark, path, 2, 30, **SETTLED)
     rows = [(k + 1, float(a)) for k, a in enumerate(resumed.alpha)]
     return spark.createDataFrame(rows, "topic INT, alpha DOUBLE").select("topic", rnd("alpha").alias("alpha"))
 
@@ -328,7 +332,7 @@ def wide_documents(spark, d):
     words = bag_of_words(talk.select("role", "text"), "role")
     index = index_corpus(words.withColumnRenamed("role", "title"), 0.0, None)
     empty = spark.createDataFrame([], "term_id INT, log_beta ARRAY<DOUBLE>")
-    stepped = M.wide_e_step(index.documents, M.start_alpha(4), empty, index.n_terms, tol=1e-3).filter("kind = 'doc'")
+    stepped = M.wide_e_step(index.documents, M.start_alpha(4), empty, index.n_terms, tol=0.1).filter("kind = 'doc'")
     return stepped.select(F.col("id").alias("doc_no"), F.posexplode("vec").alias("k", "g")).select("doc_no", "k", rnd("g", 4).alias("gamma"))
 
 

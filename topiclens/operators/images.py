@@ -76,6 +76,31 @@ def failed_images(images: DataFrame, fn: Callable[[np.ndarray], Iterator[tuple]]
     return images.select("image_id", "width", "height", "data").mapInPandas(run, f"image_id {_id_type(images)}, reason STRING")
 
 
+NOT_AN_IMAGE = "not an image"
+
+
+def account_files(decoded: DataFrame, fn: Callable[[np.ndarray], Iterator[tuple]]) -> DataFrame:
+    """``path, reason`` of every file in one pass: null for an image that ``fn`` takes, else why not.
+
+    ``decoded`` is ``sources.files.decode_images`` with the files the decoder rejects kept; ``fn`` gets
+    the brightness. Pixels stay where they are read: only paths and reasons leave the task.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            reasons = []
+            for w, h, channels, data in zip(pdf["width"], pdf["height"], pdf["channels"], pdf["data"]):
+                if w <= 0 or h <= 0 or not data:
+                    reasons.append(NOT_AN_IMAGE)
+                    continue
+                bgr = np.frombuffer(data, np.uint8).reshape(-1, channels).astype(np.float64)
+                grey = bgr[:, 0] if channels < 3 else bgr[:, 2] * 0.3 + bgr[:, 1] * 0.6 + bgr[:, 0] * 0.1
+                reasons.append(_one_image(fn, w, h, grey)[1])
+            yield pd.DataFrame({"path": pdf["path"], "reason": pd.Series(reasons, dtype=object)})
+
+    return decoded.select("path", "width", "height", "channels", "data").mapInPandas(run, "path STRING, reason STRING")
+
+
 def _id_type(images: DataFrame) -> str:
     return images.schema["image_id"].dataType.simpleString()
 

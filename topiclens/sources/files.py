@@ -51,13 +51,13 @@ def build_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return numbered.select(F.col("image_id").cast("int").alias("image_id"), "path")
 
 
-def decode_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> DataFrame:
+def decode_images(spark: SparkSession, path: str, drop_invalid: bool = True, glob: str = "*") -> DataFrame:
     """Decoded images: ``path, width, height, channels, data`` (bytes, BGR rows).
 
     The JVM decoder of the image source does the work; files it cannot read give no row
-    when ``drop_invalid`` is set.
+    when ``drop_invalid`` is set, else one of negative size (see ``operators.images.account_files``).
     """
-    images = spark.read.format("image").option("dropInvalid", drop_invalid).load(path)
+    images = spark.read.format("image").option("dropInvalid", drop_invalid).option("pathGlobFilter", glob).load(path)
     return images.select(
         F.col("image.origin").alias("path"),
         F.col("image.width").alias("width"),
