@@ -23,7 +23,7 @@ def line_keys(text: Column) -> Column:
             F.length(F.btrim(line, F.lit(BLANKS))) > 0,
             F.struct(
                 F.xxhash64(F.btrim(line, F.lit(BLANKS))).alias("hi"),
-                F.xxhash64(F.btrim(line, F.lit(BLANKS)), F.lit("second")).alias("lo"),
+                F.xxhash64(F.lit("second"), F.btrim(line, F.lit(BLANKS))).alias("lo"),  # seeded before the key: independent of hi
             ),
         ),
     )
