@@ -9,14 +9,14 @@ import pytest
 from tokenizers import Tokenizer
 
 from topiclens.llm.queries import QUERIES
-from topiclens.llm.token_files import TokenFileReader, TokenFileWriter, WordEncoder, read_token_files, write_token_files
+from topiclens.llm.token_files import TokenFileReader, TokenFileWriter, WordEncoder, encodes_by_words, read_token_files, write_token_files
 
 SF_DIR = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def expected(rows):
-    plain, start, out = Tokenizer.from_file(PATH), 0, []
+def expected(rows, path=PATH):
+    plain, start, out = Tokenizer.from_file(path), 0, []
     for doc_id, text in rows:
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 1]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -40,6 +40,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert read_token_files(write_token_files(no_docs, PATH)).collect() == []
 
 
+def test_tokenizer_of_another_kind(spark, odd_docs):
+    """A tokenizer that takes other steps is asked text by text."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert encodes_by_words(PATH) and not encodes_by_words(other)
+    rows = [(i, t) for i, t in enumerate(["Hello World, it is 2024.", "  two  blanks ", "", None, "Ärger\n語学 <|endoftext|>", *(r.text for r in odd_docs.collect())])]
+    got = read_token_files(write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), other)).collect()
+    assert sorted(tuple(r) for r in got) == expected(rows, other)
+
+
 def test_word_encoder_on_hard_texts():
     plain, own = Tokenizer.from_file(PATH), WordEncoder(PATH)
     draw = random.Random(5)

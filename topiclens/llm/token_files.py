@@ -14,6 +14,8 @@ file that nobody reads.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import unicodedata
@@ -48,6 +50,17 @@ _LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] ==
 _NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
 NOT_LATIN = re.compile(rf"[^ \t\n\r{re.escape(''.join(_LATIN))}]|<\|")
+#: What ``WordEncoder`` stands for; fixed values, as the tokenizer's file writes them.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 # Bytes as the byte-level vocabulary writes them: printable ones as they are, others from U+0100 on.
 _SHOWN = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
 BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -119,9 +132,30 @@ class WordEncoder:
         return np.split(found, np.concatenate([[0], ends])[np.cumsum(sizes)][:-1]) if texts else []
 
 
+class PlainEncoder:
+    """Any tokenizer of the library, text by text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def encodes_by_words(path: str) -> bool:
+    """Does the tokenizer take the very steps that ``WordEncoder`` takes?"""
+    with open(path, encoding="utf-8") as source:
+        steps = json.load(source)
+    return steps["model"]["type"] == "BPE" and all(steps[k] == v for k, v in WORD_STEPS.items()) and all(t["content"].startswith("<|") for t in steps["added_tokens"])
+
+
 @cache
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)  # one for each Python worker
+def encoder(path: str) -> WordEncoder | PlainEncoder:
+    """One for each Python worker; words are kept only where a text's ids are its words' ids."""
+    return WordEncoder(path) if encodes_by_words(path) else PlainEncoder(path)
 
 
 def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -237,7 +271,8 @@ def write_token_files(
 ) -> DataFrame:
     """Write all documents in ascending id (null first; equal ids by their text's hash).
 
-    Null texts count as empty; ``end_id`` ends every document. Returns the manifest
+    ``tokenizer`` is the path, on every executor, of any file of the tokenizers library. Null texts
+    count as empty; ``end_id`` ends every document; ids must be whole numbers. Returns the manifest
     ``part, path, n_docs, n_ids, before``: files in order, ``before`` counting the ids of all
     earlier files. An empty table gives no file.
     """
