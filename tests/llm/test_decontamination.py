@@ -3,7 +3,7 @@ import random
 import brute
 import pandas as pd
 
-from topiclens.llm.decontamination import drop_leaks, find_leaks
+from topiclens.llm.decontamination import drop_leaks, find_leaks, weighted_simhash
 from topiclens.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -39,6 +39,21 @@ def test_edited_passages(spark):
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
 
 
+def test_periodic_texts(spark):
+    """Few shingles that each stand often: one more or less leaves most bits alone."""
+    items = [(n, " ".join(("a", "b")[i % 2] for i in range(n))) for n in range(13, 40, 2)] + [(100 + n, " ".join("xyz"[i % 3] for i in range(n))) for n in (17, 30)]
+    docs = [(n, " ".join(("b", "a")[i % 2] for i in range(n))) for n in range(13, 40, 2)] + [(100, "z y x " * 4 + "y z x " * 9), (101, "x y z " * 20)]
+    want = brute.leaks(docs, items)
+    got = found(find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert len(want) > 40 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+
+
+def test_fingerprint_of_a_long_repetitive_text(spark):
+    rows = spark.createDataFrame([(1, "same", 700_000), (1, "other", 3), (2, "same", 1)], "id long, shingle string, n long")
+    got = {r.id: r for r in weighted_simhash(rows, ["id"], "shingle", "n").collect()}
+    assert got[1]._weight == 700_003 and got[2]._weight == 1
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "seven eight nine ten."), (2, "long " * 40), (3, None)], "item_id long, text string")
     got = found(find_leaks(odd_docs, items))

@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(
 
 from check_queries import compare  # noqa: E402
 
+from topiclens.llm.decontamination import find_leaks  # noqa: E402
 from topiclens.llm.exact_dedup import chunks, exact_dedup  # noqa: E402
 from topiclens.llm.licenses import Template, license_scan  # noqa: E402
 from topiclens.llm.line_dedup import drop_lines, keep_bitmaps  # noqa: E402
@@ -33,7 +34,8 @@ def test_query_equals_sql(spark, name):
 
 def test_native_plans_have_no_python(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    for made in (mix(docs), exact_dedup(docs), drop_lines(docs), license_scan(docs)):
+    leaks = find_leaks(docs, spark.read.parquet(f"{SF_DIR}/benchmark.parquet"))
+    for made in (mix(docs), exact_dedup(docs), drop_lines(docs), license_scan(docs), leaks):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 

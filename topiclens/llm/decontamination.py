@@ -18,20 +18,23 @@ from topiclens.llm.common import ascii_lower, whole, words
 from topiclens.session import cut_lineage
 
 BLOCKS, BLOCK_BITS = 8, 8
-LANES, LANE_BITS = 3, 22
+LANES, LANE_BITS = 2, 32  # a text of fewer than 2**31 shingles
 #: Benchmarks with more (shingle, item) pairs than this are joined by a shuffle, not a broadcast.
 BROADCAST_PAIRS = 1_000_000
 
 
 def weighted_simhash(rows: DataFrame, keys: list[str], shingle: str, weight: str) -> DataFrame:
-    """``keys, _print64, _weight``: bits set in over half the weight of a group's shingles.
+    """``keys, _print64, _weight``: bits set in over half the hashes of a group's shingles.
 
-    Three bit counters share one sum; a group's weight must stay below 2**20.
+    Each time a shingle stands is a hash of its own (shingle and number), so that weighted
+    similarity is plain similarity of sets and one shingle more or less turns few bits, however
+    few different ones there are. Two bit counters of 32 bits share one sum.
     """
     mask = sum(1 << (LANE_BITS * lane) for lane in range(LANES))
-    hashed = rows.withColumn("_h", F.xxhash64(shingle))
-    sums = [F.sum(F.shiftrightunsigned("_h", bit).bitwiseAND(F.lit(mask)) * F.col(weight)).alias(f"_s{bit}") for bit in range(LANE_BITS)]
-    summed = hashed.groupBy(*keys).agg(F.sum(weight).alias("_weight"), *sums)
+    each = rows.select(*keys, shingle, F.explode(F.sequence(F.lit(1), F.col(weight).cast("int"))).alias("_time"))
+    hashed = each.withColumn("_h", F.xxhash64(shingle, "_time"))
+    sums = [F.sum(F.shiftrightunsigned("_h", bit).bitwiseAND(F.lit(mask))).alias(f"_s{bit}") for bit in range(LANE_BITS)]
+    summed = hashed.groupBy(*keys).agg(F.count("*").alias("_weight"), *sums)
     fingerprint = F.lit(0).cast("long")
     for bit in range(64):
         ones = F.shiftrightunsigned(f"_s{bit % LANE_BITS}", LANE_BITS * (bit // LANE_BITS)).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
