@@ -227,7 +227,21 @@ def ransac_grow_epsilon(spark, d):
     return _found(G.ransac_grow_epsilon(matches(spark, d), 0.1, 1.0, 0.1))
 
 
-@query()
+def _trim_sql(trust: float, rounds: int = 20) -> str:
+    """Fit, median, filter; rounds after the last match went change nothing."""
+    ctes = ["m0 AS (SELECT * FROM matches)"]
+    for at in range(rounds):
+        ctes += [
+            f"""f{at} AS (SELECT pair_id, cos(a) AS c, sin(a) AS s, x2 - cos(a) * x1 + sin(a) * y1 AS tx, y2 - sin(a) * x1 - cos(a) * y1 AS ty FROM
+                (SELECT pair_id, avg(x1) AS x1, avg(y1) AS y1, avg(x2) AS x2, avg(y2) AS y2,
+                atan2(covar_pop(x1, y2) - covar_pop(y1, x2), covar_pop(x1, x2) + covar_pop(y1, y2)) AS a FROM m{at} GROUP BY 1))""",
+            f"""e{at} AS MATERIALIZED (SELECT m.*, sqrt(pow(c * x1 - s * y1 + tx - x2, 2) + pow(s * x1 + c * y1 + ty - y2, 2)) AS error FROM m{at} m JOIN f{at} USING (pair_id))""",
+            f"""m{at + 1} AS MATERIALIZED (SELECT e.* EXCLUDE (error, mid) FROM (SELECT *, median(error) OVER (PARTITION BY pair_id) AS mid FROM e{at}) e WHERE error <= mid * {trust})""",
+        ]
+    return MATCHES + ", " + ",\n".join(ctes) + f" SELECT pair_id, count(*) AS n, count(*) AS kept, {sql_rnd('avg(error)')} AS mean_error FROM e{rounds - 1} GROUP BY 1"
+
+
+@query(_trim_sql(3.0))
 def trim_outliers(spark, d):
     """Matches kept and model after repeated trimming."""
     models, kept = G.trim_outliers(matches(spark, d), 3.0)

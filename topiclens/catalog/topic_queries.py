@@ -162,12 +162,30 @@ def e_step(spark, d):
     )
 
 
-def _sql_passes(topics: int, passes: int) -> str:
-    """The update rules from the start values on, over all documents, as one CTE per pass.
+def _pass_ctes(passes: int) -> list[str]:
+    """The update rules from tables ``x`` (words), ``b`` (model), ``alpha`` and ``gamma0`` on: ``gamma{p}`` is the
+    posterior after ``p`` passes, ``part{p}`` holds the topic shares of each (document, term) in pass ``p`` and
+    ``norm{p}`` their sums; ``lik`` is each document's likelihood."""
+    ctes = []
+    for p in range(1, passes + 1):
+        ctes += [
+            f"t{p} AS (SELECT doc_no, k, {PSI.replace('q', 'g')} AS t FROM gamma{p - 1})",
+            f"part{p} AS (SELECT doc_no, term_id, k, n, t, b * exp(t) AS e FROM x JOIN b USING (term_id) JOIN t{p} USING (doc_no, k))",
+            f"norm{p} AS (SELECT doc_no, term_id, sum(e) AS z FROM part{p} GROUP BY ALL)",
+            f"gamma{p} AS (SELECT doc_no, k, a + sum(n * e / z) AS g FROM part{p} JOIN norm{p} USING (doc_no, term_id) JOIN alpha USING (k) GROUP BY doc_no, k, a)",
+        ]
+    last = passes
+    prior = "(SELECT lgamma(sum(a)) - sum(lgamma(a)) FROM alpha)"
+    ctes += [
+        f"spent AS (SELECT doc_no, term_id, n, z, sum(e / z * t) AS s FROM part{last} JOIN norm{last} USING (doc_no, term_id) GROUP BY ALL)",
+        "whole AS (SELECT doc_no, sum(n * (ln(z) - s)) AS l FROM spent GROUP BY 1)",
+        f"lik AS (SELECT doc_no, {prior} + sum(lgamma(g)) - lgamma(sum(g)) + any_value(l) AS loglik FROM gamma{last} JOIN whole USING (doc_no) GROUP BY 1)",
+    ]
+    return ctes
 
-    ``gamma{p}`` is the posterior after ``p`` passes, ``part{p}`` holds the topic shares of each
-    (document, term) in pass ``p`` and ``norm{p}`` their sums.
-    """
+
+def _sql_passes(topics: int, passes: int) -> str:
+    """The update rules from the start values on, over all documents, as CTEs of each pass."""
     word = "18446744073709551616::UHUGEINT"  # 64-bit arithmetic
     times = lambda x, c: f"(xor({x}, {x} >> {c[0]})::UHUGEINT * {c[1]}::UHUGEINT % {word})::UBIGINT"
     golden = 0x9E3779B97F4A7C15
@@ -186,21 +204,7 @@ def _sql_passes(topics: int, passes: int) -> str:
         "b AS (SELECT term_id, k, sum(CASE w WHEN 0 THEN 2 * u / (SELECT count(*) FROM vocab) ELSE u END) AS b FROM draws GROUP BY ALL)",
         f"gamma0 AS (SELECT doc_no, k, a + words / {topics} AS g FROM (SELECT doc_no, sum(n)::DOUBLE AS words FROM x GROUP BY 1), alpha)",
     ]
-    for p in range(1, passes + 1):
-        ctes += [
-            f"t{p} AS (SELECT doc_no, k, {PSI.replace('q', 'g')} AS t FROM gamma{p - 1})",
-            f"part{p} AS (SELECT doc_no, term_id, k, n, t, b * exp(t) AS e FROM x JOIN b USING (term_id) JOIN t{p} USING (doc_no, k))",
-            f"norm{p} AS (SELECT doc_no, term_id, sum(e) AS z FROM part{p} GROUP BY ALL)",
-            f"gamma{p} AS (SELECT doc_no, k, a + sum(n * e / z) AS g FROM part{p} JOIN norm{p} USING (doc_no, term_id) JOIN alpha USING (k) GROUP BY doc_no, k, a)",
-        ]
-    last = passes
-    prior = "(SELECT lgamma(sum(a)) - sum(lgamma(a)) FROM alpha)"
-    ctes += [
-        f"spent AS (SELECT doc_no, term_id, n, z, sum(e / z * t) AS s FROM part{last} JOIN norm{last} USING (doc_no, term_id) GROUP BY ALL)",
-        "whole AS (SELECT doc_no, sum(n * (ln(z) - s)) AS l FROM spent GROUP BY 1)",
-        f"lik AS (SELECT doc_no, {prior} + sum(lgamma(g)) - lgamma(sum(g)) + any_value(l) AS loglik FROM gamma{last} JOIN whole USING (doc_no) GROUP BY 1)",
-    ]
-    return with_sql("bag") + ", " + ", ".join(ctes)
+    return with_sql("bag") + ", " + ", ".join(ctes + _pass_ctes(passes))
 
 
 def _few_passes(spark, d, **options):
@@ -288,13 +292,13 @@ def train_lda_with_seeds(spark, d):
     return sizes.join(alpha.select("topic", rnd("alpha").alias("alpha")), "topic")
 
 
-def _inferred(spark, d):
+def _inferred(spark, d, passes=M.INNER_ITER):
     """Order documents under a model of order lines; any too wide for a task in vocabulary blocks."""
     normal, wide = M.split_wide(order_bag(spark, d).select("doc_no", F.col("term").alias("term_id"), "n"))
     docs, stats = M.pack_documents(normal), line_stats(spark, d)
     n_terms = stats.select("term_id").distinct().count()
     rows = T.fill_absent(T.normalize_beta(stats, n_terms), 7).select(F.col("term_id").cast("int").alias("term_id"), "log_beta")
-    return M.infer_lda(docs, M.TopicModel(np.full(7, 0.5), rows, n_terms, docs, [], 0), wide=wide)
+    return M.infer_lda(docs, M.TopicModel(np.full(7, 0.5), rows, n_terms, docs, [], 0), passes, wide=wide)
 
 
 @query()
@@ -306,6 +310,31 @@ def infer_lda(spark, d):
     )
 
 
+INFER_PASSES = 5
+_HELD_OUT = with_sql("order_bag", "line_stats") + """, x AS (SELECT doc_no, term AS term_id, n FROM order_bag),
+    norms AS (SELECT topic, sum(exp(log_stat)) + 1e-8 * (SELECT count(DISTINCT term_id) FROM line_stats) AS total FROM line_stats GROUP BY 1),
+    b AS (SELECT k.topic AS k, t.term_id, coalesce(exp(log_stat) / k.total, 0) + 1e-8 AS b FROM norms k CROSS JOIN (SELECT DISTINCT term_id FROM line_stats) t
+        LEFT JOIN line_stats s ON s.topic = k.topic AND s.term_id = t.term_id),
+    alpha AS (SELECT topic AS k, 0.5::DOUBLE AS a FROM norms),
+    gamma0 AS (SELECT doc_no, k, a + words / 7 AS g FROM (SELECT doc_no, sum(n)::DOUBLE AS words FROM x GROUP BY 1), alpha), """ + ", ".join(_pass_ctes(INFER_PASSES))
+
+
+@query(_HELD_OUT + f" SELECT doc_no, {sql_rnd('loglik', 4)} AS loglik, CAST(k - 1 AS INTEGER) AS k, {sql_rnd('g', 5)} AS gamma FROM gamma{INFER_PASSES} JOIN lik USING (doc_no)")
+def infer_lda_passes(spark, d):
+    """Posterior and likelihood of every held-out order after five passes."""
+    rows = _inferred(spark, d, INFER_PASSES).filter("kind = 'doc'")
+    return rows.select(F.col("id").alias("doc_no"), rnd("loglik", 4).alias("loglik"), F.posexplode("vec").alias("k", "g")).select(
+        "doc_no", "loglik", "k", rnd("g", 5).alias("gamma")
+    )
+
+
+@query(_HELD_OUT + f" SELECT doc_no, CAST(term_id AS INTEGER) AS term_id, n::DOUBLE AS n, CAST(k - 1 AS INTEGER) AS k, {sql_rnd('e / z', 5)} AS phi FROM part{INFER_PASSES} JOIN norm{INFER_PASSES} USING (doc_no, term_id)")
+def infer_phi_passes(spark, d):
+    """Topic shares of every term of every held-out order in the fifth pass."""
+    found = M.phi_rows(_inferred(spark, d, INFER_PASSES))
+    return found.select("doc_no", "term_id", "n", F.posexplode("log_phi").alias("k", "p")).select("doc_no", "term_id", "n", "k", rnd(F.exp("p"), 5).alias("phi"))
+
+
 @query()
 def infer_phi(spark, d):
     """Topic probabilities of every term of every held-out order."""

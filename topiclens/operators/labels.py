@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,26 +96,38 @@ def nearest_palette(pixels: DataFrame, palette: Sequence[tuple[int, int, int]])
 def paint_patches(patches: DataFrame, sizes: DataFrame, step: int = 8) -> DataFrame:
     """Paint every patch as a square of ``step`` + 1 pixels; later patches win.
 
-    ``patches`` is ``(image_id, x, y, label, ordinal)``. Squares are clipped to the image
-    on all sides and pixels outside every square are 0.
+    ``patches`` is ``(image_id, x, y, label, ordinal)``; of equal ordinals the larger label wins, a
+    patch without label or ordinal paints nothing. Squares are clipped to the image on all
+    sides and pixels outside every square are 0.
+
+    A square travels as one span for each of its lines, to the task that paints the line: spans
+    are laid in their order into one array, and pixels are only made there. Patches at one place
+    are first reduced to the one that wins, so a line's spans are bounded by its width.
     """
     half = step // 2
-    around = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    # sizes are joined before the squares are spread out, so only patches are shuffled for it
-    placed = lookup_join(patches, sizes.select("image_id", "width", "height"), ["image_id"], salt_by=["image_id", "x", "y"])
-    squares = placed.withColumn("dx", around).withColumn("dy", around)
-    inside = squares.select(
-        "image_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "label", "ordinal", "width", "height"
-    ).filter("x >= 0 and y >= 0 and x < width and y < height")
-    canvas = blank_canvas(sizes).withColumn("label", F.lit(0)).withColumn("ordinal", F.lit(-1).cast("long"))
-    layers = inside.select("image_id", "x", "y", "label", "ordinal").unionByName(canvas)
-    return layers.groupBy("image_id", "x", "y").agg(F.max_by("label", "ordinal").alias("label"))
-
-
-def blank_canvas(sizes: DataFrame) -> DataFrame:
-    """Every pixel position of every image."""
-    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    return sizes.withColumn("y", upto("height")).withColumn("x", upto("width")).select("image_id", "x", "y")
+    winner = F.max(F.struct("ordinal", "label")).alias("_top")
+    places = patches.filter("label is not null and ordinal is not null").groupBy("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).agg(winner)
+    spans = places.select(
+        "image_id", F.explode(F.sequence(F.col("y") - half, F.col("y") + half)).alias("y"), F.lit(None).cast("int").alias("width"),
+        F.struct(F.col("_top.ordinal").alias("ordinal"), F.col("_top.label").alias("label"), "x").alias("span"),
+    )
+    lines = sizes.filter("height > 0").select("image_id", F.explode(F.sequence(F.lit(0), (F.col("height") - 1).cast("int"))).alias("y"), F.col("width").cast("int").alias("width"))
+    met = spans.unionByName(lines, allowMissingColumns=True).groupBy("image_id", "y").agg(F.max("width").alias("width"), F.collect_list("span").alias("_s"))
+    met = met.filter("width > 0").select("image_id", "y", "width", F.sort_array("_s").alias("_s")).select("image_id", "y", "width", "_s.label", "_s.x")
+    kinds = {c: patches.schema[c].dataType.simpleString() for c in ("image_id", "label")}
+
+    def paint(frames):
+        for pdf in frames:
+            out = []
+            for image_id, y, width, labels, places in zip(*(pdf[c] for c in ("image_id", "y", "width", "label", "x"))):
+                line = np.zeros(width, np.int64)
+                for label, x in zip(labels.tolist(), places.tolist()):
+                    line[max(0, x - half) : max(0, x + half + 1)] = label
+                out.append(pd.DataFrame({"image_id": image_id, "x": np.arange(width), "y": y, "label": line}))
+            if out:
+                yield pd.concat(out)
+
+    return met.mapInPandas(paint, f"image_id {kinds['image_id']}, x INT, y INT, label {kinds['label']}")
 
 
 def join_truth(predicted: DataFrame, truth: DataFrame) -> DataFrame:
