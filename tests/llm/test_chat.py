@@ -1,5 +1,7 @@
 import random
+from hashlib import sha256
 
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -22,6 +24,19 @@ def test_turns_come_back():
         assert chat.decode(ids, PATH) == chat.format_turn(role, text) and first == last
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_equal_the_library(name):
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    encoder, draw = chat.PieceEncoder(path), random.Random(8)
+    assert encoder.cuts == (name == "byte_bpe_50k.json")
+    signs = [*NASTY, "It's", " we'LL", "'re", "  ", " \n ", "\t", "\r\n", "1234", " 5\u00b2", "caf\u00e9", " \u0178\u00aa", "\u00a0", "\u00ad", "\u0085", "\u2003", "!?", " ...", "\u0130", "e\u0301"]
+    for _ in range(4000):
+        text = "".join(draw.choice(signs) for _ in range(draw.randint(0, 9)))
+        assert encoder.ids(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.fixture(scope="module")
 def packed(spark):
     draw = random.Random(9)
@@ -76,3 +91,20 @@ def test_empty(spark):
 
 def test_vocabulary_leaves_the_marks_free():
     assert Tokenizer.from_file(PATH).get_vocab_size(with_added_tokens=True) <= chat.START_ID
+
+
+def test_a_long_conversation_read_back(spark):
+    """20,000 turns, and others that begin with some of them."""
+    long = [("user" if n % 2 else "assistant", f"turn {n} <|im_end|>") for n in range(20_000)]
+    held = {1: long, 2: long[:500] + [("assistant", "another end")], 3: long[:1], 4: long}
+    rows = [(c, t, role, text) for c, turns in held.items() for t, (role, text) in enumerate(turns)]
+    frame = spark.createDataFrame(pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    sequence, conversations = chat.pack_conversations(frame, PATH)
+    assert sequence.count() == 20_001
+    for r in chat.read_conversations(sequence, conversations, PATH).collect():
+        turns = held.pop(r.conv_id)
+        learnt = "".join(text for role, text in turns if role == "assistant")
+        assert r.turns_sha256 == sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(turns), len(learnt), sha256(learnt.encode()).hexdigest())
+        assert r.formatted_chars == sum(len(chat.format_turn(*t)) for t in turns)
+    assert not held

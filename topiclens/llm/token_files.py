@@ -45,11 +45,11 @@ CACHED_WORDS = 500_000
 SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 # Of Latin texts (below U+0180, without blanks beyond ASCII and the letter whose lower case is
 # two characters) the tokenizer's own pieces are cut here: normalising only changes their case.
-_LATIN = [c for c in map(chr, range(0x180)) if c.isprintable() and c not in " \u00a0\u00ad\u0130"]
-_LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
-_NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
-NOT_LATIN = re.compile(rf"[^ \t\n\r{re.escape(''.join(_LATIN))}]|<\|")
+LATIN = [c for c in map(chr, range(0x180)) if c.isprintable() and c not in " \u00a0\u00ad\u0130"]
+LETTERS = re.escape("".join(c for c in LATIN if unicodedata.category(c)[0] == "L"))
+NUMBERS = re.escape("".join(c for c in LATIN if unicodedata.category(c)[0] == "N"))
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^ \t\n\r{LETTERS}{NUMBERS}]+")
+NOT_LATIN = re.compile(rf"[^ \t\n\r{re.escape(''.join(LATIN))}]|<\|")
 #: What ``WordEncoder`` stands for; fixed values, as the tokenizer's file writes them.
 WORD_STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
