@@ -77,6 +77,19 @@ def test_mix_with_odd_rows(spark, odd_docs, no_docs):
     assert total == sum(len((r.text or "").encode().split()) for r in odd_docs.collect()) and not sources
 
 
+def test_mix_without_ids(spark):
+    """A third of all rows has no id: they are told apart by their texts, so each target is met to half a document."""
+    rows = [(None if n % 3 == 0 else n, "w " * (n % 7 + 1) + str(n), f"s{n % 4}") for n in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mix(docs)
+    got = {r.source_size: r.target for r in plan.select("source_size", "target").distinct().collect()}
+    taken = {r.source_size: r.t for r in plan.groupBy("source_size").agg(F.sum("taken").alias("t")).collect()}
+    assert len(got) == len({sum(len(t.split()) for _, t, s in rows if s == f"s{k}") for k in range(4)})
+    several = {size: sum(size == sum(len(t.split()) for _, t, s in rows if s == f"s{k}") for k in range(4)) for size in got}
+    assert all(abs(taken[size] - got[size] * several[size]) <= 4 * several[size] for size in got)
+    assert mixed(docs).count() == plan.agg(F.sum("copies")).first()[0]
+
+
 def test_mix_comes_near_its_targets(spark):
     docs = spark.range(20_000).select(
         F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.pmod(F.hash("id"), F.lit(40))).alias("text"),

@@ -20,9 +20,10 @@ from topiclens.spread import number_rows
 HASH_BITS, LEVEL_BITS = 60, 12
 
 
-def document_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the id's MD5, equal in every run and engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the MD5 of the id, of the text where the id is null; equal in every run and engine."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit(" "), text), F.lit(""))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], ratio: float, most: float) -> DataFrame:
@@ -94,7 +95,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("source"))
     size = F.coalesce(F.regexp_count(F.col("_text"), F.lit(WORD)), F.lit(0)).cast("long")
     return cut_lineage(
-        only.select("doc_id", "source", size.alias("size"), _source_key("source").alias("_key"), document_hash(F.col("doc_id")).alias("_hash"))
+        only.select("doc_id", "source", size.alias("size"), _source_key("source").alias("_key"), document_hash(F.col("doc_id"), F.col("_text")).alias("_hash"))
     )
 
 
@@ -124,7 +125,8 @@ def mix(
     Size is the number of words (null text: 0). Sources take ``weights`` in turn by code point,
     null last, and share ``ratio`` times all words; a target stops at ``most`` times its source
     and the rest is shared again. ``copies`` says how often the mix holds the document. Rows
-    with the same id share a hash and are taken together. Empty tables give an empty result.
+    with the same id, or no id and the same text, share a hash and are taken together. Empty
+    tables give an empty result.
     """
     sizes = _sizes(docs, id_col, text_col, source_col)
     return (
@@ -141,5 +143,5 @@ def mixed(
     """The mix itself: every row of ``docs``, all columns, as often as ``mix`` takes it."""
     plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, ratio, most).select("_key", "_times", "_upto")
     row = F.struct(*(docs[c] for c in docs.columns)).alias("_row")  # whole, so that no name can clash
-    marked = docs.select(row, _source_key(source_col).alias("_key"), document_hash(F.col(id_col)).alias("_hash"))
+    marked = docs.select(row, _source_key(source_col).alias("_key"), document_hash(F.col(id_col), F.col(text_col)).alias("_hash"))
     return marked.join(plan, "_key").select(F.explode(F.array_repeat("_row", F.expr(_COPIES).cast("int"))).alias("_row")).select("_row.*")
