@@ -71,3 +71,11 @@ def test_pack_blocks_keeps_all_rows(skewed):
     packed = spread.pack_blocks(df, ["k"], ["id"], rows=100).toPandas()
     assert sorted(np.concatenate(packed["id"].to_list())) == pdf["id"].tolist()
     assert packed.groupby("k").size()[0] > 10
+
+
+def test_copies_of_a_lookup_are_counted_by_the_planner(spark):
+    """A lookup of 5 MB may be broadcast, its 16 copies of 80 MB may not."""
+    facts, lookup = spark.range(5).withColumn("k", F.col("id") % 3), spark.range(300_000).withColumnRenamed("id", "k")
+    joined = spread.lookup_join(facts, lookup.withColumn("v", F.col("k") + 1), ["k"], "left")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.k, r.v) for r in joined.collect()) == [(i, i % 3, i % 3 + 1) for i in range(5)]
