@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from topiclens.operators.labels import paint_patches
+from topiclens.operators.labels import _runs, join_truth, paint_patches
 
 
 def painted(patches, sizes, step):
@@ -45,3 +45,19 @@ def test_lines_travel_and_not_pixels(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and "Join" not in plan  # patches by place, spans by line
     assert made.filter(F.col("label") > 0).count() == 40 * 32 and plan.count("Generate") == 2
+
+
+def test_truth_is_joined_by_lines(spark):
+    """Runs of pixels are what is shuffled; pixels in any order, repeated, unmatched or without a place join as rows do."""
+    draw = np.random.default_rng(3)
+    rows = lambda n: [(int(draw.integers(1, 4)), int(draw.integers(0, 9)), int(draw.integers(0, 5)), int(draw.integers(0, 6))) for _ in range(n)]
+    left, right = [*rows(300), (None, 1, 1, 1), (1, None, 1, 1), (1, 2, 2, None)], [*rows(200), (None, 1, 1, 1), (1, 1, None, 1), (1, 2, 2, None)]
+    p = spark.createDataFrame(left, "image_id long, x int, y int, label int").repartition(3)
+    t = spark.createDataFrame(right, "image_id long, x int, y int, truth int").repartition(2)
+    got = join_truth(p, t)
+    want = [(*a, b[3]) for a in left for b in right if None not in a[:3] and a[:3] == b[:3]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and got.columns == ["image_id", "x", "y", "label", "truth"]
+    line = spark.range(4000, numPartitions=1).selectExpr("id div 1000 as image_id", "cast(id % 40 as int) x", "cast(id % 1000 div 40 as int) y", "1 label")
+    runs = _runs(line, "label", "_p")
+    assert runs.count() == 4 * 25
+    assert join_truth(line, line.withColumnRenamed("label", "truth")).count() == 4000

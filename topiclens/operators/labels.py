@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,9 +131,57 @@ def paint_patches(patches: DataFrame, sizes: DataFrame, step: int = 8) -> DataFr
     return met.mapInPandas(paint, f"image_id {kinds['image_id']}, x INT, y INT, label {kinds['label']}")
 
 
+def _runs(pixels: DataFrame, value: str, side: str) -> DataFrame:
+    """Pixels that follow each other in one line of an image, as one row: ``image_id, y`` and a struct
+    ``side`` of the lists ``x`` and ``value``. Null keys meet nothing and are left out."""
+    rows = pixels.filter("image_id is not null and x is not null and y is not null").select("image_id", "y", "x", F.col(value).alias("value"))
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            image, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("image_id", "y"))
+            first = np.concatenate([[0], np.flatnonzero((image[1:] != image[:-1]) | (y[1:] != y[:-1])) + 1])
+            ends = pa.array(np.append(first, batch.num_rows).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("x", "value"))
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(first)), batch.column("y").take(pa.array(first)), *lists], ["image_id", "y", "x", "value"])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
+    runs = rows.mapInArrow(pack, f"image_id {kinds['image_id']}, y {kinds['y']}, x array<{kinds['x']}>, value array<{kinds['value']}>")
+    return runs.select("image_id", "y", F.struct("x", "value").alias(side))
+
+
 def join_truth(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """Prediction and ground truth per pixel; positions are unique on both sides."""
-    return predicted.join(truth, ["image_id", "x", "y"]).select("image_id", "x", "y", "label", "truth")
+    """Prediction and ground truth per pixel; positions are unique on both sides.
+
+    Lines of pixels are shuffled and sorted, one row for each run of them: both sides come in
+    lines from ``paint_patches``. Other orders give shorter runs and the same pixels. A line of an
+    image is put together in one task.
+    """
+    both = _runs(predicted, "label", "_p").unionByName(_runs(truth, "truth", "_t"), allowMissingColumns=True)
+    met = both.groupBy("image_id", "y").agg(F.collect_list("_p").alias("_p"), F.collect_list("_t").alias("_t")).filter("size(_p) > 0 and size(_t) > 0")
+    kinds = {"image_id": predicted.schema["image_id"], "x": predicted.schema["x"], "y": predicted.schema["y"], "label": predicted.schema["label"], "truth": truth.schema["truth"]}
+
+    def pair(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                left, right = (batch.column(c).slice(i, 1).flatten() for c in ("px", "tx"))
+                a, b = left.to_numpy(zero_copy_only=False), right.to_numpy(zero_copy_only=False)
+                order = np.argsort(b, kind="stable")
+                at, to = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+                mine = np.repeat(np.arange(len(a)), to - at)  # a position that repeats meets each of its like
+                other = order[np.repeat(at - np.cumsum(to - at) + (to - at), to - at) + np.arange(len(mine))]
+                label, found = (batch.column(c).slice(i, 1).flatten().take(pa.array(k)) for c, k in (("pv", mine), ("tv", other)))
+                image, y = (batch.column(c).take(pa.array(np.full(len(mine), i))) for c in ("image_id", "y"))
+                out.append(pa.RecordBatch.from_arrays([image, left.take(pa.array(mine)), y, label, found], list(kinds)))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    keys = (F.col(c).cast(kinds[c].dataType).alias(c) for c in ("image_id", "y"))
+    lists = (F.flatten(f"{side}.{c}").alias(f"{side[1]}{c[0]}") for side in ("_p", "_t") for c in ("x", "value"))
+    flat = met.select(*keys, *lists)
+    return flat.mapInArrow(pair, ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in kinds.items()))
 
 
 def class_to_topic(joined: DataFrame) -> DataFrame:
