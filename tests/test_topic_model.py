@@ -166,3 +166,26 @@ def test_resuming_with_wide_documents(spark, corpus, tmp_path):
     phi = M.phi_rows(M.infer_lda(docs, whole, inner_iter=3, wide=wide, random_start=False))
     pairs = {(r["doc_no"], r["term_id"]) for r in phi.collect()}
     assert pairs == {(r["doc_no"], r["term_id"]) for r in bag.collect()}
+
+
+def test_documents_of_all_sizes_end_alike_alone_and_together():
+    """Laid side by side by size, no document changes another's posterior or when it stops."""
+    draw = np.random.default_rng(4)
+    sizes = np.array([1, 1, 2, 3, 40, 41, 55, 7, 300, 40])
+    starts, doc_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    rows, counts, alpha = draw.random((sizes.sum(), 4)) ** 4 + 1e-8, draw.integers(1, 9, sizes.sum()).astype(float), draw.random(4)
+    gamma = alpha + (np.add.reduceat(counts, starts) / 4)[:, None]
+    order, laid = M._alike(rows, starts, counts)
+    assert sorted(order) == list(range(len(sizes))) and len(laid) < len(sizes) and sum(len(c) for _, c in laid) == len(sizes)
+    for tol in (None, 1e-3):
+        last, t, log_norm = M._iterate(rows, doc_of, starts, counts, alpha, gamma, 99, tol)
+        for i, n in enumerate(sizes):
+            own = slice(starts[i], starts[i] + n)
+            g = before = gamma[i]
+            for _ in range(99):
+                e = np.exp(M.digamma(g))
+                before, g = g, alpha + (rows[own] * e * (counts[own] / (rows[own] @ e))[:, None]).sum(0)
+                if tol is not None and np.abs(g - before).max() < tol:
+                    break
+            assert np.allclose(last[i], g) and np.allclose(t[i], M.digamma(before))
+            assert np.allclose(log_norm[own], np.log(rows[own] @ np.exp(M.digamma(before))))
