@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar at 0.8 or more."""
-    return drop_similar(docs, k=5, threshold=0.8)
+    """One document of each group whose five-word shingles are similar at 0.8 or more, found by SimHash and then by bands."""
+    return drop_similar(docs, k=5, threshold=0.8, radius=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

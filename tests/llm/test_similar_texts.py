@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from topiclens.llm import similar_texts
+from topiclens.llm.simhash import majority, shingle_hashes
 from topiclens.llm.similar_texts import drop_similar, similar_groups
 
 
@@ -53,3 +56,17 @@ def test_one_row_of_each_group_stays(spark):
     kept = drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(1, one), (None, two), (2, three), (3, "seven"), (7, "a text that shares an id")]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_fingerprints_find_copies(spark, monkeypatch):
+    """Without any band, copies meet by equal fingerprints and by the pivot tables' links; others do not link."""
+    words = [f"w{n}" for n in range(2000)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(["less", *words]), " ".join(reversed(words)), "one", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    prints = [majority(shingle_hashes(t, 5)) for t in texts]
+    assert all(0 < (prints[0] ^ p).bit_count() <= 4 for p in prints[1:3])
+    monkeypatch.setattr(similar_texts, "band_keys", lambda shingles: np.random.default_rng(shingles[:4]).integers(0, 2**62, similar_texts.BANDS))
+    groups = {}
+    for r in similar_groups(docs).collect():
+        groups.setdefault(r.component, []).append(r._id)
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2], [3], [4], [5]]

@@ -44,13 +44,17 @@ def distance_table(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int8)
 
 
-def text_fingerprint(text: str | None, k: int) -> int:
-    """Bits set in more than half the shingle hashes; zero without a word."""
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """Hashes of the ``k``-word shingles, repeats included; of a shorter text, of all its words; none without a word."""
     parts = (text or "").encode().lower().split()  # of bytes: only A-Z change, only ASCII blanks part
     if not parts:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     shingles = zip(*(parts[i:] for i in range(k))) if len(parts) >= k else [parts]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in shingles), dtype=np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in shingles), dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in more than half the hashes; zero without any."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), BLOCK_SHINGLES):
         block = hashes[at : at + BLOCK_SHINGLES].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -58,6 +62,11 @@ def text_fingerprint(text: str | None, k: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def text_fingerprint(text: str | None, k: int) -> int:
+    """Bits set in more than half the shingle hashes; zero without a word."""
+    return majority(shingle_hashes(text, k))
+
+
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, print``: the 64-bit SimHash of every text as a signed number."""
 

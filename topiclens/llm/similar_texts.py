@@ -1,10 +1,16 @@
-"""Near-dedup by exact similarity of word shingles, for the pipeline.
+"""SimHash near-dedup with exact similarity of word shingles, for the pipeline.
 
 Texts are sets of hashed five-word shingles; texts with equal sets are one node. Candidates
-meet by bands of smallest hashes (a pair at similarity 0.8 shares none of the ``BANDS`` bands
-three times in a million) and link only by the exact similarity of their sets. The first
-bands settle most groups; later bands only open meeting places that still hold nodes of
-different components. Crowded places are cut into tiles, and a tile returns a forest.
+link only by the exact similarity of their sets. They meet in three rounds, and a round only
+opens meeting places that still hold nodes of different components:
+
+* SimHash: nodes of one fingerprint, and fingerprints that the pivot distance tables of
+  ``simhash`` link at ``radius`` or fewer differing bits;
+* at similarity 0.8 about ten bits differ, more than pivot tables can carry, so the other pairs
+  meet by bands of smallest hashes: a few first, which settle most groups;
+* then the rest (a pair at 0.8 shares none of the ``BANDS`` bands three times in a million).
+
+Crowded places are cut into tiles, and a tile returns a forest.
 """
 
 from __future__ import annotations
@@ -19,19 +25,19 @@ from pyspark.sql import functions as F
 
 from topiclens.llm.common import whole
 from topiclens.llm.components import connected_components
+from topiclens.llm.simhash import majority, near_links, shingle_hashes
 from topiclens.session import cut_lineage
 
 BANDS, BAND_ROWS, FIRST_BANDS = 24, 4, 4
+SIMHASH_BAND = -1  # number of the meeting places that fingerprints give
 TILE_NODES, TILE_SHINGLES = 512, 1 << 20
 SPREAD = 1 << 14
 SEEDS = np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted hashes of the distinct ``k``-word shingles; of a shorter text, of all its words."""
-    parts = (text or "").encode().lower().split()
-    shingles = zip(*(parts[i:] for i in range(k))) if len(parts) >= k else [parts]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in shingles), dtype=np.uint64))
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct ``shingle_hashes``; texts without a word share one of their own."""
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], dtype=np.uint64)
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -47,25 +53,27 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _nodes(texts: DataFrame, k: int) -> DataFrame:
-    """``_id, _of, node, n, bands``: node and band keys of every row of ``_id, _of, _text``."""
+    """``_id, _of, node, n, print, bands``: node, fingerprint and band keys of every row of ``_id, _of, _text``."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in part.column(2):
-                found = shingle_set(text.as_py(), k)
+                hashes = shingle_hashes(text.as_py(), k)
+                prints.append(majority(hashes))
+                found = shingle_set(hashes)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
                 sizes.append(len(found))
                 keys.append(band_keys(found))
             values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(values))
-            node = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
+            node, made = (pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (nodes, prints))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), node, pa.array(sizes, pa.int64()), lists], ["_id", "_of", "node", "n", "bands"]
+                [part.column(0), part.column(1), node, pa.array(sizes, pa.int64()), made, lists], ["_id", "_of", "node", "n", "print", "bands"]
             )
 
     kind = texts.schema["_id"].dataType.simpleString()
-    return texts.mapInArrow(batches, f"_id {kind}, _of bigint, node bigint, n bigint, bands array<bigint>")
+    return texts.mapInArrow(batches, f"_id {kind}, _of bigint, node bigint, n bigint, print bigint, bands array<bigint>")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -74,7 +82,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for node, text in zip(part.column(0), part.column(1)):
-                found = pa.array([shingle_set(text.as_py(), k).view(np.int64)], pa.list_(pa.int64()))
+                found = pa.array([shingle_set(shingle_hashes(text.as_py(), k)).view(np.int64)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), found], ["node", "shingles"])
 
     return texts.mapInArrow(batches, "node bigint, shingles array<bigint>")
@@ -130,7 +138,17 @@ def _round(places: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return full.select("rows").mapInArrow(batches, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _simhash_places(nodes: DataFrame, radius: int) -> DataFrame:
+    """``place, _band, node, n``: nodes of one fingerprint, and the least nodes of two that are linked."""
+    prints = cut_lineage(nodes.groupBy("print").agg(F.min(F.struct("node", "n")).alias("_first")))
+    links = cut_lineage(near_links(prints.select("print"), radius))
+    ends = links.select(F.xxhash64("a", "b").alias("place"), F.explode(F.array("a", "b")).alias("print"))
+    linked = ends.join(prints, "print").select("place", F.col("_first.node").alias("node"), F.col("_first.n").alias("n"))
+    own = nodes.select(F.xxhash64("print").alias("place"), "node", "n")
+    return own.union(linked).select("place", F.lit(SIMHASH_BAND).alias("_band"), "node", "n")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """``_id, _of, component``: for every row, its id, the hash of its text and its component.
 
     Rows link when the sets of their ``k``-word shingles have a similarity of ``threshold`` or
@@ -138,28 +156,34 @@ def similar_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     """
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(whole(text_col)).alias("_of"), F.col(text_col).alias("_text"))
     rows = cut_lineage(_nodes(source, k))
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min(F.struct("_of", "n", "bands")).alias("r")).select("node", "r.*"))
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min(F.struct("_of", "n", "print", "bands")).alias("r")).select("node", "r.*"))
     banded = nodes.select("node", "n", F.posexplode("bands").alias("_band", "_key"))
-    places = cut_lineage(banded.select(F.xxhash64("_band", "_key").alias("place"), "_band", "node", "n"))
+    banded = banded.select(F.xxhash64("_band", "_key").alias("place"), "_band", "node", "n")
+    places = cut_lineage(_simhash_places(nodes, radius).union(banded))
     crowded = places.groupBy("place").count().filter("count > 1").select("place")
     places = cut_lineage(places.join(crowded, "place"))
     wanted = places.select("node").distinct().join(nodes, "node").select("node", F.col("_of").alias("_wanted"))
     texts = source.join(wanted, F.col("_of") == F.col("_wanted")).groupBy("node").agg(F.first("_text").alias("_text"))
     sets = cut_lineage(_sets(texts, k))
 
-    links = cut_lineage(_round(places.filter(F.col("_band") < FIRST_BANDS).withColumn("label", F.col("node")), sets, threshold))
-    joined = cut_lineage(connected_components(links)).withColumnRenamed("node", "_node")
-    rest = places.filter(F.col("_band") >= FIRST_BANDS).join(joined, F.col("node") == F.col("_node"), "left")
-    more = _round(rest.select("place", "node", "n", F.coalesce("component", "node").alias("label")), sets, threshold)
-    joined = cut_lineage(connected_components(links.union(cut_lineage(more)))).withColumnRenamed("node", "_node")
+    band, links, joined = F.col("_band"), None, None
+    for some in (band == SIMHASH_BAND, (band >= 0) & (band < FIRST_BANDS), band >= FIRST_BANDS):
+        open_ = places.filter(some)
+        if joined is None:
+            open_ = open_.withColumn("label", F.col("node"))
+        else:
+            open_ = open_.join(joined, F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "node"))
+        more = cut_lineage(_round(open_.select("place", "node", "n", "label"), sets, threshold))
+        links = more if links is None else links.union(more)
+        joined = cut_lineage(connected_components(links)).withColumnRenamed("node", "_node")
     found = rows.join(joined, F.col("node") == F.col("_node"), "left")
     return found.select("_id", "_of", F.coalesce("component", "node").alias("component"))
 
 
-def drop_similar(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_similar(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """One row of ``docs``, all columns, of each group: of the smallest id (a null id comes last),
     of equal ids of the smallest text hash, and of rows that repeat both any one."""
-    groups = similar_groups(docs, k, threshold, id_col, text_col).groupBy("_id", "_of", "component").agg(F.count("*").alias("_times"))
+    groups = similar_groups(docs, k, threshold, id_col, text_col, radius).groupBy("_id", "_of", "component").agg(F.count("*").alias("_times"))
     groups = cut_lineage(groups)
     key = F.struct(F.col("_id").isNull().alias("_none"), F.col("_id").alias("_id"), F.col("_of").alias("_of"))
     least = groups.groupBy("component").agg(F.min(key).alias("_least"))
