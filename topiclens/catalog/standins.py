@@ -12,11 +12,14 @@ from topiclens.functions.scalars import pack_rgb
 from topiclens.operators.corpus import bag_of_words
 from topiclens.operators.images import assemble_images
 from topiclens.sources.tables import read_table
+from topiclens.spread import largest_group
 
 PALETTE = [  # fixed values: the 14 class colours of the ground truth, void first
     (0, 0, 0), (128, 0, 0), (0, 128, 0), (128, 128, 0), (0, 0, 128), (128, 0, 128), (0, 128, 128),
     (128, 128, 128), (64, 0, 0), (192, 0, 0), (64, 128, 0), (192, 128, 0), (64, 0, 128), (192, 0, 128),
 ]
+TITLE_ROWS = 1000  # rows of a title that one task counts
+SPLIT_PARTS = 16  # a split of the documents' file has 128 MB as a rule
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bag(spark, sf_dir) -> DataFrame:
-    """Words of the documents; the title is the document number as text."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("title"), "text")
-    return bag_of_words(docs, "title")
+    """Words of the documents; the title is the document number as text.
+
+    Whole texts are dealt by title, so that their words are counted where they are: (title, term)
+    pairs take three times the room, and of a large split do not fit a task's memory. Should a
+    title stand in very many rows, its words are counted in all splits and then added up.
+    """
+    docs = read_table(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("title"), "text")
+    if largest_group(docs, ["title"]) > TITLE_ROWS:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("title"), "text")
+        return bag_of_words(docs, "title")
+    parts = max(spark.sparkContext.defaultParallelism, SPLIT_PARTS * docs.rdd.getNumPartitions())
+    return bag_of_words(docs.repartition(parts, "title"), "title")
 
 
 def order_bag(spark, sf_dir) -> DataFrame:

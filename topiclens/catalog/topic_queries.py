@@ -127,7 +127,7 @@ def alpha_statistics(spark, d):
 def _documents(spark, d):
     """All words of all documents; any document too wide for a task apart."""
     index = index_corpus(bag(spark, d), 0.0, None)
-    normal, wide = M.split_wide(index.documents)
+    normal, wide = M.split_wide(cut_lineage(index.documents))  # read once for their sizes and once to pack them
     return index, M.pack_documents(normal), wide
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topiclens import spread
 from topiclens.functions.scalars import tokens
-from topiclens.spread import lookup_join, number_rows
+from topiclens.spread import lookup_join, lookup_join_by_heat, number_rows
 
 
 def tokenize_ws(df: DataFrame, text: str = "text", name: str = "term") -> DataFrame:
@@ -85,16 +86,22 @@ def index_documents(
     n_terms: int | None = None,
     n_titles: int | None = None,
 ) -> DataFrame:
-    """``(doc_no, term_id, n)``; terms outside the vocabulary are dropped."""
-    known = lookup_join(bag, terms.select(term, "term_id"), [term], lookup_rows=n_terms)
+    """``(doc_no, term_id, n)``; terms outside the vocabulary are dropped.
+
+    Of a vocabulary too large to send, with ``df``, the frequent terms are sent all the same.
+    """
+    if n_terms is not None and n_terms > spread.BROADCAST_ROWS and "df" in terms.columns:
+        known = lookup_join_by_heat(bag, terms.select(term, "term_id", "df"), [term], "df")
+    else:
+        known = lookup_join(bag, terms.select(term, "term_id"), [term], lookup_rows=n_terms)
     named = lookup_join(known, titles.select(title, "doc_no"), [title], lookup_rows=n_titles)
     return named.select("doc_no", "term_id", "n")
 
 
-def drop_collapsed(bag: DataFrame, terms: DataFrame, key: str, term: str = "term") -> DataFrame:
+def drop_collapsed(bag: DataFrame, terms: DataFrame, key: str, term: str = "term", n_terms: int | None = None) -> DataFrame:
     """One row: documents seen, kept, and collapsed (no surviving term)."""
     marked = lookup_join(
-        bag.select(key, term), terms.select(term).withColumn("kept", F.lit(1)), [term], "left"
+        bag.select(key, term), terms.select(term).withColumn("kept", F.lit(1)), [term], "left", lookup_rows=n_terms
     )
     per_doc = marked.groupBy(key).agg(F.max(F.coalesce("kept", F.lit(0))).alias("kept"))
     return per_doc.agg(

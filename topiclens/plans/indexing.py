@@ -8,7 +8,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from topiclens.operators.corpus import (
-    corpus_totals,
     filter_document_frequency,
     index_documents,
     index_terms,
@@ -49,4 +48,4 @@ class CorpusIndex:
 def index_corpus(bag: DataFrame, lo: float = 0.0, hi: float | None = 1.0) -> CorpusIndex:
     """Index ``(title, term, n)`` with a document-frequency band."""
     held = cut_lineage(bag)
-    return CorpusIndex(held, corpus_totals(held, "title").first()["n_docs"], lo, hi)
+    return CorpusIndex(held, held.select("title").distinct().count(), lo, hi)
