@@ -1,8 +1,10 @@
 """Vocabularies too large to send, repeated titles, and how often the bag is made."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from topiclens import spread
-from topiclens.catalog import standins
+from topiclens.catalog import QUERIES, standins
 from topiclens.operators.corpus import bag_of_words, index_documents, index_terms, index_titles, term_stats
 
 
@@ -42,3 +44,23 @@ def test_bag_counts_repeated_titles_once(spark, tmp_path, monkeypatch, most):
     assert sorted(found.collect(), key=str) == sorted([("1", "a", 3), ("1", "b", 1), ("1", "c", 1), (None, "a", 2)], key=str)
     if most > 1:  # whole texts are dealt out, and no pairs after them
         assert plan_of(found).split("(1)")[0].count("Exchange") == 1
+
+
+def test_bag_is_made_once(spark, tmp_path, monkeypatch):
+    d = written(spark, tmp_path, [(i, f"w{i % 5} w{i % 3} x{i}") for i in range(40)])
+    made = []
+    monkeypatch.setattr("topiclens.catalog.corpus_queries.bag", lambda *a: made.append(0) or counted(standins.bag(*a), rows))
+    for name in ("document_frequency_band",):
+        rows = spark.sparkContext.accumulator(0)
+        want = {"document_frequency_band": 45}[name]
+        assert len(QUERIES[name](spark, d).collect()) == want
+        assert rows.value == sum(len({f"w{i % 5}", f"w{i % 3}", f"x{i}"}) for i in range(40))
+
+
+def counted(bag, rows):
+    def run(parts):
+        for part in parts:
+            rows.add(part.num_rows)
+            yield part
+
+    return bag.mapInArrow(run, bag.schema).select(*(F.col(c) for c in bag.columns))

@@ -9,6 +9,7 @@ from topiclens.catalog.standins import bag, line_stats, order_bag, table, with_s
 from topiclens.functions.scalars import tokens
 from topiclens.operators import corpus as C
 from topiclens.plans.indexing import index_corpus
+from topiclens.session import cut_lineage
 from topiclens.sources.tables import read_table
 from topiclens.sources.text import explode_lines, read_text_lines, read_vectors_text
 from topiclens.spread import top_per_group
@@ -92,7 +93,7 @@ def corpus_totals(spark, d):
 
 @query(with_sql("bag") + ", " + STATS + ", " + VOCAB + " SELECT term, df, tf FROM band")
 def document_frequency_band(spark, d):
-    words = bag(spark, d)
+    words = cut_lineage(bag(spark, d))  # read twice
     n_docs = C.corpus_totals(words, "title").first()["n_docs"]
     return C.filter_document_frequency(C.term_stats(words), n_docs, 0.002, 0.5)
 
