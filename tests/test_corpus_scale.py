@@ -50,9 +50,9 @@ def test_bag_is_made_once(spark, tmp_path, monkeypatch):
     d = written(spark, tmp_path, [(i, f"w{i % 5} w{i % 3} x{i}") for i in range(40)])
     made = []
     monkeypatch.setattr("topiclens.catalog.corpus_queries.bag", lambda *a: made.append(0) or counted(standins.bag(*a), rows))
-    for name in ("document_frequency_band",):
+    for name in ("document_frequency_band", "collapsed_documents"):
         rows = spark.sparkContext.accumulator(0)
-        want = {"document_frequency_band": 45}[name]
+        want = {"document_frequency_band": 45, "collapsed_documents": 1}[name]
         assert len(QUERIES[name](spark, d).collect()) == want
         assert rows.value == sum(len({f"w{i % 5}", f"w{i % 3}", f"x{i}"}) for i in range(40))
 

@@ -124,8 +124,8 @@ def index_documents(spark, d):
     CAST(sum(1 - kept) AS BIGINT) AS n_collapsed FROM (SELECT title, max(CASE WHEN vocab.term IS NULL THEN 0 ELSE 1 END) AS kept
     FROM bag LEFT JOIN vocab USING (term) GROUP BY title)""")
 def collapsed_documents(spark, d):
-    words = bag(spark, d)
-    return C.drop_collapsed(words, index_corpus(words, 0.002, 0.5).terms, "title")
+    index = index_corpus(bag(spark, d), 0.002, 0.5)
+    return C.drop_collapsed(index.bag, index.terms, "title", n_terms=index.n_terms)
 
 
 SEEDS = r"""seeds AS (SELECT DISTINCT item_id + 1 AS topic, term FROM (SELECT item_id,
