@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from topiclens.llm import similar_texts
 from topiclens.llm.simhash import majority, shingle_hashes
@@ -70,3 +71,20 @@ def test_fingerprints_find_copies(spark, monkeypatch):
     for r in similar_groups(docs).collect():
         groups.setdefault(r.component, []).append(r._id)
     assert sorted(map(sorted, groups.values())) == [[0, 1, 2], [3], [4], [5]]
+
+
+@pytest.mark.parametrize("sent", [250_000, 0])
+def test_texts_stay_where_they_are(spark, monkeypatch, sent):
+    monkeypatch.setattr(similar_texts, "SENT_ROWS", sent)
+    same, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, same), (1, same), (None, same), (2, other), (2, other), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for some, want in ((docs, [(1, same), (2, other), (4, None)]), (docs.distinct(), [(1, same), (2, other), (4, None)])):
+            found = drop_similar(some)
+            assert sorted(found.collect()) == want
+            assert ("SortMergeJoin" in found._jdf.queryExecution().toString()) == (sent == 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

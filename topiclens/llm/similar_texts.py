@@ -32,6 +32,7 @@ BANDS, BAND_ROWS, FIRST_BANDS = 24, 4, 4
 SIMHASH_BAND = -1  # number of the meeting places that fingerprints give
 TILE_NODES, TILE_SHINGLES = 512, 1 << 20
 SPREAD = 1 << 14
+SENT_ROWS = 250_000
 SEEDS = np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 
 
@@ -182,7 +183,10 @@ def similar_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
 
 def drop_similar(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """One row of ``docs``, all columns, of each group: of the smallest id (a null id comes last),
-    of equal ids of the smallest text hash, and of rows that repeat both any one."""
+    of equal ids of the smallest text hash, and of rows that repeat both any one.
+
+    Up to ``SENT_ROWS`` ids of rows that go (or are repeated) are sent to the texts, which then stay where they are.
+    """
     groups = similar_groups(docs, k, threshold, id_col, text_col, radius).groupBy("_id", "_of", "component").agg(F.count("*").alias("_times"))
     groups = cut_lineage(groups)
     key = F.struct(F.col("_id").isNull().alias("_none"), F.col("_id").alias("_id"), F.col("_of").alias("_of"))
@@ -191,7 +195,10 @@ def drop_similar(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: st
     own = F.col(f"r.{id_col}"), F.xxhash64(whole(f"r.{text_col}"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r"))
     at = lambda some: own[0].eqNullSafe(some["_id"]) & (own[1] == some["_of"])
-    apart = marked.filter("not _stays or _times > 1")
-    again = marked.filter("_stays and _times > 1")
+    n = marked.agg(F.count_if(F.expr("not _stays or _times > 1")).alias("apart"), F.count_if(F.expr("_stays and _times > 1")).alias("again")).first()
+    sent = F.broadcast if n["apart"] <= SENT_ROWS else lambda some: some  # counted
+    apart, again = sent(marked.filter("not _stays or _times > 1")), sent(marked.filter("_stays and _times > 1"))
     once = rows.join(apart, at(apart), "left_anti").select("r.*")
+    if not n["again"]:
+        return once
     return once.union(rows.join(again, at(again), "left_semi").groupBy(*own).agg(F.first("r").alias("r")).select("r.*"))
