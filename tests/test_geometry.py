@@ -196,6 +196,34 @@ def test_icp_aligns_shifted_points(spark):
     assert found.filter("query_id = target_id").count() == 60
 
 
+def test_icp_in_tasks_equals_rounds_over_the_cluster(spark):
+    """A pair whose rounds fit a task takes no more jobs for more rounds, and gives the same rows."""
+    rng = np.random.default_rng(21)
+    a = {1: rng.random((80, 2)) * 50, 2: rng.random((30, 2)) * 9}
+    turned = lambda v, t: v @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]]) + [0.7, -0.4]
+    left, right = clouds(spark, a, {1: rng.permutation(turned(a[1], 0.05)), 2: turned(a[2], 0.3), 3: [(0, 0)]})
+    left = left.union(left.filter("query_id = 3"))  # rows that come twice
+    rows = lambda df, *by: [tuple(np.round([float(v) for v in r], 8)) for r in df.orderBy(*by).collect()]
+    for kind in ("rigid", similarity_model()):
+        one, other = geometry.icp(left, right, kind, max_rounds=3), geometry.icp(left, right, kind, max_rounds=3, rows=1)
+        assert rows(one[0].select(sorted(one[0].columns)), "pair_id") == rows(other[0].select(sorted(one[0].columns)), "pair_id")
+        assert rows(one[1], "pair_id", "query_id") == rows(other[1].select(one[1].columns), "pair_id", "query_id")
+
+
+def test_nearest_places_beside_the_targets():
+    """Queries far from all targets look at few leaves."""
+    rng = np.random.default_rng(5)
+    pts = rng.random((40_000, 2)) * [1, 5]
+    places, looked = matching.Places(np.arange(40_000), *pts.T), []
+    look = places._look
+    places._look = lambda x, y, leaf: (looked.append(len(x)), look(x, y, leaf))[1]
+    queries = rng.random((200, 2)) * [3, 9] - [1, 2]
+    ids, x2, y2, d = places.nearest(*queries.T)
+    far = np.sqrt(((queries[:, None] - pts) ** 2).sum(2))
+    assert ids.tolist() == far.argmin(1).tolist() and np.array_equal(d, far.min(1))
+    assert sum(looked) < 200 * 40
+
+
 def clouds(spark, a, b):
     left = spark.createDataFrame([(p, i, float(x), float(y)) for p, pts in a.items() for i, (x, y) in enumerate(pts)], "pair_id long, query_id long, x double, y double")
     right = spark.createDataFrame([(p, len(pts) - i, float(x), float(y)) for p, pts in b.items() for i, (x, y) in enumerate(pts)], "pair_id long, target_id long, x double, y double")
