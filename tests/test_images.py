@@ -88,3 +88,23 @@ def test_bitmaps_round_trip(spark, tmp_path):
     bad = R.bad_images(spark, str(tmp_path / "mixed")).collect()
     assert len(bad) == 1 and bad[0]["path"].endswith("bad.bmp")
     assert R.decode_images(spark, str(tmp_path / "mixed")).count() == 1
+
+
+def test_features_leave_a_task_in_portions(spark, monkeypatch):
+    """A task holds the rows of a few images, not of all it reads."""
+    frame = spark.createDataFrame([(i, 40, 40, [float((i * j) % 7) for j in range(1600)]) for i in range(12)], "image_id INT, width INT, height INT, data ARRAY<DOUBLE>")
+    held = {}
+
+    class Caught:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            held["run"] = run
+
+    monkeypatch.setattr(I, "OUTPUT_BYTES", 50_000)
+    levels = lambda image: [(k, image.ravel()) for k in range(3)]
+    I.extract_features(Caught(), levels, "image_id INT, level INT, data ARRAY<DOUBLE>")
+    parts = list(held["run"](iter([frame.toPandas()])))
+    assert len(parts) == 6 and max(map(len, parts)) == 6
+    assert sorted(zip(*(c for c in (sum((p[n].tolist() for p in parts), []) for n in ("image_id", "level"))))) == [(i, k) for i in range(12) for k in range(3)]

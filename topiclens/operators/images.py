@@ -31,6 +31,7 @@ PEAK_RATIO = 0.8  # fixed value: further orientations must exceed this part of t
 FEATURES = "image_id {id}, scale DOUBLE, orientation DOUBLE, x DOUBLE, y DOUBLE, desc ARRAY<DOUBLE>"
 
 
+OUTPUT_BYTES = 32 << 20  # rows of features that a task holds, beyond those of one image
 FAILURES = (ValueError, TypeError, IndexError, ArithmeticError)
 
 
@@ -56,10 +57,16 @@ def extract_features(images: DataFrame, fn: Callable[[np.ndarray], Iterator[tupl
 
     def run(frames):
         for pdf in frames:
-            rows = []
+            rows, held = [], 0
             for image_id, w, h, data in zip(pdf["image_id"], pdf["width"], pdf["height"], pdf["data"]):
-                rows.extend((image_id, *row) for row in _one_image(fn, w, h, data)[0])
-            yield pd.DataFrame(rows, columns=columns)
+                for row in _one_image(fn, w, h, data)[0]:
+                    rows.append((image_id, *row))
+                    held += sum(v.nbytes for v in row if isinstance(v, np.ndarray)) + 8 * len(columns)
+                if held > OUTPUT_BYTES:  # images with much output leave the task before the next ones are read
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return images.select("image_id", "width", "height", "data").mapInPandas(run, schema)
 
