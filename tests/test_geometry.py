@@ -84,6 +84,21 @@ def test_smoothness_equals_a_plain_version(spark, rows):
     assert most > 1
 
 
+def test_smoothness_of_large_pairs_in_shares(spark, monkeypatch):
+    """A pair of more than a block is fitted in tasks that hold it whole, each for some of its matches."""
+    monkeypatch.setattr(geometry, "_medians", None)
+    monkeypatch.setattr(geometry, "PART_CELLS", 20_000)
+    monkeypatch.setattr(geometry, "TILE_ROWS", 100)
+    matches = make_matches(spark, n=150, outliers=0.1, noise=0.3).cache()
+    frame = matches.toPandas()
+    for least in (1, 1024):
+        monkeypatch.setattr(geometry, "ONE_BY_ONE", least)
+        got = geometry.local_smoothness_filter(matches, 20.0, 15.0, 2.5).toPandas()
+        for pair, own in frame.groupby("pair_id"):
+            want, _ = plain_smoothness(own[["match_id", "x1", "y1", "x2", "y2"]].to_numpy(), 20.0, 15.0, 2.5)
+            assert set(got[got.pair_id == pair].match_id) == want
+
+
 def test_medians_from_histograms(spark):
     """Even and odd numbers, ties, zeros and values far apart, over blocks of seven."""
     rng = np.random.default_rng(2)
