@@ -33,6 +33,8 @@ MATRIX_ROWS = 16_384
 WIDE_TERMS = 1_000_000
 FLUSH_CELLS = 8_000_000
 BLOCK_CELLS = 8_000_000  # model numbers in a vocabulary block
+SHARE_PAIRS = 1 << 16  # (document, term) pairs from which a core gets a vocabulary block of its own
+LONG_RUN = 64  # terms of a document from which its share of a block is a matrix product
 GAMMA_BYTES = 256 << 20  # posteriors of wide documents sent to all tasks; more are joined
 
 RESULT = "kind STRING, id LONG, vec ARRAY<DOUBLE>, loglik DOUBLE, terms ARRAY<INT>, counts ARRAY<DOUBLE>, log_phi ARRAY<ARRAY<DOUBLE>>"
@@ -706,11 +708,14 @@ def _vocabulary_blocks(wide: DataFrame, topics: int, beta: DataFrame, n_terms: i
 
     A block is one row: its terms and their model weights, its documents and how many words each
     has in it, and the pairs as places in these two lists. Documents are dealt too, in groups of
-    at most ``entries`` or so, should a term stand in more than a block can hold.
+    at most ``entries`` or so, should a term stand in more than a block can hold. Smaller data are cut
+    into a few blocks for each core, and every block is a file, as each pass reads them anew. The pairs
+    lie by document.
     """
     pairs = wide.select(F.col("doc_no").cast("long"), F.col("term_id").cast("int"), F.col("n").cast("double"))
     size = pairs.agg(F.count("*").alias("n"), F.countDistinct("doc_no").alias("docs")).first()
-    parts, groups = max(1, math.ceil(size["n"] / entries)), max(1, math.ceil(size["docs"] / entries))
+    cores = 2 * wide.sparkSession.sparkContext.defaultParallelism
+    parts, groups = max(1, math.ceil(size["n"] / entries), min(cores, math.ceil(size["n"] / SHARE_PAIRS))), max(1, math.ceil(size["docs"] / entries))
     cut = F.pmod(F.xxhash64("term_id"), F.lit(parts)).alias("part")
     dealt = pairs.select(cut, F.pmod(F.xxhash64("doc_no"), F.lit(groups)).alias("group"), "doc_no", "term_id", "n")
     needed = dealt.select("part", "group", "term_id").distinct()
@@ -723,7 +728,8 @@ def _vocabulary_blocks(wide: DataFrame, topics: int, beta: DataFrame, n_terms: i
         plain = lambda table, name: table.column(name).combine_chunks().to_numpy()
         terms, term_at = np.unique(plain(own, "term_id"), return_inverse=True)
         docs, doc_at = np.unique(plain(own, "doc_no"), return_inverse=True)
-        n = plain(own, "n")
+        order = np.lexsort((term_at, doc_at))
+        term_at, doc_at, n = term_at[order], doc_at[order], plain(own, "n")[order]
         weights, known = start_rows(terms, topics, n_terms, seed), plain(rows, "term_id")
         if len(known):
             weights[np.searchsorted(terms, known)] = np.exp(rows.column("log_beta").combine_chunks().flatten().to_numpy().reshape(-1, topics))
@@ -734,7 +740,8 @@ def _vocabulary_blocks(wide: DataFrame, topics: int, beta: DataFrame, n_terms: i
         return pa.table({**head, **{k: _lists([0, len(v)], v) for k, v in zip(names, lists)}})
 
     keys = ["part", "group"]
-    return cut_lineage(dealt.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(build, shape)), size["docs"], groups
+    built = dealt.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(build, shape)
+    return cut_lineage(built.repartitionByRange(parts * groups, *keys)), size["docs"], groups
 
 
 def _pass_blocks(blocks: DataFrame, gamma: DataFrame, n_docs: int, groups: int, topics: int, last: bool = False, want_phi: bool = False) -> DataFrame:
@@ -765,14 +772,19 @@ def _pass_blocks(blocks: DataFrame, gamma: DataFrame, n_docs: int, groups: int,
                 shift = t.max(1)
                 e = np.exp(t - shift[:, None])
                 gain, likelihood, sums = np.zeros(t.shape), np.zeros(len(docs)), np.zeros(model.shape)
-                order = np.argsort(doc_at, kind="stable")
-                for at in range(0, len(order), MATRIX_ROWS):
-                    some = order[at : at + MATRIX_ROWS]
-                    term, doc, count = term_at[some], doc_at[some], n[some]
+                for at in range(0, len(n), MATRIX_ROWS):
+                    term, doc, count = (v[at : at + MATRIX_ROWS] for v in (term_at, doc_at, n))
+                    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                    met = doc[first]
+                    if not last and len(doc) >= LONG_RUN * len(met):
+                        weights = model[term]
+                        for d, start, end in zip(met, first, [*first[1:], len(doc)]):
+                            own_rows = weights[start:end]
+                            gain[d] += e[d] * ((count[start:end] / (own_rows @ e[d])) @ own_rows)
+                        continue
                     phi = model[term] * e[doc]
                     norm = phi.sum(1)
                     phi /= norm[:, None]
-                    met, first = np.unique(doc, return_index=True)
                     gain[met] += np.add.reduceat(phi * count[:, None], first, axis=0)
                     if last:
                         likelihood += np.bincount(doc, count * (np.log(norm) + shift[doc] - (phi * t[doc]).sum(1)), len(docs))
