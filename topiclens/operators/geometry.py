@@ -28,6 +28,7 @@ GROW_ITERATIONS = 1000  # fixed value: hypotheses per round of the growing searc
 GROW_PATIENCE = 4  # fixed value: rounds without more inliers
 BUCKETS = 32  # of a residual histogram
 ICP_ROWS = 1 << 18  # points of a pair that goes through all rounds of ``icp`` in a task
+SCORED = 1 << 15  # (hypothesis, match) pairs scored together, which stay in the cache
 CELLS = 1 << 20  # (candidate, match) pairs looked at together
 WHOLE_ROWS = 1 << 18  # matches of a pair that a task holds for the local fits around some of them
 PART_CELLS = 1 << 24  # (candidate, match) pairs of such a task's share of a pair
@@ -206,10 +207,16 @@ def _inlier_sums(blocks: DataFrame, models: DataFrame, eps: float, model: Model)
         for pdf in frames:
             out = []
             for row in pdf.itertuples(index=False):
-                x, y = model.apply({k: np.asarray(getattr(row, k))[:, None] for k in model.params}, row.x1, row.y1)
-                ex, ey = x - row.x2, y - row.y2
-                inside = (ex * ex + ey * ey < eps * eps).astype(float)
-                sums = inside @ model.row_terms(row.x1, row.y1, row.x2, row.y2)
+                params = {k: np.asarray(getattr(row, k))[:, None] for k in model.params}
+                terms = model.row_terms(row.x1, row.y1, row.x2, row.y2)
+                sums, step = np.empty((len(row.hyp), len(names))), max(1, SCORED // len(terms))
+                for at in range(0, len(row.hyp), step):
+                    x, y = model.apply({k: v[at : at + step] for k, v in params.items()}, row.x1, row.y1)
+                    x, y = x - row.x2, y - row.y2
+                    x *= x
+                    y *= y
+                    x += y
+                    sums[at : at + step] = (x < eps * eps).astype(float) @ terms
                 out.append(pd.DataFrame({"pair_id": row.pair_id, "hyp": row.hyp, **dict(zip(names, sums.T))}))
             if out:
                 yield pd.concat(out)
