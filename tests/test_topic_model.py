@@ -88,6 +88,19 @@ def test_wide_documents_agree(corpus):
     assert np.allclose(np.stack(betas[0]), np.stack(betas[1]))
 
 
+def test_small_data_are_cut_for_every_core(corpus, monkeypatch):
+    """Several blocks though one could hold all, and documents with long runs of terms, give the same posterior."""
+    monkeypatch.setattr(M, "SHARE_PAIRS", 50, raising=False)
+    monkeypatch.setattr(M, "LONG_RUN", 2, raising=False)
+    _, bag, _, table = corpus
+    alpha = np.array([0.2, 0.5, 1.1])
+    assert M._vocabulary_blocks(bag, 3, table, TERMS, 0, 10**6)[0].count() > 2
+    narrow = M.e_step(M.pack_documents(bag), alpha, table, TERMS, inner_iter=3)
+    wide = M.wide_e_step(bag, alpha, table, TERMS, passes=3)
+    docs = [{r.id: r.vec for r in df.filter("kind = 'doc'").collect()} for df in (narrow, wide)]
+    assert docs[0].keys() == docs[1].keys() and all(np.allclose(docs[0][d], docs[1][d]) for d in docs[0])
+
+
 def test_vocabulary_blocks_agree(spark, corpus):
     """Several blocks of terms and groups of documents, unseen terms, stored posteriors, phi, and documents that settle."""
     _, bag, _, table = corpus
