@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiclens.functions.scalars import draw
-from topiclens.operators.matching import Places, nearest_point, target_cells
+from topiclens.operators.matching import Places, distinct_places, nearest_point, target_cells
 from topiclens.operators.models import ARRAYS, COLUMNS, POINTS, Model, model_of
 from topiclens.session import cut_lineage
 from topiclens.spread import TILE_ROWS, group_median, largest_group, lookup_join, number_rows, pack_blocks
@@ -27,7 +29,8 @@ MAX_TRUST = 4.0  # fixed value
 GROW_ITERATIONS = 1000  # fixed value: hypotheses per round of the growing search
 GROW_PATIENCE = 4  # fixed value: rounds without more inliers
 BUCKETS = 32  # of a residual histogram
-ICP_ROWS = 1 << 18  # points of a pair that goes through all rounds of ``icp`` in a task
+ICP_ROWS = 5 << 18  # points of a pair that goes through all rounds of ``icp`` in a task
+TERM_ROWS = 1 << 18  # matches whose moments are held together
 SCORED = 1 << 15  # (hypothesis, match) pairs scored together, which stay in the cache
 CELLS = 1 << 20  # (candidate, match) pairs looked at together
 WHOLE_ROWS = 1 << 18  # matches of a pair that a task holds for the local fits around some of them
@@ -373,55 +376,68 @@ def _fit_arrays(kind: str | Model, x1, y1, x2, y2) -> dict | None:
     with np.errstate(all="ignore"):
         if isinstance(kind, str):  # about the centroids
             m = [v.mean() for v in (x1, y1, x2, y2)]
-            sums = model.row_terms(*(v - c for v, c in zip((x1, y1, x2, y2), m))).sum(0)
+            parts = (slice(at, at + TERM_ROWS) for at in range(0, n, TERM_ROWS))
+            sums = sum(model.row_terms(*(v[part] - c for v, c in zip((x1, y1, x2, y2), m))).sum(0) for part in parts)
             p = model.fit(dict(zip(model.sums(), sums)), ARRAYS)
             c, s = float(p["cos"]), float(p["sin"])
             return {"cos": c, "sin": s, "tx": m[2] - c * m[0] + s * m[1], "ty": m[3] - s * m[0] - c * m[1]}
-        sums = dict(zip(model.sums(), model.row_terms(x1, y1, x2, y2).sum(0)))
+        parts = (slice(at, at + TERM_ROWS) for at in range(0, n, TERM_ROWS))
+        sums = sum(model.row_terms(*(v[part] for v in (x1, y1, x2, y2))).sum(0) for part in parts)
+        sums = dict(zip(model.sums(), sums))
         return model.fit(sums, ARRAYS) if n >= model.min_matches and model.defined(sums, ARRAYS) else None
 
 
 def _icp_in_tasks(start: DataFrame, q: DataFrame, kind: str | Model, max_rounds: int) -> tuple[DataFrame, DataFrame]:
     """``icp`` with all rounds of a pair in a task, the targets indexed once."""
     model, names = model_of(kind), ["pair_id", "query_id", "target_id", "x2", "y2", "x1", "y1"]
-
-    def run(left, right):
-        left, right = left.dropna(subset=["pair_id", "query_id"]), right.dropna(subset=["x", "y"])
-        if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (*names, "model", "settled")})
-        places = Places(right["target_id"], right["x"], right["y"])
-        own = left[["query_id", "x1", "y1"]]
-        alone = left["query_id"].is_unique
-        x, y = own["x1"].to_numpy(), own["y1"].to_numpy()
+    shape = pa.schema([*((c, pa.int64()) for c in names[:3]), *((c, pa.float64()) for c in names[3:]), ("model", pa.list_(pa.float64())), ("settled", pa.bool_())])
+    plain = lambda table, name: table.column(name).to_numpy()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.filter(pc.and_(pc.is_valid(left.column("pair_id")), pc.is_valid(left.column("query_id"))))
+        here = [pc.and_(pc.is_valid(right.column(c)), pc.invert(pc.is_nan(right.column(c)))) for c in ("x", "y")]
+        right = right.filter(pc.and_(*here))
+        if left.num_rows == 0 or right.num_rows == 0:
+            return shape.empty_table()
+        places = Places(*distinct_places(*(plain(right, c) for c in ("target_id", "x", "y"))))
+        queries, x1, y1 = (plain(left, c) for c in ("query_id", "x1", "y1"))
+        alone = len(np.unique(queries)) == len(queries)
+        x, y = x1, y1
         found = params = was = None
         settled = False
         for _ in range(max_rounds):
             there = ~(np.isnan(x) | np.isnan(y))
             ids, x2, y2, _d = places.nearest(x[there], y[there])
-            # rows with one query id meet each other's targets, as in a join by that id
-            near = pd.DataFrame({"query_id": own["query_id"].to_numpy()[there], "target_id": ids, "x2": x2, "y2": y2})
-            current = near.assign(x1=own["x1"].to_numpy()[there], y1=own["y1"].to_numpy()[there]) if alone else near.merge(own, on="query_id")
-            fitted = _fit_arrays(kind, *(current[c].to_numpy() for c in POINTS))
+            current = {"query_id": queries[there], "target_id": ids, "x2": x2, "y2": y2, "x1": x1[there], "y1": y1[there]}
+            if not alone:  # rows with one query id meet each other's targets, as in a join by that id
+                near, own = pd.DataFrame({c: current[c] for c in ("query_id", "target_id", "x2", "y2")}), pd.DataFrame({"query_id": queries, "x1": x1, "y1": y1})
+                current = {c: v.to_numpy() for c, v in near.merge(own, on="query_id").items()}
+            fitted = _fit_arrays(kind, *(current[c] for c in POINTS))
             if found is None or fitted is not None:
                 found = current
             params = fitted or params
             if was is not None:
-                if alone and len(was) == len(current):
-                    changed = (was["query_id"].to_numpy() == current["query_id"].to_numpy()) & (was["target_id"].to_numpy() != current["target_id"].to_numpy())
-                    settled = not changed.any()
+                if alone and len(was["query_id"]) == len(current["query_id"]):
+                    settled = not ((was["query_id"] == current["query_id"]) & (was["target_id"] != current["target_id"])).any()
                 else:
-                    both = current[["query_id", "target_id"]].merge(was.rename(columns={"target_id": "was"}), on="query_id")
+                    both = pd.DataFrame({c: current[c] for c in ("query_id", "target_id")}).merge(pd.DataFrame({"query_id": was["query_id"], "was": was["target_id"]}).drop_duplicates(), on="query_id")
                     settled = not (both["target_id"] != both["was"]).any()
             if settled or fitted is None:
                 settled = settled or was is not None or max_rounds > 1
                 break
-            was = current[["query_id", "target_id"]].drop_duplicates()
-            x, y = model.apply(fitted, own["x1"].to_numpy(), own["y1"].to_numpy())
-        held = [[float(params[p]) for p in model.params]] if params else [None]
-        return found.assign(pair_id=left["pair_id"].iloc[0], model=held * len(found), settled=settled)[[*names, "model", "settled"]]
+            was = {c: current[c] for c in ("query_id", "target_id")}
+            x, y = model.apply(fitted, x1, y1)
+        n = len(found["query_id"])
+        if params:
+            held = np.tile([float(params[p]) for p in model.params], n)
+            models = pa.ListArray.from_arrays(pa.array(np.arange(0, len(held) + 1, len(model.params)), pa.int32()), pa.array(held))
+        else:
+            models = pa.nulls(n, shape.field("model").type)
+        columns = [pa.repeat(left.column("pair_id")[0], n), *(pa.array(found[c], from_pandas=True) for c in names[1:]), models, pa.repeat(pa.scalar(bool(settled)), n)]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, shape)], schema=shape)
 
     fields = "pair_id LONG, query_id LONG, target_id LONG, x2 DOUBLE, y2 DOUBLE, x1 DOUBLE, y1 DOUBLE, model ARRAY<DOUBLE>, settled BOOLEAN"
-    found = cut_lineage(start.groupBy("pair_id").cogroup(q.groupBy("pair_id")).applyInPandas(run, fields))
+    found = cut_lineage(start.groupBy("pair_id").cogroup(q.groupBy("pair_id")).applyInArrow(run, fields))
     models = found.filter("model is not null").groupBy("pair_id").agg(F.first("model").alias("m"), F.count("*").alias("n"), F.first("settled").alias("settled"))
     models = models.select("pair_id", *(F.col("m")[i].alias(c) for i, c in enumerate(model.params)), "n", "settled")
     return models, found.select(*names)

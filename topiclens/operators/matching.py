@@ -141,6 +141,13 @@ def drop_ambiguous(matches: DataFrame) -> DataFrame:
     return grouped.filter("_n = 1").select("pair_id", "x2", "y2", "_row.*").select(*matches.columns)
 
 
+def distinct_places(ids, x, y) -> tuple[np.ndarray, ...]:
+    """Of the targets at one place the one with the lowest id, which wins every tie: a search looks at a place once."""
+    order = np.lexsort((ids, y, x))
+    order = order[np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])][: len(order)]]
+    return ids[order], x[order], y[order]
+
+
 class Places:
     """Targets in memory, for exact nearest neighbours: cut by rank along x into slices and these
     by rank along y into leaves of ``LEAF`` targets, which lie in them by id."""
@@ -167,7 +174,10 @@ class Places:
         x, y = np.asarray(x, float), np.asarray(y, float)
         at, d = np.zeros(len(x), int), np.zeros(len(x))
         plain = np.isfinite(x) & np.isfinite(y)
-        todo = np.array_split(np.flatnonzero(plain), -(-max(1, plain.sum()) // LOOKED_AT))
+        asked = np.flatnonzero(plain)
+        if len(asked) > LOOKED_AT:  # neighbours together: the leaves they look at stay in the cache
+            asked = asked[np.lexsort((y[asked], np.searchsorted(self.left, x[asked], "right")))]
+        todo = np.array_split(asked, -(-max(1, len(asked)) // LOOKED_AT))
         while todo:
             part = todo.pop()
             if len(part):
